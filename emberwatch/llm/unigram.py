@@ -17,9 +17,12 @@ UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
 LETTERS, OTHERS = r"[^\W\d_²³¹¼½¾]+", rf"(?:(?!{SPACE})[\W\d_²³¹¼½¾])+"
 WORDS = re.compile(rf"{SPACE}+(?:{LETTERS}|{OTHERS}(?:{LETTERS})?)?|{LETTERS}|{OTHERS}(?:{LETTERS})?")
+#: The same for texts of code points below 256 besides the mark, whose letters can be spelled out.
+_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+LATIN = re.compile(rf"{SPACE}+(?:[{_L}]+|[^{SPACE}{_L}]+[{_L}]*)?|[{_L}]+|[^{SPACE}{_L}]+[{_L}]*")
 CROSSING = re.compile(rf"[^\W\d_²³¹¼½¾][\W\d_²³¹¼½¾]|[^{SPACE}]{SPACE}")
 #: Words that a task remembers. Longer ones are not remembered.
-CACHE, LONGEST_WORD = 150_000, 48
+CACHE, LONGEST_WORD = 250_000, 48
 
 
 class Unigram:
@@ -88,7 +91,12 @@ class Unigram:
         if not self.words_apart:
             return self.viterbi(marked)
         pieces, score, cache = 0, 0.0, self.cache
-        for word in WORDS.findall(marked):
+        try:
+            text.encode("latin-1")
+            words = LATIN.findall(marked)
+        except UnicodeEncodeError:
+            words = WORDS.findall(marked)
+        for word in words:
             known = cache.get(word)
             if known is None:
                 known = cache.recall(word)
