@@ -1,12 +1,17 @@
 """The ten operators' queries by name, and the SQL of those that SQL can express."""
 
-from emberwatch.llm import bpe, fingerprint, line_dedup, packing, unigram
+from emberwatch.llm import bpe, fingerprint, language_id, line_dedup, near_dedup, packing, topk, unigram, url_filter, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
+    "op3_warc": warc.op3_warc,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_token_counts": unigram.op8_token_counts,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_top_k": topk.op10_top_k,
 }
-SQL = {"op4_line_dedup": line_dedup.SQL}
+SQL = {"op3_warc": warc.SQL, "op4_line_dedup": line_dedup.SQL, "op10_top_k": topk.SQL}
