@@ -5,17 +5,17 @@ frequency. The similarity of two texts is the sum of the lesser over the sum of
 (improved consistent weighted sampling) is equal for two texts with a probability of their similarity; a band is some
 samples together, and texts that share a band are candidates.
 
-A bucket of a band is never expanded into pairs. In each round a bucket has one leader, the text of its class-less
-members that shares most buckets with most others (the original of a group of copies, as a rule), and all members of
-other classes are verified against it. Classes grow with every link, so that after few rounds a bucket of copies is one
-class and drops out. Rounds go on until no bucket has a member of another class that hasn't met all that can lead.
+A bucket of a band is never expanded into pairs as long as it is large. In a round each bucket has one leader, the text
+that shares most buckets with most others (the original of a group of copies, as a rule), and all members of other
+classes are verified against it. Classes grow with every link, so a bucket of copies is one class after few rounds and
+drops out. Of what is left, small buckets are compared as a whole, and the texts of large ones by a prefix filter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import cut, fresh, table
@@ -27,8 +27,9 @@ DF_SLOTS = 1 << 18
 #: A shingle in this share of the documents or less weighs 1 (times its count); one in all of them weighs 1 - DAMP.
 #: A steep idf would part copies: what a group of copies shares is frequent for that very reason.
 COMMON, DAMP, LEAST_DF = 0.01, 0.2, 8
-#: Rounds of leaders.
-ROUNDS = 12
+#: Rounds of leaders. After them, the texts of a bucket of up to SMALL texts that still has several classes are compared
+#: one by one, which is at most SMALL pairs for each of its texts; those of larger ones go to the prefix filter.
+LEADERS, SMALL = 2, 64
 _LEVELS = 1 << 16
 
 
@@ -184,6 +185,32 @@ def _verify(idf: np.ndarray, words: int, threshold: float):
     return run
 
 
+def _prefix_pairs(texts: DataFrame, idf: np.ndarray, words: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) of texts (rep, label, body) of different labels that can reach the threshold.
+
+    With shingles ordered from the rarest, two texts whose similarity reaches it share a shingle within the first ones
+    of each, as long as what stands behind these weighs less than the threshold's share of the text. Texts that were
+    edited much begin with shingles of their own, so they meet nobody.
+    """
+
+    def explode(batches):
+        for batch in batches:
+            for rep, label, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h, c = shingles(body, words)
+                w = c * idf[(h & np.uint64(DF_SLOTS - 1)).astype(np.int64)].astype(np.float64)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array([rep] * n, pa.binary()), pa.array([label] * n, pa.binary()), pa.array(h.view(np.int64)), pa.array(w)], ["rep", "label", "h", "w"])
+
+    rows = cut(texts.select("rep", "label", "body").mapInArrow(explode, "rep binary, label binary, h long, w double"))
+    seen = cut(rows.groupBy("h").agg(F.count("*").alias("df")))
+    first = Window.partitionBy("rep").orderBy("df", "h")
+    before = F.coalesce(F.sum("w").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = rows.join(seen, "h").withColumns({"before": before, "total": F.sum("w").over(Window.partitionBy("rep"))})
+    prefix = cut(ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-9).where("df > 1").select("h", "rep", "label"))
+    other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("lb"))
+    return prefix.join(other, "h").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` (rep, label) after the links (a, b) have joined classes: the least label of each connected component.
 
@@ -213,7 +240,7 @@ def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(root.select(F.col("u").alias("label"), F.col("m").alias("to")), "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, Column]:
+def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Column]:
     """(class of each distinct text, key of a row's text). The first is (`key`, `label`): `key` the 16-byte MD5 of a
     text, `label` the least key of its class; the second is the expression for that key over the rows of `docs`.
 
@@ -240,23 +267,29 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     some = cut(members.select("rep").distinct())
     texts = cut(src.groupBy("rep").agg(F.first("body").alias("body")).join(some, "rep"))
     labels = cut(signed.select("rep", F.col("rep").alias("label")))
-    open_members = members.withColumn("led", F.lit(False))
-    for _ in range(rounds):
-        at = open_members.join(labels, "rep")
-        at = cut(at)
-        several = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.when(~F.col("led"), F.struct("w", "rep", "label"))).alias("lead"))
-        several = cut(several.where("l0 <> l1 AND lead IS NOT NULL").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.label").alias("lead_label")))
-        met = at.join(several, "bucket")
-        pairs = cut(met.where("label <> lead_label").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
-        open_members = cut(met.select("bucket", "rep", "w", (F.col("led") | (F.col("rep") == F.col("lead"))).alias("led")))
-        if pairs.isEmpty():
-            if open_members.isEmpty():
-                break
-            continue
-        ta, tb = texts.select(F.col("rep").alias("a"), F.col("body").alias("body_a")), texts.select(F.col("rep").alias("b"), F.col("body").alias("body_b"))
-        both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "body_a", "body_b").sortWithinPartitions("b")
+    ta, tb = texts.select(F.col("rep").alias("a"), F.col("body").alias("body_a")), texts.select(F.col("rep").alias("b"), F.col("body").alias("body_b"))
+    waiting = members.select("bucket", "rep", "w", F.lit(False).alias("led"))
+    for turn in range(LEADERS + 1):
+        at = waiting.join(labels, "rep")
+        leads = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"), F.max(F.when(~F.col("led"), F.struct("w", "rep", "label"))).alias("lead"))
+        leads = cut(leads.where("l0 <> l1 AND lead IS NOT NULL").select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.label").alias("lead_label")))
+        if leads.isEmpty():
+            break
+        met = at.join(leads, "bucket")
+        if turn < LEADERS:
+            pairs = met.where(F.col("label") != F.col("lead_label")).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+            waiting = cut(met.select("bucket", "rep", "w", (F.col("led") | (F.col("rep") == F.col("lead"))).alias("led")))
+        else:
+            few = cut(met.where(F.col("n") <= SMALL).select("bucket", "rep", "label"))
+            other = few.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
+            pairs = few.join(other, "bucket").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b")
+            many = cut(met.where((F.col("n") > SMALL) & ~F.col("led")).select("rep", "label").distinct())
+            if not many.isEmpty():
+                pairs = pairs.union(_prefix_pairs(many.join(texts, "rep"), idf, words, threshold))
+        both = pairs.distinct().join(ta, "a").join(tb, "b").select("a", "b", "body_a", "body_b").sortWithinPartitions("b")
         links = cut(both.mapInArrow(_verify(idf, words, threshold), "a binary, b binary, link boolean").where("link").select("a", "b"))
-        labels = cut(join_classes(labels, links))
+        if not links.isEmpty():
+            labels = cut(join_classes(labels, links))
     return labels.withColumnRenamed("rep", "key"), key
 
 
