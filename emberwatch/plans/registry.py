@@ -1,3 +1,8 @@
 """Queries by name, and their SQL."""
 
+from emberwatch.plans import detection
+
 QUERIES, SQL = {}, {}
+for _m in (detection,):
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
