@@ -1,8 +1,8 @@
 """Queries by name, and their SQL."""
 
-from emberwatch.plans import detection
+from emberwatch.plans import detection, vulnerability
 
 QUERIES, SQL = {}, {}
-for _m in (detection,):
+for _m in (detection, vulnerability):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
