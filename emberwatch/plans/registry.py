@@ -1,8 +1,8 @@
 """Queries by name, and their SQL."""
 
-from emberwatch.plans import detection, vulnerability
+from emberwatch.plans import detection, posture_reports, vulnerability
 
 QUERIES, SQL = {}, {}
-for _m in (detection, vulnerability):
+for _m in (detection, vulnerability, posture_reports):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
