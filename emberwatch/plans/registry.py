@@ -1,8 +1,8 @@
 """Queries by name, and their SQL."""
 
-from emberwatch.plans import detection, posture_reports, vulnerability
+from emberwatch.plans import detection, inventory_queries, posture_reports, stream_queries, vulnerability
 
 QUERIES, SQL = {}, {}
-for _m in (detection, vulnerability, posture_reports):
+for _m in (detection, vulnerability, posture_reports, inventory_queries, stream_queries):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

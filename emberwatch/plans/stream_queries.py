@@ -1,0 +1,87 @@
+"""Streaming queries: the events table as a stream, run to its end, and what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberwatch.fixtures import SENSOR_EVENTS, sensor_events
+from emberwatch.operators import findings as O
+from emberwatch.plans import detection as D
+from emberwatch.plans import sqltext as Q
+from emberwatch.sources.sinks import StateTable, scratch
+from emberwatch.streaming import jobs as S
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived events as a stream of files. An exit far in the future, of no host, moves the watermark past all others."""
+    folder = scratch(spark, "events")
+    e = sensor_events(spark, sf).drop("k").withColumns({"cmdline": F.lit(None).cast("string"), "image_trusted": F.lit(None).cast("boolean"), "proto": F.lit("tcp"), "dport": F.col("dport").cast("int")})
+    names = [x.split()[0] for x in S.EVENT.split(", ")]
+    e.select(*names).write.parquet(f"{folder}/a")
+    last = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("~").alias("asset_id"), F.lit("ProcessExit").alias("kind"), (F.col("ts") + 86400000).alias("ts"), F.lit(-1).cast("long").alias("pid"))
+    last.write.parquet(f"{folder}/b")
+    return S.with_event_time(spark.readStream.schema(S.EVENT).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder), "ts", "1 seconds")
+
+
+def _run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """Runs a stream to the end of its input. State lives in RocksDB; the session's own setting is put back."""
+    folder, key = scratch(spark, name), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, S.ROCKSDB)
+    try:
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def stream_network_rules(spark, sf):
+    r = D.network_records(_stream(spark, sf)).where(F.size("hits") > 0)
+    return _run(spark, r.select("event_id", "asset_id", D.RULES_OF.alias("rules")), "rules")
+
+
+def stream_attribution(spark, sf):
+    a = S.attribute_stream(_stream(spark, sf))
+    return _run(spark, a, "attribution").select("event_id", "asset_id", "pid", "kind", "exec_id")
+
+
+def stream_lifetimes(spark, sf):
+    return _run(spark, S.lifetime_stream(_stream(spark, sf)), "lifetimes").where("asset_id <> '~'").select("event_id", "image", "lifetime_ms", "matched")
+
+
+def stream_first_sightings(spark, sf):
+    r = S.first_sighting_stream(_stream(spark, sf).where("kind = 'FileOpen'").select("asset_id", "path"))
+    return _run(spark, r, "sightings")
+
+
+def stream_daily_activity(spark, sf):
+    r = _stream(spark, sf).select("event_time", F.col("kind").alias("category"))
+    return _run(spark, S.daily_activity_stream(r), "activity")  # the last row's own day stays open
+
+
+def stream_findings_state(spark, sf):
+    """The findings loop over two batches leaves the findings of all events."""
+    e = _stream(spark, sf)
+    state = StateTable(spark, scratch(spark, "state"), O.empty_state(spark))
+    S.findings_loop(e, lambda b: O.network_findings(D.network_records(b)), state, scratch(spark, "loop")).awaitTermination()
+    return state.load().select("finding_id", "risk", "decision", "remediation_key")
+
+
+QUERIES = {
+    "stream_network_rules": stream_network_rules,
+    "stream_attribution": stream_attribution,
+    "stream_lifetimes": stream_lifetimes,
+    "stream_first_sightings": stream_first_sightings,
+    "stream_daily_activity": stream_daily_activity,
+    "stream_findings_state": stream_findings_state,
+}
+_E = f"WITH {SENSOR_EVENTS}"
+SQL = {
+    "stream_network_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM network_records WHERE len(rules) > 0",
+    "stream_attribution": f"{_E}, {D.CONTEXT} SELECT event_id, asset_id, pid, kind, exec_id FROM picked",
+    "stream_lifetimes": f"{_E}, {D.EXITS} SELECT event_id, image, lifetime_ms, matched FROM exits",
+    "stream_first_sightings": f"{_E} SELECT DISTINCT asset_id, path FROM sensor_events WHERE kind = 'FileOpen'",
+    "stream_daily_activity": f"{_E} SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, kind AS category, count(*) AS detections FROM sensor_events GROUP BY 1, 2",
+    "stream_findings_state": f"{_E}, {Q.RECORDS}, {Q.findings(Q.NETWORK_RAW)} SELECT finding_id, risk, decision, remediation_key FROM findings",
+}
