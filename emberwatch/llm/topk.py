@@ -61,6 +61,8 @@ def _run(k: int, resolve: bool):
                 lists = max(1, min(LISTS, q.shape[1]))
                 parts = _parts(q, c, lists)
                 whole = sum(parts[1:], parts[0])
+                if whole.dtype == object:
+                    whole = np.frompyfunc(lambda x: min(_HIGH, max(_LOW, x)), 1, 1)(whole)
                 out = [[], [], []]
                 for j in range(len(qid)):
                     if resolve:
@@ -75,7 +77,7 @@ def _run(k: int, resolve: bool):
                     at = at[_best(whole[j][at], cid[at], k)]
                     out[0].append(np.full(len(at), qid[j]))
                     out[1].append(cid[at])
-                    out[2].append(np.array([min(_HIGH, max(_LOW, int(x))) for x in whole[j][at]], np.int64))
+                    out[2].append(whole[j][at].astype(np.int64))
                 cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in out], ["query_id", "vec_id", "score"])
 
