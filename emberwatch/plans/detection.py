@@ -11,10 +11,13 @@ from emberwatch.operators import asof as J
 from emberwatch.operators import findings as O
 from emberwatch.plans import sqltext as Q
 
-RULES_OF = F.array_join(F.transform("hits", lambda h: h["rule"]), ",")
 FINDING = ["finding_id", "asset_id", "vuln_id", "component", "location", "risk", "decision", "sla_hours", "status", "remediation_key"]
 
 
+def rules_of():
+    return F.array_join(F.transform("hits", lambda h: h["rule"]), ",")
+
+
 def process_records(events: DataFrame) -> DataFrame:
     return events.where("kind = 'ProcessExec'").select("event_id", "asset_id", "pid", "ts", "image", R.process_hits(F.col("image")).alias("hits"))
 
@@ -33,7 +36,7 @@ def file_records(events: DataFrame) -> DataFrame:
 def _rules(of, *more):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         r = of(sensor_events(spark, sf))
-        return r.select("event_id", "asset_id", *more, RULES_OF.alias("rules"), R.severity(F.col("hits")).cast("int").alias("severity_id"))
+        return r.select("event_id", "asset_id", *more, rules_of().alias("rules"), R.severity(F.col("hits")).cast("int").alias("severity_id"))
 
     return run
 

@@ -38,7 +38,7 @@ def _run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
 
 def stream_network_rules(spark, sf):
     r = D.network_records(_stream(spark, sf)).where(F.size("hits") > 0)
-    return _run(spark, r.select("event_id", "asset_id", D.RULES_OF.alias("rules")), "rules")
+    return _run(spark, r.select("event_id", "asset_id", D.rules_of().alias("rules")), "rules")
 
 
 def stream_attribution(spark, sf):
