@@ -205,39 +205,30 @@ def _prefix_pairs(texts: DataFrame, idf: np.ndarray, words: int, threshold: floa
     seen = cut(rows.groupBy("h").agg(F.count("*").alias("df")))
     first = Window.partitionBy("rep").orderBy("df", "h")
     before = F.coalesce(F.sum("w").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = rows.join(seen, "h").withColumns({"before": before, "total": F.sum("w").over(Window.partitionBy("rep"))})
+    ranked = rows.join(seen.hint("merge"), "h").withColumns({"before": before, "total": F.sum("w").over(Window.partitionBy("rep"))})
     prefix = cut(ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-9).where("df > 1").select("h", "rep", "label"))
     other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return prefix.join(other, "h").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b").distinct()
+    return prefix.join(other.hint("merge"), "h").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     """`labels` (rep, label) after the links (a, b) have joined classes: the least label of each connected component.
 
-    Works on the graph of labels, which shrinks with every round, by least neighbours and pointer jumping; each step is
-    checkpointed, and a label with very many neighbours only meets checkpointed tables."""
+    Works on the graph of labels, which has a node for each class that a link touches and no other: every node takes
+    the least label among its neighbours until none changes. Links go to leaders, so components are flat and few rounds
+    do; each is one checkpoint, and a leader with very many neighbours only meets checkpointed tables."""
     la = labels.select(F.col("rep").alias("a"), F.col("label").alias("la"))
     lb = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
-    edges = links.join(la, "a").join(lb, "b").where("la <> lb")
+    edges = links.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").where("la <> lb")
     edges = cut(edges.select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).distinct())
-    if edges.isEmpty():
-        return labels
-    # Every node points to its least neighbour or itself.
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    root = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    for _ in range(64):
-        # Jump to the pointer's pointer, then hook: the root of either end of an edge takes the lesser root.
-        up = root.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        jumped = cut(root.join(up, "m", "left").select("u", F.coalesce("mm", "m").alias("m")))
-        ends = edges.join(jumped.withColumnRenamed("m", "mu"), "u").join(jumped.select(F.col("u").alias("v"), F.col("m").alias("mv")), "v").where("mu <> mv")
-        hooks = ends.select(F.greatest("mu", "mv").alias("u"), F.least("mu", "mv").alias("h")).groupBy("u").agg(F.min("h").alias("h"))
-        hooks = cut(hooks)
-        new = cut(jumped.join(hooks, "u", "left").select("u", F.least("m", "h").alias("m")))
-        moved = new.join(root.withColumnRenamed("m", "old"), "u").where("m <> old").isEmpty()
-        root = new
-        if moved and hooks.isEmpty():
+    held = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    while True:
+        near = both.join(held.select(F.col("u").alias("v"), "m").hint("merge"), "v").groupBy("u").agg(F.min("m").alias("n"))
+        held = cut(held.join(near.hint("merge"), "u").select("u", F.least("m", "n").alias("m"), (F.col("n") < F.col("m")).alias("moved")))
+        if held.where("moved").isEmpty():
             break
-    return labels.join(root.select(F.col("u").alias("label"), F.col("m").alias("to")), "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
+    return labels.join(held.select(F.col("u").alias("label"), F.col("m").alias("to")).hint("merge"), "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Column]:
@@ -251,46 +242,48 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     src = docs.select(key.alias("rep"), body.alias("body"))
     n = docs.count()
     df = np.zeros(DF_SLOTS, np.int64)
-    table_of = document_frequencies(docs.select(body.alias("body")), "body", words).toPandas()  # DF_SLOTS rows at most
-    df[table_of["slot"]] = table_of["df"]
+    counted = document_frequencies(docs.select(body.alias("body")), "body", words).toArrow()  # DF_SLOTS rows at most
+    df[counted["slot"].to_numpy()] = counted["df"].to_numpy()
     idf = inverse_frequencies(df, n)
 
     signed = src.mapInArrow(_signatures(idf, words, bands, rows), "rep binary, buckets array<long>")
     signed = cut(signed.groupBy("rep").agg(F.max("buckets").alias("buckets")))
     entries = signed.select("rep", F.explode("buckets").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(entries.join(shared, "bucket"))
+    members = entries.join(shared.hint("merge"), "bucket")
     # How much of the corpus a text is a candidate for: the original of a group is a candidate for most copies.
-    weight = members.groupBy("rep").agg(F.sum("n").alias("w"))
-    members = cut(members.join(weight, "rep").select("bucket", "rep", "w"))
+    of_text = F.collect_list("bucket").alias("buckets")
+    texts_in = cut(members.groupBy("rep").agg(of_text, F.sum("n").alias("w")))
+    members = texts_in.select(F.explode("buckets").alias("bucket"), "rep", "w")
     # The texts that have a candidate, once each.
-    some = cut(members.select("rep").distinct())
-    texts = cut(src.groupBy("rep").agg(F.first("body").alias("body")).join(some, "rep"))
-    labels = cut(signed.select("rep", F.col("rep").alias("label")))
+    texts = cut(src.groupBy("rep").agg(F.first("body").alias("body")).join(texts_in.select("rep").hint("merge"), "rep"))
+    # Texts without a candidate are classes of their own; they come back at the end.
+    labels = texts_in.select("rep", F.col("rep").alias("label"))
     ta, tb = texts.select(F.col("rep").alias("a"), F.col("body").alias("body_a")), texts.select(F.col("rep").alias("b"), F.col("body").alias("body_b"))
     waiting = members.select("bucket", "rep", "w", F.lit(False).alias("led"))
     for turn in range(LEADERS + 1):
-        at = waiting.join(labels, "rep")
+        at = waiting.join(labels.hint("merge"), "rep")
         leads = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"), F.max(F.when(~F.col("led"), F.struct("w", "rep", "label"))).alias("lead"))
         leads = cut(leads.where("l0 <> l1 AND lead IS NOT NULL").select("bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.label").alias("lead_label")))
         if leads.isEmpty():
             break
-        met = at.join(leads, "bucket")
+        met = at.join(leads.hint("merge"), "bucket")
         if turn < LEADERS:
             pairs = met.where(F.col("label") != F.col("lead_label")).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
             waiting = cut(met.select("bucket", "rep", "w", (F.col("led") | (F.col("rep") == F.col("lead"))).alias("led")))
         else:
             few = cut(met.where(F.col("n") <= SMALL).select("bucket", "rep", "label"))
             other = few.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = few.join(other, "bucket").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b")
+            pairs = few.join(other.hint("merge"), "bucket").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b")
             many = cut(met.where((F.col("n") > SMALL) & ~F.col("led")).select("rep", "label").distinct())
             if not many.isEmpty():
-                pairs = pairs.union(_prefix_pairs(many.join(texts, "rep"), idf, words, threshold))
-        both = pairs.distinct().join(ta, "a").join(tb, "b").select("a", "b", "body_a", "body_b").sortWithinPartitions("b")
+                pairs = pairs.union(_prefix_pairs(many.join(texts.hint("merge"), "rep"), idf, words, threshold))
+        both = pairs.distinct().join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "body_a", "body_b").sortWithinPartitions("b")
         links = cut(both.mapInArrow(_verify(idf, words, threshold), "a binary, b binary, link boolean").where("link").select("a", "b"))
         if not links.isEmpty():
             labels = cut(join_classes(labels, links))
-    return labels.withColumnRenamed("rep", "key"), key
+    own = signed.select("rep").join(labels.hint("merge"), "rep", "left").select(F.col("rep").alias("key"), F.coalesce("label", "rep").alias("label"))
+    return cut(own), key
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -302,9 +295,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     labels, key = near_duplicates(docs, text_col, **how)
     keyed = docs.select(F.col(id_col).alias("id"), key.alias("key"))
-    placed = keyed.join(labels, "key").select("id", "label")
+    placed = keyed.join(labels.hint("merge"), "key").select("id", "label")
     sizes = cut(placed.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
-    return cut(placed).join(sizes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
+    return cut(placed).join(sizes.hint("merge"), "label").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -314,9 +307,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     k, label, first = (fresh(docs, x) for x in ("_key", "_label", "_first"))
     keyed = docs.withColumn(k, key)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(k))
-    first_of = cut(keyed.join(labels.select(F.col("key").alias(k), F.col("label").alias(label)), k).groupBy(label).agg(F.min(order).alias(first)))
+    first_of = cut(keyed.join(labels.select(F.col("key").alias(k), F.col("label").alias(label)).hint("merge"), k).groupBy(label).agg(F.min(order).alias(first)))
     chosen = first_of.select(F.col(f"{first}.{id_col}").alias("chosen_id"), F.col(f"{first}.{k}").alias("chosen_key"))
-    hit = keyed.join(chosen, (F.col(k) == F.col("chosen_key")) & F.col(id_col).eqNullSafe(F.col("chosen_id")), "left_semi")
+    hit = keyed.join(chosen.hint("merge"), (F.col(k) == F.col("chosen_key")) & F.col(id_col).eqNullSafe(F.col("chosen_id")), "left_semi")
     return hit.dropDuplicates([id_col, k]).select(*docs.columns)
 
 
