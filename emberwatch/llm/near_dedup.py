@@ -122,7 +122,7 @@ class Sampler:
         """A 64-bit value for each sample."""
         logw = np.log(weights).astype(np.float32)
         out = np.empty(len(self.keys), np.uint64)
-        low16 = np.uint64(_LEVELS - 1)
+        low16, plain = np.uint64(_LEVELS - 1), not logw.any()
         for k, key in enumerate(self.keys):
             x = h * key
             x ^= x >> np.uint64(31)
@@ -131,10 +131,12 @@ class Sampler:
             j = ((x >> np.uint64(32)) & low16).astype(np.int32)
             b = ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24)
             r = self.r[i]
-            t = np.floor(logw * self.inv[i] + b)
-            a = self.logc[j] - r * (t + 1 - b)
-            best = int(a.argmin())
-            out[k] = int(h[best]) ^ ((int(t[best]) * 0x9E3779B97F4A7C15) & (2**64 - 1))
+            if plain:  # all weights are 1, so t is 0
+                best, t = int((self.logc[j] - r * (1 - b)).argmin()), None
+            else:
+                t = np.floor(logw * self.inv[i] + b)
+                best = int((self.logc[j] - r * (t + 1 - b)).argmin())
+            out[k] = int(h[best]) ^ ((int(t[best]) * 0x9E3779B97F4A7C15) & (2**64 - 1)) if t is not None else int(h[best])
         return out
 
 
@@ -195,20 +197,25 @@ def _prefix_pairs(texts: DataFrame, idf: np.ndarray, words: int, threshold: floa
 
     def explode(batches):
         for batch in batches:
-            for rep, label, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for rep, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, c = shingles(body, words)
                 w = c * idf[(h & np.uint64(DF_SLOTS - 1)).astype(np.int64)].astype(np.float64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([rep] * n, pa.binary()), pa.array([label] * n, pa.binary()), pa.array(h.view(np.int64)), pa.array(w)], ["rep", "label", "h", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([rep] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(w)], ["rep", "h", "w"])
 
-    rows = cut(texts.select("rep", "label", "body").mapInArrow(explode, "rep binary, label binary, h long, w double"))
-    seen = cut(rows.groupBy("h").agg(F.count("*").alias("df")))
+    rows = texts.select("rep", "body").mapInArrow(explode, "rep binary, h long, w double")
+    shared = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = rows.join(shared.hint("merge"), "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     first = Window.partitionBy("rep").orderBy("df", "h")
     before = F.coalesce(F.sum("w").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = rows.join(seen.hint("merge"), "h").withColumns({"before": before, "total": F.sum("w").over(Window.partitionBy("rep"))})
-    prefix = cut(ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-9).where("df > 1").select("h", "rep", "label"))
-    other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return prefix.join(other.hint("merge"), "h").where("rep < b AND label <> lb").select(F.col("rep").alias("a"), "b").distinct()
+    ranked = ranked.withColumns({"before": before, "total": F.sum("w").over(Window.partitionBy("rep"))})
+    prefix = ranked.where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-9).where("df > 1").select("h", "rep", "before", "total")
+    prefix = cut(prefix.join(texts.select("rep", "label").hint("merge"), "rep"))
+    other = prefix.select("h", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("before").alias("before_b"), F.col("total").alias("total_b"))
+    # At the first shingle that both share, all that they can share stands behind it; so a pair that can reach the
+    # threshold passes there, and most others pass nowhere.
+    reach = F.least(F.col("total") - F.col("before"), F.col("total_b") - F.col("before_b")) >= threshold / (1 + threshold) * (F.col("total") + F.col("total_b")) - 1e-9
+    pairs = prefix.join(other.hint("merge"), (prefix["h"] == other["h"]) & (F.col("rep") < F.col("b")) & (F.col("label") != F.col("lb")) & reach)
+    return pairs.select(F.col("rep").alias("a"), "b").distinct()
 
 
 def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
