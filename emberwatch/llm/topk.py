@@ -66,7 +66,7 @@ def _run(k: int, resolve: bool):
                 out = [[], [], []]
                 for j in range(len(qid)):
                     if resolve:
-                        enough = np.zeros(len(cid), bool)
+                        enough = np.full(len(cid), cutoff[j] == _LOW)  # fewer rows than k: all are wanted
                         for p in parts:
                             enough |= p[j] * lists >= cutoff[j]
                         at = np.flatnonzero(enough & (cid != qid[j]))
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
 
     gathered = phase(queries, ["id", "vec"], resolve=False)
     cutoffs = cut(gathered.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")))
-    asked = queries.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce(F.col("cutoff").cast("double"), F.lit(-float("inf"))))
+    asked = queries.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_LOW)))
     return phase(asked, ["id", "vec", "cutoff"], resolve=True).select("query_id", "rank", "vec_id", "score")
 
 
