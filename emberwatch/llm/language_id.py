@@ -164,7 +164,13 @@ def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) ->
     """The network for (order, lang, body), fitted on the driver on a sample of bounded size: `docs_per_lang` documents
     of each language, those of least hash, WINDOWS_PER_DOC windows of T bytes each."""
     has_letter = labelled.where(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}"))
-    few = has_letter.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("order"), "order"))).where(F.col("r") <= docs_per_lang)
+    # Of a frequent language only the hashes below a bound are ranked, so that what is shuffled doesn't follow the corpus.
+    h, most = F.xxhash64("order"), F.lit(None).cast("long")
+    for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().collect():  # a row a language
+        share = min(1.0, 8 * docs_per_lang / r["count"])
+        most = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 2049)))).otherwise(most)
+    near = has_letter.where(h <= most)
+    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "order"))).where(F.col("r") <= docs_per_lang)
     rows = few.select("lang", "body").mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"])
     langs = sorted(set(rows["lang"]))
     net = Network(max(1, len(langs)))
