@@ -216,7 +216,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = src.withColumn("ord", F.coalesce("id", F.lit(_LAST)))
     parts = shuffle_parts(spark)
     cuts = src.select(F.percentile_approx("ord", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"] or []
-    splits = [-float("inf"), *sorted({float(x) for x in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({float(x) for x in cuts} or {0.0}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="at", outputCol="b").transform(src.withColumn("at", F.col("ord").cast("double"))).withColumn("bucket", F.col("b").cast("int"))
     ranged = ranged.select("bucket", F.lit(False).alias("guard"), "id", "body", "ord")
     firsts = sorted(ranged.groupBy("bucket").agg(F.min("ord").alias("least")).collect())
