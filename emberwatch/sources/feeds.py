@@ -83,9 +83,11 @@ def read_epss(spark: SparkSession, path: str) -> DataFrame:
     line of fewer columns or without numbers fails; the last line of a vulnerability counts."""
     l = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
     l = l.where("line <> '' AND NOT startswith(line, '#')").withColumn("c", F.transform(F.split("line", ","), F.trim)).where(F.lower(F.get("c", 0)) != "cve")
-    number = lambda k: F.coalesce(F.get("c", k).try_cast("double"), F.raise_error(F.concat(F.lit("not a score line: "), F.col("line"))).cast("double"))
-    r = l.select("n", F.get("c", 0).alias("vuln_id"), number(1).alias("epss"), number(2).alias("percentile"))
-    return r.groupBy("vuln_id").agg(F.max_by("epss", "n").cast("float").alias("epss"), F.max_by("percentile", "n").cast("float").alias("percentile"))
+    value = lambda k: F.get("c", k).try_cast("double")
+    bad = value(1).isNull() | value(2).isNull()
+    name = F.when(bad, F.raise_error(F.concat(F.lit("not a score line: "), F.col("line"))).cast("string")).otherwise(F.get("c", 0))
+    r = l.select(name.alias("vuln_id"), F.struct("n", value(1).alias("epss"), value(2).alias("percentile")).alias("v"))
+    return r.groupBy("vuln_id").agg(F.max("v").alias("v")).select("vuln_id", F.col("v.epss").cast("float").alias("epss"), F.col("v.percentile").cast("float").alias("percentile"))
 
 
 def read_kev(spark: SparkSession, path: str) -> DataFrame:
