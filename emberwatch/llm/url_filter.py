@@ -14,8 +14,8 @@ from emberwatch.llm.line_dedup import LOWER, UPPER
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Characters of the longest gram (context and next character).
 ORDER = 5
-#: Slots of the model's table, which is of this size whatever the corpus.
-SLOTS = 1 << 17
+#: Grams with this part of all characters or more are broadcast.
+HOT = 5000
 #: Calibration: scores are counted in steps of 1 / STEPS, between -REACH and REACH.
 STEPS, REACH = 100, 2.0
 START = "\x02"
@@ -35,65 +35,66 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def _grams(text: Column) -> Column:
-    """For each character, the grams that end with it, of 1 to ORDER characters. Long texts cost in proportion."""
+def _windows(text: Column) -> Column:
+    """For each character, the gram of ORDER characters that ends with it. Long texts cost in proportion."""
     chars = F.concat(F.array_repeat(F.lit(START), ORDER - 1), F.filter(F.split(text, ""), lambda c: c != ""))
     at = F.when(F.size(chars) >= ORDER, F.sequence(F.lit(ORDER), F.size(chars))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array(*[F.array_join(F.slice(chars, i - n + 1, n), "") for n in range(1, ORDER + 1)]))
+    return F.transform(at, lambda i: F.array_join(F.slice(chars, i - ORDER + 1, ORDER), ""))
 
 
-def train(labelled: DataFrame) -> DataFrame:
-    """Log ratios by gram, from (body, good): Witten-Bell models of the accepted and of the rejected texts.
+def levels(texts: DataFrame) -> list[DataFrame]:
+    """(g, n, v) by length of the gram, from (body, good): how often the gram occurs in the texts, and the log ratio of
+    the Witten-Bell models of the accepted and of the rejected texts. Texts whose `good` is null train neither model,
+    but their grams get a row as well.
 
     P(x | c) = (N(cx) + T(c) P(x | c')) / (N(c) + T(c)), with T(c) the kinds of characters seen after c and c' the
     context without its first character; below the empty context every character seen is as likely as another.
     """
-    grams = labelled.select("good", F.explode(F.flatten(_grams(F.col("body")))).alias("g"))
-    counts = cut(grams.groupBy("g").agg(F.count_if("good").cast("double").alias("n1"), F.count_if(~F.col("good")).cast("double").alias("n0")).withColumn("k", F.length("g")))
+    ends = texts.select("good", F.explode(_windows(F.col("body"))).alias("w"))
+    ends = ends.groupBy("w").agg(F.count_if("good").cast("double").alias("n1"), F.count_if(~F.col("good")).cast("double").alias("n0"), F.count("*").alias("n"))
+    suffixes = F.array(*[F.expr(f"substring(w, {ORDER - k + 1})") for k in range(1, ORDER + 1)])
+    grams = ends.select("n1", "n0", "n", F.explode(suffixes).alias("g"))
+    counts = cut(grams.groupBy("g").agg(*[F.sum(n).alias(n) for n in ("n1", "n0", "n")]).withColumn("k", F.length("g")))
     context = F.expr("substring(g, 1, k - 1)")
     stats = counts.groupBy(context.alias("c"), F.col("k").alias("ck")).agg(*[f for y in "01" for f in (F.sum(f"n{y}").alias(f"s{y}"), F.count_if(F.col(f"n{y}") > 0).cast("double").alias(f"t{y}"))])
     joined = counts.join(stats, (context == F.col("c")) & (F.col("k") == F.col("ck")))
-    kinds = F.greatest(F.lit(1), F.lit(counts.where("k = 1").count()))
+    trained = F.col("n0") + F.col("n1") > 0
+    kinds = F.greatest(F.lit(1), F.lit(counts.where((F.col("k") == 1) & trained).count()))
     below, out = None, []
     for k in range(1, ORDER + 1):
         level = joined.where(F.col("k") == k)
         if below is None:
-            level = level.withColumns({f"b{y}": 1.0 / kinds for y in "01"})
+            level = level.withColumns({f"b{y}": 1.0 / kinds for y in "01"} | {"bv": F.lit(0.0)})
         else:
             level = level.withColumn("suffix", F.expr("substring(g, 2)")).join(below, "suffix")
         p = {f"p{y}": F.when(F.col(f"s{y}") > 0, (F.col(f"n{y}") + F.col(f"t{y}") * F.col(f"b{y}")) / (F.col(f"s{y}") + F.col(f"t{y}"))).otherwise(F.col(f"b{y}")) for y in "01"}
-        level = level.withColumns(p)
-        out.append(level.select("g", (F.col("n0") + F.col("n1")).alias("n"), (F.log("p1") - F.log("p0")).alias("v")))
-        below = level.select(F.col("g").alias("suffix"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
+        # A gram that no labelled text has leaves its character to the shorter gram.
+        level = level.withColumns(p).withColumn("v", F.when(trained, F.log("p1") - F.log("p0")).otherwise(F.col("bv")))
+        out.append(level.select("g", "n", "v"))
+        below = level.select(F.col("g").alias("suffix"), F.col("p0").alias("b0"), F.col("p1").alias("b1"), F.col("v").alias("bv"))
+    return out
 
 
-def pack(model: DataFrame) -> DataFrame:
-    """The model as one row: an array by slot of (hash of the gram, ratio). Of grams that share a slot, the most
-    frequent one stays; the others leave their texts to the shorter gram."""
-    keyed = model.withColumn("h", F.xxhash64("g"))
-    best = keyed.groupBy(_slot(F.col("h")).alias("slot")).agg(F.max_by(F.struct("h", "v"), F.struct("n", "h")).alias("e"))
-    all_slots = keyed.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    return all_slots.join(best, "slot", "left").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "e"))), lambda x: x["e"]).alias("model"))
-
+def train(labelled: DataFrame) -> DataFrame:
+    """The log ratios of all grams of (body, good), of 1 to ORDER characters. See `levels`."""
+    return reduce(DataFrame.unionByName, levels(labelled))
 
-def score(texts: DataFrame, model: Column, body: str = "body") -> DataFrame:
-    """`texts` with `score`: the mean over the characters of `body` of the ratio of the longest gram that the model
-    holds; 0 for an empty text. The characters of a row stay in its task, where they are added up before the shuffle."""
 
-    def held(k: int) -> Column:
-        e = F.get(model, _slot(F.col(f"h{k}")))
-        return F.when(e["h"] == F.col(f"h{k}"), e["v"])
+def score(texts: DataFrame, model: DataFrame, body: str = "body") -> DataFrame:
+    """`texts`, which `row` identifies, with `score`: the mean over the characters of `body` of the model's ratios; 0 for
+    an empty text. `model` is the last of the `levels` of a corpus that holds the texts, cut.
 
-    keys = [*texts.columns, "row"]
-    chars = texts.withColumn("row", F.monotonically_increasing_id()).select(*keys, F.explode_outer(_grams(F.col(body))).alias("g"))
-    chars = chars.select(*keys, F.col("g").isNotNull().alias("any"), *[F.xxhash64(F.get("g", k)).alias(f"h{k}") for k in range(ORDER)])
-    ratio = F.when(F.col("any"), F.coalesce(*[held(k) for k in reversed(range(ORDER))], F.lit(0.0)))
-    return chars.select(*keys, ratio.alias("v")).groupBy(*keys).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("score")).drop("row")
+    Characters meet their grams by a join. Grams with a share of 1 / HOT of all characters or more, which are HOT of
+    them at most, are broadcast and their characters stay in the task; so no key of the shuffle has more than that.
+    """
+    total = model.agg(F.sum("n")).scalar()
+    is_hot = F.col("n") * HOT >= total
+    ends = texts.select("row", F.explode(_windows(F.col(body))).alias("g"))
+    ends = ends.join(F.broadcast(model.where(is_hot).select("g", "v")), "g", "left")
+    hot = ends.where(F.col("v").isNotNull()).select("row", "v")
+    rest = ends.where(F.col("v").isNull()).select("row", "g").join(model.where(~is_hot).select("g", "v"), "g").select("row", "v")
+    means = hot.unionByName(rest).groupBy("row").agg(F.avg("v").alias("score"))
+    return texts.join(means, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
@@ -119,19 +120,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_
 
     Null or empty url: host and path empty, score 0. Null ids and repeated rows are kept as they are; repeated urls
     count as often as they occur. With no labelled url of one class, all that no rule fits is allowed. No rows: no
-    rows. Other columns are not read. Scoring reads the model as a constant of fixed size and shuffles nothing.
+    rows. Other columns are not read. The model has a row for each gram of the urls, and grows with them.
     """
     host, path = host_path(F.col("url"))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)\A.*?://", "")
-    src = src.withColumns({"rule": rule, "ruled": verdict, "body": F.translate(rest, UPPER, LOWER)})
-    labelled = src.where(F.col("ruled").isNotNull()).select("url", "body", (F.col("ruled") == "allow").alias("good"))
-    fold = F.crc32("url") % 5 == 0
-    model = cut(pack(train(labelled.where(~fold)))).scalar()
-    held_out = score(labelled.where(fold).select("good", "body"), model)
-    threshold = cut(calibrate(held_out)).scalar()
-    judged = score(src.drop("url"), model)
+    src = src.withColumns({"rule": rule, "ruled": verdict, "body": F.translate(rest, UPPER, LOWER), "held_out": F.crc32("url") % 5 == 0})
+    src = cut(src.drop("url").withColumn("row", F.monotonically_increasing_id()))
+    good = F.col("ruled") == "allow"
+    model = cut(levels(src.select("body", F.when(~F.col("held_out"), good).alias("good")))[-1])
+    judged = cut(score(src, model).drop("body", "row"))
+    labelled = judged.where(F.col("held_out") & F.col("ruled").isNotNull()).select("score", good.alias("good"))
+    threshold = cut(calibrate(labelled)).scalar()
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 

@@ -121,6 +121,22 @@ def test_url_model_is_witten_bell(spark):
         assert v == pytest.approx(math.log(p(True, g)) - math.log(p(False, g)))
 
 
+def test_url_model_keeps_every_gram(spark):
+    """More distinct grams than a table of 131,072 slots can hold; each is scored by its own value."""
+    rng = random.Random(3)
+    texts = [("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30)), k % 2 == 0) for k in range(5000)]
+    src = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "row long, body string, good boolean")
+    model = url_filter.cut(url_filter.levels(src)[-1])
+    seen = {(url_filter.START * (url_filter.ORDER - 1) + t)[i : i + url_filter.ORDER] for t, _ in texts for i in range(len(t))}
+    values = {r["g"]: r["v"] for r in model.collect()}
+    assert len(seen) > 140_000 and set(values) == seen
+    got = {r["row"]: r["score"] for r in url_filter.score(src, model).collect()}
+    for k, (t, good) in enumerate(texts):
+        padded = url_filter.START * (url_filter.ORDER - 1) + t
+        assert got[k] == pytest.approx(sum(values[padded[i : i + url_filter.ORDER]] for i in range(len(t))) / len(t))
+        assert (got[k] > 0) == good
+
+
 # Language
 
 
