@@ -48,7 +48,8 @@ def levels(texts: DataFrame) -> list[DataFrame]:
     but their grams get a row as well.
 
     P(x | c) = (N(cx) + T(c) P(x | c')) / (N(c) + T(c)), with T(c) the kinds of characters seen after c and c' the
-    context without its first character; below the empty context every character seen is as likely as another.
+    context without its first character; below the empty context every character is as likely as another. A gram that a
+    class lacks has N(cx) = 0 there: the shorter gram's P times the weight of the context's escape, T / (N + T).
     """
     ends = texts.select("good", F.explode(_windows(F.col("body"))).alias("w"))
     ends = ends.groupBy("w").agg(F.count_if("good").cast("double").alias("n1"), F.count_if(~F.col("good")).cast("double").alias("n0"), F.count("*").alias("n"))
@@ -58,20 +59,18 @@ def levels(texts: DataFrame) -> list[DataFrame]:
     context = F.expr("substring(g, 1, k - 1)")
     stats = counts.groupBy(context.alias("c"), F.col("k").alias("ck")).agg(*[f for y in "01" for f in (F.sum(f"n{y}").alias(f"s{y}"), F.count_if(F.col(f"n{y}") > 0).cast("double").alias(f"t{y}"))])
     joined = counts.join(stats, (context == F.col("c")) & (F.col("k") == F.col("ck")))
-    trained = F.col("n0") + F.col("n1") > 0
-    kinds = F.greatest(F.lit(1), F.lit(counts.where((F.col("k") == 1) & trained).count()))
+    kinds = F.greatest(F.lit(1), F.lit(counts.where("k = 1 AND n0 + n1 > 0").count()))
     below, out = None, []
     for k in range(1, ORDER + 1):
         level = joined.where(F.col("k") == k)
         if below is None:
-            level = level.withColumns({f"b{y}": 1.0 / kinds for y in "01"} | {"bv": F.lit(0.0)})
+            level = level.withColumns({f"b{y}": 1.0 / kinds for y in "01"})
         else:
             level = level.withColumn("suffix", F.expr("substring(g, 2)")).join(below, "suffix")
         p = {f"p{y}": F.when(F.col(f"s{y}") > 0, (F.col(f"n{y}") + F.col(f"t{y}") * F.col(f"b{y}")) / (F.col(f"s{y}") + F.col(f"t{y}"))).otherwise(F.col(f"b{y}")) for y in "01"}
-        # A gram that no labelled text has leaves its character to the shorter gram.
-        level = level.withColumns(p).withColumn("v", F.when(trained, F.log("p1") - F.log("p0")).otherwise(F.col("bv")))
-        out.append(level.select("g", "n", "v"))
-        below = level.select(F.col("g").alias("suffix"), F.col("p0").alias("b0"), F.col("p1").alias("b1"), F.col("v").alias("bv"))
+        level = level.withColumns(p)
+        out.append(level.select("g", "n", (F.log("p1") - F.log("p0")).alias("v")))
+        below = level.select(F.col("g").alias("suffix"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
     return out
 
 

@@ -137,6 +137,33 @@ def test_url_model_keeps_every_gram(spark):
         assert (got[k] > 0) == good
 
 
+def test_url_score_is_witten_bell(spark):
+    """Scores of texts with grams and characters that one model or both lack, against hand-written recursion."""
+    texts = [("abab", True), ("abc", True), ("abcab", True), ("bba", False), ("cab", False), ("abd", None), ("ccc", None), ("bab\u00e9", None), ("zz", None), ("", None)]
+    src = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "row long, body string, good boolean")
+    got = {r["row"]: r["score"] for r in url_filter.score(src, url_filter.cut(url_filter.levels(src)[-1])).collect()}
+    counts, start = {True: defaultdict(int), False: defaultdict(int)}, url_filter.START
+
+    def ends(t):
+        padded = start * (url_filter.ORDER - 1) + t
+        return [padded[i : i + url_filter.ORDER] for i in range(len(t))]
+
+    for t, y in texts:
+        for g in ends(t) if y is not None else []:
+            for n in range(1, url_filter.ORDER + 1):
+                counts[y][g[-n:]] += 1
+    kinds = len({g for y in counts for g in counts[y] if len(g) == 1})
+
+    def p(y, g):
+        lower = p(y, g[1:]) if len(g) > 1 else 1 / kinds
+        seen = [c for h, c in counts[y].items() if len(h) == len(g) and h[:-1] == g[:-1]]
+        return (counts[y].get(g, 0) + len(seen) * lower) / (sum(seen) + len(seen)) if seen else lower
+
+    for k, (t, _) in enumerate(texts):
+        want = [math.log(p(True, g)) - math.log(p(False, g)) for g in ends(t)]
+        assert got[k] == pytest.approx(sum(want) / len(want) if want else 0.0), t
+
+
 # Language
 
 
