@@ -67,11 +67,30 @@ def latency_by_class(cases: DataFrame, captures: DataFrame, records: DataFrame)
     even count is the whole-number mean of the middle two; the percentile is the value at round(0.95 (n - 1))."""
     j = cases.where("want_rule IS NOT NULL").join(captures, "case_id").join(records, "case_id").where("class_uid = want_class").where(F.array_contains("rules", F.col("want_rule")) & F.col("time").isNotNull())
     one = j.groupBy("case_id", "want_class").agg(F.min(F.greatest(F.col("time") - F.col("trigger"), F.lit(0))).alias("ms"))
-    g = one.groupBy(F.col("want_class").alias("class_uid")).agg(F.sort_array(F.collect_list("ms")).alias("v"))
-    n = F.size("v")
-    at = lambda i: F.element_at("v", i.cast("int"))
-    median = F.when(n % 2 == 1, at(F.floor(n / 2) + 1)).otherwise(((at(F.floor(n / 2)) + at(F.floor(n / 2) + 1)) / 2).cast("long"))
-    return g.select("class_uid", n.alias("n"), median.alias("median_ms"), at(F.round(F.lit(0.95) * (n - 1)) + 1).alias("p95_ms"))
+    counts = one.groupBy(F.col("want_class").alias("class_uid"), "ms").agg(F.count("*").alias("cases")).checkpoint()
+    n = counts.groupBy("class_uid").agg(F.sum("cases").alias("n"))
+    ranks = F.create_map(F.lit("lower"), F.expr("(n - 1) div 2"), F.lit("upper"), F.expr("n div 2"), F.lit("p95"), F.round(F.lit(0.95) * (F.col("n") - 1)).cast("long"))
+    at = values_at(counts, n.select("class_uid", F.explode(ranks).alias("which", "rank")))
+    pick = lambda which: F.max(F.when(F.col("which") == which, F.col("ms")))
+    g = at.groupBy("class_uid").agg(*[pick(w).alias(w) for w in ("lower", "upper", "p95")]).join(n, "class_uid")
+    return g.select("class_uid", F.col("n").cast("int").alias("n"), F.expr("lower + (upper - lower) div 2").alias("median_ms"), F.col("p95").alias("p95_ms"))
+
+
+def values_at(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class_uid, which, ms): the value at each rank, from 0, of `wanted` (class_uid, which, rank; a few rows a class).
+
+    `counts`: class_uid, ms (not negative), cases. The value is found by 16 bits a round, from the upper ones on: values
+    that agree with it so far are counted by their next bits, so a running sum is over 65,536 rows at most.
+    """
+    found = wanted.withColumn("known", F.lit(0).cast("long"))
+    for shift in (48, 32, 16, 0):
+        known = F.lit(0).cast("long") if shift == 48 else F.shiftright("ms", shift + 16)
+        at = counts.select("class_uid", known.alias("known"), F.shiftright("ms", shift).alias("next"), "cases")
+        at = at.join(F.broadcast(found), ["class_uid", "known"]).groupBy("class_uid", "which", "rank", "next").agg(F.sum("cases").alias("cases"))
+        upto = F.sum("cases").over(Window.partitionBy("class_uid", "which").orderBy("next").rowsBetween(Window.unboundedPreceding, 0))
+        at = at.withColumn("before", upto - F.col("cases")).where(F.col("rank").between(F.col("before"), F.col("before") + F.col("cases") - 1))
+        found = at.select("class_uid", "which", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("known"))
+    return found.select("class_uid", "which", F.col("known").alias("ms"))
 
 
 def violations(envelope: DataFrame) -> DataFrame:
