@@ -351,3 +351,13 @@ def test_pipeline(spark, sf):
     spans = packed.groupBy("doc_id").agg(F.sum("length").alias("n"))
     third = c.STAGES[2][1](spark, c.STAGES[1][1](spark, c.STAGES[0][1](spark, docs, sf), sf), sf).select("doc_id", F.length("text").cast("long").alias("n"))
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, third.collect()))
+
+
+def test_pipeline_without_labels(spark):
+    """With no usable label nothing is learned; documents with letters stay."""
+    import corpus_pipeline as c
+
+    rows = [(1, "A clean document.", None), (2, "Ein Text", None), (3, "12 34 !?", None), (4, "", None), (5, None, None), (6, "\u00e9", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = c.keep_known_languages(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 6]
