@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import STRIP, cut, table
+from emberwatch.llm.common import STRIP, cut, let, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,11 +25,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop lines that at least `min_docs` documents hold, except in the holder with the largest id.
 
     Returns the columns of `docs` with the text replaced, and `n_lines` (before) and `n_dropped` (longs; they
-    replace columns of those names). Only keys of `min_chars` code points or more count. Every row is a document.
+    replace columns of those names). Only keys of `min_chars` code points or more count.
 
-    Null or empty text: one empty line, which stays. Null ids: never the largest; where all holders have none,
-    all keep the line. Repeated rows count each as a document; those that tie for the largest id all keep the
-    line. No rows: no rows. Other columns pass through, whatever their names.
+    Null or empty text: one empty line, which stays. Rows of the same id are one document; those that tie for the
+    largest id all keep the line. Rows of null id are a document each, and never the largest; where all holders have
+    none, all keep the line. No rows: no rows. Other columns pass through, whatever their names. A text costs time in
+    proportion to its length.
 
     The counts shuffle a 16-byte hash a line and combine map-side, so a line of every document is no hot spot;
     the hits join meets checkpointed keys, which lets adaptive execution split a hot line. Whole texts are
@@ -44,9 +45,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("body", "\n", -1)
 
     keys = F.transform(lines, line_key)
-    once = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hash))
-    counts = base.select("id", F.explode(once).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-    common = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"))
+    # Distinct over strings takes a hash set; over binaries every element would meet every other.
+    once = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), F.md5))
+    held = base.select("id", F.explode(once).alias("hex")).select("id", F.unhex("hex").alias("key"))
+    counts = held.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+    common = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper", "n"))
+    repeated = cut(base.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    if not repeated.isEmpty():  # what the rows of an id count too much
+        again = held.join(repeated.hint("merge"), "id").groupBy("key", "id").agg((F.count("*") - 1).alias("more"))
+        again = again.groupBy("key").agg(F.sum("more").alias("more"))
+        common = cut(common.join(again.hint("merge"), "key", "left").where(F.col("n") - F.coalesce("more", F.lit(0)) >= min_docs).select("key", "keeper"))
+    common = common.select("key", "keeper")
 
     placed = base.select("id", "rk", F.posexplode(lines).alias("pos", "line")).select("id", "rk", "pos", line_key(F.col("line")).alias("k"))
     placed = placed.where(F.length("k") >= min_chars).select("id", "rk", "pos", _hash(F.col("k")).alias("key"))
@@ -57,8 +66,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set("pos").alias("drops"))
     )
     joined = base.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("rk") == F.col("hit_rk")), "left")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
-    kept = F.when(F.col("drops").isNull(), F.col("body")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
+    stays = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("drops"))
+    rest = let(lines, lambda all_lines: F.array_join(F.transform(stays(all_lines), lambda i: F.get(all_lines, i)), "\n"))
+    kept = F.when(F.col("drops").isNull(), F.col("body")).otherwise(rest)
     parts = {id_col: F.col("id"), text_col: kept} | {c: F.col(f"rest.`{c}`") for c in others}
     return joined.select(
         *[parts[c].alias(c) for c in docs.columns if c in parts],
