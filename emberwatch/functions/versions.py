@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Digits of a number's length: no string has a number that is longer.
+_DIGITS = 10
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "~") + " "
 _TO = "".join(chr(ord(c) + 256) for c in _PUNCT)
 
@@ -13,7 +15,7 @@ _TO = "".join(chr(ord(c) + 256) for c in _PUNCT)
 def _number(digits: Column) -> Column:
     """Length, then digits without leading zeros: longer numbers are greater."""
     bare = F.regexp_replace(digits, r"\A0+", "")
-    return F.concat(F.lpad(F.length(bare).cast("string"), 3, "0"), bare)
+    return F.concat(F.lpad(F.length(bare).cast("string"), _DIGITS, "0"), bare)
 
 
 def _epoch(version: Column) -> tuple[Column, Column]:
@@ -28,7 +30,7 @@ def _dpkg_fragment(text: Column) -> Column:
         return F.concat(F.translate(F.translate(F.regexp_extract(x, r"\A([^0-9]*)", 1), "~", "\x01"), _PUNCT, _TO), F.lit("\x02"), _number(F.regexp_extract(x, r"([0-9]*)\z", 1)))
 
     pairs = F.regexp_extract_all(text, F.lit(r"[^0-9]+[0-9]*|[0-9]+"), F.lit(0))
-    return F.concat(F.when(text == "", "\x02000").otherwise(F.array_join(F.transform(pairs, pair), "")), F.lit("\x02"))
+    return F.concat(F.when(text == "", "\x02" + "0" * _DIGITS).otherwise(F.array_join(F.transform(pairs, pair), "")), F.lit("\x02"))
 
 
 def dpkg_key(version: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import rules as R
+from emberwatch.sources.shared import cut
 
 # Fixed values, in ms: how long an exited process still explains an event, how long an event waits for a late exec, and
 # how far apart the halves of a chain may be.
@@ -60,13 +61,24 @@ def same_instance(image: Column, context_image: Column) -> Column:
     return (own == "") | (own == "unknown") | name.startswith(own)
 
 
+def flagged_path() -> Column:
+    """Whether an event's path is watched."""
+    return F.col("path").isNotNull() & R.watched(F.col("path"))
+
+
+def event_severity() -> Column:
+    """Severity of a connection, write or read by itself."""
+    connect, write, read = (F.col("kind") == k for k in ("NetConnect", "FileWrite", "FileOpen"))
+    hit = lambda writes: F.size(R.file_hits(F.col("path"), F.lit(writes))) > 0
+    return F.when(connect, R.network_severity(F.col("daddr"), F.col("dport"))).when(write & flagged_path(), F.when(hit(True), 4).otherwise(1)).when(read & flagged_path(), F.when(hit(False), 3).otherwise(1)).otherwise(1)
+
+
 def correlated(events: DataFrame) -> DataFrame:
     """Connections, watched writes and sensitive reads with their process, severities and combined rule."""
     at = attribute(events, ["NetConnect", "FileWrite", "FileOpen"])
     process = F.when(F.col("ctx").isNull() | same_instance(F.col("image"), F.col("ctx.image")), F.col("ctx.image")).otherwise(F.col("image"))
     connect, write, read = (F.col("kind") == k for k in ("NetConnect", "FileWrite", "FileOpen"))
-    flagged = F.col("path").isNotNull() & R.watched(F.col("path"))
-    own = F.when(connect, R.network_severity(F.col("daddr"), F.col("dport"))).when(write & flagged, F.when(F.size(R.file_hits(F.col("path"), F.lit(True))) > 0, 4).otherwise(1)).when(read & flagged, F.when(F.size(R.file_hits(F.col("path"), F.lit(False))) > 0, 3).otherwise(1)).otherwise(1)
+    flagged, own = flagged_path(), event_severity()
     out = at.withColumns({"attributed": F.col("ctx").isNotNull(), "process": process, "event_severity": own.cast("short"), "exec_id": F.col("ctx.event_id")})
     out = out.withColumn("process_severity", F.when(F.col("attributed"), R.image_severity(F.col("process"))).otherwise(1).cast("short"))
     both = (F.col("process_severity") > 1) & (F.col("event_severity") > 1)
@@ -75,34 +87,59 @@ def correlated(events: DataFrame) -> DataFrame:
     return out.where(connect | (write & flagged) | (read & (F.col("event_severity") > 1) & F.col("attributed"))).drop("ctx")
 
 
-def chains(records: DataFrame, first_kind: str, rule: str, first_needs_rule: bool) -> DataFrame:
-    """Chains of a half of `first_kind` and a connection whose rule fired, of one process instance, less than CHAIN
-    apart in either order; once per epoch. An epoch ends where CHAIN or more passes between halves.
+#: Chains by name: the kind of the half that isn't a connection, the rule, and whether that half's own rule must have fired.
+CHAINS = {
+    "dropper": ("FileWrite", "suspicious_process_wrote_file_and_connected", True),
+    "exfil": ("FileOpen", "suspicious_process_read_sensitive_and_connected", False),
+}
 
-    Epochs are gaps and islands over the halves, so a chain is found by window aggregates, without a self-join."""
-    is_first = (F.col("kind") == first_kind) & (F.col("rule").isNotNull() if first_needs_rule else F.lit(True))
-    is_connect = (F.col("kind") == "NetConnect") & F.col("rule").isNotNull()
-    halves = records.where("attributed").where(is_first | is_connect)
-    w = Window.partitionBy("asset_id", "pid", "exec_id").orderBy("ts", "event_id")
+
+def chains(records: DataFrame, which: list[str] | None = None) -> DataFrame:
+    """Chains of a half of the first kind and a connection whose rule fired, of one process instance, less than CHAIN
+    apart in either order; once per epoch. An epoch ends where CHAIN or more passes between halves. `halves` has the
+    rules of both.
+
+    Epochs are gaps and islands over the halves, so a chain is found by window aggregates, without a self-join; a record
+    goes through them once for each kind of chain that it can be a half of, so all kinds are one pass."""
+    used = {name: CHAINS[name] for name in which or CHAINS}
+    fired = F.col("rule").isNotNull()
+    part_of = [F.when(((F.col("kind") == "NetConnect") & fired) | ((F.col("kind") == first) & (fired if needs else F.lit(True))), F.lit(name)) for name, (first, _, needs) in used.items()]
+    halves = records.where("attributed").withColumn("chain_of", F.explode(F.array_compact(F.array(*part_of))))
+    is_connect = F.col("kind") == "NetConnect"
+    w = Window.partitionBy("asset_id", "pid", "exec_id", "chain_of").orderBy("ts", "event_id")
     gap = F.col("ts") - F.lag("ts").over(w)
     halves = halves.withColumn("epoch", F.sum(F.when(gap >= CHAIN, 1).otherwise(0)).over(w))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    a = F.last(F.when(F.col("kind") == first_kind, F.struct("ts", "event_id", "path")), True).over(past)
-    b = F.last(F.when(F.col("kind") == "NetConnect", F.struct("ts", "event_id", "daddr", "dport")), True).over(past)
+    a = F.last(F.when(~is_connect, F.struct("ts", "event_id", "path", "rule")), True).over(past)
+    b = F.last(F.when(is_connect, F.struct("ts", "event_id", "daddr", "dport", "rule")), True).over(past)
     other = halves.withColumns({"a": a, "b": b})
-    ends = F.when((F.col("kind") == "NetConnect") & (F.col("ts") - F.col("a.ts") < CHAIN), F.struct(F.col("a.event_id").alias("first_id"), F.col("event_id").alias("connect_id"), F.col("a.path").alias("path"), "daddr", "dport"))
-    ends = ends.when((F.col("kind") == first_kind) & (F.col("ts") - F.col("b.ts") < CHAIN), F.struct(F.col("event_id").alias("first_id"), F.col("b.event_id").alias("connect_id"), "path", F.col("b.daddr").alias("daddr"), F.col("b.dport").alias("dport")))
+    rules = lambda x, y: F.array_compact(F.array(x, y)).alias("halves")
+    ends = F.when(is_connect & (F.col("ts") - F.col("a.ts") < CHAIN), F.struct(F.col("a.event_id").alias("first_id"), F.col("event_id").alias("connect_id"), F.col("a.path").alias("path"), "daddr", "dport", rules(F.col("a.rule"), F.col("rule"))))
+    ends = ends.when(~is_connect & (F.col("ts") - F.col("b.ts") < CHAIN), F.struct(F.col("event_id").alias("first_id"), F.col("b.event_id").alias("connect_id"), "path", F.col("b.daddr").alias("daddr"), F.col("b.dport").alias("dport"), rules(F.col("rule"), F.col("b.rule"))))
     found = other.withColumn("chain", ends).where("chain IS NOT NULL")
-    once = Window.partitionBy("asset_id", "pid", "exec_id", "epoch").orderBy("ts", "event_id")
-    return found.withColumn("r", F.row_number().over(once)).where("r = 1").select("asset_id", "pid", "exec_id", "ts", "process", "chain.*", F.lit(rule).alias("rule"))
+    once = Window.partitionBy("asset_id", "pid", "exec_id", "chain_of", "epoch").orderBy("ts", "event_id")
+    rule = F.lit(None).cast("string")
+    for name, (_, fires, _) in used.items():
+        rule = F.when(F.col("chain_of") == name, fires).otherwise(rule)
+    return found.withColumn("r", F.row_number().over(once)).where("r = 1").select("asset_id", "pid", "exec_id", "ts", "process", "chain.*", rule.alias("rule"))
 
 
 def dropper_chains(records: DataFrame) -> DataFrame:
-    return chains(records, "FileWrite", "suspicious_process_wrote_file_and_connected", first_needs_rule=True)
+    return chains(records, ["dropper"])
 
 
 def exfil_chains(records: DataFrame) -> DataFrame:
-    return chains(records, "FileOpen", "suspicious_process_read_sensitive_and_connected", first_needs_rule=False)
+    return chains(records, ["exfil"])
+
+
+def detections_of_chain(chain: DataFrame) -> DataFrame:
+    """Adds `hits`, the chain record's top-level detections (rule, reason): for an exfiltration the sensitive read's, the
+    connection's and the chain's, for a dropper the chain's rule alone."""
+    hit = lambda r, why: F.struct(r.alias("rule"), F.lit(why).alias("reason"))
+    own = F.array(hit(F.col("rule"), "both halves of one process, close together"))
+    read = hit(F.lit("read_of_sensitive_file"), "first half")
+    exfil = F.concat(F.array(read), F.transform("halves", lambda r: hit(r, "second half")), own)
+    return chain.withColumn("hits", F.when(F.col("rule") == CHAINS["exfil"][1], exfil).otherwise(own))
 
 
 def parent_execs(events: DataFrame) -> DataFrame:
@@ -119,17 +156,22 @@ def parent_execs(events: DataFrame) -> DataFrame:
     return both.select("asset_id", "event_id", "ts", "image", parent.alias("parent_id"))
 
 
-def ancestry(events: DataFrame, rounds: int = 20) -> DataFrame:
+def ancestry(events: DataFrame, rounds: int = 40) -> DataFrame:
     """Effective severity of each exec: the greatest of its own and all its ancestors'; `suspicious_ancestor` where the
     parent's effective one is above 1. Pointer jumping: a round doubles the distance, so the number of joins is the
-    logarithm of the deepest lineage. Rounds are cut by reliable checkpoints."""
+    logarithm of the deepest lineage. Rounds are cut by reliable checkpoints. More than `rounds` means a circle of
+    parents, which is an error."""
     base = parent_execs(events).withColumn("own", R.image_severity(F.col("image")))
-    state = base.select("asset_id", "event_id", F.col("own").alias("sev"), F.col("parent_id").alias("ptr")).checkpoint()
-    for _ in range(rounds):
+    state = base.select("asset_id", "event_id", F.col("own").alias("sev"), F.col("parent_id").alias("ptr"))
+    state = cut(state)
+    for k in range(rounds + 1):
         if state.where("ptr IS NOT NULL").isEmpty():
             break
+        if k == rounds:
+            raise ValueError(f"lineages don't end within 2^{rounds} parents")
         up = state.select("asset_id", F.col("event_id").alias("ptr"), F.col("sev").alias("up_sev"), F.col("ptr").alias("up_ptr"))
-        state = state.join(up, ["asset_id", "ptr"], "left").select("asset_id", "event_id", F.greatest("sev", F.coalesce("up_sev", F.lit(1))).cast("short").alias("sev"), F.col("up_ptr").alias("ptr")).checkpoint()
+        state = state.join(up, ["asset_id", "ptr"], "left").select("asset_id", "event_id", F.greatest("sev", F.coalesce("up_sev", F.lit(1))).cast("short").alias("sev"), F.col("up_ptr").alias("ptr"))
+        state = cut(state)
     parents = state.select("asset_id", F.col("event_id").alias("parent_id"), F.col("sev").alias("parent_sev"))
     out = base.join(state.select("asset_id", "event_id", "sev"), ["asset_id", "event_id"]).join(parents, ["asset_id", "parent_id"], "left")
     return out.select("asset_id", "event_id", "ts", "image", "parent_id", "own", F.col("sev").alias("effective"), (F.coalesce("parent_sev", F.lit(1)) > 1).alias("suspicious_ancestor"))

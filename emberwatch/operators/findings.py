@@ -93,16 +93,38 @@ def correlate(detections: DataFrame) -> DataFrame:
     return g.select(*IDENTITY, F.transform("p", lambda x: F.struct(x["source"].alias("source"), x["method"].alias("method"), x["confidence"].alias("confidence"))).alias("provenance"), F.get("p", 0)["remediation_key"].alias("remediation_key"))
 
 
+def fix_members(findings: DataFrame) -> DataFrame:
+    """Per remediation key a row for each distinct vulnerability and each distinct asset (kind, member), the long form of
+    group_by_fix() for fixes that touch very many hosts. Suppressed findings stay out."""
+    live = findings.where(F.col("status") != "suppressed")
+    both = F.array(F.struct(F.lit("closes").alias("kind"), F.col("vuln_id").alias("member")), F.struct(F.lit("asset").alias("kind"), F.col("asset_id").alias("member")))
+    return live.select("remediation_key", F.explode(both).alias("m")).select("remediation_key", "m.kind", "m.member").distinct()
+
+
 def group_by_fix(findings: DataFrame) -> DataFrame:
-    """Per remediation key: greatest risk, sorted distinct vulnerabilities and assets. Suppressed findings stay out."""
+    """Per remediation key: greatest risk, sorted distinct vulnerabilities and assets. Suppressed findings stay out. The
+    lists are part of a row by contract; sets are built in the tasks first. See fix_members() for the long form."""
     live = findings.where(F.col("status") != "suppressed")
     return live.groupBy("remediation_key").agg(F.max("risk").alias("risk"), F.array_sort(F.collect_set("vuln_id")).alias("closes"), F.array_sort(F.collect_set("asset_id")).alias("assets"))
 
 
 def fix_queue(findings: DataFrame) -> DataFrame:
-    """Fixes ranked by risk, then key, with counts. Counts are exact distinct ones over pre-aggregated keys."""
+    """Fixes with exact distinct counts, ranked by falling risk, then key (`queue_rank`, from 1). A key's findings are
+    first reduced to its distinct members, so that a fix of very many findings is spread by member."""
     live = findings.where(F.col("status") != "suppressed")
-    return live.groupBy("remediation_key").agg(F.max("risk").alias("risk"), F.countDistinct("vuln_id").alias("closes_count"), F.countDistinct("asset_id").alias("assets_count"), F.count("*").alias("findings"))
+    members = F.array(F.struct(F.lit(0).alias("kind"), F.col("vuln_id").alias("member")), F.struct(F.lit(1).alias("kind"), F.col("asset_id").alias("member")))
+    one = live.select("remediation_key", "risk", F.explode(members).alias("m")).groupBy("remediation_key", "m").agg(F.max("risk").alias("risk"), F.count("*").alias("n"))
+    kind = lambda k: F.col("m.kind") == k
+    g = one.groupBy("remediation_key").agg(F.max("risk").alias("risk"), F.count_if(kind(0)).alias("closes_count"), F.count_if(kind(1)).alias("assets_count"), F.sum(F.when(kind(0), F.col("n"))).alias("findings"))
+    return ranked(g)
+
+
+def ranked(fixes: DataFrame) -> DataFrame:
+    """By falling risk, then key, with `queue_rank`. There are few fixes: a row a remediation key."""
+    # Ranks are counted from the risks above (101 values), so only rows of equal risk are ordered among each other.
+    above = fixes.groupBy("risk").agg(F.count("*").alias("same")).withColumn("above", F.coalesce(F.sum("same").over(Window.orderBy(F.desc("risk")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("risk").orderBy("remediation_key"))
+    return fixes.join(above.drop("same"), "risk").withColumn("queue_rank", (F.col("above") + within).cast("long")).drop("above").select(*fixes.columns, "queue_rank").orderBy("queue_rank")
 
 
 def batch_time(envelopes: DataFrame) -> DataFrame:

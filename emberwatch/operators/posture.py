@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.findings import weighted_findings
+from emberwatch.sources.shared import if_few
 
 
 @dataclass(frozen=True)
@@ -82,15 +83,15 @@ def with_frameworks(results: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Adds `frameworks`, array of (framework, control_ids), from (control_id, framework, framework_control)."""
     inner = crosswalk.groupBy("control_id", "framework").agg(F.array_sort(F.collect_set("framework_control")).alias("control_ids"))
     outer = inner.groupBy("control_id").agg(F.array_sort(F.collect_list(F.struct("framework", "control_ids"))).alias("frameworks"))
-    return results.join(F.broadcast(outer), "control_id", "left")  # a row a control
+    return results.join(if_few(outer), "control_id", "left")  # a row a control
 
 
 def first_match(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries with the first row of each host that their selector finds, null where there is none; hosts without the
-    entry's table are left out. `entries` are few: they are broadcast."""
-    has = snapshots.select("asset_id", "table").distinct().join(F.broadcast(entries), "table")
+    entry's table are left out. `entries` are broadcast where they are few."""
+    has = snapshots.select("asset_id", "table").distinct().join(if_few(entries), "table")
     e = entries.select("entry_id", "table", "selector_field", "selector_value")
-    hit = snapshots.join(F.broadcast(e), "table").where(F.element_at("fields", F.col("selector_field")) == F.col("selector_value"))
+    hit = snapshots.join(if_few(e), "table").where(F.element_at("fields", F.col("selector_field")) == F.col("selector_value"))
     one = hit.groupBy("asset_id", "entry_id").agg(F.min_by("fields", "row_no").alias("row"))
     return has.join(one, ["asset_id", "entry_id"], "left")
 
@@ -110,15 +111,39 @@ def drift(snapshots: DataFrame, baseline: DataFrame) -> DataFrame:
 def integrity(files: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Watched paths against file rows (asset_id, row_no, path, sha256, exists): a missing path or a file that is gone
     shows as `<deleted>`; else the digests must be equal. `watchlist`: entry_id, path, expected_sha256, weight,
-    remediation_key. A file row without `exists` is present."""
+    remediation_key. A file row without `exists` is present. The result has a row for each host and entry."""
     hosts = files.select("asset_id").distinct()
     first = files.groupBy("asset_id", "path").agg(F.min_by(F.struct("sha256", "exists"), "row_no").alias("row"))
-    m = hosts.join(F.broadcast(watchlist)).join(first, ["asset_id", "path"], "left")
+    m = hosts.join(if_few(watchlist), F.col("path").isNotNull()).join(first, ["asset_id", "path"], "left")
     here = F.col("row").isNotNull() & F.coalesce(F.col("row.exists"), F.lit(True))
     actual = F.when(here, F.col("row.sha256")).otherwise("<deleted>")
     return m.select("asset_id", "entry_id", "path", (~actual.eqNullSafe(F.col("expected_sha256"))).alias("violated"), F.col("weight").cast("float").alias("weight"), "expected_sha256", actual.alias("actual_sha256"), "remediation_key")
 
 
+def health(samples: DataFrame, used: Column, budget: Column) -> DataFrame:
+    """Adds `used_pct` of a budget and `over_budget`; a budget of nothing shows as the greatest single-precision number."""
+    pct = F.when(budget <= 0, F.lit(3.4028234663852886e38).cast("float")).otherwise((used / budget * 100).cast("float"))
+    return samples.withColumn("used_pct", pct).withColumn("over_budget", F.col("used_pct") > 100)
+
+
+def host_inventory(os: DataFrame, packages: DataFrame) -> DataFrame:
+    """(asset_id, os, packages, package_count): a host's system rows and its packages, each as a sorted array. Hosts
+    without packages have none."""
+    row = lambda d: F.struct(*[F.col(c) for c in d.columns if c != "asset_id"])
+    a = os.groupBy("asset_id").agg(F.array_sort(F.collect_list(row(os))).alias("os"))
+    b = packages.groupBy("asset_id").agg(F.array_sort(F.collect_list(row(packages))).alias("packages"), F.count("*").alias("package_count"))
+    j = a.join(b, "asset_id", "full_outer")
+    return j.withColumn("package_count", F.coalesce("package_count", F.lit(0).cast("long")))
+
+
+def network_inventory(hosts: DataFrame, swept: DataFrame) -> DataFrame:
+    """(asset_id, role, swept_cidrs, host_count, hosts) of scanners that found a host; of others nothing. `hosts`: asset_id,
+    addr; `swept`: asset_id, cidr."""
+    h = hosts.groupBy("asset_id").agg(F.array_sort(F.collect_set("addr")).alias("hosts"))
+    s = swept.groupBy("asset_id").agg(F.array_sort(F.collect_set("cidr")).alias("swept_cidrs"))
+    return h.join(s, "asset_id", "left").select("asset_id", F.lit("network-scanner").alias("role"), "swept_cidrs", F.size("hosts").cast("long").alias("host_count"), "hosts")
+
+
 def change_gate(snapshots: DataFrame, keys: list[str], order: list[str], payload: str) -> DataFrame:
     """Rows whose payload differs from the previous one of its key; the first always stays."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -128,8 +153,9 @@ def change_gate(snapshots: DataFrame, keys: list[str], order: list[str], payload
 
 def first_sightings(loads: DataFrame) -> DataFrame:
     """First row of each library path of a host."""
-    w = Window.partitionBy("asset_id", "path").orderBy("ts", "event_id")
-    return loads.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = [c for c in loads.columns if c not in ("asset_id", "path")]
+    one = loads.groupBy("asset_id", "path").agg(F.min_by(F.struct(*rest), F.struct("ts", "event_id")).alias("first"))
+    return one.select("asset_id", "path", "first.*").select(*loads.columns)
 
 
 def compliance_findings(results: DataFrame, assets: DataFrame | None = None) -> DataFrame:

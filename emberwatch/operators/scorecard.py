@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.sources.shared import cut
+
 # Fixed values.
 CLASSES = {
     1001: "file_activity", 1007: "process_activity", 2002: "vulnerability", 2003: "compliance", 2004: "file_integrity", 4001: "network",
@@ -67,7 +69,8 @@ def latency_by_class(cases: DataFrame, captures: DataFrame, records: DataFrame)
     even count is the whole-number mean of the middle two; the percentile is the value at round(0.95 (n - 1))."""
     j = cases.where("want_rule IS NOT NULL").join(captures, "case_id").join(records, "case_id").where("class_uid = want_class").where(F.array_contains("rules", F.col("want_rule")) & F.col("time").isNotNull())
     one = j.groupBy("case_id", "want_class").agg(F.min(F.greatest(F.col("time") - F.col("trigger"), F.lit(0))).alias("ms"))
-    counts = one.groupBy(F.col("want_class").alias("class_uid"), "ms").agg(F.count("*").alias("cases")).checkpoint()
+    counts = one.groupBy(F.col("want_class").alias("class_uid"), "ms").agg(F.count("*").alias("cases"))
+    counts = cut(counts)
     n = counts.groupBy("class_uid").agg(F.sum("cases").alias("n"))
     ranks = F.create_map(F.lit("lower"), F.expr("(n - 1) div 2"), F.lit("upper"), F.expr("n div 2"), F.lit("p95"), F.round(F.lit(0.95) * (F.col("n") - 1)).cast("long"))
     at = values_at(counts, n.select("class_uid", F.explode(ranks).alias("which", "rank")))
@@ -117,6 +120,18 @@ def idle_false_positives(baseline: DataFrame) -> DataFrame:
     return baseline.agg(F.count_if(F.size("rules") > 0).alias("false_positives"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
 
 
+def peer_label(agent: Column, alert: Column) -> Column:
+    """Name of a raw alert's rule: agent and rule id, or a question mark; null for an agent that isn't known."""
+    own = F.when(agent == "wazuh", F.get_json_object(alert, "$.rule.id")).when(agent == "falco", F.get_json_object(alert, "$.rule"))
+    return F.when(agent.isin("wazuh", "falco"), F.concat(agent, F.lit(":"), F.coalesce(own, F.lit("?"))))
+
+
+def case_matrix(verdicts: DataFrame) -> DataFrame:
+    """Cases by technique and verdict, with the rules of other techniques that fired."""
+    fp = F.array_sort(F.array_distinct(F.flatten(F.collect_set("fp_rules"))))
+    return verdicts.groupBy("technique", "tier", "verdict").agg(F.count("*").alias("cases"), F.min("latency_ms").alias("fastest_ms"), fp.alias("fp_rules"))
+
+
 def peer_techniques(agent: Column, alert: Column) -> Column:
     """Techniques of a raw alert: Wazuh's `rule.mitre.id`, Falco's `tags`, by the shape of their ids."""
     ids = F.from_json(F.get_json_object(alert, "$.rule.mitre.id"), "array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions import scoring as S
 from emberwatch.functions.versions import key_for, semver_key
-from emberwatch.operators.findings import IDENTITY, with_context
+from emberwatch.operators.findings import IDENTITY, correlate, group_by_fix, reconcile, with_context
 
 # Fixed values.
 RPM_BASES = ["Red Hat", "Rocky Linux", "AlmaLinux", "CentOS", "Oracle Linux", "SUSE", "openSUSE", "Mageia"]
@@ -115,11 +115,12 @@ def composite_hits(*sources: DataFrame) -> DataFrame:
 
 
 def enrichment(cvss: DataFrame, epss: DataFrame, kev: DataFrame) -> DataFrame:
-    """By vulnerability: cvss_env and maturity, epss, kev. A known exploited one counts as weaponized at least; any
+    """By vulnerability: cvss_env and maturity (and the vector, if the evidence has it), epss (and its percentile), kev. A known exploited one counts as weaponized at least; any
     evidence means affected."""
     j = cvss.join(epss, "vuln_id", "full_outer").join(kev.select("vuln_id").distinct().withColumn("kev", F.lit(True)), "vuln_id", "full_outer")
     listed = F.coalesce("kev", F.lit(False))
-    return j.select("vuln_id", F.col("cvss_env").cast("float").alias("cvss_env"), F.col("epss").cast("float").alias("epss"), listed.alias("kev"), F.when(listed, "weaponized").otherwise(F.coalesce("maturity", F.lit("none"))).alias("maturity"), F.lit("affected").alias("vex"))
+    more = [c for c in ("vector", "percentile") if c in j.columns]
+    return j.select("vuln_id", F.col("cvss_env").cast("float").alias("cvss_env"), F.col("epss").cast("float").alias("epss"), *more, listed.alias("kev"), F.when(listed, "weaponized").otherwise(F.coalesce("maturity", F.lit("none"))).alias("maturity"), F.lit("affected").alias("vex"))
 
 
 def reachability(libraries: DataFrame, loads: DataFrame) -> DataFrame:
@@ -131,15 +132,23 @@ def reachability(libraries: DataFrame, loads: DataFrame) -> DataFrame:
     return libraries.select("asset_id", "component").distinct().join(has, "asset_id", "left_semi").join(hit, ["asset_id", "component"], "left").select("asset_id", "component", F.coalesce("hit", F.lit(False)).alias("runtime_reachable"))
 
 
+def vulnerability_run(sbom: DataFrame, hits: DataFrame, enriched: DataFrame, prior: DataFrame, now: Column, assets: DataFrame | None = None, runtime: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, groups by fix) of inventories: matched, correlated, scored, compared with the prior state, and grouped
+    without what is suppressed."""
+    found = vulnerability_findings(detections(sbom, hits), enriched, assets, runtime)
+    found = reconcile(prior, found.withColumns({c: F.lit(None).cast("long") for c in ("first_seen", "last_seen", "closed_at")}), now)
+    return found, group_by_fix(found)
+
+
 def detections(sbom: DataFrame, hits: DataFrame) -> DataFrame:
     """Hits of each host's components: authenticated, of confidence 0.95."""
     j = sbom.join(hits, ["name", "version", "source", "os"])
-    return j.select("asset_id", "vuln_id", F.col("name").alias("component"), F.col("version").alias("location"), F.lit("sbom").alias("source_name"), F.lit("authenticated").alias("method"), F.lit(0.95).cast("float").alias("confidence"), "remediation_key")
+    return j.select("asset_id", "vuln_id", F.col("name").alias("component"), F.col("version").alias("location"), F.lit("sbom").alias("source"), F.lit("authenticated").alias("method"), F.lit(0.95).cast("float").alias("confidence"), "remediation_key", F.col("remediation_key").alias("seq"))
 
 
 def vulnerability_findings(found: DataFrame, enriched: DataFrame, assets: DataFrame | None = None, runtime: DataFrame | None = None) -> DataFrame:
     """Scored findings of deduplicated detections. Unknown vulnerabilities have no evidence and an unknown reach."""
-    one = found.groupBy(*IDENTITY).agg(F.min_by("remediation_key", F.struct(-F.col("confidence"), F.col("remediation_key"))).alias("remediation_key"))
+    one = correlate(found)
     j = with_context(one.join(enriched, "vuln_id", "left"), assets)
     j = j.withColumns({"vex": F.coalesce("vex", F.lit("unknown")), "kev": F.coalesce("kev", F.lit(False)), "maturity": F.coalesce("maturity", F.lit("none"))})
     j = j.join(runtime, ["asset_id", "component"], "left") if runtime is not None else j.withColumn("runtime_reachable", F.lit(None).cast("boolean"))
@@ -147,4 +156,4 @@ def vulnerability_findings(found: DataFrame, enriched: DataFrame, assets: DataFr
     j = j.withColumn("explain", S.vulnerability_explain(F.col("cvss_env"), F.col("epss"), F.col("maturity"), F.col("vex"), F.col("internet_facing"), F.col("compensating_controls"), F.col("criticality"), reach))
     j = j.withColumn("risk", S.vulnerability_risk(F.col("explain")))
     made = S.decision(F.col("risk"), F.col("kev"), F.lit(True), F.col("explain.reach"))
-    return j.select(S.finding_id(*[F.col(c) for c in IDENTITY]).alias("finding_id"), *IDENTITY, "cvss_env", "epss", "kev", "risk", "explain", "runtime_reachable", made.alias("decision"), S.sla_hours(made).alias("sla_hours"), S.initial_status(F.col("vex")).alias("status"), "remediation_key")
+    return j.select(S.finding_id(*[F.col(c) for c in IDENTITY]).alias("finding_id"), *IDENTITY, "provenance", "cvss_env", "epss", "kev", "risk", "explain", "runtime_reachable", made.alias("decision"), S.sla_hours(made).alias("sla_hours"), S.initial_status(F.col("vex")).alias("status"), "remediation_key")

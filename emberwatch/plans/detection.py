@@ -10,6 +10,7 @@ from emberwatch.functions import rules as R
 from emberwatch.operators import asof as J
 from emberwatch.operators import findings as O
 from emberwatch.plans import sqltext as Q
+from emberwatch.sources.shared import cut
 
 FINDING = ["finding_id", "asset_id", "vuln_id", "component", "location", "risk", "decision", "sla_hours", "status", "remediation_key"]
 
@@ -126,20 +127,20 @@ _EXFIL = ("FileOpen", "suspicious_process_read_sensitive_and_connected", False)
 
 
 def dropper_chains(spark, sf):
-    return J.dropper_chains(J.correlated(sensor_events(spark, sf)))
+    return J.dropper_chains(J.correlated(sensor_events(spark, sf))).drop("halves")
 
 
 def exfil_chains(spark, sf):
-    return J.exfil_chains(J.correlated(sensor_events(spark, sf)))
+    return J.exfil_chains(J.correlated(sensor_events(spark, sf))).drop("halves")
 
 
 def correlation_records(events: DataFrame) -> DataFrame:
     """Connections and chains whose top-level rule fired, as records with hits."""
-    c = J.correlated(events)
+    c = cut(J.correlated(events))  # read by both parts below
     hit = F.array(F.struct(F.col("rule").alias("rule"), F.lit("").alias("reason"))).alias("hits")
-    conns = c.where("kind = 'NetConnect' AND rule IS NOT NULL").select("asset_id", F.col("process").alias("image"), "daddr", "dport", hit)
-    both = J.dropper_chains(c).unionByName(J.exfil_chains(c)).select("asset_id", F.col("process").alias("image"), "daddr", "dport", hit)
-    return conns.unionByName(both)
+    cols = ["asset_id", "ts", F.col("process").alias("image"), "daddr", "dport"]
+    conns = c.where("kind = 'NetConnect' AND rule IS NOT NULL").select(*cols, hit)
+    return conns.unionByName(J.detections_of_chain(J.chains(c)).select(*cols, "hits"))
 
 
 def chain_findings(spark, sf):
@@ -186,7 +187,7 @@ SQL = {
     "process_findings": f"{_E}, {Q.RECORDS}, {Q.findings(Q.PROCESS_RAW)} SELECT {_F} FROM findings",
     "network_findings": f"{_E}, {Q.RECORDS}, {Q.findings(Q.NETWORK_RAW)} SELECT {_F} FROM findings",
     "file_findings": f"{_E}, {Q.RECORDS}, {Q.findings(Q.FILE_RAW)} SELECT {_F} FROM findings",
-    "fix_queue": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes_count, count(DISTINCT asset_id) AS assets_count, count(*) AS findings FROM findings GROUP BY 1",
+    "fix_queue": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes_count, count(DISTINCT asset_id) AS assets_count, count(*) AS findings, row_number() OVER (ORDER BY max(risk) DESC, remediation_key) AS queue_rank FROM findings GROUP BY 1",
     "group_by_fix": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT remediation_key, max(risk) AS risk, string_agg(DISTINCT vuln_id, ';' ORDER BY vuln_id) AS closes, string_agg(DISTINCT asset_id, ';' ORDER BY asset_id) AS assets FROM findings GROUP BY 1",
     "exit_lifetimes": f"{_E}, {EXITS} SELECT *, CAST(greatest(CASE WHEN matched THEN {Q.IMAGE_SEVERITY} ELSE 1 END, CASE WHEN short_lived THEN 3 ELSE 1 END) AS INTEGER) AS severity_id FROM (SELECT *, coalesce({Q.IMAGE_SEVERITY} > 1 AND lifetime_ms < 500, false) AS short_lived FROM exits) x",
     "correlated_activity": f"{_E}, {CORRELATED} SELECT event_id, asset_id, kind, attributed, process, exec_id, process_severity, event_severity, rule, CAST(CASE WHEN rule IS NOT NULL THEN 4 ELSE greatest(process_severity, event_severity) END AS INTEGER) AS severity_id FROM correlated",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.fixtures import SENSOR_EVENTS, sensor_events, table
 from emberwatch.functions import ai as A
 from emberwatch.functions import rules as R
+from emberwatch.operators import posture as P
 from emberwatch.plans import sqltext as Q
 from emberwatch.sources import inventory as I
 
@@ -29,9 +30,14 @@ def ai_egress_records(events: DataFrame) -> DataFrame:
     return e.where("tool IS NOT NULL AND scope IS NOT NULL").withColumn("record", F.when(F.col("scope") == "external", "ai_tool_egress").otherwise("ai_tool_local"))
 
 
-def ai_egress(spark: SparkSession, sf: str) -> DataFrame:
+def ai_images(events: DataFrame) -> DataFrame:
+    """Events with images and command lines of AI tools."""
     pick = lambda v, n: F.get(F.array(*[F.lit(x) for x in v]), (F.col("k") % n).cast("int"))
-    e = sensor_events(spark, sf).withColumns({"image": F.when(F.col("kind") == "NetConnect", F.when(F.col("event_id") % 3 == 0, pick(_IMAGES, 6)).otherwise("/usr/bin/curl")).otherwise(pick(_IMAGES, 6)), "cmdline": pick(_CMDS, 6)})
+    return events.withColumns({"image": F.when(F.col("kind") == "NetConnect", F.when(F.col("event_id") % 3 == 0, pick(_IMAGES, 6)).otherwise("/usr/bin/curl")).otherwise(pick(_IMAGES, 6)), "cmdline": pick(_CMDS, 6)})
+
+
+def ai_egress(spark: SparkSession, sf: str) -> DataFrame:
+    e = ai_images(sensor_events(spark, sf))
     return ai_egress_records(e).groupBy("tool", "via", "scope", "record").agg(F.count("*").alias("connections"), F.countDistinct("asset_id").alias("hosts"))
 
 
@@ -107,8 +113,7 @@ SELECT c_custkey, n AS addresses, CASE WHEN n > 0 THEN '10.' || b || '.3.' || (7
 def health(spark, sf):
     """Use of a budget; a budget of nothing shows as the greatest single-precision number."""
     o = table(spark, sf, "orders").select(F.concat(F.lit("host-"), (F.col("o_custkey") % 20).cast("string")).alias("asset_id"), (F.col("o_orderkey") % 9).cast("float").alias("cpu"), (F.col("o_orderkey") % 5).cast("float").alias("budget"))
-    used = F.when(F.col("budget") <= 0, F.lit(3.4028234663852886e38).cast("float")).otherwise(F.col("cpu") / F.col("budget") * 100)
-    return o.withColumn("used", used).groupBy("asset_id").agg(F.count_if(F.col("used") > 100).alias("over_budget"), F.count_if(F.col("budget") <= 0).alias("no_budget"), F.round(F.avg("cpu"), 6).alias("cpu"))
+    return P.health(o, F.col("cpu"), F.col("budget")).groupBy("asset_id").agg(F.count_if("over_budget").alias("over_budget"), F.count_if(F.col("budget") <= 0).alias("no_budget"), F.round(F.avg("cpu"), 6).alias("cpu"))
 
 
 QUERIES = {"ai_egress": ai_egress, "listeners": listeners, "ai_servers": ai_servers, "ai_models": ai_models, "inventory_packages": packages, "network_blocks": network_blocks, "health_budget": health}

@@ -13,6 +13,7 @@ from emberwatch.operators import remediation as M
 from emberwatch.operators import scorecard as B
 from emberwatch.plans import detection as D
 from emberwatch.plans import sqltext as Q
+from emberwatch.sources.shared import cut
 
 _E = f"WITH {SENSOR_EVENTS}"
 
@@ -60,20 +61,27 @@ def compliance_findings(spark, sf):
     return P.compliance_findings(P.evaluate_controls(snapshots(spark, sf))).select(*D.FINDING)
 
 
-def drift_findings(spark, sf):
-    b = spark.createDataFrame(
+def baseline(spark):
+    return spark.createDataFrame(
         [("openssl-pinned", "packages", "name", "openssl", "version", "3.0.14", "openssl", "packages", 0.7, "upgrade:openssl=3.0.14"), ("telnet-absent", "packages", "name", "telnet", None, None, "telnet", "packages", 0.6, "remove:telnet"), ("no-table", "kernel", "name", "x", None, None, "x", "kernel", 0.1, "none")],
         "entry_id string, table string, selector_field string, selector_value string, value_field string, expected string, subject string, location string, weight double, remediation_key string",
     )
-    return P.drift_findings(P.drift(snapshots(spark, sf), b)).select(*D.FINDING)
 
 
-def integrity_records(spark, sf):
+def drift_findings(spark, sf):
+    return P.drift_findings(P.drift(snapshots(spark, sf), baseline(spark))).select(*D.FINDING)
+
+
+def watched_files(spark, sf):
     s = table(spark, sf, "supplier")
     host = F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("asset_id")
     files = s.where("s_suppkey % 6 <> 0").select(host, F.lit(0).alias("row_no"), F.lit("/etc/passwd").alias("path"), F.when(F.col("s_nationkey") % 4 == 0, "bad").otherwise("good").alias("sha256"), F.when(F.col("s_suppkey") % 8 == 0, False).alias("exists"))
     watch = spark.createDataFrame([("fim-passwd", "/etc/passwd", "good", 0.9, "investigate:/etc/passwd"), ("fim-sshd", "/etc/ssh/sshd_config", "good", 0.8, "restore:/etc/ssh/sshd_config")], "entry_id string, path string, expected_sha256 string, weight double, remediation_key string")
-    return P.integrity(files, watch).select("asset_id", "entry_id", "violated", "actual_sha256")
+    return files, watch
+
+
+def integrity_records(spark, sf):
+    return P.integrity(*watched_files(spark, sf)).select("asset_id", "entry_id", "violated", "actual_sha256")
 
 
 def change_gate(spark, sf):
@@ -85,9 +93,16 @@ def first_sightings(spark, sf):
     return P.first_sightings(sensor_events(spark, sf).where("kind = 'FileOpen'")).select("asset_id", "path", "event_id", "ts")
 
 
-# Lifecycle: the prior state is what half of the events would have given.
+# Lifecycle: the prior state is what the first two thirds of the events gave, the run reads the last two thirds.
+def _events(spark, sf, last: bool):
+    e = sensor_events(spark, sf)
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    low, high = low or 0, high or 0
+    return e.where(F.col("ts") >= low + (high - low) // 3) if last else e.where(F.col("ts") < low + (high - low) * 2 // 3)
+
+
 def _prior(spark, sf):
-    e = sensor_events(spark, sf).where("event_id % 2 = 0")
+    e = _events(spark, sf, last=False)
     n = F.length("finding_id")
     status = F.when(n % 4 == 0, "closed").when(n % 4 == 1, "accepted").when(n % 4 == 2, "suppressed").otherwise("open")
     return D.all_findings(e).withColumns({"status": status, "first_seen": F.lit(1000).cast("long"), "last_seen": F.lit(2000).cast("long"), "closed_at": F.when(status == "closed", F.lit(2000).cast("long"))})
@@ -97,21 +112,21 @@ _NOW = 1704067300000
 
 
 def lifecycle(spark, sf):
-    fresh = O.reconcile(_prior(spark, sf), D.all_findings(sensor_events(spark, sf).where("event_id % 3 = 0")), F.lit(_NOW))
+    fresh = O.reconcile(_prior(spark, sf), D.all_findings(_events(spark, sf, last=True)), F.lit(_NOW))
     return fresh.select("finding_id", "status", "first_seen", "last_seen", "closed_at")
 
 
 def state_after_run(spark, sf):
-    prior = _prior(spark, sf)
-    fresh = O.reconcile(prior, D.all_findings(sensor_events(spark, sf).where("event_id % 3 = 0")), F.lit(_NOW))
+    prior = cut(_prior(spark, sf))
+    fresh = O.reconcile(prior, D.all_findings(_events(spark, sf, last=True)), F.lit(_NOW))
     return O.upsert(prior, O.carry_forward(fresh, prior)).select("finding_id", "status", "first_seen", "last_seen")
 
 
 def _sub(where: str, name: str) -> str:
-    return f"{name} AS (WITH {SENSOR_EVENTS.replace('FROM events) e)', f'FROM events WHERE {where}) e)')}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT finding_id FROM findings)"
+    return f"{name} AS (WITH {SENSOR_EVENTS.replace('sensor_events AS (', 'every AS (', 1)}, ends AS (SELECT min(ts) AS low, max(ts) AS high FROM every), sensor_events AS (SELECT every.* FROM every, ends WHERE {where}), {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT finding_id FROM findings)"
 
 
-_LIFE = f"""WITH {_sub('event_id % 2 = 0', 'p0')}, {_sub('event_id % 3 = 0', 'fresh')},
+_LIFE = f"""WITH {_sub('ts < low + (high - low) * 2 // 3', 'p0')}, {_sub('ts >= low + (high - low) // 3', 'fresh')},
 prior AS (SELECT finding_id, CASE length(finding_id) % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'accepted' WHEN 2 THEN 'suppressed' ELSE 'open' END AS status FROM p0),
 run AS (SELECT f.finding_id, CASE WHEN p.status = 'closed' THEN 'reopened' ELSE 'open' END AS status, CASE WHEN p.finding_id IS NULL THEN {_NOW} ELSE 1000 END AS first_seen, {_NOW} AS last_seen, CAST(NULL AS BIGINT) AS closed_at, p.status AS was FROM fresh f LEFT JOIN prior p USING (finding_id))"""
 
@@ -163,9 +178,10 @@ def replay_audit(spark, sf):
 
 def command_results(spark, sf):
     o = table(spark, sf, "orders")
-    c = o.where("o_orderkey % 3 <> 0").select((F.col("o_custkey") % 50).alias("session"), F.col("o_orderkey").alias("seq"))
-    l = table(spark, sf, "lineitem").where("l_orderkey % 7 <> 0").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    r = l.select((F.col("o_custkey") % 50).alias("session"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("arrival"))
+    # Some commands and some results are of sessions that the other side doesn't know.
+    c = o.select((F.col("o_custkey") % 50 + F.when(F.col("o_orderkey") % 3 == 0, 100).otherwise(0)).alias("session"), F.col("o_orderkey").alias("seq"))
+    l = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    r = l.select((F.col("o_custkey") % 50 + F.when(F.col("l_orderkey") % 7 == 0, 200).otherwise(0)).alias("session"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("arrival"))
     return M.match_results(c, r).groupBy("status").agg(F.count("*").alias("rows"))
 
 
@@ -188,8 +204,7 @@ def activity_by_day(spark, sf):
 
 
 def chains_by_rule(spark, sf):
-    c = J.correlated(sensor_events(spark, sf))
-    return J.dropper_chains(c).unionByName(J.exfil_chains(c)).groupBy("rule").agg(F.count("*").alias("chains"), F.countDistinct("asset_id").alias("hosts"))
+    return J.chains(J.correlated(sensor_events(spark, sf))).groupBy("rule").agg(F.count("*").alias("chains"), F.countDistinct("asset_id").alias("hosts"))
 
 
 def top_images(spark, sf):
@@ -321,7 +336,7 @@ SQL = {
     "unauthorized_commands": f"SELECT actor, kind, count(*) AS denied FROM (SELECT 'actor-' || (o_custkey % 5) AS actor, {_KIND} AS kind FROM orders) c WHERE NOT (actor = 'actor-0' OR (actor = 'actor-1' AND kind IN ('draft', 'canary', 'rollback')) OR (actor = 'actor-2' AND kind = 'approve') OR (actor = 'actor-3' AND kind = 'abort')) GROUP BY 1, 2",
     "schedule_status": "SELECT CASE WHEN 1000 > d + 30 THEN 'expired' WHEN 1000 < d THEN 'pending' ELSE 'open' END AS status, count(*) AS actions FROM (SELECT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders) GROUP BY 1",
     "replay_audit": "SELECT session, arrival, seq, o_custkey % 4 <> 0 AND seq > greatest(10, coalesce(m, 10)) AS accepted FROM (SELECT *, max(seq) OVER (PARTITION BY session ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT 's-' || o_custkey AS session, o_custkey, o_orderkey % 97 AS seq, o_orderkey AS arrival FROM orders) a) b",
-    "command_results": "WITH c AS (SELECT o_custkey % 50 AS session, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY arrival) AS nth FROM (SELECT o_custkey % 50 AS session, l_orderkey AS seq, l_linenumber AS arrival FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 7 <> 0) x) SELECT CASE WHEN r.nth IS NULL THEN 'outstanding' WHEN c.seq IS NULL THEN 'unknown' WHEN nth > 1 THEN 'repeat' ELSE 'accepted' END AS status, count(*) AS rows FROM c FULL JOIN r ON c.session = r.session AND c.seq = r.seq GROUP BY 1",
+    "command_results": "WITH c AS (SELECT o_custkey % 50 + CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 0 END AS session, o_orderkey AS seq FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY arrival) AS nth FROM (SELECT o_custkey % 50 + CASE WHEN l_orderkey % 7 = 0 THEN 200 ELSE 0 END AS session, l_orderkey AS seq, l_linenumber AS arrival FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x) SELECT CASE WHEN r.nth IS NULL THEN 'outstanding' WHEN c.seq IS NULL THEN 'unknown' WHEN nth > 1 THEN 'repeat' ELSE 'accepted' END AS status, count(*) AS rows FROM c FULL JOIN r ON c.session = r.session AND c.seq = r.seq GROUP BY 1",
     "fix_verification": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)}, l AS (SELECT 'fix-' || (length(finding_id) % 7) AS action_id, NOT starts_with(finding_id, 'host-1') AND asset_id <> 'host-2' AND length(finding_id) % 7 <> 3 AS still FROM findings) SELECT action_id, count(*) AS linked, count(*) FILTER (still) AS remaining, count(*) FILTER (still) = 0 AS fixed FROM l GROUP BY 1",
     "activity_by_day": f"{_E}, {Q.RECORDS}, a AS (SELECT ts, 'process' AS category FROM process_records WHERE len(rules) > 0 UNION ALL SELECT ts, 'network' FROM network_records WHERE len(rules) > 0 UNION ALL SELECT ts, 'file' FROM file_records) SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, category, count(*) AS detections FROM a GROUP BY 1, 2",
     "chains_by_rule": f"{_E}, {D.CORRELATED}, d AS (WITH {D._chain_sql(*D._DROP)} SELECT * FROM chains), x AS (WITH {D._chain_sql(*D._EXFIL)} SELECT * FROM chains) SELECT rule, count(*) AS chains, count(DISTINCT asset_id) AS hosts FROM (SELECT rule, asset_id FROM d UNION ALL SELECT rule, asset_id FROM x) u GROUP BY 1",

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.fixtures import SENSOR_EVENTS, sensor_events
+from emberwatch.fixtures import SENSOR_EVENTS, sensor_events, table
+from emberwatch.functions import ai as A
 from emberwatch.operators import findings as O
 from emberwatch.plans import detection as D
+from emberwatch.plans import inventory_queries as IQ
 from emberwatch.plans import sqltext as Q
-from emberwatch.sources.sinks import StateTable, scratch
+from emberwatch.plans.record_queries import _LINES, event_text
+from emberwatch.sources import sinks as S_
+from emberwatch.sources.shared import scratch
+from emberwatch.sources.sinks import StateTable
 from emberwatch.streaming import jobs as S
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
+def _events(spark: SparkSession, sf: str, with_k: bool) -> DataFrame:
+    e = sensor_events(spark, sf)
+    e = e if with_k else e.drop("k")
+    return e.withColumns({"cmdline": F.lit(None).cast("string"), "image_trusted": F.lit(None).cast("boolean"), "proto": F.lit("tcp"), "dport": F.col("dport").cast("int")})
+
+
+def _stream(spark: SparkSession, sf: str, with_k: bool = False) -> DataFrame:
     """The derived events as a stream of files. An exit far in the future, of no host, moves the watermark past all others."""
     folder = scratch(spark, "events")
-    e = sensor_events(spark, sf).drop("k").withColumns({"cmdline": F.lit(None).cast("string"), "image_trusted": F.lit(None).cast("boolean"), "proto": F.lit("tcp"), "dport": F.col("dport").cast("int")})
-    names = [x.split()[0] for x in S.EVENT.split(", ")]
+    e = _events(spark, sf, with_k)
+    schema = S.EVENT + (", k int" if with_k else "")
+    names = [x.split()[0] for x in schema.split(", ")]
     e.select(*names).write.parquet(f"{folder}/a")
     last = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("~").alias("asset_id"), F.lit("ProcessExit").alias("kind"), (F.col("ts") + 86400000).alias("ts"), F.lit(-1).cast("long").alias("pid"))
     last.write.parquet(f"{folder}/b")
-    return S.with_event_time(spark.readStream.schema(S.EVENT).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder), "ts", "1 seconds")
+    return S.with_event_time(spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder), "ts", "1 seconds")
 
 
 def _run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
@@ -68,7 +80,79 @@ def stream_findings_state(spark, sf):
     return state.load().select("finding_id", "risk", "decision", "remediation_key")
 
 
+def stream_process_rules(spark, sf):
+    r = D.process_records(_stream(spark, sf)).where(F.size("hits") > 0)
+    return _run(spark, r.select("event_id", "asset_id", D.rules_of().alias("rules")), "rules")
+
+
+def stream_file_rules(spark, sf):
+    return _run(spark, D.file_records(_stream(spark, sf)).select("event_id", "asset_id", D.rules_of().alias("rules")), "rules")
+
+
+def stream_ai_tools(spark, sf):
+    """Execs by what AI tool their image is, without state."""
+    e = IQ.ai_images(_stream(spark, sf, with_k=True)).where("kind = 'ProcessExec'")
+    return _run(spark, e.select("event_id", A.tool_of(F.col("image")).alias("tool")).where("tool IS NOT NULL"), "tools")
+
+
+def stream_correlation(spark, sf):
+    """Single records of the stateful correlation."""
+    c = _run(spark, S.correlation_stream(_stream(spark, sf)), "correlation").where("record = 'event'")
+    return c.select("event_id", "asset_id", "kind", F.col("exec_id").isNotNull().alias("attributed"), "process", "exec_id", "process_severity", "event_severity", "rule", "severity_id")
+
+
+def stream_chains(spark, sf):
+    """Chains of the stateful correlation."""
+    c = _run(spark, S.correlation_stream(_stream(spark, sf)), "chains").where("record = 'chain'")
+    return c.select("asset_id", "pid", "exec_id", "ts", "process", "first_id", "connect_id", "rule")
+
+
+def stream_tool_use(spark, sf):
+    """AI egress with the interpreter's command line kept as state."""
+    t = S.tool_stream(IQ.ai_images(_stream(spark, sf, with_k=True)))
+    return _run(spark, t, "tool_use").groupBy("tool", "via", "scope", "record").agg(F.count("*").alias("connections"), F.countDistinct("asset_id").alias("hosts"))
+
+
+def stream_changes(spark, sf):
+    """Orders as snapshots of their customer, in one batch: those that change the status."""
+    folder = scratch(spark, "snapshots")
+    o = table(spark, sf, "orders").select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("asset_id"), F.lit(5001).alias("class_uid"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("payload"))
+    o.write.parquet(folder)
+    s = spark.readStream.schema(o.schema).parquet(folder)
+    return _run(spark, S.change_gate_stream(s), "changes").select("asset_id", "seq", "payload")
+
+
+def stream_envelopes(spark, sf):
+    """Event files as a stream, by class; and sensor events of some kinds only."""
+    folder = scratch(spark, "lines")
+    event_text(spark, sf).write.text(f"{folder}/lines")
+    e = _run(spark, S.envelope_stream(spark, f"{folder}/lines").select(F.col("class_uid").cast("string").alias("what"), F.col("time").alias("event_id")), "envelopes")
+    _events(spark, sf, with_k=False).select(*[x.split()[0] for x in S.EVENT.split(", ")]).write.parquet(f"{folder}/events")
+    k = _run(spark, S.event_stream(spark, f"{folder}/events", ["NetConnect", "FileOpen"]).select(F.col("kind").alias("what"), "event_id"), "kinds")
+    return e.unionByName(k).groupBy("what").agg(F.count("*").alias("records"), F.max("event_id").alias("last"))
+
+
+def stream_files(spark, sf):
+    """Records of a stream as lines and as a day's files."""
+    folder = scratch(spark, "sinks")
+    r = D.network_records(_stream(spark, sf)).select("event_id", "ts", "daddr")
+    S_.stream_records(r, f"{folder}/lines", f"{folder}/c1").trigger(availableNow=True).start().awaitTermination()
+    S_.stream_by_day(r, f"{folder}/days", f"{folder}/c2", F.col("ts")).trigger(availableNow=True).start().awaitTermination()
+    lines = spark.read.text(f"{folder}/lines").select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"))
+    days = spark.read.parquet(f"{folder}/days")
+    return days.join(lines, "event_id").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
+
+
 QUERIES = {
+    "stream_process_rules": stream_process_rules,
+    "stream_file_rules": stream_file_rules,
+    "stream_ai_tools": stream_ai_tools,
+    "stream_correlation": stream_correlation,
+    "stream_chains": stream_chains,
+    "stream_tool_use": stream_tool_use,
+    "stream_changes": stream_changes,
+    "stream_envelopes": stream_envelopes,
+    "stream_files": stream_files,
     "stream_network_rules": stream_network_rules,
     "stream_attribution": stream_attribution,
     "stream_lifetimes": stream_lifetimes,
@@ -78,6 +162,15 @@ QUERIES = {
 }
 _E = f"WITH {SENSOR_EVENTS}"
 SQL = {
+    "stream_process_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM process_records WHERE len(rules) > 0",
+    "stream_file_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM file_records",
+    "stream_ai_tools": f"{_E} SELECT event_id, CASE k % 6 WHEN 2 THEN 'cursor' WHEN 3 THEN 'github-copilot' ELSE 'claude-code' END AS tool FROM sensor_events WHERE kind = 'ProcessExec' AND k % 6 IN (2, 3, 4)",
+    "stream_correlation": D.SQL["correlated_activity"],
+    "stream_chains": f"{_E}, {D.CORRELATED}, d AS (WITH {D._chain_sql(*D._DROP)} SELECT * FROM chains), x AS (WITH {D._chain_sql(*D._EXFIL)} SELECT * FROM chains) SELECT asset_id, pid, exec_id, ts, process, first_id, connect_id, rule FROM (SELECT * FROM d UNION ALL SELECT * FROM x) u",
+    "stream_tool_use": IQ.SQL["ai_egress"],
+    "stream_changes": "SELECT 'c-' || o_custkey AS asset_id, o_orderkey AS seq, o_orderstatus AS payload FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p IS DISTINCT FROM o_orderstatus",
+    "stream_envelopes": f"SELECT * FROM ({_LINES} SELECT CAST(class_uid AS VARCHAR) AS what, count(*) AS records, max(event_id) AS last FROM lines WHERE NOT blank AND NOT bad GROUP BY 1) a UNION ALL SELECT * FROM ({_E} SELECT kind, count(*), max(event_id) FROM sensor_events WHERE kind IN ('NetConnect', 'FileOpen') GROUP BY 1) b",
+    "stream_files": f"{_E} SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, count(*) AS records FROM sensor_events WHERE kind = 'NetConnect' GROUP BY 1",
     "stream_network_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM network_records WHERE len(rules) > 0",
     "stream_attribution": f"{_E}, {D.CONTEXT} SELECT event_id, asset_id, pid, kind, exec_id FROM picked",
     "stream_lifetimes": f"{_E}, {D.EXITS} SELECT event_id, image, lifetime_ms, matched FROM exits",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.fixtures import SBOM, sbom_components
 from emberwatch.operators import findings as O
 from emberwatch.operators import vulnerabilities as V
+from emberwatch.sources.shared import cut
 
 _e = lambda i=None, f=None, l=None: (i, f, l)  # noqa: E731, E741
 ADVISORIES = [
@@ -43,7 +44,7 @@ def _match(*which: str):
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    sbom = sbom_components(spark, sf)
+    sbom = cut(sbom_components(spark, sf))  # matched by distinct component, then joined by host
     return V.detections(sbom, V.composite_hits(*_hits(spark, V.distinct_components(sbom), "osv", "nvd", "feed")))
 
 
@@ -148,7 +149,7 @@ SQL = {
     "feed_matches": f"WITH {_hits_sql('false')} SELECT {_H} FROM hits",
     "composite_matches": f"WITH {_hits_sql('true')} SELECT {_H} FROM hits",
     "vulnerability_findings": f"{_FIND} SELECT finding_id, risk, decision, CAST(CASE decision WHEN 'ACT' THEN 48 WHEN 'ATTEND' THEN 336 WHEN 'TRACK' THEN 720 ELSE 2160 END AS INTEGER) AS sla_hours, status, remediation_key FROM findings",
-    "upgrade_queue": f"{_FIND} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes_count, count(DISTINCT asset_id) AS assets_count, count(*) AS findings FROM findings WHERE starts_with(remediation_key, 'upgrade:') GROUP BY 1",
+    "upgrade_queue": f"{_FIND} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes_count, count(DISTINCT asset_id) AS assets_count, count(*) AS findings, row_number() OVER (ORDER BY max(risk) DESC, remediation_key) AS queue_rank FROM findings WHERE starts_with(remediation_key, 'upgrade:') GROUP BY 1",
     "cvss_bands": f"{_FIND} SELECT CASE WHEN cvss_env >= 9 THEN 'critical' WHEN cvss_env >= 7 THEN 'high' WHEN cvss_env >= 4 THEN 'medium' WHEN cvss_env > 0 THEN 'low' ELSE 'none' END AS band, count(*) AS findings, count(DISTINCT vuln_id) AS cves, count(*) FILTER (kev) AS kev FROM findings GROUP BY 1",
     "top_vulnerabilities": f"{_FIND} SELECT vuln_id, max(risk) AS risk, count(*) AS findings FROM findings GROUP BY 1 ORDER BY risk DESC, vuln_id LIMIT 10",
     "top_packages": f"{_FIND} SELECT component, count(*) AS findings, max(risk) AS risk FROM findings GROUP BY 1 ORDER BY findings DESC, component LIMIT 10",

@@ -58,8 +58,10 @@ def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def read_osv(spark: SparkSession, path: str) -> DataFrame:
     """Advisories of a bundle (a JSON array, or a folder of such), a row for each affected clause. Bad input fails."""
-    affected = f"array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<type:string,events:{EVENTS}>>,versions:array<string>>>"
-    docs = spark.read.schema(f"id string, affected {affected}").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    clause = f"array<struct<package:struct<ecosystem:string,name:string>,ranges:array<struct<type:string,events:{EVENTS}>>,versions:array<string>>>"
+    docs = spark.read.schema(f"id string, affected {clause}").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if docs.isEmpty():
+        raise ValueError(f"no advisory in {path}")
     a = docs.select("id", F.explode("affected").alias("a"))
     return a.select("id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), F.coalesce("a.versions", F.array().cast("array<string>")).alias("versions"), F.coalesce("a.ranges", F.array().cast(f"array<struct<type:string,events:{EVENTS}>>")).alias("ranges"))
 
@@ -95,6 +97,16 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
     return k.select(F.explode("vulnerabilities.cveID").alias("vuln_id")).where("vuln_id IS NOT NULL").distinct()
 
 
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """Raw advisories of a bundle for cvss_evidence(): id, score, severity, maturity, and their order of reading. Bundles
+    are arrays, or objects whose `records` are; files count in the order of their names."""
+    record = "id:string,severity:array<struct<type:string,score:string>>,database_specific:struct<cvss_base_score:double,exploit_maturity:string>"
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    wrapped, bare = F.from_json("value", f"records array<struct<{record}>>")["records"], F.from_json("value", f"array<struct<{record}>>")
+    r = t.select("file", F.posexplode(F.coalesce(F.when(F.size(wrapped) >= 0, wrapped), bare, F.raise_error(F.lit("a bundle without records")).cast(f"array<struct<{record}>>"))).alias("n", "r"))
+    return r.select("r.id", F.col("r.database_specific.cvss_base_score").alias("score"), "r.severity", F.col("r.database_specific.exploit_maturity").alias("maturity"), F.struct("file", "n").alias("seq"))
+
+
 def cvss_evidence(osv_json: DataFrame | None, nvd_json: DataFrame | None) -> DataFrame:
     """(vuln_id, cvss_env, vector, maturity) of raw advisories (seq, id, score, severity array<struct<type,score>>,
     maturity): the first CVSS_V3 vector that isn't empty; the last record of an id counts, and Windows advisories count
@@ -126,6 +138,15 @@ def staleness_ms(created_at: Column, now: Column) -> Column:
     return F.greatest(now - created_at, F.lit(0))
 
 
+def installed_feed(spark: SparkSession, root: str) -> DataFrame:
+    """The active snapshot's state of a feed store, one row: feed_version, source, tier, created_at, applied_at. A store
+    without one is an error."""
+    state = spark.read.schema("feed_version string, source string, tier string, created_at long, applied_at long").option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/state.json")
+    if state.isEmpty():
+        raise ValueError(f"{root} has no installed feed")
+    return state
+
+
 def stamped(rows: DataFrame, feed_version: str | None) -> DataFrame:
     if feed_version is None:
         raise ValueError("no feed is installed")
@@ -146,6 +167,13 @@ def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return c, d.select("agent", F.explode("baseline").alias("record"))
 
 
+def rules_at_any_depth(record: Column) -> Column:
+    """All `rule` strings under a raw record's `data`, however deep, sorted. In JSON a quoted name with a colon behind it
+    is a field, as quotes within strings are escaped."""
+    found = F.regexp_extract_all(F.get_json_object(record, "$.data"), F.lit(r'"rule"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.from_json(F.concat(F.lit('{"v":'), x, F.lit("}")), "v string")["v"])))
+
+
 def rules_of(record: Column) -> Column:
     """Rules of a raw record, wherever a detection stands: at the top, or with its process, connection or file."""
     parts = [F.transform(detections(record, f"$.data.{p}detections"), lambda d: d["rule"]) for p in ("", "process.", "connection.", "file.")]

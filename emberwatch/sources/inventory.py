@@ -78,7 +78,7 @@ def _listeners(l: DataFrame, at: Column, pid: Column, process: Column) -> DataFr
 
 def ss_listeners(raw: DataFrame) -> DataFrame:
     l = _lines(raw).withColumn("w", F.split(F.trim("line"), r"\s+")).where((F.get("w", 0) == "LISTEN") & (F.size("w") >= 4))
-    rest = F.array_join(F.slice("w", 5, 1000), " ")
+    rest = F.array_join(F.slice("w", 5, F.size("w")), " ")
     name = F.regexp_extract(rest, r'\(\("([^"]*)"', 1)
     return _listeners(l, F.get("w", 3), F.regexp_extract(rest, "pid=([0-9]+)", 1), F.when(rest.rlike(r'\(\("[^"]*"'), name))
 

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from emberwatch.operators.findings import upsert
+from emberwatch.sources.shared import scratch
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+__all__ = ["StateTable", "scratch", "stream_by_day", "stream_records", "to_ndjson", "write_by_day", "write_ndjson"]
+#: Rows of a file of a day.
+ROWS_PER_FILE = 5_000_000
 
 
 def to_ndjson(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
@@ -25,14 +23,23 @@ def to_ndjson(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_ndjson(df: DataFrame, path: str, rename: dict[str, str] | None = None) -> None:
-    to_ndjson(df, rename).write.mode("overwrite").text(path)
+def write_ndjson(df: DataFrame, path: str, rename: dict[str, str] | None = None, order: list[str] | None = None) -> None:
+    """Lines of JSON. With `order` the files hold the rows in that order, one range a file."""
+    lines = to_ndjson(df, rename)
+    if order:
+        rows = df.orderBy(*order)
+        lines = to_ndjson(rows, rename)
+    lines.write.mode("overwrite").text(path)
 
 
-def write_by_day(df: DataFrame, path: str, ms: Column) -> None:
-    """Parquet by day of an epoch in ms. Rows of a day are brought together first, so a day is not a file a task."""
+def write_by_day(df: DataFrame, path: str, ms: Column, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Parquet by day of an epoch in ms. Rows of a day are brought together first, so a day is not a file a task; a busy
+    day has as many writers as its rows need (adaptive execution brings small ones together), dealt by a hash of the whole
+    row, and files are bounded by rows."""
     day = df.withColumn("day", F.to_date(F.timestamp_millis(ms)))
-    day.repartition("day", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode("append").partitionBy("day").parquet(path)
+    busiest = day.groupBy("day").count().agg(F.max("count")).first()[0] or 0
+    ways = max(1, -(-busiest // rows_per_file))
+    day.repartition("day", F.pmod(F.xxhash64(*[F.to_json(F.col(c)) if t.startswith(("map", "variant")) else F.col(c) for c, t in df.dtypes]), F.lit(ways))).write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(path)
 
 
 def stream_by_day(df: DataFrame, path: str, checkpoint: str, ms: Column) -> DataStreamWriter:
@@ -46,30 +53,57 @@ def stream_records(df: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
 
 
 class StateTable:
-    """Findings state: a folder a version, and a pointer that is written last. A version is never changed, so a run that
-    is repeated after a failure writes the same folder again and nothing else. Pointers go through Spark's writer, so
-    any store will do; the driver reads a line."""
+    """Findings state: a folder a version, and a pointer a version that is written after it, each once and never changed.
+    The greatest pointer counts. A run that fails in between leaves a version without a pointer, which the next run
+    writes again. Pointers go through Spark's writer, so any store will do; the driver reads a line a version.
+
+    A pointer also tells which batch of which stream it is, so a batch that is repeated after a failure changes nothing,
+    and a stream with a new checkpoint, whose batches start at 0 again, is a stream of its own."""
 
     def __init__(self, spark: SparkSession, path: str, empty: DataFrame) -> None:
         self.spark, self.path, self.empty = spark, path, empty
 
-    def version(self) -> int | None:
+    def _exists(self, name: str) -> bool:
         try:
-            rows = self.spark.read.text(f"{self.path}/pointer").collect()
-        except Exception as e:  # noqa: BLE001
+            self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.path}/{name}").select("path").isEmpty()
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return False
             raise
-        return json.loads(rows[0]["value"])["version"]
+        return True
+
+    def pointer(self) -> dict:
+        """The greatest pointer: version (-1: no rows yet) and the last batch of each stream."""
+        if not self._exists("pointer"):
+            if self._exists("data"):
+                raise ValueError(f"{self.path} has versions, but their pointers are lost")
+            return {"version": None, "batches": {}}
+        rows = [json.loads(r["value"]) for r in self.spark.read.option("recursiveFileLookup", True).text(f"{self.path}/pointer").collect()]
+        return max(rows, key=lambda p: p["version"], default={"version": None, "batches": {}})
+
+    def version(self) -> int | None:
+        v = self.pointer()["version"]
+        return None if v in (None, -1) else v
 
     def load(self) -> DataFrame:
         v = self.version()
-        return self.empty if v is None else self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/v={v}")
-
-    def write(self, fresh: DataFrame, version: int) -> None:
-        """Merges fresh rows into the state of the pointer. A version that the pointer already names is left as it is."""
-        now = self.version()
-        if now is not None and now >= version:
-            return
-        upsert(self.load(), fresh.select(*self.empty.columns)).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        self.spark.range(1).select(F.to_json(F.struct(F.lit(version).alias("version"))).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
+        return self.empty if v is None else self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/data/v={v}")
+
+    def _point(self, version: int, batches: dict) -> None:
+        line = json.dumps({"version": version, "batches": batches})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer/v={version}")
+
+    def seen(self, stream: str, batch: int) -> bool:
+        return batch <= self.pointer()["batches"].get(stream, -1)
+
+    def write(self, fresh: DataFrame, stream: str = "", batch: int | None = None) -> bool:
+        """Merges fresh rows into the state, as its next version. False where this batch of this stream is in it already."""
+        now = self.pointer()
+        if now["version"] is None:
+            self._point(-1, {})
+            now = {"version": -1, "batches": {}}
+        if batch is not None and batch <= now["batches"].get(stream, -1):
+            return False
+        upsert(self.load(), fresh.select(*self.empty.columns)).write.mode("overwrite").parquet(f"{self.path}/data/v={now['version'] + 1}")
+        self._point(now["version"] + 1, now["batches"] | ({stream: batch} if batch is not None else {}))
+        return True

@@ -7,21 +7,27 @@ the rows that the batch operators give for the same events.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from emberwatch.functions import ai as A
+from emberwatch.functions import rules as R
 from emberwatch.operators import findings as O
-from emberwatch.operators.asof import EXIT_GRACE, LATE_EXEC
+from emberwatch.operators.asof import CHAIN, CHAINS, EXIT_GRACE, LATE_EXEC, event_severity, flagged_path
 from emberwatch.sources.feeds import parse_envelopes
 from emberwatch.sources.sinks import StateTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "event_id long, asset_id string, kind string, ts long, pid long, ppid long, image string, cmdline string, image_trusted boolean, daddr string, dport int, proto string, path string"
 ATTRIBUTED = "event_id long, asset_id string, pid long, kind string, ts long, exec_id long, exec_image string"
+CORRELATED = "record string, event_id long, asset_id string, pid long, ts long, kind string, process string, exec_id long, process_severity int, event_severity int, rule string, severity_id int, first_id long, connect_id long"
+TOOLS = "event_id long, asset_id string, pid long, tool string, via string, scope string, record string"
 LIFETIMES = "event_id long, asset_id string, pid long, image string, lifetime_ms long, matched boolean"
 
 
@@ -42,84 +48,176 @@ def with_event_time(df: DataFrame, ms: str, delay: str) -> DataFrame:
 
 
 class _Buffered(StatefulProcessor):
-    """Rows wait in a list until the watermark is `wait` ms past them; then `ready` gets them in event order."""
+    """Rows wait in a list until the watermark is `wait` ms past them; then `ready` gets them in event order, with what
+    the process has left behind (a dictionary). This is freed when nothing can need it any more: `linger` ms after an
+    exit that no exec has followed, or after `idle` ms without an event."""
 
-    wait = 0
+    wait, linger, idle = 0, 0, 30 * 86_400_000
     fields = "event_id long, kind string, ts long, image string"
-    memory = "event_id long, ts long, image string, last_exit long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rows = handle.getListState("rows", self.fields)
-        self.known = handle.getValueState("known", self.memory)
+        self.memory = handle.getValueState("memory", "json string")
+        self.names, self.kinds = zip(*(f.split() for f in self.fields.split(", ")), strict=True)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in self.fields.split(", ")]
+        as_type = {"long": int, "int": int, "boolean": bool, "string": str}
         for pdf in rows:
-            new = [tuple(None if pd.isna(v) else (int(v) if n in ("event_id", "ts") else v) for n, v in zip(names, r, strict=True)) for r in pdf[names].itertuples(index=False)]
+            new = [tuple(None if pd.isna(v) else as_type[t](v) for t, v in zip(self.kinds, r, strict=True)) for r in pdf[list(self.names)].itertuples(index=False)]
             if new:
                 self.rows.appendList(new)
                 self.handle.registerTimer(max(r[2] for r in new) + self.wait)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() - self.wait
+        watermark = timerValues.getCurrentWatermarkInMs()
+        limit = watermark - self.wait
         held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[2], r[0]))
         now, later = [r for r in held if r[2] <= limit], [r for r in held if r[2] > limit]
+        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else {}
+        out = pd.DataFrame()
         if now:
-            out = self.ready(key, now, later)
+            out = self.ready(key, [dict(zip(self.names, r, strict=True)) for r in now], [dict(zip(self.names, r, strict=True)) for r in later], memory)
+            memory["seen"] = now[-1][2]
             if later:
                 self.rows.put(later)
             else:
                 self.rows.clear()
-            yield out
-        else:
-            yield pd.DataFrame()
+        ends = memory.get("seen", 0) + (self.linger if memory.get("eid") is None or memory.get("left") else self.idle)
+        if later or ends > watermark:
+            self.memory.update((json.dumps(memory),))
+            self.handle.registerTimer(max(ends, watermark + 1))
+        elif self.memory.exists():
+            self.memory.clear()
+        yield out
 
     def close(self) -> None:
         pass
 
 
+def _exec(memory: dict, row: dict) -> None:
+    memory |= {"eid": row["event_id"], "ets": row["ts"], "image": row["image"], "left": False}
+
+
+def _context(memory: dict, row: dict, after: list[dict]) -> dict | None:
+    """The exec that explains an event (event_id, image, own_severity): see operators.asof.attribute. `after`: later rows."""
+    left = memory.get("last_exit")
+    ended = left is not None and memory.get("ets") is not None and left >= memory["ets"] and row["ts"] - left >= EXIT_GRACE
+    if memory.get("eid") is not None and not ended:
+        return {"event_id": memory["eid"], "image": memory["image"], "own_severity": memory.get("own_severity")}
+    return next((r for r in after if r["kind"] == "ProcessExec" and row["ts"] < r["ts"] < row["ts"] + LATE_EXEC), None)
+
+
 class Attribution(_Buffered):
     """Connections, writes and reads with the exec that explains them, as operators.asof.attribute gives."""
 
-    wait = LATE_EXEC
+    wait, linger = LATE_EXEC, EXIT_GRACE
 
-    def ready(self, key, now, later) -> pd.DataFrame:
-        state = self.known.get() if self.known.exists() else (None, None, None, None)
-        eid, ets, image, last_exit = state
+    def ready(self, key, now, later, memory) -> pd.DataFrame:
         out, every = [], [*now, *later]
-        for i, (event_id, kind, ts, img) in enumerate(now):
-            if kind == "ProcessExec":
-                eid, ets, image = event_id, ts, img
-            elif kind == "ProcessExit":
-                last_exit = ts
+        for i, row in enumerate(now):
+            if row["kind"] == "ProcessExec":
+                _exec(memory, row)
+            elif row["kind"] == "ProcessExit":
+                memory |= {"last_exit": row["ts"], "left": True}
             else:
-                ended = last_exit is not None and ets is not None and last_exit >= ets and ts - last_exit >= EXIT_GRACE
-                found = (eid, image)
-                if eid is None or ended:
-                    found = next(((r[0], r[3]) for r in every[i + 1 :] if r[1] == "ProcessExec" and ts < r[2] < ts + LATE_EXEC), (None, None))
-                out.append((event_id, key[0], key[1], kind, ts, *found))
-        self.known.update((eid, ets, image, last_exit))
+                found = _context(memory, row, every[i + 1 :]) or {}
+                out.append((row["event_id"], key[0], key[1], row["kind"], row["ts"], found.get("event_id"), found.get("image")))
         return pd.DataFrame(out, columns=[f.split()[0] for f in ATTRIBUTED.split(", ")]).astype({"exec_id": "Int64"})
 
 
 class Lifetimes(_Buffered):
-    """Exits with the lifetime of the exec that they end, as operators.asof.exit_lifetimes gives."""
+    """Exits with the lifetime of the exec that they end, as operators.asof.exit_lifetimes gives. The exit clears it."""
 
-    def ready(self, key, now, later) -> pd.DataFrame:
-        eid, ets, image, _ = self.known.get() if self.known.exists() else (None, None, None, None)
+    def ready(self, key, now, later, memory) -> pd.DataFrame:
         out = []
-        for event_id, kind, ts, img in now:
-            if kind == "ProcessExec":
-                eid, ets, image = event_id, ts, img
+        for row in now:
+            if row["kind"] == "ProcessExec":
+                _exec(memory, row)
             else:
-                out.append((event_id, key[0], key[1], image if eid is not None else img, max(ts - ets, 0) if eid is not None else None, eid is not None))
-                eid = ets = image = None
-        self.known.update((eid, ets, image, None))
+                known = memory.get("eid") is not None
+                out.append((row["event_id"], key[0], key[1], memory["image"] if known else row["image"], max(row["ts"] - memory["ets"], 0) if known else None, known))
+                memory |= {"eid": None, "ets": None, "image": None}
         return pd.DataFrame(out, columns=[f.split()[0] for f in LIFETIMES.split(", ")]).astype({"lifetime_ms": "Int64"})
 
 
+class Correlation(_Buffered):
+    """Connections, watched writes and sensitive reads with their process, severities and rule, and the chains that they
+    complete: as operators.asof.correlated and .chains give. Severities of single rows come in as columns."""
+
+    wait, linger = LATE_EXEC, EXIT_GRACE + CHAIN
+    fields = "event_id long, kind string, ts long, image string, own_severity int, event_severity int, flagged boolean, path string, daddr string, dport int"
+
+    def ready(self, key, now, later, memory) -> pd.DataFrame:
+        out, every = [], [*now, *later]
+        for i, row in enumerate(now):
+            if row["kind"] == "ProcessExec":
+                _exec(memory, row)
+                memory["own_severity"] = row["own_severity"]
+            elif row["kind"] == "ProcessExit":
+                memory |= {"last_exit": row["ts"], "left": True}
+            else:
+                out += self._record(key, row, _context(memory, row, every[i + 1 :]), memory)
+        names = [f.split()[0] for f in CORRELATED.split(", ")]
+        return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("exec_id", "first_id", "connect_id")})
+
+    def _record(self, key, row: dict, ctx: dict | None, memory: dict) -> list[tuple]:
+        kind, name = row["kind"], lambda image: (image or "").rpartition("/")[2]
+        same = ctx is None or name(row["image"]) in ("", "unknown") or name(ctx["image"]).startswith(name(row["image"]))
+        process = (ctx["image"] if ctx else None) if same else row["image"]
+        severity = 1 if ctx is None else ctx["own_severity"] if same else row["own_severity"]
+        both = severity > 1 and row["event_severity"] > 1
+        rule = {"NetConnect": "suspicious_process_suspicious_connection", "FileWrite": "suspicious_process_suspicious_file_write"}.get(kind) if both else None
+        if not (kind == "NetConnect" or (kind == "FileWrite" and row["flagged"]) or (kind == "FileOpen" and row["flagged"] and row["event_severity"] > 1 and ctx)):
+            return []
+        exec_id = ctx["event_id"] if ctx else None
+        level = 4 if rule else max(severity, row["event_severity"])
+        out = [("event", row["event_id"], key[0], key[1], row["ts"], kind, process, exec_id, severity, row["event_severity"], rule, level, None, None)]
+        for chain, (first, fires, needs) in CHAINS.items() if ctx else ():
+            if (kind == "NetConnect" and rule) or (kind == first and (rule or not needs)):
+                done = self._half(memory.setdefault("chains", {}), chain, row, exec_id)
+                if done:
+                    out.append(("chain", row["event_id"], key[0], key[1], row["ts"], kind, process, exec_id, severity, row["event_severity"], fires, 4, *done))
+        return out
+
+    @staticmethod
+    def _half(chains: dict, chain: str, row: dict, exec_id: int) -> tuple[int, int] | None:
+        """Takes a half in; (first half's id, connection's id) where it completes the epoch's chain."""
+        c = chains.get(chain)
+        if c is None or c["exec_id"] != exec_id:
+            c = chains[chain] = {"exec_id": exec_id, "ts": row["ts"], "fired": False}
+        if row["ts"] - c["ts"] >= CHAIN:
+            c["fired"] = False
+        c["ts"] = row["ts"]
+        mine, other = ("connect", "first") if row["kind"] == "NetConnect" else ("first", "connect")
+        done = None
+        if other in c and row["ts"] - c[other][0] < CHAIN and not c["fired"]:
+            c["fired"] = True
+            done = (c["first"][1], row["event_id"]) if mine == "connect" else (row["event_id"], c["connect"][1])
+        c[mine] = (row["ts"], row["event_id"])
+        return done
+
+
+class ToolUse(_Buffered):
+    """Connections of AI tools: by the connecting image, or by the interpreter's command line that runs as that process.
+    `tool` is an exec's tool by command line, or a connection's by image."""
+
+    fields = "event_id long, kind string, ts long, image string, tool string, scope string"
+
+    def ready(self, key, now, later, memory) -> pd.DataFrame:
+        out = []
+        for row in now:
+            if row["kind"] == "ProcessExec":
+                _exec(memory, row)
+                memory["tool"] = row["tool"]
+            elif row["kind"] == "ProcessExit":
+                memory |= {"eid": None, "tool": None}
+            elif (row["tool"] or memory.get("tool")) and row["scope"]:
+                out.append((row["event_id"], key[0], key[1], row["tool"] or memory["tool"], "comm" if row["tool"] else "cmdline", row["scope"], "ai_tool_egress" if row["scope"] == "external" else "ai_tool_local"))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in TOOLS.split(", ")])
+
+
 def _stateful(events: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     return events.groupBy("asset_id", "pid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
@@ -132,6 +230,20 @@ def lifetime_stream(events: DataFrame) -> DataFrame:
     return _stateful(events.where(F.col("kind").isin("ProcessExec", "ProcessExit")), Lifetimes(), LIFETIMES)
 
 
+def correlation_stream(events: DataFrame) -> DataFrame:
+    """Records of single events (`event`) and of chains (`chain`), see Correlation."""
+    e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect", "FileWrite", "FileOpen"))
+    e = e.withColumns({"own_severity": R.image_severity(F.col("image")).cast("int"), "event_severity": event_severity().cast("int"), "flagged": flagged_path()})
+    return _stateful(e, Correlation(), CORRELATED)
+
+
+def tool_stream(events: DataFrame) -> DataFrame:
+    """Connections of AI tools, see ToolUse."""
+    e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect"))
+    tool = F.when(F.col("kind") == "NetConnect", A.tool_of(F.col("image"))).when((F.col("kind") == "ProcessExec") & A.is_interpreter(F.col("image")), A.tool_in_cmdline(F.col("cmdline")))
+    return _stateful(e.withColumns({"tool": tool, "scope": R.connection_scope(F.col("daddr"))}), ToolUse(), TOOLS)
+
+
 class ChangeGate(StatefulProcessor):
     """Snapshots whose payload differs from the last one of their key."""
 
@@ -169,13 +281,22 @@ def daily_activity_stream(records: DataFrame, category: str = "category") -> Dat
 
 
 def findings_loop(records: DataFrame, to_findings, state: StateTable, checkpoint: str) -> StreamingQuery:
-    """Findings of each micro-batch, reconciled with the state and merged into its next version. The version is the
-    batch's number, so a batch that is repeated after a failure changes nothing."""
+    """Findings of each micro-batch, reconciled with the state and merged into its next version. A batch is known by its
+    stream's id, which the checkpoint keeps, and its number, so one that is repeated after a failure changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prior = state.load()
-        now = batch.agg(F.coalesce(F.max("ts"), F.lit(0))).first()[0]
-        fresh = O.reconcile(prior, to_findings(batch), F.lit(now))
-        state.write(O.carry_forward(fresh, prior), batch_id)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise ValueError("a batch without a stream")
+        if state.seen(stream, batch_id):
+            return
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            prior = state.load()
+            now = O.batch_time(batch.withColumnRenamed("ts", "time")).first()[0]
+            fresh = O.reconcile(prior, to_findings(batch), F.lit(now))
+            state.write(O.carry_forward(fresh, prior), stream, batch_id)
+        finally:
+            batch.unpersist()
 
     return records.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

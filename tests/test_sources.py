@@ -1,12 +1,13 @@
 """Readers, parsers, state and as-of joins on small inputs."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.operators import asof, findings, vulnerabilities
-from emberwatch.sources import feeds, inventory, sinks
+from emberwatch.sources import feeds, inventory, shared, sinks
 
 LINE = {"class_uid": 4001, "class_name": "n", "time": 5, "severity_id": 1, "metadata": {"product": "p", "version": "1", "tenant_id": "t"}, "device": {"hostname": "h", "os": "o", "os_version": "1"}, "data": {"detections": [{"rule": "a"}, {"x": 1}, {"rule": "b", "reason": "r"}]}}
 
@@ -72,10 +73,56 @@ def test_state_table(spark, tmp_path):
     state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
     row = lambda i, s: (i, "a", "v", "c", "l", 1, "TRACK", 720, s, "k", 1, 1, None)
     make = lambda *r: spark.createDataFrame(list(r), findings.FINDING)
-    state.write(make(row("1", "open"), row("2", "open")), 0)
-    state.write(make(row("2", "closed"), row("3", "open")), 1)
-    state.write(make(row("9", "open")), 1)  # a repeated batch
-    assert {(r["finding_id"], r["status"]) for r in state.load().collect()} == {("1", "open"), ("2", "closed"), ("3", "open")}
+    rows = lambda: {(r["finding_id"], r["status"]) for r in state.load().collect()}
+    assert state.version() is None and rows() == set()
+    assert state.write(make(row("1", "open"), row("2", "open")), "a", 0)
+    assert state.write(make(row("2", "closed"), row("3", "open")), "a", 1)
+    assert not state.write(make(row("9", "open")), "a", 1)  # a repeated batch
+    assert rows() == {("1", "open"), ("2", "closed"), ("3", "open")}
+    assert state.write(make(row("4", "open")), "b", 0)  # a new checkpoint: its batches start again
+    assert rows() == {("1", "open"), ("2", "closed"), ("3", "open"), ("4", "open")}
+    assert state.write(make(row("5", "open")))  # a batch run
+    assert state.version() == 3 and state.seen("a", 1) and not state.seen("a", 2) and state.seen("b", 0)
+
+
+def test_state_survives_failures_between_its_writes(spark, tmp_path, monkeypatch):
+    state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    make = lambda i: spark.createDataFrame([(i, "a", "v", "c", "l", 1, "TRACK", 720, "open", "k", 1, 1, None)], findings.FINDING)
+    point = sinks.StateTable._point
+
+    def fails(self, version, batches):
+        if version >= 0:
+            raise RuntimeError("lost")
+        point(self, version, batches)
+
+    monkeypatch.setattr(sinks.StateTable, "_point", fails)
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            state.write(make("1"), "a", 0)
+    monkeypatch.setattr(sinks.StateTable, "_point", point)
+    assert state.load().count() == 0
+    assert state.write(make("2"), "a", 0) and [r["finding_id"] for r in state.load().collect()] == ["2"]
+    shutil.rmtree(tmp_path / "s" / "pointer")
+    with pytest.raises(ValueError, match="pointers are lost"):
+        state.load()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_root(Session)
+
+
+def test_writers_of_a_day_follow_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 86_400_000 * (k % 10 == 0)) for k in range(1000)], "same int, ms long")
+    sinks.write_by_day(rows, str(tmp_path / "d"), F.col("ms"), rows_per_file=100)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "d").glob("day=*")}
+    assert files == {"day=1970-01-01": 9, "day=1970-01-02": 1} and spark.read.parquet(str(tmp_path / "d")).count() == 1000
 
 
 def test_ndjson(spark):
@@ -83,6 +130,27 @@ def test_ndjson(spark):
     assert sinks.to_ndjson(df, {"risk": "R"}).first()["value"] == '{"id":"a","x":null,"R":3}'
 
 
+def test_odd_inventory_text(spark):
+    frame = lambda *t: spark.createDataFrame([("h", x) for x in t], "asset_id string, text string")
+    names = lambda d: sorted((r["name"], r["version"]) for r in d.collect())
+    assert names(inventory.dpkg_packages(frame("Package: a\nStatus: install ok installed\n\nPackage: b\nStatus: hold ok half-installed\nVersion: 1\n \nPackage: c\r\nStatus: install ok installed\r\nVersion: 2:1-1\r\n", "", None))) == [("a", ""), ("c", "2:1-1")]
+    assert names(inventory.rpm_packages(frame("a\t1\textra\n\t2\nb\t\n", None))) == [("a", "1"), ("b", "")]
+    assert names(inventory.brew_packages(frame("  a   1 2\nb\n", "\n"))) == [("a", "1")]
+    assert names(inventory.registry_packages(frame("HKEY_X\n DisplayName REG_SZ A  b \n DisplayName REG_SZ C\nHKEY_Y\n DisplayVersion REG_SZ 1\n"))) == [("C", "")]
+    at = lambda d: sorted((r["local_addr"], r["port"], r["pid"], r["process"]) for r in d.collect())
+    many = "LISTEN 0 1 *:22 *:* " + "x " * 1500 + 'users:(("sshd",pid=7,fd=3))'
+    assert at(inventory.ss_listeners(frame(many + "\nLISTEN 0 1 [::]:65536 *:*\nLISTEN 0\n"))) == [("0.0.0.0", 22, 7, "sshd")]
+    assert at(inventory.lsof_listeners(frame("(LISTEN) x\na 1 u TCP [::1]:80 (LISTEN)\n"))) == [("::1", 80, 1, "a")]
+    blocks = [("10.0.0.77/30", 4), ("10.0.0.0/33", 0), ("10.0.0/24", 0), ("300.0.0.0/30", 0), ("10.0.0.1/32", 1), ("10.0.0.0/8", 0), (None, 0)]
+    got = spark.createDataFrame(blocks, "c string, n int").select("n", F.size(inventory.expand_cidr(F.col("c"), 16)).alias("s")).collect()
+    assert all(r["n"] == r["s"] for r in got)
+
+
+def test_rules_at_any_depth(spark):
+    record = json.dumps({"rule": "outside", "data": {"rule": "a", "x": [{"rule": "b\"c"}, {"y": {"rule": 9, "text": '"rule": "no"', "rules": "no"}}], "rule2": "no"}})
+    assert spark.createDataFrame([(record,), ("{",)], "r string").select(feeds.rules_at_any_depth(F.col("r"))).collect() == [(["a", 'b"c'],), (None,)]
+
+
 EVENTS = "event_id long, asset_id string, kind string, ts long, pid long, ppid long, image string, daddr string, dport int, path string"
 
 
