@@ -8,6 +8,8 @@ any two spans compare in constant time and a binary search gives the longest com
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -174,29 +176,42 @@ def common_spans(pairs: DataFrame, a: str, b: str, start_a: str, start_b: str, l
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("equal", T.BooleanType()), T.StructField("extension", T.LongType())]))
 
 
+#: Rows that one row of a counted text stands for at most.
+TIMES = 1 << 14
+
+
 def _neighbours(batches):
-    """Rows (bucket, guard, id, body), in order; a row goes out when its successor in the bucket is known."""
-    held = None  # bucket, guard, id, body, points, prefix, sketch, fingerprint
+    """Rows (bucket, guard, id, body, n), in order; a row goes out when its successor in the bucket is known. `n` equal
+    rows follow each other, so all but the last are their own successors."""
+    held = None  # bucket, guard, id, body, n, points, prefix, sketch, fingerprint
     for batch in batches:
         out = []
-        for bucket, guard, i, body in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+
+        def edited_with(row, body, points, kept, fp, times):
+            _, _, hid, text, _, hp, prefix, hk, own = row
+            half = prefix.n // 2
+            edited = Prefix(np.concatenate([hp[: prefix.n - half], points[:half]]))
+            ek = sketch(edited)
+            efp = encode(edited, ek)
+            digest = hashlib.sha256((text[: prefix.n - half] + body[:half]).encode("utf-8", "surrogatepass")).hexdigest()
+            one = (hid, prefix.n, digest, own, efp, 1.0 if own == efp else _share(hk, ek), 1.0 if own == fp else _share(hk, kept), common_extension(prefix, 0, edited, 0))
+            for k in range(0, times, TIMES):
+                out.append((*one, min(TIMES, times - k)))  # noqa: B023
+
+        for bucket, guard, i, body, n in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
             if held and held[0] == bucket and held[1]:
                 continue  # a second guard
             points = code_points(body)
             p = Prefix(points)
             kept = sketch(p)
-            row = (bucket, guard, i, body, points, p, kept, encode(p, kept))
+            row = (bucket, guard, i, body, n, points, p, kept, encode(p, kept))
             if held and held[0] == bucket:
-                _, _, hid, text, hp, prefix, hk, fp = held
-                half = prefix.n // 2
-                edited = Prefix(np.concatenate([hp[: prefix.n - half], points[:half]]))
-                ek = sketch(edited)
-                efp = encode(edited, ek)
-                digest = hashlib.sha256((text[: prefix.n - half] + body[:half]).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((hid, prefix.n, digest, fp, efp, 1.0 if fp == efp else _share(hk, ek), 1.0 if fp == row[7] else _share(hk, kept), common_extension(prefix, 0, edited, 0)))
+                edited_with(held, body, points, kept, row[8], 1)
+            if n > 1 and not guard:
+                edited_with(row, body, points, kept, row[8], n - 1)
             held = row
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix", "times"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
         cols = list(zip(*out, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -205,27 +220,52 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of each text and of the text whose last half is replaced by the start of the next document's.
 
     `common_prefix` is the longest common extension of the starts of both texts. Order: ascending id, nulls last,
-    ties by text; the first document follows the last (a sole document follows itself). Null text is empty. No
-    rows give none. Other columns are not read.
+    ties by a hash of the text, then the text; the first document follows the last (a sole document follows itself).
+    Null text is empty. Repeated rows give a row each. No rows give none. Other columns are not read.
 
-    Texts are shuffled once, to ranges of ids; the ranges come from a quantile sketch. The first row of each range
-    also goes to the range before, as its guard. The driver sees one id a range, no more.
+    Texts are shuffled once, to ranges of ids; the ranges come from a quantile sketch. An id (or null) that fills ranges
+    of its own is cut by the hash, and its equal rows are counted before they are shuffled, so neither a hot id nor a
+    hot row meets in a task. The first row of each range also goes to the range before, as its guard. The driver sees
+    one id a range, no more.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     src = src.withColumn("ord", F.coalesce("id", F.lit(_LAST)))
     parts = shuffle_parts(spark)
     cuts = src.select(F.percentile_approx("ord", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"] or []
-    splits = [-float("inf"), *sorted({float(x) for x in cuts} or {0.0}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="at", outputCol="b").transform(src.withColumn("at", F.col("ord").cast("double"))).withColumn("bucket", F.col("b").cast("int"))
-    ranged = ranged.select("bucket", F.lit(False).alias("guard"), "id", "body", "ord")
-    firsts = sorted(ranged.groupBy("bucket").agg(F.min("ord").alias("least")).collect())
-    nexts = [(firsts[k]["bucket"], firsts[(k + 1) % len(firsts)]["least"]) for k in range(len(firsts))]
-    to = F.broadcast(spark.createDataFrame(nexts, "bucket int, ord long"))  # a row a range
-    guards = ranged.drop("bucket", "guard").join(to, "ord").select("bucket", F.lit(True).alias("guard"), "id", "body", "ord")
-    dealt = ranged.union(guards).repartitionById(len(splits) - 1, F.col("bucket")).sortWithinPartitions("bucket", "guard", "ord", "body")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
-    return dealt.drop("ord").mapInArrow(_neighbours, schema)
+    ranges_of = Counter(cuts)
+    hot = sorted(v for v, k in ranges_of.items() if k > 1)
+    ways = {float(v): ranges_of[v] + 1 for v in hot}
+    # A hot id has ranges between two cuts of its own, as many as the quantiles that it fills.
+    inner = {float(x) for x in cuts} | {math.nextafter(float(v), math.inf) for v in hot}
+    splits = [-math.inf, *sorted(inner or {0.0}), math.inf]
+    shares = [ways.get(x, 1) for x in splits[:-1]]
+    starts = [sum(shares[:k]) for k in range(len(shares))]
+    src = src.withColumn("n", F.lit(1).cast("long"))
+    if hot:
+        tied = F.col("ord").isin(hot)
+        counted = src.where(tied).groupBy("id", "ord", "body").agg(F.count("*").alias("n")).select("id", "body", "ord", "n")
+        src = src.where(~tied).unionByName(counted)
+    ranged = Bucketizer(splits=splits, inputCol="at", outputCol="b").transform(src.withColumn("at", F.col("ord").cast("double"))).withColumn("b", F.col("b").cast("int"))
+    h = F.xxhash64("body")
+    ranged = ranged.withColumn("h", h).withColumn("bucket", F.col("b"))
+    if hot:
+        of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("b"))
+        value = of([next((v for v in hot if float(v) == x), None) for x in splits[:-1]])  # ids beyond 2^53 can share a double
+        share = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * of(shares)).cast("int"), of(shares) - 1)
+        share = F.when(F.col("ord") < value, 0).when(F.col("ord") > value, of(shares) - 1).otherwise(share)
+        ranged = ranged.withColumn("bucket", of(starts) + share)
+    ranged = ranged.select("bucket", F.lit(False).alias("guard"), "id", "body", "n", "ord", "h")
+    firsts = sorted((r["bucket"], r["least"]["ord"], r["least"]["h"]) for r in ranged.groupBy("bucket").agg(F.min(F.struct("ord", "h")).alias("least")).collect())
+    nexts = [(firsts[k][0], *firsts[(k + 1) % len(firsts)][1:]) for k in range(len(firsts))]
+    to = F.broadcast(spark.createDataFrame(nexts, "bucket int, ord long, h long"))  # a row a range
+    guards = ranged.drop("bucket", "guard").join(to, ["ord", "h"]).select("bucket", F.lit(True).alias("guard"), "id", "body", "n", "ord", "h")
+    dealt = ranged.union(guards).repartitionById(starts[-1] + shares[-1], F.col("bucket")).sortWithinPartitions("bucket", "guard", "ord", "h", "body")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long, times int"
+    out = dealt.drop("ord", "h").mapInArrow(_neighbours, schema)
+    if hot:
+        out = out.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return out.drop("times")
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
