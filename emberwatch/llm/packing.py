@@ -89,11 +89,12 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null or empty text: length 0, a piece of that length (so that no row is lost); all of these are copies of each
     other. Null source: no conflict of source. Null ids stay null. Ties go to the smaller id, then cluster.
-    Repeated rows are copies of each other. No rows: no rows. Other columns are not read.
+    Repeated rows are copies of each other, however many there are. No rows: no rows. Other columns are not read, and
+    their names don't matter.
 
     Only ids, lengths, sources and cluster keys are shuffled, never texts. A row's shard comes from a hash of its
-    id and cluster, and the number of shards from the count of rows, so a hot source or cluster is spread evenly,
-    and a task's work is bounded by `shard_rows`, whatever the table's size.
+    id, its cluster and, of equal rows, a number, and the number of shards from the count of rows; so a hot source,
+    cluster or id is spread evenly, and a task's work is bounded by `shard_rows`, whatever the table's size.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     light = docs.select(
@@ -103,7 +104,11 @@ def pack_best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.unhex(F.md5(body) if cluster is None else F.md5(F.coalesce(cluster.cast("string"), F.lit("")))).alias("cluster"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    light = light.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)))
+    # Equal rows of an input partition get numbers. Which rows a partition has doesn't change when it is worked out again.
+    light = light.withColumn("part", F.spark_partition_id())
+    light = light.groupBy(*light.columns).agg(F.count("*").cast("int").alias("n")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    light = light.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", F.when(F.col("nth") > 1, F.struct("part", "nth"))), F.lit(shards)))
+    light = light.drop("part", "n", "nth")
     return light.groupBy("shard").applyInPandas(_packer(capacity), SCHEMA)
 
 
