@@ -16,9 +16,10 @@ from emberwatch.llm.common import table
 
 #: Bytes of a window, states of a direction, windows that are worked on at a time.
 T, HIDDEN, WINDOWS = 64, 8, 512
-#: Bound of the training sample: documents of each language, and windows of each document.
-DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 3
+#: Bound of the training sample: languages (the most frequent labels), documents of each, and windows of each document.
+LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 200, 400, 3
 STEPS, BATCH, RATE = 320, 96, 0.02
+REJECTED = 0.001
 UNKNOWN = "und"
 
 
@@ -30,6 +31,8 @@ class Network:
         rng = np.random.default_rng(seed)
         f = np.float32
         self.hidden, self.classes = hidden, classes
+        #: Less is improbable for a text in one of the languages; see calibrate().
+        self.floor = 0.0
         self.p = {
             "table": (rng.standard_normal((2, 3 * hidden, 256)) * 0.3).astype(f),
             "u": (rng.standard_normal((2, 3 * hidden, hidden)) / np.sqrt(hidden)).astype(f),
@@ -162,11 +165,12 @@ def _windows(batches):
 
 def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], Network]:
     """The network for (order, lang, body), fitted on the driver on a sample of bounded size: `docs_per_lang` documents
-    of each language, those of least hash, WINDOWS_PER_DOC windows of T bytes each."""
+    of each language, those of least hash, WINDOWS_PER_DOC windows of T bytes each. Of a `lang` column with more values
+    than LANGS the most frequent ones are learned (ties by name), so dirty labels cost neither the driver nor a class."""
     has_letter = labelled.where(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}"))
     # Of a frequent language only the hashes below a bound are ranked, so that what is shuffled doesn't follow the corpus.
     h, most = F.xxhash64("order"), F.lit(None).cast("long")
-    for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().collect():  # a row a language
+    for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect():
         share = min(1.0, 8 * docs_per_lang / r["count"])
         most = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 2049)))).otherwise(most)
     near = has_letter.where(h <= most)
@@ -179,10 +183,25 @@ def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) ->
         lengths = np.array([len(r) for r in rows["raw"]])
         for i, r in enumerate(rows["raw"]):
             x[i, : len(r)] = np.frombuffer(r, np.uint8)
-        net.train(x, lengths, np.searchsorted(langs, rows["lang"]))
+        y = np.searchsorted(langs, rows["lang"])
+        net.train(x, lengths, y)
+        net.floor = calibrate(net, x, lengths, y)
     return langs, net
 
 
+def calibrate(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> float:
+    """The score halfway between chance and what all but a share of REJECTED of the rightly judged training windows
+    reach: a document below is nearer to a guess than to a text in one of the languages."""
+    top = []
+    for a in range(0, len(x), WINDOWS):
+        part = slice(a, a + WINDOWS)
+        probs = net.softmax(net.run(np.ascontiguousarray(x[part].T), lengths[part]))
+        live = np.arange(x.shape[1])[:, None] < lengths[part]
+        mean = (probs * live[:, None, :]).sum(axis=0) / np.maximum(lengths[part], 1)
+        top += mean.max(axis=0)[mean.argmax(axis=0) == y[part]].tolist()
+    return (1 / net.classes + (float(np.quantile(top, REJECTED)) if top else 1 / net.classes)) / 2
+
+
 def predict_languages(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score` (the pooled probability of that language); they replace such columns.
 

@@ -423,10 +423,12 @@ def block_links(members: DataFrame, texts: DataFrame, weights: Weights, words: i
     """
     need = members.select("rep").distinct()
     shingled = cut(texts.join(need.hint("merge"), "rep", "left_semi").select("rep", "body").mapInArrow(_shingled(words), "rep binary, h binary, counts binary"))
-    full = members.join(shingled.hint("merge"), "rep")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("h")) / BLOCK_BYTES), F.lit(1))
-    sizes = cut(full.groupBy("bucket").agg(blocks.cast("int").alias("blocks")))
-    dealt = full.join(sizes.hint("merge"), "bucket").withColumn("x", F.pmod(F.hash("rep"), F.col("blocks")))
+    sized = members.select("bucket", "rep").join(shingled.select("rep", F.octet_length("h").alias("bytes")).hint("merge"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1))
+    sizes = cut(sized.groupBy("bucket").agg(blocks.cast("int").alias("blocks")))
+    # Shingles come in after the blocks are dealt, so no task gets those of a whole bucket.
+    dealt = members.join(sizes.hint("merge"), "bucket").withColumn("x", F.pmod(F.hash("rep"), F.col("blocks")))
+    dealt = dealt.join(shingled.hint("merge"), "rep")
     blocked = dealt.groupBy("bucket", "blocks", "x").agg(F.collect_list(F.struct("rep", "label", "buckets", "h", "counts")).alias("members"))
     paired = blocked.select("bucket", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "members")
     paired = paired.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "members")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import cut, table
+from emberwatch.llm.common import cut, let, table
 from emberwatch.llm.line_dedup import LOWER, UPPER
 
 #: Host, path, verdict.
@@ -38,8 +38,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def _windows(text: Column) -> Column:
     """For each character, the gram of ORDER characters that ends with it. Long texts cost in proportion."""
     chars = F.concat(F.array_repeat(F.lit(START), ORDER - 1), F.filter(F.split(text, ""), lambda c: c != ""))
-    at = F.when(F.size(chars) >= ORDER, F.sequence(F.lit(ORDER), F.size(chars))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(chars, i - ORDER + 1, ORDER), ""))
+
+    def grams(of: Column) -> Column:
+        at = F.when(F.size(of) >= ORDER, F.sequence(F.lit(ORDER - 1), F.size(of) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(*[F.get(of, i - k) for k in reversed(range(ORDER))]))
+
+    return let(chars, grams)
 
 
 def levels(texts: DataFrame) -> list[DataFrame]:

@@ -23,8 +23,9 @@ from emberwatch.llm.common import cut, shared_path, table
 
 #: Payloads of this size or more are written once.
 MIN_DEDUP_BYTES = 1000
-#: Records of an archive file, so that archives stay small however large a partition is.
-RECORDS_PER_ARCHIVE = 4096
+#: Payload bytes of an archive (more only where one payload alone has more), so that each can be read as one value; and
+#: the payloads that count as large, which go to archives of their own, with fewer records.
+ARCHIVE_BYTES, LARGE = 256 << 20, 64 << 10
 #: Ranges closer than the gap are read together, up to the size of a read.
 GAP, READ = 64 << 10, 8 << 20
 INDEX = "archive string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -111,7 +112,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     largest (if all are null, all are responses). Repeated rows give records of their own. Other columns are not read.
 
     Spark's text writer commits the files: a member's last byte is 0, and that 0 is the separator it writes. A payload
-    that all pages share is no hot spot: digests combine map-side, and the join meets a checkpointed table.
+    that all pages share is no hot spot: digests combine map-side, and the join meets a checkpointed table. Archives are
+    bounded by bytes, however large a partition or a payload is.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -128,8 +130,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             rows = (build_record(i.as_py(), u.as_py(), p.as_py(), r.as_py())[:-1] for i, u, p, r in zip(ids, urls, payloads, refers, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    records = told.mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    size = F.octet_length("payload")
+    largest = src.agg(F.max(size)).first()[0] or 0
+    parts = [(told.where(size <= LARGE), LARGE), (told.where(size > LARGE), largest)] if largest > LARGE else [(told, LARGE)]
+    for rows, most in parts:
+        records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        records.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // most)).text(path)
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,12 @@ import gzip
 import hashlib
 import math
 import random
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def test_warc_odd_tables(spark):
     assert sorted((r["page_id"], r["kind"]) for r in read_back(spark, twice)[2]) == [(0, "revisit"), (1, "response"), (1, "response")]
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300_000)
+    rng = random.Random(5)
+    noise = lambda n: "".join(chr(rng.randrange(33, 126)) for _ in range(n))
+    rows = [(k, "u", noise(rng.choice([10, 60_000, 100_000, 140_000]))) for k in range(40)] + [(99, "u", noise(500_000))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    where, index, got = read_back(spark, df.withColumn("payload", F.lit("clash")).withColumn("sha", F.lit("clash")))
+    assert {r["page_id"]: r["payload"] for r in got} == {i: t for i, _, t in rows}
+    sizes = {r["archive"]: r["size"] for r in index.groupBy("archive").agg(F.sum("payload_bytes").alias("size")).collect()}
+    assert len(sizes) > 5 and all(s <= 300_000 or s == 500_000 for s in sizes.values())
+
+
 def test_large_record_ends_in_zero():
     raw = warc._member(b"a" * (17 << 20))
     assert raw[-1] == 0 and [(o, n, len(x)) for o, n, x in warc.members(raw + warc._member(b"b"))] == [(0, len(raw), 17 << 20), (len(raw), len(warc._member(b"b")), 1)]
@@ -87,6 +101,26 @@ def test_url_rules(spark):
         assert want is None or got[k]["verdict"] == want
 
 
+def test_url_odd_tables(spark):
+    rows = [(None, "http://a.org/fr/x"), (1, "http://b.net/y"), (1, "http://b.net/y"), (1, "http://c.edu/" + "ab" * 50_000), (2, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for name in ("host", "path", "rule", "verdict", "score", "row", "body", "good", "g", "id"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = [(r["page_id"], r["host"], r["verdict"]) for r in url_filter.filter_urls(df).collect()]
+    assert sorted((g[:2] for g in got), key=str) == sorted([(None, "a.org"), (1, "b.net"), (1, "b.net"), (1, "c.edu"), (2, "")], key=str)
+    assert {g[1]: g[2] for g in got if g[1] in ("a.org", "b.net")} == {"a.org": "allow", "b.net": "block"}
+
+
+def test_url_windows_cost_in_proportion(spark):
+    url = "".join(chr(97 + k * k % 26) for k in range(300_000))
+    grams = spark.createDataFrame([(url,), ("",), ("x",)], "u string").select(F.explode(url_filter._windows(F.col("u"))).alias("g"))
+    start = time.time()
+    assert grams.count() == 300_001 and grams.where(F.length("g") != url_filter.ORDER).count() == 0
+    assert time.time() - start < 60
+    padded = url_filter.START * (url_filter.ORDER - 1) + url
+    assert grams.limit(50).collect() == [(padded[i : i + url_filter.ORDER],) for i in range(50)]
+
+
 def test_url_model(spark):
     rng = random.Random(1)
     good = [f"http://k{rng.randrange(99)}.org/fr/garden-{rng.choice(['rose', 'tulip', 'daisy'])}-{k}" for k in range(150)]
@@ -202,13 +236,15 @@ def test_languages(spark, sf):
 # Near duplicates
 
 
+def exact_weights(sets):
+    """Of all shingles, the frequent ones or not."""
+    df = Counter(x for h, _ in sets for x in h.tolist())
+    return near_dedup.Weights(np.array(list(df), np.uint64), near_dedup.inverse_frequencies(np.array(list(df.values())), len(sets)))
+
+
 def brute_classes(texts, threshold=0.8):
-    idf = near_dedup.inverse_frequencies(np.zeros(near_dedup.DF_SLOTS), len(texts))
-    df = np.zeros(near_dedup.DF_SLOTS, np.int64)
     sets = [near_dedup.shingles(t or "") for t in texts]
-    for h, _ in sets:
-        df[np.unique((h & np.uint64(near_dedup.DF_SLOTS - 1)).astype(np.int64))] += 1
-    idf = near_dedup.inverse_frequencies(df, len(texts))
+    idf = exact_weights(sets)
     up = list(range(len(texts)))
 
     def find(x):
@@ -236,7 +272,7 @@ def near_texts():
             for _ in range(edits):
                 c[rng.randrange(len(c))] = rng.choice(words)
             texts.append(" ".join(c))
-    for _ in range(90):  # a bucket that is larger than SMALL
+    for _ in range(90):  # large buckets
         c = list(base[20])
         for _ in range(rng.choice([1, 2, 15])):
             c[rng.randrange(len(c))] = rng.choice(words)
@@ -263,15 +299,67 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r["doc_id"] for r in near_dedup.keep_one(rows).collect()), key=str) == [4, None]
 
 
-def test_prefix_pairs_lose_none(spark):
+def test_near_duplicates_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{k * k % 9973}" for k in range(120_000))
+    texts = [long, long + " end", "start " + long, "x" * 2_000_000, "x" * 2_000_000 + "y", "a b c d e f g", None]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, chosen_id long")
+    for name in ("chosen_key", "id", "key", "label", "rep", "body", "_row", "none", "a.b"):
+        df = df.withColumn(name, F.lit(name))
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert {(r["doc_id"], r["chosen_id"], r["a.b"], r["_row"]) for r in kept.collect()} == {(k, k, "a.b", "_row") for k in (0, 3, 4, 5, 6)}
+
+
+def test_shingles_are_runs_of_words():
+    texts = ["a b", " a  b\tc d\ne\x0bf ", "é ü ö ß ø é ü ö ß ø é", "", "x", " ".join(str(k % 7) for k in range(90_000))]
+    got = []
+    for at, h, each in near_dedup.shingle_runs(pa.array([*texts, None])):
+        assert at == len(got)
+        got += np.split(h, np.cumsum(each)[:-1])
+    names = {}
+    for t, h in zip([*texts, ""], got, strict=True):
+        words = t.split()
+        n = min(5, len(words))
+        runs = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if words else []
+        assert len(runs) == len(h)
+        assert all(names.setdefault(r, x) == x for r, x in zip(runs, h.tolist(), strict=True))
+    assert len(set(names.values())) == len(names)
+
+
+def test_frequent_shingles_are_exact(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None]
+    got = near_dedup.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text", len(texts))
+    df = Counter(x for t in texts for x in near_dedup.shingles(t or "")[0].tolist())
+    least = near_dedup.common_df(len(texts))
+    some = sorted(h for h, n in df.items() if n > least)
+    assert got.h.tolist() == some and len(some) < len(df)
+    assert got.idf.tolist() == pytest.approx([float(near_dedup.inverse_frequencies(np.array([df[h]]), len(texts))[0]) for h in some])
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_blocks_lose_none(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dedup, "BLOCK", size)
     texts = near_texts()[:140]
-    idf = near_dedup.inverse_frequencies(np.zeros(near_dedup.DF_SLOTS), len(texts))
-    names = [bytes([k]) for k in range(len(texts))]
-    df = spark.createDataFrame([(bytearray(n), bytearray(n), t) for n, t in zip(names, texts)], "rep binary, label binary, body string")
-    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup._prefix_pairs(df, idf, 5, 0.8).collect()}
     sets = [near_dedup.shingles(t) for t in texts]
-    links = {(names[j], names[i]) for i in range(len(texts)) for j in range(i) if near_dedup.weighted_jaccard(sets[i], sets[j], idf) >= 0.8}
-    assert links and links <= got and len(got) < len(texts) ** 2 / 4
+    weights = exact_weights(sets)
+    names = [bytes([k]) for k in range(len(texts))]
+    bands = [(1, 10 + k % 2) for k in range(len(texts))]
+    df = spark.createDataFrame([(bytearray(n), bytearray(n), t, list(b)) for n, t, b in zip(names, texts, bands)], "rep binary, label binary, body string, buckets array<long>")
+    members = df.select(F.explode("buckets").alias("bucket"), "rep", "label", "buckets")
+    links = near_dedup.block_links(members, df.select("rep", "body"), weights, 5, 0.8).collect()
+    similar = lambda i, j: near_dedup.weighted_jaccard(sets[i], sets[j], weights) >= 0.8
+    assert links and all(similar(r["a"][0], r["b"][0]) for r in links)
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in links:
+        up[find(r["a"][0])] = find(r["b"][0])
+    assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if similar(i, j))
 
 
 def test_components(spark):
@@ -322,8 +410,35 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_clashing_names(spark):
+    rng = np.random.default_rng(9)
+    rows = [(7, [1.0, 2.0])] * 3000 + [(k, [float(x) for x in rng.normal(size=2)]) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    for name in ("c", "dim", "kind", "vec", "cutoff", "asks", "rank"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = topk.top_k(df, F.col("vec_id") == 0).collect()
+    mine = [math.floor(1024 * float(np.float32(x))) for x in rows[3000][1]]
+    want = sorted((-sum(a * math.floor(1024 * float(np.float32(b))) for a, b in zip(mine, v)), i) for i, v in rows if i)[:10]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_cutoffs_save_scores():
+    rng = np.random.default_rng(10)
+    c, q, k = np.floor(rng.normal(size=(4000, 16)) * 256), np.floor(rng.normal(size=(20, 16)) * 256), 10
+    parts, others = topk.list_parts(q, c, 4), rng.random((20, 4000)) < 0.99
+    whole = np.where(others, q @ c.T, -np.inf)
+    gathered = topk.gather(parts, others, k)
+    cutoffs = np.array([np.sort(topk.resolve(parts, j, at))[-k] for j, at in enumerate(gathered)])
+    places = topk.sufficient(parts, others, cutoffs, topk.list_norms(q, 4), topk.list_norms(c, 4))
+    for j in range(20):
+        assert len(gathered[j]) <= 4 * k and set(np.argsort(-whole[j], kind="stable")[:k]) <= set(places[j])
+        assert (topk.resolve(parts, j, places[j]) == whole[j, places[j]]).all()
+    share = sum(map(len, places)) / others.sum()  # of the scores, so many are resolved
+    assert share < 0.4, share
+
+
 def test_top_k_beyond_doubles(spark):
-    rows = [(0, [1e13, 1.0]), (1, [1e3, 3.0]), (2, [1e3, 2.0]), (3, [1e200, 0.0])]
+    rows = [(0, [1e13, 1.0]), (1, [1e3, 3.0]), (2, [1e3, 2.0]), (3, [1e200, 0.0]), (4, [1e307, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
     # All three scores are beyond a long, so they are cut to its end and tie.
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 2**63 - 1), (2, 2, 2**63 - 1)]

@@ -2,7 +2,8 @@
 
 import hashlib
 import random
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -32,7 +33,7 @@ def brute_lines(docs):
     for n, (i, t) in enumerate(docs):
         for x in (t or "").split("\n"):
             if len(line_key(x)) >= 20:
-                holders[line_key(x)].add((n, i))
+                holders[line_key(x)].add((n if i is None else -1, i))  # rows of an id are one document
     keep = {k: max((i for _, i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= 3}
     out = []
     for i, t in docs:
@@ -59,6 +60,15 @@ def test_line_dedup_odd_tables(spark):
     assert line_dedup.dedup_lines(clash).collect()[0].asDict() == {"doc_id": 0, "text": "a\nb", "rk": "r", "body": "b", "n_lines": 2, "n_dropped": 0}
 
 
+def test_long_documents_cost_in_proportion(spark):
+    lines = [f"the line of number {k} of this document" for k in range(100_000)]
+    docs = frame(spark, ["\n".join(lines)] * 3)
+    start = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["size"]) for r in line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.length("text").alias("size")).collect()}
+    assert got == {0: (100_000, 100_000, 0), 1: (100_000, 100_000, 0), 2: (100_000, 0, len("\n".join(lines)))}
+    assert time.time() - start < 90  # a text that is split for each of its lines takes hours
+
+
 # Fingerprints
 
 
@@ -91,6 +101,22 @@ def test_edits_of_ties_and_nulls(spark):
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and alone["near_next"] == 1.0
 
 
+def test_edits_of_hot_ids_and_rows(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, None, 5, k, 2**60 + k % 3]), rng.choice(["", "same text", "same text", f"text {k}", f"another one {k % 20}"])) for k in range(600)]
+    rows += [(2**60 + 1, "big")] * 300 + [(None, "same text")] * 900
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5)
+    got = fingerprint.fingerprint_edits(df.withColumn("times", F.lit(1)).withColumn("bucket", F.lit("clash")))
+    assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 2
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]], r[1]))
+    want = Counter()
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[(i, hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest(), t == n)] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"], r["near_next"] == 1) for r in got.collect()) == want
+
+
 def test_likeness_follows_the_text():
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcdefghij "), 4000))
@@ -253,3 +279,12 @@ def test_packing(spark):
     assert packing.pack_best_fit(df.limit(0)).count() == 0
     same = spark.createDataFrame([(None, "a", None)] * 3, "doc_id long, text string, source string")
     assert len({(r["shard"], r["bin"]) for r in packing.pack_best_fit(same).collect()}) == 3
+
+
+def test_packing_of_many_equal_rows(spark):
+    same = spark.range(0, 20_000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a text").alias("text"), F.lit("s").alias("source"))
+    for name in ("shard", "part", "nth", "n", "cluster", "id"):
+        same = same.withColumn(name, F.lit("clash"))
+    got = packing.pack_best_fit(same, shard_rows=500)
+    assert got.select("shard", "bin").distinct().count() == 20_000
+    assert got.groupBy("shard").count().agg(F.max("count")).first()[0] < 1000
