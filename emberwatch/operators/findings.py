@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import scoring as S
+from emberwatch.sources.shared import cut
 
 # How much a rule matters, by kind of activity; rules that are not listed weigh UNKNOWN_RULE.
 WEIGHTS = {
@@ -121,6 +122,7 @@ def fix_queue(findings: DataFrame) -> DataFrame:
 
 def ranked(fixes: DataFrame) -> DataFrame:
     """By falling risk, then key, with `queue_rank`. There are few fixes: a row a remediation key."""
+    fixes = cut(fixes)  # read twice
     # Ranks are counted from the risks above (101 values), so only rows of equal risk are ordered among each other.
     above = fixes.groupBy("risk").agg(F.count("*").alias("same")).withColumn("above", F.coalesce(F.sum("same").over(Window.orderBy(F.desc("risk")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("risk").orderBy("remediation_key"))

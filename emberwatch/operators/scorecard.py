@@ -120,20 +120,29 @@ def idle_false_positives(baseline: DataFrame) -> DataFrame:
     return baseline.agg(F.count_if(F.size("rules") > 0).alias("false_positives"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
 
 
-def peer_label(agent: Column, alert: Column) -> Column:
-    """Name of a raw alert's rule: agent and rule id, or a question mark; null for an agent that isn't known."""
-    own = F.when(agent == "wazuh", F.get_json_object(alert, "$.rule.id")).when(agent == "falco", F.get_json_object(alert, "$.rule"))
-    return F.when(agent.isin("wazuh", "falco"), F.concat(agent, F.lit(":"), F.coalesce(own, F.lit("?"))))
-
-
 def case_matrix(verdicts: DataFrame) -> DataFrame:
     """Cases by technique and verdict, with the rules of other techniques that fired."""
     fp = F.array_sort(F.array_distinct(F.flatten(F.collect_set("fp_rules"))))
     return verdicts.groupBy("technique", "tier", "verdict").agg(F.count("*").alias("cases"), F.min("latency_ms").alias("fastest_ms"), fp.alias("fp_rules"))
 
 
+#: How to read other agents' raw alerts, by agent: the techniques (a JSON array) and the rule's name. More are added here.
+PEERS = {"wazuh": ("$.rule.mitre.id", "$.rule.id"), "falco": ("$.tags", "$.rule")}
+
+
+def _of_peer(agent: Column, of) -> Column:
+    out = F.lit(None)
+    for name, paths in PEERS.items():
+        out = F.when(agent == name, of(*paths)).otherwise(out)
+    return out
+
+
+def peer_label(agent: Column, alert: Column) -> Column:
+    """Name of a raw alert's rule: agent and rule id, or a question mark; null for an agent that isn't known."""
+    return _of_peer(agent, lambda _, rule: F.concat(agent, F.lit(":"), F.coalesce(F.get_json_object(alert, rule), F.lit("?"))))
+
+
 def peer_techniques(agent: Column, alert: Column) -> Column:
-    """Techniques of a raw alert: Wazuh's `rule.mitre.id`, Falco's `tags`, by the shape of their ids."""
-    ids = F.from_json(F.get_json_object(alert, "$.rule.mitre.id"), "array<string>")
-    tags = F.from_json(F.get_json_object(alert, "$.tags"), "array<string>")
-    return F.filter(F.coalesce(F.when(agent == "wazuh", ids).when(agent == "falco", tags), F.array().cast("array<string>")), lambda t: t.rlike(r"\AT[0-9]+(\.[0-9]+)*\z"))
+    """Techniques of a raw alert, by the shape of their ids; none for an agent that isn't known."""
+    found = _of_peer(agent, lambda techniques, _: F.from_json(F.get_json_object(alert, techniques), "array<string>"))
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: t.rlike(r"\AT[0-9]+(\.[0-9]+)*\z"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +52,25 @@ def _rules_sql(name: str, *more: str) -> str:
 CAST(coalesce(list_max(list_transform(rules, lambda r: CASE r {levels} ELSE 1 END)), 1) AS INTEGER) AS severity_id FROM {name}"""
 
 
+class Detector(NamedTuple):
+    """A detector: sensor events to records with `hits`, its records' class, and records to findings. More are added to
+    DETECTORS by name."""
+
+    class_uid: int
+    records: Callable[[DataFrame], DataFrame]
+    findings: Callable[[DataFrame], DataFrame]
+
+
+DETECTORS = {
+    "process": Detector(1007, process_records, O.process_findings),
+    "network": Detector(4001, network_records, O.network_findings),
+    "file": Detector(1001, file_records, O.file_findings),
+}
+
+
 def all_findings(events: DataFrame) -> DataFrame:
-    """Findings of the three single-sensor classes. Sources are unioned before the shuffle by identity."""
-    parts = [O.process_findings(process_records(events)), O.network_findings(network_records(events)), O.file_findings(file_records(events))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Findings of all detectors of single events."""
+    return reduce(DataFrame.unionByName, [d.findings(d.records(events)) for d in DETECTORS.values()])
 
 
 def process_findings(spark, sf):

@@ -194,10 +194,9 @@ def fix_verification(spark, sf):
 # Activity reports.
 def activity_by_day(spark, sf):
     e = sensor_events(spark, sf)
-    hits = [(D.process_records(e), "process"), (D.network_records(e), "network"), (D.file_records(e), "file")]
     r = None
-    for records, name in hits:
-        p = records.where(F.size("hits") > 0).select("ts", F.lit(name).alias("category"))
+    for name, detector in D.DETECTORS.items():
+        p = detector.records(e).where(F.size("hits") > 0).select("ts", F.lit(name).alias("category"))
         r = p if r is None else r.unionByName(p)
     day = F.window(F.timestamp_millis("ts"), "1 day")
     return r.groupBy(day.alias("w"), "category").agg(F.count("*").alias("detections")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "category", "detections")

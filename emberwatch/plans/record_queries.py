@@ -71,7 +71,7 @@ def envelopes(spark: SparkSession, sf: str) -> DataFrame:
     """Records of all classes, as a host's agent would write them."""
     e = sensor_events(spark, sf)
     level = R.severity(F.col("hits"))
-    out = [C.activity_envelopes(records, uid, level) for uid, records in ((1007, D.process_records(e)), (4001, D.network_records(e)), (1001, D.file_records(e)))]
+    out = [C.activity_envelopes(d.records(e), d.class_uid, level) for d in D.DETECTORS.values()]
     out.append(C.activity_envelopes(D.correlation_records(e), 9002, F.lit(4)))
     snap, now = PR.snapshots(spark, sf), F.lit(5)
     out.append(C.posture_envelopes(P.evaluate_controls(snap), 2003, now))
