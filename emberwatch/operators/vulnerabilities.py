@@ -83,12 +83,16 @@ def display_name(name: Column) -> Column:
 
 
 def nvd_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Installed products (source `registry`) whose name contains an alias, in a range that has a bound. Aliases have no
-    key to join by: each distinct name meets the aliases once, then versions join back by name."""
+    """Installed products (source `registry`) whose name contains an alias, in a range that has a bound. Each
+    distinct name meets the aliases whose first three characters it holds (aliases of fewer meet all names), then versions
+    join back by name."""
     a = advisories.select("id", "product", F.explode("aliases").alias("alias"), "ranges")
+    a = a.withColumn("alias", F.lower("alias")).withColumn("gram", F.when(F.length("alias") >= 3, F.substring("alias", 1, 3)).otherwise(""))
     mine = components.where("source = 'registry'")
     names = mine.select("name").distinct().withColumn("shown", display_name(F.col("name")))
-    named = names.join(a, F.col("shown").contains(F.lower("alias"))).select("name", "id", "product", "ranges").dropDuplicates(["name", "id"])
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("shown") - 2, F.lit(1))), lambda i: F.substring("shown", i, 3))
+    names = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))))
+    named = names.join(a, "gram").where(F.col("shown").contains(F.col("alias"))).select("name", "id", "product", "ranges").dropDuplicates(["name", "id"])
     key = semver_key(F.col("version"))
 
     def inside(r: Column) -> Column:

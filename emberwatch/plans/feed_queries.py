@@ -72,6 +72,18 @@ def feed_advisories(spark, sf):
     return a.groupBy("name", "family").agg(F.count("*").alias("advisories"), F.min(V.first_fixed(F.col("ranges"))).alias("fixed"))
 
 
+def feed_integrity(spark, sf):
+    """Files of a feed, one a nation, against a manifest in which some digests are wrong and some names are missing."""
+    folder = scratch(spark, "bundle")
+    n = table(spark, sf, "nation").select(F.concat(_key("n_nationkey"), F.lit(" "), F.col("n_name")).alias("value"))
+    n.coalesce(1).write.option("maxRecordsPerFile", 1).text(folder)
+    f = spark.read.text(folder, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), "value")
+    k, digest = F.split_part("value", F.lit(" "), F.lit(1)).cast("int"), F.sha2(F.encode("value", "UTF-8"), 256)
+    m = f.where(k % 5 != 4).select("name", F.when(k % 5 == 1, "00").otherwise(F.upper(digest)).alias("sha256"))
+    gone = f.where(k % 5 == 4).select(F.concat(F.lit("lost-"), "name").alias("name"), F.lit("00").alias("sha256"))
+    return feeds.feed_violations(spark, folder, m.unionByName(gone)).groupBy("violation").agg(F.count("*").alias("files"))
+
+
 def windows_advisories(spark, sf):
     """Products of Windows bundles: with a tier and a date, and bare."""
     root = scratch(spark, "windows")
@@ -270,6 +282,7 @@ def health_by_day(spark, sf):
 QUERIES = {
     "feed_scores": feed_scores,
     "feed_advisories": feed_advisories,
+    "feed_integrity": feed_integrity,
     "windows_advisories": windows_advisories,
     "package_libraries": package_libraries,
     "vulnerability_context": vulnerability_context,
@@ -303,6 +316,7 @@ d AS (SELECT *, CASE WHEN want IS NULL THEN 'GAP' WHEN miss THEN CASE WHEN hit T
 SQL = {
     "feed_scores": _FEED,
     "feed_advisories": "SELECT 'pkg-' || p_size AS name, 'debian' AS family, count(*) AS advisories, '2' AS fixed FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1",
+    "feed_integrity": "SELECT violation, count(*) AS files FROM (SELECT unnest(CASE n_nationkey % 5 WHEN 1 THEN ['changed'] WHEN 4 THEN ['missing', 'unlisted'] ELSE [] END) AS violation FROM nation) v GROUP BY 1",
     "windows_advisories": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'licensed' ELSE 'community' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'd' END AS snapshot_date, 'putty ' || s_nationkey AS alias, 'P' || s_nationkey AS product, count(*) AS advisories FROM supplier GROUP BY 1, 2, 3, 4",
     "package_libraries": "WITH s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey % 2 AS odd, s_nationkey AS n FROM supplier) SELECT asset_id, 'ssl' || n AS name, '/usr/lib/liba.so,/usr/lib/libssl.so.3' AS libraries FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'zed' || n, '/opt/z.DYLIB' FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'libc' || n, '/lib/libc.so.6,/lib/x.dll' FROM s WHERE odd = 1",
     "vulnerability_context": f"{_CONTEXT} SELECT finding_id, risk, decision, status, runtime_reachable, CAST(sources AS INTEGER) AS sources, CAST(7 AS BIGINT) AS first_seen FROM findings",
