@@ -82,7 +82,8 @@ def read_nvd(spark: SparkSession, path: str) -> DataFrame:
 
 def read_epss(spark: SparkSession, path: str) -> DataFrame:
     """(vuln_id, epss, percentile) of CSV lines. Blank lines, comments and the header are skipped wherever they stand; a
-    line of fewer columns or without numbers fails; the last line of a vulnerability counts."""
+    line of fewer columns or without numbers fails; the last line of a vulnerability counts. A file is read as one text,
+    since its lines have an order; score feeds have some ten megabytes."""
     l = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
     l = l.where("line <> '' AND NOT startswith(line, '#')").withColumn("c", F.transform(F.split("line", ","), lambda x: F.trim(x))).where(F.lower(F.get("c", 0)) != "cve")
     value = lambda k: F.get("c", k).try_cast("double")
