@@ -468,6 +468,35 @@ def test_pipeline(spark, sf):
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, third.collect()))
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table gives no rows; columns of other names pass through, and repeated rows stay once."""
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
+    rows = [(k, f"some words of the document number {k} in English " * 3, "en", "s", 0) for k in range(20)] * 2 + [(None, "only one without an id but with words", "en", None, 0)]
+    docs = spark.createDataFrame(rows, schema)
+    for name in ("score", "lang_pred", "id", "key", "bin", "rest", "body", "has_letter"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for _, stage in c.STAGES[:3]:
+        before, docs = docs, stage(spark, docs, "")
+        assert docs.columns == before.columns and docs.where("rest <> 'clash' OR score <> 'clash'").count() == 0
+    assert sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=str) == sorted([*range(20), None], key=str)
+    packed = c.STAGES[3][1](spark, docs, "")
+    assert packed.groupBy("bin", "shard").agg(F.count("*").alias("n")).where("n > 2").count() == 0  # one source each, or none
+
+
+def test_repeated_and_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGS", 2)
+    rows = [(k, t, g) for k in range(40) for t, g in (("the cat and the hat of the man", "en"), ("der Hund und die Katze des Mannes", "de"))] + [(k, "xyz abc", f"odd-{k}") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    langs, net = language_id.learn(docs)
+    assert langs == ["de", "en"] and 0.5 < net.floor < 1
+    got = language_id.predict_languages(docs, langs, net)
+    assert got.count() == len(rows) * 2 and {r["lang_pred"] for r in got.where("lang = 'en'").collect()} == {"en"}
+
+
 def test_pipeline_without_labels(spark):
     """With no usable label nothing is learned; documents with letters stay."""
     import corpus_pipeline as c

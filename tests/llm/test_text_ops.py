@@ -189,13 +189,29 @@ def test_unigram(spark, sf):
     assert bytes_too
     vocab = [("<unk>", 0.0), *[(f"<0x{k:02X}>", 0.0) for k in range(256)], *pieces]
     theirs = Tokenizer(models.Unigram(vocab, 0, True))
-    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(100).collect()] + [t for t in ODD if t is None or len(t) < 1000]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ODD
     got = {r["doc_id"]: r["n_tokens"] for r in unigram.count_tokens(frame(spark, texts), public.path("piece_bpe_32k.model")).collect()}
     for k, t in enumerate(texts):
         marked = "▁" + t.replace(" ", "▁") if t else ""
         assert got[k] == len(theirs.encode(marked, add_special_tokens=False).ids), t
 
 
+def test_odd_rows_of_token_operators(spark):
+    """Null ids, repeated rows, clashing names and empty tables, for both token operators."""
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("n_tokens", "ids", "decoded", "id", "body"):
+        df = df.withColumn(name, F.lit("clash"))
+    piece, ranks = public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.tiktoken")
+    counted = unigram.count_tokens(df, piece).collect()
+    coded = bpe.encode_documents(df, ranks, public.PATTERN).collect()
+    for got in (counted, coded):
+        assert sorted((r["doc_id"] for r in got), key=str) == [1, 1, 2, None]
+        n = {r["doc_id"]: r["n_tokens"] for r in got}
+        assert n[2] == 0 and n[None] == n[1] > 0
+    assert unigram.count_tokens(df.limit(0), piece).count() == 0
+
+
 def test_unigram_ties_and_brute_force():
     rng = random.Random(7)
     pieces = [("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("▁a", -3.0), ("ba", -3.0), ("aab", -5.0), ("▁▁", -1.0)]
