@@ -30,9 +30,9 @@ COMMON, DAMP, LEAST_DF = 0.01, 0.2, 8
 #: rare shingles put (distinct shingles of a mean document / SLOTS) of the documents in a slot, whatever the corpus.
 SLOTS = 1 << 18
 #: Rounds of leaders, and the bounds of a block: texts (on average; a hash deals them) and bytes of their shingles.
-LEADERS, BLOCK, BLOCK_BYTES = 2, 256, 8 << 20
-#: Bytes of text, and shingles, that are worked on at once.
-CHUNK, CELL = 1 << 18, 1 << 13
+LEADERS, BLOCK, BLOCK_BYTES = 2, 1024, 8 << 20
+#: Bytes of text, shingles, and rows of a batch that are worked on at once.
+CHUNK, CELL, SLICE = 1 << 18, 1 << 13, 500
 _LEVELS = 1 << 16
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64)
@@ -311,7 +311,7 @@ def _signatures(weights: Weights, words: int, bands: int, rows: int):
     def run(batches):
         sampler, met = Sampler(bands * rows), Recent(1 << 16)
         band = np.arange(1, bands + 1, dtype=np.uint64)
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             new = []
             for i, rep in enumerate(batch.column(0).to_pylist()):
                 if rep not in met and met.recall(rep) is None:
