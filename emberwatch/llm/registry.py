@@ -1,6 +1,6 @@
-"""The ten operators' queries by name, and the SQL of those that SQL can express."""
+"""The operators' queries by name, and the SQL of those that SQL can express."""
 
-from emberwatch.llm import bpe, fingerprint, language_id, line_dedup, near_dedup, packing, topk, unigram, url_filter, warc
+from emberwatch.llm import bpe, fill_middle, filter_audit, fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, topk, unigram, url_filter, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,5 +13,15 @@ QUERIES = {
     "op8_token_counts": unigram.op8_token_counts,
     "op9_language_id": language_id.op9_language_id,
     "op10_top_k": topk.op10_top_k,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_license_scan": license_scan.op13_license_scan,
+}
+SQL = {
+    "op3_warc": warc.SQL,
+    "op4_line_dedup": line_dedup.SQL,
+    "op10_top_k": topk.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_fill_middle": fill_middle.SQL,
+    "op13_license_scan": license_scan.SQL,
 }
-SQL = {"op3_warc": warc.SQL, "op4_line_dedup": line_dedup.SQL, "op10_top_k": topk.SQL}
