@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,11 +33,20 @@ def tool_basename(image: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(image, r"([^\\/]*)\z", 1)), r"(?<=.)\.(py|js|mjs|cjs|exe)\z", "")
 
 
+def _catalog() -> dict[str, str]:
+    """Tools by name, and by the cut-off form of longer names; of equal ones the catalog's first."""
+    out: dict[str, str] = {}
+    for tool, name in TOOLS:
+        for key in (name, name[:COMM]) if len(name) > COMM else (name,):
+            out.setdefault(key, tool)
+    return out
+
+
 def tool_of(image: Column) -> Column:
-    """The catalog's first tool of that name, or of which the name is a cut-off form; null for none."""
-    base = tool_basename(image)
-    tries = [F.when((base == name) | ((F.length(base) == COMM) & F.lit(name[:COMM] if len(name) > COMM else "").eqNullSafe(base)), tool) for tool, name in TOOLS]
-    return F.when(base != "", reduce(lambda a, b: F.coalesce(a, b), tries))
+    """The catalog's first tool of that name, or of which the name is a cut-off form; null for none. The name is worked out
+    once, and looked up."""
+    names = F.create_map(*[F.lit(x) for pair in _catalog().items() for x in pair])
+    return F.try_element_at(names, tool_basename(image))
 
 
 def tool_in_cmdline(cmdline: Column) -> Column:

@@ -37,21 +37,22 @@ def exit_lifetimes(events: DataFrame) -> DataFrame:
     return e.withColumns({"hits": hits, "severity_id": F.greatest(own, F.when(short, 3).otherwise(1)).cast("short")})
 
 
-def attribute(events: DataFrame, kinds: list[str]) -> DataFrame:
-    """Events of `kinds` with the exec that explains them: `ctx` (event_id, ts, image), null where there is none.
+def attribute(events: DataFrame, kinds: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Events of `kinds` with the exec that explains them: `ctx` (event_id, ts, image, and the exec's columns of `carry`),
+    null where there is none.
 
     The latest exec at or before the event counts, unless its process exited EXIT_GRACE or longer before the event;
-    else the first exec within LATE_EXEC after it.
+    else the first exec within LATE_EXEC after it. Events without a pid are left out.
     """
-    rows = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", *kinds))
-    exec_ = F.when(F.col("kind") == "ProcessExec", F.struct("event_id", "ts", "image"))
+    rows = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", *kinds) & F.col("pid").isNotNull())
+    exec_ = F.when(F.col("kind") == "ProcessExec", F.struct("event_id", "ts", "image", *carry))
     exit_ts = F.when(F.col("kind") == "ProcessExit", F.col("ts"))
     past = _order().rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("asset_id", "pid").orderBy("ts").rangeBetween(1, LATE_EXEC - 1)
     w = rows.withColumns({"e": exec_, "x": exit_ts}).withColumns({"back": F.last("e", True).over(past), "last_exit": F.last("x", True).over(past), "ahead": F.first("e", True).over(later)})
     ended = F.col("last_exit").isNotNull() & (F.col("last_exit") >= F.col("back.ts")) & (F.col("ts") - F.col("last_exit") >= EXIT_GRACE)
     ctx = F.when(F.col("back").isNotNull() & ~ended, F.col("back")).otherwise(F.col("ahead"))
-    return w.where(F.col("kind").isin(*kinds)).withColumn("ctx", ctx).drop("e", "x", "back", "last_exit", "ahead")
+    return w.where(F.col("kind").isin(*kinds)).withColumn("ctx", ctx).drop("e", "x", "back", "last_exit", "ahead", *carry)
 
 
 def same_instance(image: Column, context_image: Column) -> Column:
@@ -73,14 +74,30 @@ def event_severity() -> Column:
     return F.when(connect, R.network_severity(F.col("daddr"), F.col("dport"))).when(write & flagged_path(), F.when(hit(True), 4).otherwise(1)).when(read & flagged_path(), F.when(hit(False), 3).otherwise(1)).otherwise(1)
 
 
+def with_inherited(events: DataFrame) -> DataFrame:
+    """Adds `effective` and `suspicious_ancestor` to execs, see ancestry(); null on other events. Only execs are joined, each
+    by its own id, so a long-lived parent is no hot key, and what follows carries an exec's severity along with its image."""
+    is_exec = F.col("kind") == "ProcessExec"
+    known = ancestry(events).select("asset_id", "event_id", "effective", "suspicious_ancestor")
+    execs = events.where(is_exec).join(known, ["asset_id", "event_id"], "left").select(*events.columns, "effective", "suspicious_ancestor")
+    others = events.where(~is_exec).withColumns({"effective": F.lit(None).cast("short"), "suspicious_ancestor": F.lit(None).cast("boolean")})
+    return execs.unionByName(others)
+
+
 def correlated(events: DataFrame) -> DataFrame:
-    """Connections, watched writes and sensitive reads with their process, severities and combined rule."""
-    at = attribute(events, ["NetConnect", "FileWrite", "FileOpen"])
-    process = F.when(F.col("ctx").isNull() | same_instance(F.col("image"), F.col("ctx.image")), F.col("ctx.image")).otherwise(F.col("image"))
+    """Connections, watched writes and sensitive reads with their process, severities and combined rule.
+
+    A process is as suspicious as the most suspicious of its image and its ancestors, so a harmless child of a suspicious
+    parent makes the rules fire, and chains cross forks and execs. `inherited` tells that an ancestor was suspicious. An
+    event whose own image names another instance than the context counts by that image alone."""
+    at = attribute(with_inherited(events), ["NetConnect", "FileWrite", "FileOpen"], ("effective", "suspicious_ancestor"))
+    same = F.coalesce(F.col("ctx").isNotNull() & same_instance(F.col("image"), F.col("ctx.image")), F.lit(False))
+    process = F.when(F.col("ctx").isNull() | same, F.col("ctx.image")).otherwise(F.col("image"))
     connect, write, read = (F.col("kind") == k for k in ("NetConnect", "FileWrite", "FileOpen"))
     flagged, own = flagged_path(), event_severity()
-    out = at.withColumns({"attributed": F.col("ctx").isNotNull(), "process": process, "event_severity": own.cast("short"), "exec_id": F.col("ctx.event_id")})
-    out = out.withColumn("process_severity", F.when(F.col("attributed"), R.image_severity(F.col("process"))).otherwise(1).cast("short"))
+    severity = F.when(same, F.col("ctx.effective")).when(F.col("ctx").isNotNull(), R.image_severity(F.col("image"))).otherwise(1)
+    inherited = same & F.coalesce("ctx.suspicious_ancestor", F.lit(False))
+    out = at.withColumns({"attributed": F.col("ctx").isNotNull(), "process": process, "process_severity": severity.cast("short"), "inherited": inherited, "event_severity": own.cast("short"), "exec_id": F.col("ctx.event_id")})
     both = (F.col("process_severity") > 1) & (F.col("event_severity") > 1)
     rule = F.when(both & connect, "suspicious_process_suspicious_connection").when(both & write, "suspicious_process_suspicious_file_write")
     out = out.withColumns({"rule": rule, "severity_id": F.when(rule.isNotNull(), 4).otherwise(F.greatest("process_severity", "event_severity")).cast("short")})

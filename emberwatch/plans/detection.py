@@ -114,20 +114,35 @@ CONTEXT = """ctx AS (
 picked AS (SELECT c.*, CASE WHEN b.event_id IS NOT NULL AND NOT (coalesce(c.last_exit >= b.ts, false) AND c.ts - c.last_exit >= 5000) THEN c.back ELSE c.ahead END AS exec_id
   FROM ctx c LEFT JOIN sensor_events b ON c.back = b.event_id),
 named AS (SELECT p.event_id, p.asset_id, p.pid, p.ts, p.kind, p.daddr, p.dport, p.path, p.exec_id, x.image AS ctx_image, p.image AS own_image,
-    CASE WHEN x.image IS NULL OR starts_with(regexp_extract(x.image, '[^/]*$'), regexp_extract(p.image, '[^/]*$')) THEN x.image ELSE p.image END AS image
+    CASE WHEN x.image IS NULL OR starts_with(regexp_extract(x.image, '[^/]*$'), regexp_extract(p.image, '[^/]*$')) THEN x.image ELSE p.image END AS image,
+    coalesce(starts_with(regexp_extract(x.image, '[^/]*$'), regexp_extract(p.image, '[^/]*$')), false) AS same
   FROM picked p LEFT JOIN sensor_events x ON p.exec_id = x.event_id)"""
 
-CORRELATED = f"""{CONTEXT},
-judged AS (SELECT *, exec_id IS NOT NULL AS attributed, CASE WHEN exec_id IS NOT NULL THEN {Q.IMAGE_SEVERITY} ELSE 1 END AS process_severity,
-    CASE WHEN kind = 'NetConnect' THEN {Q.NETWORK_SEVERITY} WHEN NOT {Q.WATCHED} THEN 1 WHEN len({Q.FILE_RULES}) = 0 THEN 1 WHEN kind = 'FileWrite' THEN 4 ELSE 3 END AS event_severity FROM named),
-correlated AS (SELECT event_id, asset_id, pid, ts, kind, daddr, dport, path, exec_id, attributed, image AS process, process_severity, event_severity,
+PARENTS = f"""parents AS (
+  SELECT e.asset_id, e.event_id, e.ts, {Q.IMAGE_SEVERITY} AS own,
+    (SELECT max_by(x.event_id, (x.ts, x.event_id)) FROM sensor_events x WHERE x.kind = 'ProcessExec' AND x.asset_id = e.asset_id AND x.pid = e.ppid AND (x.ts, x.event_id) < (e.ts, e.event_id)) AS back,
+    (SELECT max(x.ts) FROM sensor_events x WHERE x.kind = 'ProcessExit' AND x.asset_id = e.asset_id AND x.pid = e.ppid AND (x.ts, x.event_id) < (e.ts, e.event_id)) AS last_exit
+  FROM sensor_events e WHERE kind = 'ProcessExec'),
+edges AS (SELECT p.asset_id, p.event_id, p.own, CASE WHEN coalesce(p.last_exit >= b.ts, false) AND p.ts - p.last_exit >= 5000 THEN NULL ELSE p.back END AS parent_id
+  FROM parents p LEFT JOIN sensor_events b ON p.back = b.event_id),
+up(event_id, node) AS (SELECT event_id, event_id FROM edges UNION SELECT u.event_id, e.parent_id FROM up u JOIN edges e ON u.node = e.event_id WHERE e.parent_id IS NOT NULL),
+eff AS (SELECT u.event_id, max(e.own) AS effective FROM up u JOIN edges e ON u.node = e.event_id GROUP BY u.event_id),
+lineage AS (SELECT e.event_id, f.effective, coalesce(p.effective, 1) > 1 AS suspicious_ancestor FROM edges e JOIN eff f USING (event_id) LEFT JOIN eff p ON e.parent_id = p.event_id)"""
+
+#: With lineages walked up to their roots, so queries that use it are recursive.
+CORRELATED = f"""{PARENTS}, {CONTEXT},
+judged AS (SELECT *, exec_id IS NOT NULL AS attributed, CASE WHEN exec_id IS NULL THEN 1 WHEN same THEN effective ELSE {Q.IMAGE_SEVERITY} END AS process_severity,
+    coalesce(same AND suspicious_ancestor, false) AS inherited,
+    CASE WHEN kind = 'NetConnect' THEN {Q.NETWORK_SEVERITY} WHEN NOT {Q.WATCHED} THEN 1 WHEN len({Q.FILE_RULES}) = 0 THEN 1 WHEN kind = 'FileWrite' THEN 4 ELSE 3 END AS event_severity
+  FROM (SELECT n.*, l.effective, l.suspicious_ancestor FROM named n LEFT JOIN lineage l ON n.exec_id = l.event_id) j),
+correlated AS (SELECT event_id, asset_id, pid, ts, kind, daddr, dport, path, exec_id, attributed, image AS process, process_severity, inherited, event_severity,
     CASE WHEN process_severity > 1 AND event_severity > 1 THEN CASE kind WHEN 'NetConnect' THEN 'suspicious_process_suspicious_connection' WHEN 'FileWrite' THEN 'suspicious_process_suspicious_file_write' END END AS rule
   FROM judged WHERE kind = 'NetConnect' OR (kind = 'FileWrite' AND {Q.WATCHED}) OR (kind = 'FileOpen' AND {Q.WATCHED} AND event_severity > 1 AND attributed))"""
 
 
 def correlated(spark, sf):
     c = J.correlated(sensor_events(spark, sf))
-    return c.select("event_id", "asset_id", "kind", "attributed", "process", "exec_id", F.col("process_severity").cast("int").alias("process_severity"), F.col("event_severity").cast("int").alias("event_severity"), "rule", F.col("severity_id").cast("int").alias("severity_id"))
+    return c.select("event_id", "asset_id", "kind", "attributed", "process", "exec_id", F.col("process_severity").cast("int").alias("process_severity"), "inherited", F.col("event_severity").cast("int").alias("event_severity"), "rule", F.col("severity_id").cast("int").alias("severity_id"))
 
 
 def _chain_sql(first: str, rule: str, needs: bool) -> str:
@@ -171,16 +186,6 @@ def ancestry(spark, sf):
     return a.select("asset_id", "event_id", "parent_id", F.col("own").cast("int").alias("own"), F.col("effective").cast("int").alias("effective"), "suspicious_ancestor")
 
 
-PARENTS = f"""parents AS (
-  SELECT e.asset_id, e.event_id, e.ts, {Q.IMAGE_SEVERITY} AS own,
-    (SELECT max_by(x.event_id, (x.ts, x.event_id)) FROM sensor_events x WHERE x.kind = 'ProcessExec' AND x.asset_id = e.asset_id AND x.pid = e.ppid AND (x.ts, x.event_id) < (e.ts, e.event_id)) AS back,
-    (SELECT max(x.ts) FROM sensor_events x WHERE x.kind = 'ProcessExit' AND x.asset_id = e.asset_id AND x.pid = e.ppid AND (x.ts, x.event_id) < (e.ts, e.event_id)) AS last_exit
-  FROM sensor_events e WHERE kind = 'ProcessExec'),
-edges AS (SELECT p.asset_id, p.event_id, p.own, CASE WHEN coalesce(p.last_exit >= b.ts, false) AND p.ts - p.last_exit >= 5000 THEN NULL ELSE p.back END AS parent_id
-  FROM parents p LEFT JOIN sensor_events b ON p.back = b.event_id),
-up(event_id, node) AS (SELECT event_id, event_id FROM edges UNION SELECT u.event_id, e.parent_id FROM up u JOIN edges e ON u.node = e.event_id WHERE e.parent_id IS NOT NULL),
-eff AS (SELECT u.event_id, max(e.own) AS effective FROM up u JOIN edges e ON u.node = e.event_id GROUP BY u.event_id)"""
-
 QUERIES = {
     "process_rules": _rules(process_records, "image"),
     "network_rules": _rules(network_records, "daddr", "dport"),
@@ -198,7 +203,7 @@ QUERIES = {
     "ancestry": ancestry,
 }
 _F = ", ".join(FINDING)
-_E = f"WITH {SENSOR_EVENTS}"
+_E = f"WITH RECURSIVE {SENSOR_EVENTS}"
 SQL = {
     "process_rules": _rules_sql("process_records", "image"),
     "network_rules": _rules_sql("network_records", "daddr", "dport"),
@@ -209,10 +214,10 @@ SQL = {
     "fix_queue": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes_count, count(DISTINCT asset_id) AS assets_count, count(*) AS findings, row_number() OVER (ORDER BY max(risk) DESC, remediation_key) AS queue_rank FROM findings GROUP BY 1",
     "group_by_fix": f"{_E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)} SELECT remediation_key, max(risk) AS risk, string_agg(DISTINCT vuln_id, ';' ORDER BY vuln_id) AS closes, string_agg(DISTINCT asset_id, ';' ORDER BY asset_id) AS assets FROM findings GROUP BY 1",
     "exit_lifetimes": f"{_E}, {EXITS} SELECT *, CAST(greatest(CASE WHEN matched THEN {Q.IMAGE_SEVERITY} ELSE 1 END, CASE WHEN short_lived THEN 3 ELSE 1 END) AS INTEGER) AS severity_id FROM (SELECT *, coalesce({Q.IMAGE_SEVERITY} > 1 AND lifetime_ms < 500, false) AS short_lived FROM exits) x",
-    "correlated_activity": f"{_E}, {CORRELATED} SELECT event_id, asset_id, kind, attributed, process, exec_id, process_severity, event_severity, rule, CAST(CASE WHEN rule IS NOT NULL THEN 4 ELSE greatest(process_severity, event_severity) END AS INTEGER) AS severity_id FROM correlated",
+    "correlated_activity": f"{_E}, {CORRELATED} SELECT event_id, asset_id, kind, attributed, process, exec_id, process_severity, inherited, event_severity, rule, CAST(CASE WHEN rule IS NOT NULL THEN 4 ELSE greatest(process_severity, event_severity) END AS INTEGER) AS severity_id FROM correlated",
     "dropper_chains": f"{_E}, {CORRELATED}, {_chain_sql(*_DROP)} SELECT * FROM chains",
     "exfil_chains": f"{_E}, {CORRELATED}, {_chain_sql(*_EXFIL)} SELECT * FROM chains",
-    "ancestry": f"WITH RECURSIVE {SENSOR_EVENTS}, {PARENTS} SELECT e.asset_id, e.event_id, e.parent_id, e.own, f.effective, coalesce(p.effective, 1) > 1 AS suspicious_ancestor FROM edges e JOIN eff f USING (event_id) LEFT JOIN eff p ON e.parent_id = p.event_id",
+    "ancestry": f"{_E}, {PARENTS} SELECT e.asset_id, e.event_id, e.parent_id, e.own, f.effective, coalesce(p.effective, 1) > 1 AS suspicious_ancestor FROM edges e JOIN eff f USING (event_id) LEFT JOIN eff p ON e.parent_id = p.event_id",
 }
 _raw = f"SELECT asset_id, 'correlation:' || process || '->' || daddr || ':' || dport AS vuln_id, process AS component, 'correlation' AS location, {Q.weight('correlation')} AS w, '{O.FIXES['correlation']}' AS remediation_key FROM tops"
 SQL["chain_findings"] = (

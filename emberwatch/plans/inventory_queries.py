@@ -18,22 +18,24 @@ _CMDS = ["node /x/claude.js -p", "python3 -m aider", "cursor .", "x", "claude.ex
 
 
 def ai_egress_records(events: DataFrame) -> DataFrame:
-    """Connections of AI tools: by the connecting image, or by the command line of the interpreter that runs as that
-    process (the last exec decides; an exit clears it). One window over a process's rows."""
+    """Connections of AI tools: by the connecting image, or, where that is an interpreter, by the command line of the
+    interpreter that runs as that process (the last exec decides; an exit clears it). One window over a process's rows."""
     w = Window.partitionBy("asset_id", "pid").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     tool = F.when(A.is_interpreter(F.col("image")), A.tool_in_cmdline(F.col("cmdline")))
     mark = F.when(F.col("kind") == "ProcessExec", F.struct(tool.alias("tool"))).when(F.col("kind") == "ProcessExit", F.struct(F.lit(None).cast("string").alias("tool")))
     e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect")).withColumn("mark", mark)
     e = e.withColumn("running", F.last("mark", True).over(w)["tool"]).where("kind = 'NetConnect'")
     own = A.tool_of(F.col("image"))
-    e = e.withColumns({"tool": F.coalesce(own, "running"), "via": F.when(own.isNotNull(), "comm").otherwise("cmdline"), "scope": R.connection_scope(F.col("daddr"))})
+    running = F.when(A.is_interpreter(F.col("image")), F.col("running"))
+    e = e.withColumns({"tool": F.coalesce(own, running), "via": F.when(own.isNotNull(), "comm").otherwise("cmdline"), "scope": R.connection_scope(F.col("daddr"))})
     return e.where("tool IS NOT NULL AND scope IS NOT NULL").withColumn("record", F.when(F.col("scope") == "external", "ai_tool_egress").otherwise("ai_tool_local"))
 
 
 def ai_images(events: DataFrame) -> DataFrame:
-    """Events with images and command lines of AI tools."""
+    """Events with images and command lines of AI tools. A third of the connections are by an interpreter, and a third by
+    another image, which gets no tool even where the process runs one."""
     pick = lambda v, n: F.get(F.array(*[F.lit(x) for x in v]), (F.col("k") % n).cast("int"))
-    return events.withColumns({"image": F.when(F.col("kind") == "NetConnect", F.when(F.col("event_id") % 3 == 0, pick(_IMAGES, 6)).otherwise("/usr/bin/curl")).otherwise(pick(_IMAGES, 6)), "cmdline": pick(_CMDS, 6)})
+    return events.withColumns({"image": F.when(F.col("kind") == "NetConnect", F.when(F.col("event_id") % 3 == 0, pick(_IMAGES, 6)).when(F.col("event_id") % 3 == 1, "node").otherwise("/usr/bin/curl")).otherwise(pick(_IMAGES, 6)), "cmdline": pick(_CMDS, 6)})
 
 
 def ai_egress(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,10 +43,11 @@ def ai_egress(spark: SparkSession, sf: str) -> DataFrame:
     return ai_egress_records(e).groupBy("tool", "via", "scope", "record").agg(F.count("*").alias("connections"), F.countDistinct("asset_id").alias("hosts"))
 
 
-_AI = f"""{_E}, e AS (SELECT event_id, asset_id, pid, ts, kind, daddr, k % 6 AS i, event_id % 3 = 0 AS own FROM sensor_events WHERE kind IN ('ProcessExec', 'ProcessExit', 'NetConnect')),
+_AI = f"""{_E}, e AS (SELECT event_id, asset_id, pid, ts, kind, daddr, k % 6 AS i, event_id % 3 = 0 AS own, event_id % 3 = 1 OR (event_id % 3 = 0 AND k % 6 IN (0, 1)) AS interpreter FROM sensor_events WHERE kind IN ('ProcessExec', 'ProcessExit', 'NetConnect')),
 m AS (SELECT *, CASE kind WHEN 'ProcessExec' THEN CASE i WHEN 0 THEN 'claude-code' WHEN 1 THEN 'aider' ELSE '' END WHEN 'ProcessExit' THEN '' END AS mark FROM e),
-r AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY asset_id, pid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS running FROM m),
-t AS (SELECT *, CASE WHEN own THEN CASE i WHEN 2 THEN 'cursor' WHEN 3 THEN 'github-copilot' WHEN 4 THEN 'claude-code' END END AS mine, CASE WHEN starts_with(daddr, '127.') THEN 'loopback' WHEN {Q.EXTERNAL} THEN 'external' WHEN daddr <> 'not-an-ip' THEN 'private' END AS scope FROM r WHERE kind = 'NetConnect')
+r AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY asset_id, pid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_mark FROM m),
+n AS (SELECT *, CASE WHEN interpreter THEN last_mark END AS running FROM r),
+t AS (SELECT *, CASE WHEN own THEN CASE i WHEN 2 THEN 'cursor' WHEN 3 THEN 'github-copilot' WHEN 4 THEN 'claude-code' END END AS mine, CASE WHEN starts_with(daddr, '127.') THEN 'loopback' WHEN {Q.EXTERNAL} THEN 'external' WHEN daddr <> 'not-an-ip' THEN 'private' END AS scope FROM n WHERE kind = 'NetConnect')
 SELECT coalesce(mine, running) AS tool, CASE WHEN mine IS NOT NULL THEN 'comm' ELSE 'cmdline' END AS via, scope, CASE WHEN scope = 'external' THEN 'ai_tool_egress' ELSE 'ai_tool_local' END AS record, count(*) AS connections, count(DISTINCT asset_id) AS hosts
 FROM t WHERE coalesce(mine, running, '') <> '' AND scope IS NOT NULL GROUP BY 1, 2, 3, 4"""
 

@@ -15,7 +15,7 @@ from emberwatch.plans import detection as D
 from emberwatch.plans import sqltext as Q
 from emberwatch.sources.shared import cut
 
-_E = f"WITH {SENSOR_EVENTS}"
+_E = f"WITH RECURSIVE {SENSOR_EVENTS}"
 
 
 # Snapshots: a host a supplier, its packages from the parts it ships, its settings from its balance.

@@ -20,7 +20,7 @@ from emberwatch.plans import vulnerability as VQ
 from emberwatch.sources import feeds, sinks
 from emberwatch.sources.shared import cut, scratch
 
-_E = f"WITH {SENSOR_EVENTS}"
+_E = f"WITH RECURSIVE {SENSOR_EVENTS}"
 _KINDS = {"signup": 1007, "click": 4001, "purchase": 1001, "error": 9001}
 
 

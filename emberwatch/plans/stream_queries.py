@@ -98,7 +98,7 @@ def stream_ai_tools(spark, sf):
 def stream_correlation(spark, sf):
     """Single records of the stateful correlation."""
     c = _run(spark, S.correlation_stream(_stream(spark, sf)), "correlation").where("record = 'event'")
-    return c.select("event_id", "asset_id", "kind", F.col("exec_id").isNotNull().alias("attributed"), "process", "exec_id", "process_severity", "event_severity", "rule", "severity_id")
+    return c.select("event_id", "asset_id", "kind", F.col("exec_id").isNotNull().alias("attributed"), "process", "exec_id", "process_severity", "inherited", "event_severity", "rule", "severity_id")
 
 
 def stream_chains(spark, sf):
@@ -160,7 +160,7 @@ QUERIES = {
     "stream_daily_activity": stream_daily_activity,
     "stream_findings_state": stream_findings_state,
 }
-_E = f"WITH {SENSOR_EVENTS}"
+_E = f"WITH RECURSIVE {SENSOR_EVENTS}"
 SQL = {
     "stream_process_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM process_records WHERE len(rules) > 0",
     "stream_file_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM file_records",

@@ -1,8 +1,8 @@
 """Structured Streaming: sources, stateless rules, stateful attribution, gates, trends and the findings loop.
 
-Event time is the events' own `ts`. State is keyed by (asset_id, pid), or by the snapshot's key; rows wait in state until
-the watermark has passed what could still change their answer, and are then worked on in event order, so a stream gives
-the rows that the batch operators give for the same events.
+Event time is the events' own `ts`. State is keyed by (asset_id, pid), by the host where lineages matter, or by the
+snapshot's key; rows wait in state until the watermark has passed what could still change their answer, and are then
+worked on in event order, so a stream gives the rows that the batch operators give for the same events.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from emberwatch.sources.sinks import StateTable
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "event_id long, asset_id string, kind string, ts long, pid long, ppid long, image string, cmdline string, image_trusted boolean, daddr string, dport int, proto string, path string"
 ATTRIBUTED = "event_id long, asset_id string, pid long, kind string, ts long, exec_id long, exec_image string"
-CORRELATED = "record string, event_id long, asset_id string, pid long, ts long, kind string, process string, exec_id long, process_severity int, event_severity int, rule string, severity_id int, first_id long, connect_id long"
+CORRELATED = "record string, event_id long, asset_id string, pid long, ts long, kind string, process string, exec_id long, process_severity int, inherited boolean, event_severity int, rule string, severity_id int, first_id long, connect_id long"
 TOOLS = "event_id long, asset_id string, pid long, tool string, via string, scope string, record string"
 LIFETIMES = "event_id long, asset_id string, pid long, image string, lifetime_ms long, matched boolean"
 
@@ -47,51 +47,98 @@ def with_event_time(df: DataFrame, ms: str, delay: str) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_millis(F.col(ms))).withWatermark("event_time", delay)
 
 
+#: How long a process without an event and without an exit is remembered, unless a stream is told otherwise (ms).
+IDLE = 30 * 86_400_000
+
+
 class _Buffered(StatefulProcessor):
-    """Rows wait in a list until the watermark is `wait` ms past them; then `ready` gets them in event order, with what
-    the process has left behind (a dictionary). This is freed when nothing can need it any more: `linger` ms after an
-    exit that no exec has followed, or after `idle` ms without an event."""
+    """Rows wait in state, in buckets of a second of event time, until the watermark is `wait` ms past them; then `ready`
+    gets them in event order. A timer reads the buckets that are due and what stands within `wait` behind them, so waiting
+    rows cost once, however many there are. What a process has left behind is a dictionary by pid. It is freed when nothing
+    can need it any more: `linger` ms after an exit that no exec has followed, or after `idle` ms without an event; from
+    then on the stream answers as if the process had never been seen, unlike the batch operator."""
 
-    wait, linger, idle = 0, 0, 30 * 86_400_000
+    wait, linger, bucket = 0, 0, 1000
     fields = "event_id long, kind string, ts long, image string"
 
+    def __init__(self, idle: int = IDLE) -> None:
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.fields)
-        self.memory = handle.getValueState("memory", "json string")
+        self.waiting = handle.getMapState("waiting", "second long", "json string")
+        self.memory = handle.getMapState("memory", "pid long", "json string")
+        self.swept = handle.getValueState("swept", "watermark long")
         self.names, self.kinds = zip(*(f.split() for f in self.fields.split(", ")), strict=True)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         as_type = {"long": int, "int": int, "boolean": bool, "string": str}
+        buckets: dict[int, list] = {}
         for pdf in rows:
-            new = [tuple(None if pd.isna(v) else as_type[t](v) for t, v in zip(self.kinds, r, strict=True)) for r in pdf[list(self.names)].itertuples(index=False)]
-            if new:
-                self.rows.appendList(new)
-                self.handle.registerTimer(max(r[2] for r in new) + self.wait)
+            for r in pdf[list(self.names)].itertuples(index=False):
+                row = [None if pd.isna(v) else as_type[t](v) for t, v in zip(self.kinds, r, strict=True)]
+                buckets.setdefault(row[2] // self.bucket, []).append(row)
+        for second, new in buckets.items():
+            held = json.loads(self.waiting.getValue((second,))[0]) if self.waiting.containsKey((second,)) else []
+            self.waiting.updateValue((second,), (json.dumps(held + new),))
+        if buckets:
+            self.handle.registerTimer(max(r[2] for new in buckets.values() for r in new) + self.wait)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         limit = watermark - self.wait
-        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[2], r[0]))
-        now, later = [r for r in held if r[2] <= limit], [r for r in held if r[2] > limit]
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else {}
-        out = pd.DataFrame()
-        if now:
-            out = self.ready(key, [dict(zip(self.names, r, strict=True)) for r in now], [dict(zip(self.names, r, strict=True)) for r in later], memory)
-            memory["seen"] = now[-1][2]
-            if later:
-                self.rows.put(later)
-            else:
-                self.rows.clear()
-        ends = memory.get("seen", 0) + (self.linger if memory.get("eid") is None or memory.get("left") else self.idle)
-        if later or ends > watermark:
-            self.memory.update((json.dumps(memory),))
-            self.handle.registerTimer(max(ends, watermark + 1))
-        elif self.memory.exists():
-            self.memory.clear()
+        now, later = [], []
+        for (second,) in sorted(tuple(k) for k in self.waiting.keys()):
+            if second * self.bucket > watermark:
+                break
+            rows = json.loads(self.waiting.getValue((second,))[0])
+            stay = [r for r in rows if r[2] > limit]
+            now += [r for r in rows if r[2] <= limit]
+            later += stay
+            if not stay:
+                self.waiting.removeKey((second,))
+            elif len(stay) < len(rows):
+                self.waiting.updateValue((second,), (json.dumps(stay),))
+        named = lambda rows: [dict(zip(self.names, r, strict=True)) for r in sorted(rows, key=lambda r: (r[2], r[0]))]
+        self.open, self.changed = {}, set()
+        out = self.ready(key, named(now), named(later)) if now else pd.DataFrame()
+        for pid in self.changed:
+            self.memory.updateValue((pid,), (json.dumps(self.open[pid]),))
+        self._sweep(watermark)
         yield out
 
+    def recall(self, pid: int) -> dict:
+        """What is known of a process; changes to it are kept by touch()."""
+        if pid not in self.open:
+            self.open[pid] = json.loads(self.memory.getValue((pid,))[0]) if self.memory.containsKey((pid,)) else {}
+        return self.open[pid]
+
+    def touch(self, pid: int, ts: int) -> dict:
+        memory = self.recall(pid)
+        memory["seen"] = ts
+        self.changed.add(pid)
+        return memory
+
+    def _sweep(self, watermark: int) -> None:
+        """Frees what has ended, once every `linger` ms of event time at most."""
+        last, period = self.swept.get()[0] if self.swept.exists() else None, max(self.linger, self.bucket)
+        if last is not None and watermark < last + period:
+            self.handle.registerTimer(last + period)
+            return
+        known, ends = [(tuple(k)[0], json.loads(tuple(v)[0])) for k, v in self.memory.iterator()], []
+        for pid, memory in known:
+            end = memory.get("seen", 0) + (self.linger if memory.get("eid") is None or memory.get("left") else self.idle)
+            if end <= watermark:
+                self.memory.removeKey((pid,))
+            else:
+                ends.append(end)
+        if ends:
+            self.swept.update((watermark,))
+            self.handle.registerTimer(max(min(ends), watermark + period))
+        else:
+            self.swept.clear()
+
     def close(self) -> None:
         pass
 
@@ -100,12 +147,16 @@ def _exec(memory: dict, row: dict) -> None:
     memory |= {"eid": row["event_id"], "ets": row["ts"], "image": row["image"], "left": False}
 
 
-def _context(memory: dict, row: dict, after: list[dict]) -> dict | None:
-    """The exec that explains an event (event_id, image, own_severity): see operators.asof.attribute. `after`: later rows."""
+def _ended(memory: dict, ts: int) -> bool:
+    """Whether a process explains nothing any more at `ts`, as it exited before."""
     left = memory.get("last_exit")
-    ended = left is not None and memory.get("ets") is not None and left >= memory["ets"] and row["ts"] - left >= EXIT_GRACE
-    if memory.get("eid") is not None and not ended:
-        return {"event_id": memory["eid"], "image": memory["image"], "own_severity": memory.get("own_severity")}
+    return left is not None and memory.get("ets") is not None and left >= memory["ets"] and ts - left >= EXIT_GRACE
+
+
+def _context(memory: dict, row: dict, after: list[dict]) -> dict | None:
+    """The exec that explains an event (event_id, image): see operators.asof.attribute. `after`: later rows."""
+    if memory.get("eid") is not None and not _ended(memory, row["ts"]):
+        return {"event_id": memory["eid"], "image": memory["image"]}
     return next((r for r in after if r["kind"] == "ProcessExec" and row["ts"] < r["ts"] < row["ts"] + LATE_EXEC), None)
 
 
@@ -114,9 +165,10 @@ class Attribution(_Buffered):
 
     wait, linger = LATE_EXEC, EXIT_GRACE
 
-    def ready(self, key, now, later, memory) -> pd.DataFrame:
+    def ready(self, key, now, later) -> pd.DataFrame:
         out, every = [], [*now, *later]
         for i, row in enumerate(now):
+            memory = self.touch(key[1], row["ts"])
             if row["kind"] == "ProcessExec":
                 _exec(memory, row)
             elif row["kind"] == "ProcessExit":
@@ -130,9 +182,10 @@ class Attribution(_Buffered):
 class Lifetimes(_Buffered):
     """Exits with the lifetime of the exec that they end, as operators.asof.exit_lifetimes gives. The exit clears it."""
 
-    def ready(self, key, now, later, memory) -> pd.DataFrame:
+    def ready(self, key, now, later) -> pd.DataFrame:
         out = []
         for row in now:
+            memory = self.touch(key[1], row["ts"])
             if row["kind"] == "ProcessExec":
                 _exec(memory, row)
             else:
@@ -144,41 +197,77 @@ class Lifetimes(_Buffered):
 
 class Correlation(_Buffered):
     """Connections, watched writes and sensitive reads with their process, severities and rule, and the chains that they
-    complete: as operators.asof.correlated and .chains give. Severities of single rows come in as columns."""
+    complete: as operators.asof.correlated and .chains give. Severities of single rows come in as columns.
+
+    The key is the host, as an exec takes on the severity of its parent, which is another process: when it runs, its
+    parent's own context has taken on what it inherits already, so one look goes for the whole lineage."""
 
     wait, linger = LATE_EXEC, EXIT_GRACE + CHAIN
-    fields = "event_id long, kind string, ts long, image string, own_severity int, event_severity int, flagged boolean, path string, daddr string, dport int"
+    fields = "event_id long, kind string, ts long, image string, pid long, ppid long, own_severity int, event_severity int, flagged boolean, path string, daddr string, dport int"
 
-    def ready(self, key, now, later, memory) -> pd.DataFrame:
+    def ready(self, key, now, later) -> pd.DataFrame:
         out, every = [], [*now, *later]
-        for i, row in enumerate(now):
+        self._inherit(every)
+        ahead: dict[int, list[dict]] = {}
+        for row in reversed(every):  # what follows, by process
+            row["after"] = ahead.get(row["pid"])
+            if row["kind"] == "ProcessExec":
+                ahead[row["pid"]] = [row, row["after"]]
+        for row in now:
+            memory = self.touch(row["pid"], row["ts"])
             if row["kind"] == "ProcessExec":
                 _exec(memory, row)
-                memory["own_severity"] = row["own_severity"]
+                memory |= {"effective": row["effective"], "inherited": row["inherited"]}
             elif row["kind"] == "ProcessExit":
                 memory |= {"last_exit": row["ts"], "left": True}
             else:
-                out += self._record(key, row, _context(memory, row, every[i + 1 :]), memory)
+                out += self._record(key, row, self._explains(memory, row), memory)
         names = [f.split()[0] for f in CORRELATED.split(", ")]
         return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in ("exec_id", "first_id", "connect_id")})
 
+    def _inherit(self, every: list[dict]) -> None:
+        """Effective severities of execs, in event order; nothing is kept."""
+        known: dict[int, dict] = {}
+        at = lambda pid: known.setdefault(pid, {k: v for k, v in self.recall(pid).items() if k in ("eid", "ets", "last_exit", "effective")})
+        for row in every:
+            if row["kind"] == "ProcessExec":
+                parent = at(row["ppid"]) if row["ppid"] is not None and row["ppid"] != row["pid"] else {}
+                above = parent["effective"] if parent.get("eid") is not None and not _ended(parent, row["ts"]) else 1
+                row |= {"effective": max(row["own_severity"], above), "inherited": above > 1}
+                at(row["pid"]).update(eid=row["event_id"], ets=row["ts"], effective=row["effective"])
+            elif row["kind"] == "ProcessExit":
+                at(row["pid"])["last_exit"] = row["ts"]
+
+    @staticmethod
+    def _explains(memory: dict, row: dict) -> dict | None:
+        if memory.get("eid") is not None and not _ended(memory, row["ts"]):
+            return {"event_id": memory["eid"], "image": memory["image"], "effective": memory["effective"], "inherited": memory["inherited"]}
+        node = row["after"]
+        while node and node[0]["ts"] < row["ts"] + LATE_EXEC:
+            if node[0]["ts"] > row["ts"]:
+                return node[0]
+            node = node[1]
+        return None
+
     def _record(self, key, row: dict, ctx: dict | None, memory: dict) -> list[tuple]:
         kind, name = row["kind"], lambda image: (image or "").rpartition("/")[2]
         same = ctx is None or name(row["image"]) in ("", "unknown") or name(ctx["image"]).startswith(name(row["image"]))
         process = (ctx["image"] if ctx else None) if same else row["image"]
-        severity = 1 if ctx is None else ctx["own_severity"] if same else row["own_severity"]
+        severity = 1 if ctx is None else ctx["effective"] if same else row["own_severity"]
+        inherited = bool(ctx and same and ctx["inherited"])
         both = severity > 1 and row["event_severity"] > 1
         rule = {"NetConnect": "suspicious_process_suspicious_connection", "FileWrite": "suspicious_process_suspicious_file_write"}.get(kind) if both else None
         if not (kind == "NetConnect" or (kind == "FileWrite" and row["flagged"]) or (kind == "FileOpen" and row["flagged"] and row["event_severity"] > 1 and ctx)):
             return []
         exec_id = ctx["event_id"] if ctx else None
         level = 4 if rule else max(severity, row["event_severity"])
-        out = [("event", row["event_id"], key[0], key[1], row["ts"], kind, process, exec_id, severity, row["event_severity"], rule, level, None, None)]
+        one = (row["event_id"], key[0], row["pid"], row["ts"], kind, process, exec_id, severity, inherited, row["event_severity"])
+        out = [("event", *one, rule, level, None, None)]
         for chain, (first, fires, needs) in CHAINS.items() if ctx else ():
             if (kind == "NetConnect" and rule) or (kind == first and (rule or not needs)):
                 done = self._half(memory.setdefault("chains", {}), chain, row, exec_id)
                 if done:
-                    out.append(("chain", row["event_id"], key[0], key[1], row["ts"], kind, process, exec_id, severity, row["event_severity"], fires, 4, *done))
+                    out.append(("chain", *one, fires, 4, *done))
         return out
 
     @staticmethod
@@ -200,48 +289,52 @@ class Correlation(_Buffered):
 
 
 class ToolUse(_Buffered):
-    """Connections of AI tools: by the connecting image, or by the interpreter's command line that runs as that process.
-    `tool` is an exec's tool by command line, or a connection's by image."""
+    """Connections of AI tools: by the connecting image, or, where that is an interpreter, by the command line of the
+    interpreter that runs as that process. `tool` is an exec's tool by command line, or a connection's by image."""
 
-    fields = "event_id long, kind string, ts long, image string, tool string, scope string"
+    fields = "event_id long, kind string, ts long, image string, tool string, interpreter boolean, scope string"
 
-    def ready(self, key, now, later, memory) -> pd.DataFrame:
+    def ready(self, key, now, later) -> pd.DataFrame:
         out = []
         for row in now:
+            memory = self.touch(key[1], row["ts"])
             if row["kind"] == "ProcessExec":
                 _exec(memory, row)
                 memory["tool"] = row["tool"]
             elif row["kind"] == "ProcessExit":
                 memory |= {"eid": None, "tool": None}
-            elif (row["tool"] or memory.get("tool")) and row["scope"]:
-                out.append((row["event_id"], key[0], key[1], row["tool"] or memory["tool"], "comm" if row["tool"] else "cmdline", row["scope"], "ai_tool_egress" if row["scope"] == "external" else "ai_tool_local"))
+                continue
+            tool = row["tool"] or (memory.get("tool") if row["interpreter"] else None)
+            if row["kind"] == "NetConnect" and tool and row["scope"]:
+                out.append((row["event_id"], key[0], key[1], tool, "comm" if row["tool"] else "cmdline", row["scope"], "ai_tool_egress" if row["scope"] == "external" else "ai_tool_local"))
         return pd.DataFrame(out, columns=[f.split()[0] for f in TOOLS.split(", ")])
 
 
-def _stateful(events: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return events.groupBy("asset_id", "pid").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+def _stateful(events: DataFrame, processor: StatefulProcessor, schema: str, keys: tuple[str, ...] = ("asset_id", "pid")) -> DataFrame:
+    # Events without a process are no one's.
+    return events.where("asset_id IS NOT NULL AND pid IS NOT NULL AND ts IS NOT NULL").groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def attribute_stream(events: DataFrame) -> DataFrame:
-    return _stateful(events, Attribution(), ATTRIBUTED)
+def attribute_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
+    return _stateful(events, Attribution(idle), ATTRIBUTED)
 
 
-def lifetime_stream(events: DataFrame) -> DataFrame:
-    return _stateful(events.where(F.col("kind").isin("ProcessExec", "ProcessExit")), Lifetimes(), LIFETIMES)
+def lifetime_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
+    return _stateful(events.where(F.col("kind").isin("ProcessExec", "ProcessExit")), Lifetimes(idle), LIFETIMES)
 
 
-def correlation_stream(events: DataFrame) -> DataFrame:
+def correlation_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """Records of single events (`event`) and of chains (`chain`), see Correlation."""
     e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect", "FileWrite", "FileOpen"))
     e = e.withColumns({"own_severity": R.image_severity(F.col("image")).cast("int"), "event_severity": event_severity().cast("int"), "flagged": flagged_path()})
-    return _stateful(e, Correlation(), CORRELATED)
+    return _stateful(e, Correlation(idle), CORRELATED, ("asset_id",))
 
 
-def tool_stream(events: DataFrame) -> DataFrame:
+def tool_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """Connections of AI tools, see ToolUse."""
     e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect"))
     tool = F.when(F.col("kind") == "NetConnect", A.tool_of(F.col("image"))).when((F.col("kind") == "ProcessExec") & A.is_interpreter(F.col("image")), A.tool_in_cmdline(F.col("cmdline")))
-    return _stateful(e.withColumns({"tool": tool, "scope": R.connection_scope(F.col("daddr"))}), ToolUse(), TOOLS)
+    return _stateful(e.withColumns({"tool": tool, "interpreter": A.is_interpreter(F.col("image")), "scope": R.connection_scope(F.col("daddr"))}), ToolUse(idle), TOOLS)
 
 
 class ChangeGate(StatefulProcessor):
