@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space of a line key: blank, tab, line feed, vertical tab, form feed, carriage return.
 STRIP = " \t\n\x0b\x0c\r"
+#: Rows up to which a small table is broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

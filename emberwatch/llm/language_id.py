@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-from emberwatch.llm.common import table
+from emberwatch.llm.common import BROADCAST_ROWS, fresh, table
 
 #: Bytes of a window, states of a direction, windows that are worked on at a time.
 T, HIDDEN, WINDOWS = 64, 8, 512
-#: Bound of the training sample: languages (the most frequent labels), documents of each, and windows of each document.
-LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 200, 400, 3
+#: Bound of the training sample: documents of a language (all windows of each), and of all languages together.
+DOCS_PER_LANG, DOCS = 400, 80_000
+#: A learned document in so many is not trained on, but tells what scores to expect.
+CALIBRATE = 5
 STEPS, BATCH, RATE = 320, 96, 0.02
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -113,14 +115,24 @@ class Network:
             grad["table"][k] = by.T
         return loss, grad
 
-    def train(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> float:
-        """Adam over balanced batches of windows x [windows, T]; returns the last mean loss."""
+    def train(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, doc: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> float:
+        """Adam over batches of windows x [windows, T] of documents `doc`; returns the last mean loss. Languages are drawn
+        alike, then their documents, then windows of these, so that a long text doesn't stand for its language."""
         rng = np.random.default_rng(seed)
-        groups = [np.flatnonzero(y == k) for k in range(self.classes)]
-        groups = [g for g in groups if len(g)]
+        groups = []
+        for k in np.unique(y):
+            own = np.flatnonzero(y == k)
+            own = own[np.argsort(doc[own], kind="stable")]
+            first = np.flatnonzero(np.diff(doc[own], prepend=doc[own[0]] - 1))
+            groups.append((own, first, np.diff(first, append=len(own))))
+
+        def draw(own, first, sizes, n):
+            d = rng.integers(len(first), size=n)
+            return own[first[d] + (rng.random(n) * sizes[d]).astype(np.int64)]
+
         m, v, loss = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0.0
         for i in range(1, steps + 1):
-            take = np.concatenate([rng.choice(g, max(1, batch // len(groups))) for g in groups])
+            take = np.concatenate([draw(*g, max(1, batch // len(groups))) for g in groups])
             now, grad = self.gradients(np.ascontiguousarray(x[take].T), lengths[take], y[take])
             loss = now if i == 1 else 0.9 * loss + 0.1 * now
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -152,30 +164,32 @@ class Network:
 
 
 def _windows(batches):
-    """Training windows of documents: WINDOWS_PER_DOC at most, evenly over the whole text."""
+    """All windows of documents: (lang, doc, raw)."""
     for batch in batches:
-        out = []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            spots = range(0, max(1, len(raw)), T)
-            some = sorted({spots[len(spots) * k // WINDOWS_PER_DOC] for k in range(WINDOWS_PER_DOC)})
-            out += [(lang, raw[s : s + T]) for s in some if raw[s : s + T]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "raw"])
+            cuts = [raw[s : s + T] for s in range(0, len(raw), T)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cuts), pa.string()), pa.array([doc] * len(cuts), pa.int64()), pa.array(cuts, pa.binary())], ["lang", "doc", "raw"])
+
+
+def learned_documents(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, docs: int = DOCS) -> DataFrame:
+    """(lang, doc, body) of the documents to learn from: of each label those of least hash, `docs_per_lang` at most and
+    `docs` over all labels, but one of each. Of a frequent label only the hashes below a bound are ranked, so that what is
+    shuffled doesn't follow the corpus."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}")).withColumn("doc", F.xxhash64("order"))
+    counts = usable.groupBy("lang").count().collect()  # a row a label
+    each = max(1, min(docs_per_lang, docs // max(1, len(counts))))
+    limits = [(r["lang"], int(-(2**63) + min(1.0, 8 * each / r["count"]) * (2**64 - 2049))) for r in counts]
+    limit = labelled.sparkSession.createDataFrame(limits, "lang string, most long")
+    near = usable.join(F.broadcast(limit) if len(limits) <= BROADCAST_ROWS else limit, "lang").where("doc <= most")
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc", "order")))
+    return ranked.where(F.col("r") <= each).select("lang", "doc", "body")
 
 
 def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], Network]:
-    """The network for (order, lang, body), fitted on the driver on a sample of bounded size: `docs_per_lang` documents
-    of each language, those of least hash, WINDOWS_PER_DOC windows of T bytes each. Of a `lang` column with more values
-    than LANGS the most frequent ones are learned (ties by name), so dirty labels cost neither the driver nor a class."""
-    has_letter = labelled.where(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}"))
-    # Of a frequent language only the hashes below a bound are ranked, so that what is shuffled doesn't follow the corpus.
-    h, most = F.xxhash64("order"), F.lit(None).cast("long")
-    for r in labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect():
-        share = min(1.0, 8 * docs_per_lang / r["count"])
-        most = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 2049)))).otherwise(most)
-    near = has_letter.where(h <= most)
-    few = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "order"))).where(F.col("r") <= docs_per_lang)
-    rows = few.select("lang", "body").mapInArrow(_windows, "lang string, raw binary").toPandas().sort_values(["lang", "raw"])
+    """The network for (order, lang, body), fitted on the driver on the windows of learned_documents(), whole texts of
+    these. Every label is a class, so what is learned follows the number of labels; the sample's bounds don't."""
+    rows = learned_documents(labelled, docs_per_lang).mapInArrow(_windows, "lang string, doc long, raw binary").toPandas().sort_values(["lang", "doc", "raw"])
     langs = sorted(set(rows["lang"]))
     net = Network(max(1, len(langs)))
     if len(langs) > 1:
@@ -184,14 +198,24 @@ def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) ->
         for i, r in enumerate(rows["raw"]):
             x[i, : len(r)] = np.frombuffer(r, np.uint8)
         y = np.searchsorted(langs, rows["lang"])
-        net.train(x, lengths, y)
-        net.floor = calibrate(net, x, lengths, y)
+        unseen = calibration_rows(rows["doc"].to_numpy(), y)
+        net.train(x[~unseen], lengths[~unseen], y[~unseen], rows["doc"].to_numpy()[~unseen])
+        net.floor = calibrate(net, x[unseen], lengths[unseen], y[unseen])
     return langs, net
 
 
+def calibration_rows(doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which windows are kept from training: those of one document in CALIBRATE, of languages with more than one."""
+    unseen = doc % CALIBRATE == 0
+    for k in np.unique(y):
+        if unseen[y == k].all():
+            unseen &= y != k
+    return unseen
+
+
 def calibrate(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> float:
-    """The score halfway between chance and what all but a share of REJECTED of the rightly judged training windows
-    reach: a document below is nearer to a guess than to a text in one of the languages."""
+    """The score halfway between chance and what all but a share of REJECTED of the rightly judged windows reach, which
+    the network wasn't trained on: a document below is nearer to a guess than to a text in one of the languages."""
     top = []
     for a in range(0, len(x), WINDOWS):
         part = slice(a, a + WINDOWS)
@@ -203,12 +227,13 @@ def calibrate(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -
 
 
 def predict_languages(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text") -> DataFrame:
-    """`docs` with `lang_pred` and `score` (the pooled probability of that language); they replace such columns.
+    """`docs` with `lang_pred` and `score` (the pooled probability of that language) behind their columns; where `docs` has
+    columns of these names, whatever their case, the added ones get `_` before their names.
 
     Null texts, texts without a letter, and all where no language was learned: `und` of score 0. No rows: no rows.
     Whole texts are read, without a shuffle; other columns pass through and are no inputs."""
-    kept = docs.drop("lang_pred", "score")
-    at, names = kept.columns.index(text_col), [*kept.columns, "lang_pred", "score"]
+    at, added = docs.columns.index(text_col), [fresh(docs, "lang_pred"), fresh(docs, "score")]
+    names = [*docs.columns, *added]
 
     def run(batches):
         for batch in batches:
@@ -226,11 +251,8 @@ def predict_languages(docs: DataFrame, langs: list[str], net: Network, text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    schema = types.StructType([*kept.schema.fields, types.StructField("lang_pred", types.StringType()), types.StructField("score", types.DoubleType())])
-    name = "has_letter"
-    while name in kept.columns:
-        name += "_"
-    return kept.withColumn(name, letter).mapInArrow(run, schema)
+    schema = types.StructType([*docs.schema.fields, types.StructField(added[0], types.StringType()), types.StructField(added[1], types.DoubleType())])
+    return docs.withColumn(fresh(docs, "has_letter"), letter).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

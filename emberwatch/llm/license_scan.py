@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import cut, table
+from emberwatch.llm.common import BROADCAST_ROWS, cut, table
 
 # Phrases that name a license, and the wording of public license notices. Members of a family that differ in a
 # word or two (versions, lesser, non-commercial) are within the threshold of each other, so a family has one template.
@@ -41,9 +41,8 @@ TEMPLATES = [
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
 ]
 THRESHOLD = 80
-#: Bytes of texts that are worked on at once; a longer text is read by pieces of this size. Bound of a broadcast index.
-CHUNK, BROADCAST_ROWS = 1 << 20, 10_000
-LEAST_CLASS = 8
+#: Bytes of texts that are worked on at once; a longer text is read by pieces of this size.
+CHUNK, LEAST_CLASS = 1 << 20, 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import STRIP, cut, let, table
+from emberwatch.llm.common import STRIP, cut, fresh, let, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,8 +24,8 @@ def _hash(key: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Drop lines that at least `min_docs` documents hold, except in the holder with the largest id.
 
-    Returns the columns of `docs` with the text replaced, and `n_lines` (before) and `n_dropped` (longs; they
-    replace columns of those names). Only keys of `min_chars` code points or more count.
+    Returns the columns of `docs` with the text replaced, and then `n_lines` (before) and `n_dropped` (longs; with `_` before
+    their names where `docs` has such columns, whatever their case). Only keys of `min_chars` code points or more count.
 
     Null or empty text: one empty line, which stays. Rows of the same id are one document; those that tie for the
     largest id all keep the line. Rows of null id are a document each, and never the largest; where all holders have
@@ -34,9 +34,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The counts shuffle a 16-byte hash a line and combine map-side, so a line of every document is no hot spot;
     the hits join meets checkpointed keys, which lets adaptive execution split a hot line. Whole texts are
-    shuffled once, by document.
+    shuffled once, by id and text, and meet checkpointed hits, so that equal rows, however many, are split as well.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    added = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
     base = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("body"),
@@ -65,15 +66,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy(F.col("id").alias("hit_id"), F.col("rk").alias("hit_rk"))
         .agg(F.collect_set("pos").alias("drops"))
     )
-    joined = base.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("rk") == F.col("hit_rk")), "left")
+    joined = base.join(cut(hits), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("rk") == F.col("hit_rk")), "left")
     stays = lambda all_lines: F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("drops"))
     rest = let(lines, lambda all_lines: F.array_join(F.transform(stays(all_lines), lambda i: F.get(all_lines, i)), "\n"))
     kept = F.when(F.col("drops").isNull(), F.col("body")).otherwise(rest)
     parts = {id_col: F.col("id"), text_col: kept} | {c: F.col(f"rest.`{c}`") for c in others}
     return joined.select(
         *[parts[c].alias(c) for c in docs.columns if c in parts],
-        F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"),
+        F.size(lines).cast("long").alias(added[0]),
+        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias(added[1]),
     )
 
 

@@ -221,7 +221,11 @@ def test_gradients():
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     langs, net = language_id.learn(docs)
-    odd = spark.createDataFrame([(None, None), (1, ""), (2, "123 !?"), (3, "x"), (4, "die und der " * 20000)], "doc_id long, text string").withColumn("score", F.lit("old"))
+    german = docs.where(language_id.held_out() & (F.col("lang") == "de") & (F.length("text") > 100)).orderBy("doc_id").first()["text"]
+    odd = spark.createDataFrame([(None, None), (1, ""), (2, "123 !?"), (3, "x"), (4, german * (300_000 // len(german)))], "doc_id long, text string")
+    clash = odd.withColumns({c: F.lit("old") for c in ("Score", "HAS_LETTER", "LANG_PRED")})
+    told = language_id.predict_languages(clash, langs, net)
+    assert told.columns == [*clash.columns, "_lang_pred", "_score"] and told.where("Score <> 'old' OR HAS_LETTER <> 'old' OR LANG_PRED <> 'old'").isEmpty()
     got = {r["doc_id"]: r for r in language_id.predict_languages(odd, langs, net).collect()}
     assert [got[i]["lang_pred"] for i in (None, 1, 2)] == ["und"] * 3 and got[1]["score"] == 0.0
     assert got[3]["lang_pred"] in langs and got[4]["lang_pred"] == "de" and 0 < got[4]["score"] <= 1
@@ -477,26 +481,81 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert c.run(spark, str(tmp_path / "none")).count() == 0
     rows = [(k, f"some words of the document number {k} in English " * 3, "en", "s", 0) for k in range(20)] * 2 + [(None, "only one without an id but with words", "en", None, 0)]
     docs = spark.createDataFrame(rows, schema)
-    for name in ("score", "lang_pred", "id", "key", "bin", "rest", "body", "has_letter"):
+    for name in ("score", "LANG_PRED", "id", "key", "bin", "rest", "body", "HAS_LETTER", "N_LINES", "n_dropped", "_n_lines"):
         docs = docs.withColumn(name, F.lit("clash"))
     for _, stage in c.STAGES[:3]:
         before, docs = docs, stage(spark, docs, "")
-        assert docs.columns == before.columns and docs.where("rest <> 'clash' OR score <> 'clash'").count() == 0
+        assert docs.columns == before.columns and docs.where(" OR ".join(f"{c} <> 'clash'" for c in docs.columns[5:])).count() == 0
     assert sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=str) == sorted([*range(20), None], key=str)
     packed = c.STAGES[3][1](spark, docs, "")
     assert packed.groupBy("bin", "shard").agg(F.count("*").alias("n")).where("n > 2").count() == 0  # one source each, or none
 
 
-def test_repeated_and_many_labels(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGS", 2)
+def test_repeated_and_many_labels(spark):
     rows = [(k, t, g) for k in range(40) for t, g in (("the cat and the hat of the man", "en"), ("der Hund und die Katze des Mannes", "de"))] + [(k, "xyz abc", f"odd-{k}") for k in range(100, 130)]
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
     langs, net = language_id.learn(docs)
-    assert langs == ["de", "en"] and 0.5 < net.floor < 1
+    learned = {r["lang"] for r in docs.where(~language_id.held_out()).select("lang").distinct().collect()}
+    assert langs == sorted(learned) and len(langs) > 20 and 1 / len(langs) < net.floor < 1  # rare ones as well
     got = language_id.predict_languages(docs, langs, net)
     assert got.count() == len(rows) * 2 and {r["lang_pred"] for r in got.where("lang = 'en'").collect()} == {"en"}
 
 
+def test_learned_documents(spark):
+    rows = [(k, "de" if k % 3 else "en", f"text {k}") for k in range(300)] + [(900, None, "x"), (901, "fr", "12"), (902, "fr", "y")]
+    docs = spark.createDataFrame(rows, "order long, lang string, body string")
+    n = {r["lang"]: r["count"] for r in language_id.learned_documents(docs, 20).groupBy("lang").count().collect()}
+    assert n == {"de": 20, "en": 20, "fr": 1}
+    assert language_id.learned_documents(docs, 20, docs=6).groupBy("lang").count().where("count <> least(2, CASE lang WHEN 'fr' THEN 1 ELSE 2 END)").isEmpty()
+
+
+def test_windows_cover_whole_texts():
+    import pyarrow as pa
+
+    text = "äbc " * 100
+    got = pa.Table.from_batches(list(language_id._windows([pa.RecordBatch.from_arrays([pa.array(["de"]), pa.array([5]), pa.array([text])], ["lang", "doc", "body"])])))
+    assert b"".join(got["raw"].to_pylist()) == text.encode() and max(len(r) for r in got["raw"].to_pylist()) == language_id.T
+
+
+def test_calibration_is_on_unseen_documents():
+    doc, y = np.arange(100), np.repeat([0, 1, 2, 3], 25)
+    unseen = language_id.calibration_rows(doc, y)
+    assert 0 < unseen.sum() < 50 and not set(doc[unseen]) & set(doc[~unseen])
+    assert not language_id.calibration_rows(np.full(3, 5), np.zeros(3, int)).any()  # one document is trained on
+
+
+def test_network_by_plain_loops():
+    """Every document's probabilities are the mean over its bytes of a plain recurrence in both directions."""
+    rng = np.random.default_rng(8)
+    net = language_id.Network(3, hidden=4, seed=2)
+    net.p = {k: rng.standard_normal(v.shape) * 0.5 for k, v in net.p.items()}
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(raw, k):
+        n, h, out = net.hidden, np.zeros(net.hidden), []
+        for byte in raw:
+            a, r = net.p["table"][k][:, byte], net.p["u"][k] @ h
+            z, g = logistic(a[:n] + r[:n]), logistic(a[n : 2 * n] + r[n : 2 * n])
+            c = np.tanh(a[2 * n :] + g * (r[2 * n :] + net.p["b"][k][:, 0]))
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return out
+
+    def plain(raw):
+        every = []
+        for s in range(0, len(raw), language_id.T):
+            w = raw[s : s + language_id.T]
+            for f, b in zip(states(w, 0), states(w[::-1], 1)[::-1], strict=True):
+                y = net.p["out"][0] @ f + net.p["out"][1] @ b + net.p["bias"][:, 0]
+                every.append(np.exp(y) / np.exp(y).sum())
+        return np.mean(every, axis=0) if every else np.zeros(3)
+
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 5, 63, 64, 65, 200, 0, 129)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.documents(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert got == pytest.approx(np.array([plain(t) for t in texts]), abs=1e-5)
+
+
 def test_pipeline_without_labels(spark):
     """With no usable label nothing is learned; documents with letters stay."""
     import corpus_pipeline as c

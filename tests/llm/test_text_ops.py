@@ -56,8 +56,8 @@ def test_line_dedup(spark):
 
 def test_line_dedup_odd_tables(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
-    clash = frame(spark, ["a\nb"]).select("doc_id", "text", F.lit(9).alias("n_lines"), F.lit("r").alias("rk"), F.lit("b").alias("body"))
-    assert line_dedup.dedup_lines(clash).collect()[0].asDict() == {"doc_id": 0, "text": "a\nb", "rk": "r", "body": "b", "n_lines": 2, "n_dropped": 0}
+    clash = frame(spark, ["a\nb"]).select("doc_id", "text", F.lit(9).alias("N_LINES"), F.lit("r").alias("rk"), F.lit("b").alias("body"), F.lit(7).alias("n_dropped"))
+    assert line_dedup.dedup_lines(clash).collect()[0].asDict() == {"doc_id": 0, "text": "a\nb", "N_LINES": 9, "rk": "r", "body": "b", "n_dropped": 7, "_n_lines": 2, "_n_dropped": 0}
 
 
 def test_long_documents_cost_in_proportion(spark):
