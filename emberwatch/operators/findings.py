@@ -88,10 +88,11 @@ def correlation_findings(records: DataFrame, assets: DataFrame | None = None) ->
 
 def correlate(detections: DataFrame) -> DataFrame:
     """One row per identity from detections (identity, source, method, confidence, remediation_key, seq): provenance by
-    falling confidence, in input order on ties, and the fix of the first."""
+    falling confidence, in input order on ties, and the fix of the first; and all `versions`, where detections have them."""
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions")))).alias("versions")] if "versions" in detections.columns else []
     item = F.struct((-F.col("confidence")).alias("order"), "seq", "source", "method", "confidence", "remediation_key")
-    g = detections.groupBy(*IDENTITY).agg(F.sort_array(F.collect_list(item)).alias("p"))
-    return g.select(*IDENTITY, F.transform("p", lambda x: F.struct(x["source"].alias("source"), x["method"].alias("method"), x["confidence"].alias("confidence"))).alias("provenance"), F.get("p", 0)["remediation_key"].alias("remediation_key"))
+    g = detections.groupBy(*IDENTITY).agg(F.sort_array(F.collect_list(item)).alias("p"), *more)
+    return g.select(*IDENTITY, *[c for c in ("versions",) if more], F.transform("p", lambda x: F.struct(x["source"].alias("source"), x["method"].alias("method"), x["confidence"].alias("confidence"))).alias("provenance"), F.get("p", 0)["remediation_key"].alias("remediation_key"))
 
 
 def fix_members(findings: DataFrame) -> DataFrame:

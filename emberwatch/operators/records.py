@@ -17,12 +17,12 @@ POSTURE = {
 }
 
 
-def envelopes(rows: DataFrame, class_uid: int, time: Column, severity: Column, data: Column, host: Column | None = None) -> DataFrame:
+def envelopes(rows: DataFrame, class_uid: int, time: Column, severity: Column, data: Column, host: Column | None = None, os: Column | None = None) -> DataFrame:
     """A record a row, `data` (a struct) as its JSON."""
     return rows.select(
         F.lit(class_uid).alias("class_uid"), F.lit(CLASSES[class_uid]).alias("class_name"), time.cast("long").alias("time"), severity.cast("short").alias("severity_id"),
         F.struct(F.lit("emberwatch").alias("product"), F.lit("1").alias("version"), F.lit("main").alias("tenant_id")).alias("metadata"),
-        F.struct((F.col("asset_id") if host is None else host).alias("hostname"), F.lit("linux").alias("os"), F.lit("").alias("os_version")).alias("device"),
+        F.struct((F.col("asset_id") if host is None else host).alias("hostname"), (F.lit("linux") if os is None else os).alias("os"), F.lit("").alias("os_version")).alias("device"),
         F.to_json(data).alias("data"),
     )
 
@@ -44,10 +44,12 @@ def posture_envelopes(results: DataFrame, class_uid: int, time: Column) -> DataF
 
 
 def sbom_envelopes(components: DataFrame, time: Column) -> DataFrame:
-    """A record a host (asset_id, os): its components (name, version, source) and their number. Class 5020."""
-    g = components.groupBy("asset_id", "os").agg(F.array_sort(F.collect_list(F.struct("name", "version", "source"))).alias("components"), F.count("*").alias("component_count"))
-    e = envelopes(g, 5020, time, F.lit(1), F.struct("components", "component_count", "os"))
-    return e.withColumn("device", F.col("device").withField("os", F.coalesce(F.get_json_object("data", "$.os"), F.lit(""))))
+    """A record a host (asset_id, os): its components (name, version, source, and libraries if there are any) and their
+    number, under `sbom`. Class 5020."""
+    parts = [c for c in ("name", "version", "source", "libraries") if c in components.columns]
+    g = components.groupBy("asset_id", "os").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("components"), F.count("*").alias("component_count"))
+    g = g.withColumn("sbom", F.struct(F.lit("emberwatch").alias("format"), "components", "component_count"))
+    return envelopes(g, 5020, time, F.lit(1), F.struct("sbom"), os=F.coalesce("os", F.lit("")))
 
 
 def activity_of(records: DataFrame, class_uid: int) -> DataFrame:
@@ -69,7 +71,7 @@ def posture_of(records: DataFrame, class_uid: int) -> DataFrame:
 def components_of(records: DataFrame) -> DataFrame:
     """(asset_id, name, version, source, os) of the inventories."""
     e = of_class(records, 5020)
-    items = lenient(F.get_json_object("data", "$.components"), "name string,version string,source string", ["name", "version", "source"])
+    items = lenient(F.get_json_object("data", "$.sbom.components"), "name string,version string,source string", ["name", "version", "source"])
     return e.select(F.col("device.hostname").alias("asset_id"), F.col("device.os").alias("os"), F.explode(items).alias("c")).select("asset_id", "c.name", "c.version", "c.source", "os").distinct()
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from emberwatch.functions import scoring as S
 from emberwatch.functions.versions import key_for, semver_key
 from emberwatch.operators.findings import IDENTITY, correlate, group_by_fix, reconcile, with_context
+from emberwatch.operators.intervals import containing, stabbed
+from emberwatch.sources.shared import cut
 
 # Fixed values.
 RPM_BASES = ["Red Hat", "Rocky Linux", "AlmaLinux", "CentOS", "Oracle Linux", "SUSE", "openSUSE", "Mageia"]
@@ -57,9 +59,9 @@ def _walk(events: Column, key: Column) -> Column:
     return F.aggregate(events, F.lit(False), step)
 
 
-def osv_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Range join by family and name; one hit per component and advisory. Keys of bounds are made once per advisory and
-    keys of versions once per distinct component, so the join's residual is string comparison."""
+def keyed_ranges(advisories: DataFrame) -> DataFrame:
+    """(family, name, vuln_id, listed, keyed, remediation_key) of advisories with a family: `keyed` has the ranges that are
+    compared, with the kind of their versions, and their events with a key for each bound."""
     a = advisories.withColumn("family", family(F.col("ecosystem"))).where("family <> 'other'")
     kind = lambda r: F.when(r["type"] == "SEMVER", "semver").when((r["type"] == "ECOSYSTEM"), F.when(F.col("family") == "rpm", "rpm").otherwise("dpkg"))
     keyed = F.transform(
@@ -67,12 +69,37 @@ def osv_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
         lambda r: F.struct(kind(r).alias("kind"), F.transform(r["events"], lambda e: F.struct(e["introduced"].alias("introduced"), e["fixed"].alias("fixed"), e["last_affected"].alias("last_affected"), key_for(kind(r), e["introduced"]).alias("ik"), key_for(kind(r), e["fixed"]).alias("fk"), key_for(kind(r), e["last_affected"]).alias("lk"))).alias("events")),
     )
     fix = F.coalesce(F.concat(F.lit("upgrade:"), F.col("name"), F.lit(">="), first_fixed(F.col("ranges"))), F.concat(F.lit("patch:"), F.col("name"), F.lit(":"), F.col("id")))
-    a = a.select("family", "name", F.col("id").alias("vuln_id"), F.coalesce("versions", F.array().cast("array<string>")).alias("listed"), keyed.alias("keyed"), fix.alias("remediation_key"))
+    return a.select("family", "name", F.col("id").alias("vuln_id"), F.coalesce("versions", F.array().cast("array<string>")).alias("listed"), keyed.alias("keyed"), fix.alias("remediation_key"))
+
+
+def _first_fix(hits: DataFrame) -> DataFrame:
+    """One hit per component and vulnerability; of several fixes the least, whatever the order of rows."""
+    return hits.groupBy("name", "version", "source", "os", "vuln_id").agg(F.min("remediation_key").alias("remediation_key")).select(*HITS)
+
+
+def osv_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Range join by family and name; one hit per component and advisory. Keys of bounds are made once per advisory and
+    keys of versions once per distinct version. Versions and ranges meet by equality (see intervals), so a package with very
+    many advisories and versions costs what it hits, not their product; listed versions are an equi-join."""
+    a = cut(keyed_ranges(advisories))
     c = components.withColumn("family", F.explode(families_of(F.col("source"), F.col("os"))))
-    c = c.withColumns({"native": key_for(F.when(F.col("family") == "rpm", "rpm").otherwise("dpkg"), F.col("version")), "semver": semver_key(F.col("version"))})
-    inside = F.exists("keyed", lambda r: _walk(r["events"], F.when(r["kind"] == "semver", F.col("semver")).otherwise(F.col("native"))))
-    hit = c.join(a, ["family", "name"]).where(F.array_contains("listed", F.col("version")) | inside)
-    return hit.select(*HITS).dropDuplicates(["name", "version", "source", "os", "vuln_id"])
+    native = F.when(F.col("family") == "rpm", "rpm").otherwise("dpkg")
+    kinds = F.array(F.struct(native.alias("kind"), key_for(native, F.col("version")).alias("key")), F.struct(F.lit("semver").alias("kind"), semver_key(F.col("version")).alias("key")))
+    versions = cut(c.select("family", "name", "version").distinct().withColumn("v", F.explode(kinds)).select("family", "name", "version", "v.kind", "v.key"))
+    ranges = a.select("family", "name", "vuln_id", "remediation_key", F.explode("keyed").alias("r")).select("family", "name", "r.kind", "vuln_id", "remediation_key", "r.events")
+    bounds = F.flatten(F.transform("events", lambda e: F.array(e["ik"], e["fk"], e["lk"])))
+    found = stabbed(versions, ranges, ["family", "name", "kind"], bounds, lambda key: _walk(F.col("events"), key), ["vuln_id", "remediation_key"])
+    inside = _by_key(versions, found)
+    listed = a.select("family", "name", "vuln_id", "remediation_key", F.explode("listed").alias("version"))
+    cols = ["family", "name", "version", "vuln_id", "remediation_key"]
+    hit = inside.select(*cols).unionByName(listed.join(versions.select("family", "name", "version").distinct(), ["family", "name", "version"], "left_semi").select(*cols)).distinct()
+    return _first_fix(c.join(hit, ["family", "name", "version"]))
+
+
+def _by_key(versions: DataFrame, found: DataFrame) -> DataFrame:
+    """Versions with what was found for their key, null keys among each other."""
+    on = [F.coalesce("key", F.lit("")).alias("_key"), F.col("key").isNull().alias("_none")]
+    return versions.select("*", *on).join(found.select(*[c for c in found.columns if c != "key"], *on), ["family", "name", "kind", "_key", "_none"])
 
 
 def display_name(name: Column) -> Column:
@@ -83,29 +110,30 @@ def display_name(name: Column) -> Column:
 
 
 def nvd_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Installed products (source `registry`) whose name contains an alias, in a range that has a bound. Each
-    distinct name meets the aliases whose first three characters it holds (aliases of fewer meet all names), then versions
-    join back by name."""
-    a = advisories.select("id", "product", F.explode("aliases").alias("alias"), "ranges")
-    a = a.withColumn("alias", F.lower("alias")).withColumn("gram", F.when(F.length("alias") >= 3, F.substring("alias", 1, 3)).otherwise(""))
+    """Installed products (source `registry`) whose name contains an alias, in a range that has a bound. Distinct names
+    meet the aliases that wait under a fragment of theirs, versions their ranges by equality (see intervals)."""
+    a = cut(advisories.select("id", "product", F.transform("aliases", F.lower).alias("aliases"), F.coalesce("ranges", F.array().cast(EVENTS)).alias("ranges")).withColumn("entry", F.monotonically_increasing_id()))
     mine = components.where("source = 'registry'")
-    names = mine.select("name").distinct().withColumn("shown", display_name(F.col("name")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("shown") - 2, F.lit(1))), lambda i: F.substring("shown", i, 3))
-    names = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams))))
-    named = names.join(a, "gram").where(F.col("shown").contains(F.col("alias"))).select("name", "id", "product", "ranges").dropDuplicates(["name", "id"])
-    key = semver_key(F.col("version"))
+    names = cut(mine.select("name").distinct().withColumn("shown", display_name(F.col("name"))))
+    waits = a.select("entry", F.explode("aliases").alias("needle"))
+    met = containing(names.select(F.col("shown").alias("text")), waits.select("needle"))
+    named = names.join(met, F.col("shown") == F.col("text")).join(waits, "needle").select("name", "entry").distinct()
+    fixed = F.get(F.filter(F.transform("ranges", lambda r: r["fixed"]), lambda f: f.isNotNull()), 0)
+    fix = F.coalesce(F.concat(F.lit("upgrade:"), F.col("product"), F.lit(">="), fixed), F.concat(F.lit("patch:"), F.col("product"), F.lit(":"), F.col("id")))
+    keyed = F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in ("introduced", "fixed", "last_affected")], *[semver_key(r[c]).alias(k) for c, k in (("introduced", "ik"), ("fixed", "fk"), ("last_affected", "lk"))]))
+    ranges = named.join(a.select("entry", F.col("id").alias("vuln_id"), fix.alias("remediation_key"), keyed.alias("keyed")), "entry").select("name", "vuln_id", "remediation_key", F.explode("keyed").alias("r"))
 
-    def inside(r: Column) -> Column:
+    def inside(key: Column) -> Column:
+        r = F.col("r")
         bounded = r["introduced"].isNotNull() | r["fixed"].isNotNull() | r["last_affected"].isNotNull()
-        low = r["introduced"].isNull() | F.coalesce(F.col("k") >= semver_key(r["introduced"]), F.lit(False))
-        high = r["fixed"].isNull() | F.coalesce(F.col("k") < semver_key(r["fixed"]), F.lit(False))
-        last = r["last_affected"].isNull() | F.coalesce(F.col("k") <= semver_key(r["last_affected"]), F.lit(False))
+        low = r["introduced"].isNull() | F.coalesce(key >= r["ik"], F.lit(False))
+        high = r["fixed"].isNull() | F.coalesce(key < r["fk"], F.lit(False))
+        last = r["last_affected"].isNull() | F.coalesce(key <= r["lk"], F.lit(False))
         return bounded & low & high & last
 
-    hit = mine.withColumn("k", key).join(named, "name").where(F.exists("ranges", inside))
-    fixed = F.get(F.filter(F.transform("ranges", lambda r: r["fixed"]), lambda f: f.isNotNull()), 0)
-    fix = F.coalesce(F.concat(F.lit("upgrade:"), F.col("product"), F.lit(">="), fixed), F.concat(F.lit("patch:"), F.col("product"), F.lit(":"), F.col("id")))
-    return hit.select("name", "version", "source", "os", F.col("id").alias("vuln_id"), fix.alias("remediation_key")).dropDuplicates(["name", "version", "source", "os", "vuln_id"])
+    versions = mine.withColumn("key", semver_key(F.col("version"))).where("key IS NOT NULL")  # others are in no range
+    found = stabbed(versions.select("name", "key"), ranges, ["name"], F.array("r.ik", "r.fk", "r.lk"), inside, ["vuln_id", "remediation_key"]).distinct()
+    return _first_fix(versions.join(found, ["name", "key"]))
 
 
 def composite_hits(*sources: DataFrame) -> DataFrame:
@@ -145,9 +173,12 @@ def vulnerability_run(sbom: DataFrame, hits: DataFrame, enriched: DataFrame, pri
 
 
 def detections(sbom: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits of each host's components: authenticated, of confidence 0.95."""
+    """Hits of each host's components: authenticated, of confidence 0.95. What a finding is about is the package of a source,
+    not its version: `versions` tells which installed ones are hit, so an upgrade that doesn't help is the same finding. Of
+    several fixes the least counts. One group has the versions of one package on one host."""
     j = sbom.join(hits, ["name", "version", "source", "os"])
-    return j.select("asset_id", "vuln_id", F.col("name").alias("component"), F.col("version").alias("location"), F.lit("sbom").alias("source"), F.lit("authenticated").alias("method"), F.lit(0.95).cast("float").alias("confidence"), "remediation_key", F.col("remediation_key").alias("seq"))
+    g = j.groupBy("asset_id", "vuln_id", F.col("name").alias("component"), F.col("source").alias("location")).agg(F.min("remediation_key").alias("remediation_key"), F.array_sort(F.collect_set("version")).alias("versions"))
+    return g.select(*IDENTITY, F.lit("sbom").alias("source"), F.lit("authenticated").alias("method"), F.lit(0.95).cast("float").alias("confidence"), "remediation_key", F.col("remediation_key").alias("seq"), "versions")
 
 
 def vulnerability_findings(found: DataFrame, enriched: DataFrame, assets: DataFrame | None = None, runtime: DataFrame | None = None) -> DataFrame:
@@ -160,4 +191,4 @@ def vulnerability_findings(found: DataFrame, enriched: DataFrame, assets: DataFr
     j = j.withColumn("explain", S.vulnerability_explain(F.col("cvss_env"), F.col("epss"), F.col("maturity"), F.col("vex"), F.col("internet_facing"), F.col("compensating_controls"), F.col("criticality"), reach))
     j = j.withColumn("risk", S.vulnerability_risk(F.col("explain")))
     made = S.decision(F.col("risk"), F.col("kev"), F.lit(True), F.col("explain.reach"))
-    return j.select(S.finding_id(*[F.col(c) for c in IDENTITY]).alias("finding_id"), *IDENTITY, "provenance", "cvss_env", "epss", "kev", "risk", "explain", "runtime_reachable", made.alias("decision"), S.sla_hours(made).alias("sla_hours"), S.initial_status(F.col("vex")).alias("status"), "remediation_key")
+    return j.select(S.finding_id(*[F.col(c) for c in IDENTITY]).alias("finding_id"), *IDENTITY, "provenance", *[c for c in ("versions",) if c in j.columns], "cvss_env", "epss", "kev", "risk", "explain", "runtime_reachable", made.alias("decision"), S.sla_hours(made).alias("sla_hours"), S.initial_status(F.col("vex")).alias("status"), "remediation_key")

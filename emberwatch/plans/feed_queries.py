@@ -36,8 +36,8 @@ def _feed(spark: SparkSession, sf: str) -> str:
     p = table(spark, sf, "part").select("p_partkey", "p_size", F.concat(F.lit("CVE-"), _key("p_partkey")).alias("id"))
     score = F.concat(F.lit(',"cvss_base_score":'), (F.col("p_size") / 5.0).cast("string"))
     vector = F.when(F.col("p_partkey") % 3 == 0, '[{"type":"CVSS_V2","score":"v2"},{"type":"cvss_v3","score":""},{"type":"Cvss_V3","score":"v3"}]').otherwise("[]")
-    maturity = F.when(F.col("p_partkey") % 4 == 0, "poc").when(F.col("p_partkey") % 4 == 1, "unheard of").otherwise("weaponized")
-    osv = p.where("p_partkey % 5 <> 0").select(F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","severity":'), vector, F.lit(',"database_specific":{"exploit_maturity":"'), maturity, F.lit('"'), score, F.lit('},"affected":[{"package":{"ecosystem":"Debian:12","name":"pkg-'), _key("p_size"), F.lit('"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"2"}]}]}]}')).alias("value"))
+    maturity = F.when(F.col("p_partkey") % 4 == 0, "poc").when(F.col("p_partkey") % 8 == 1, "POC").when(F.col("p_partkey") % 4 == 1, "unheard of").otherwise("weaponized")
+    osv = p.select(F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","severity":'), vector, F.lit(',"database_specific":{"exploit_maturity":"'), maturity, F.lit('"'), score, F.lit('},"affected":[{"package":{"ecosystem":"Debian:12","name":"pkg-'), _key("p_size"), F.lit('"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"2"}]}]}]}')).alias("value"))
     _arrays(osv, f"{root}/content/osv")
     nvd = p.where("p_partkey % 7 = 0").select(F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","severity":[],"database_specific":{"cvss_base_score":9.5}}')).alias("value"))
     _arrays(nvd, f"{root}/content/nvd", '{"feed_tier":"community","records":[', "]}")
@@ -60,10 +60,10 @@ def feed_scores(spark, sf):
     return e.select("vuln_id", F.round(F.col("cvss_env").cast("double"), 3).alias("cvss"), "vector", F.round(F.col("epss").cast("double"), 3).alias("epss"), "percentile", "kev", "maturity", "feed_version", "staleness_ms")
 
 
-_FEED = """SELECT 'CVE-' || p_partkey AS vuln_id, CASE WHEN p_partkey % 7 = 0 THEN 9.5 WHEN p_partkey % 5 <> 0 THEN round(p_size / 5.0, 3) END AS cvss, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN 'v3' END AS vector,
+_FEED = """SELECT 'CVE-' || p_partkey AS vuln_id, CASE WHEN p_partkey % 7 = 0 THEN 9.5 ELSE round(p_size / 5.0, 3) END AS cvss, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 <> 0 THEN 'v3' END AS vector,
 CASE WHEN p_partkey % 2 = 0 THEN round(p_size / 100.0, 3) END AS epss, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0.5 END AS REAL) AS percentile, p_partkey % 9 = 0 AS kev,
-CASE WHEN p_partkey % 9 = 0 THEN 'weaponized' WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 THEN 'none' WHEN p_partkey % 4 = 0 THEN 'poc' WHEN p_partkey % 4 = 1 THEN 'none' ELSE 'weaponized' END AS maturity, '2024-06' AS feed_version, CAST(500 AS BIGINT) AS staleness_ms
-FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 = 0 OR p_partkey % 2 = 0 OR p_partkey % 9 = 0"""
+CASE WHEN p_partkey % 9 = 0 THEN 'weaponized' WHEN p_partkey % 7 = 0 THEN 'none' WHEN p_partkey % 4 = 0 THEN 'poc' WHEN p_partkey % 4 = 1 THEN 'none' ELSE 'weaponized' END AS maturity, '2024-06' AS feed_version, CAST(500 AS BIGINT) AS staleness_ms
+FROM part"""
 
 
 def feed_advisories(spark, sf):
@@ -79,7 +79,7 @@ def feed_integrity(spark, sf):
     n.coalesce(1).write.option("maxRecordsPerFile", 1).text(folder)
     f = spark.read.text(folder, wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), "value")
     k, digest = F.split_part("value", F.lit(" "), F.lit(1)).cast("int"), F.sha2(F.encode("value", "UTF-8"), 256)
-    m = f.where(k % 5 != 4).select("name", F.when(k % 5 == 1, "00").otherwise(F.upper(digest)).alias("sha256"))
+    m = f.where(k % 5 != 4).select("name", F.when(k % 5 == 1, "00").otherwise(F.concat(F.lit(" "), F.upper(digest), F.lit("\t"))).alias("sha256"))
     gone = f.where(k % 5 == 4).select(F.concat(F.lit("lost-"), "name").alias("name"), F.lit("00").alias("sha256"))
     return feeds.feed_violations(spark, folder, m.unionByName(gone)).groupBy("violation").agg(F.count("*").alias("files"))
 
@@ -130,7 +130,7 @@ def _vulnerability_run(spark, sf):
 def vulnerability_context(spark, sf):
     """Findings in the context of their hosts, with reachability and what doesn't affect."""
     f = _vulnerability_run(spark, sf)[0]
-    return f.select("finding_id", "risk", "decision", "status", "runtime_reachable", F.size("provenance").alias("sources"), "first_seen")
+    return f.select("finding_id", "risk", "decision", "status", "runtime_reachable", F.size("provenance").alias("sources"), F.array_join("versions", ",").alias("versions"), "first_seen")
 
 
 def vulnerability_fixes(spark, sf):
@@ -142,7 +142,7 @@ def vulnerability_fixes(spark, sf):
 _R = VQ._R
 _CONTEXT = f"""WITH {VQ._hits_sql('true')}, {VQ._ENR},
 host AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey AS k, s_nationkey AS n FROM supplier),
-d AS (SELECT s.asset_id, h.vuln_id, s.name AS component, s.version AS location, count(*) AS sources, min(h.remediation_key) AS remediation_key FROM sbom s JOIN hits h USING (name, version, source, os) GROUP BY ALL),
+d AS (SELECT s.asset_id, h.vuln_id, s.name AS component, s.source AS location, 1 AS sources, string_agg(DISTINCT s.version, ',' ORDER BY s.version) AS versions, min(h.remediation_key) AS remediation_key FROM sbom s JOIN hits h USING (name, version, source, os) GROUP BY ALL),
 x AS (SELECT d.*, CASE d.vuln_id WHEN 'OSV-3' THEN 'not_affected' WHEN 'CVE-W2' THEN 'unknown' ELSE CASE WHEN e.vuln_id IS NULL THEN 'unknown' ELSE 'affected' END END AS vex, coalesce(kev, false) AS kev, least({_R(1)}, coalesce(cvss_env, {_R(0)}) / {_R(10)}) AS sev,
   greatest(coalesce(epss, {_R(0)}), {_R("CASE maturity WHEN 'poc' THEN 0.4 WHEN 'functional' THEN 0.7 WHEN 'weaponized' THEN 0.9 ELSE 0.0 END")}) AS lik,
   CASE WHEN h.k % 4 = 1 THEN NULL ELSE h.k % 2 = 0 AND d.component IN ('putty', 'openssl') END AS runtime_reachable,
@@ -156,7 +156,7 @@ findings AS (SELECT *, asset_id || '|' || vuln_id || '|' || component || '|' ||
 
 def vulnerability_details(spark, sf):
     """One row a finding: what, where, how bad, and what to do."""
-    return VQ.findings(spark, sf).select(F.col("vuln_id").alias("cve"), F.col("component").alias("package"), F.col("location").alias("version"), F.col("cvss_env").cast("double").alias("cvss"), "kev", F.col("epss").cast("double").alias("epss"), "risk", "decision", F.col("remediation_key").alias("fix"), F.col("asset_id").alias("host"), "status")
+    return VQ.findings(spark, sf).select(F.col("vuln_id").alias("cve"), F.col("component").alias("package"), F.array_join("versions", ",").alias("version"), F.col("cvss_env").cast("double").alias("cvss"), "kev", F.col("epss").cast("double").alias("epss"), "risk", "decision", F.col("remediation_key").alias("fix"), F.col("asset_id").alias("host"), "status")
 
 
 def product_names(spark, sf):
@@ -315,13 +315,13 @@ x AS (SELECT j.k, j.rule FROM j JOIN firsts f USING (rule) WHERE inside AND (wan
 d AS (SELECT *, CASE WHEN want IS NULL THEN 'GAP' WHEN miss THEN CASE WHEN hit THEN 'GAP_CLOSED' ELSE 'GAP' END WHEN hit THEN 'HIT' WHEN seen THEN 'PARTIAL' ELSE 'MISS' END AS verdict FROM v)"""
 SQL = {
     "feed_scores": _FEED,
-    "feed_advisories": "SELECT 'pkg-' || p_size AS name, 'debian' AS family, count(*) AS advisories, '2' AS fixed FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1",
+    "feed_advisories": "SELECT 'pkg-' || p_size AS name, 'debian' AS family, count(*) AS advisories, '2' AS fixed FROM part GROUP BY 1",
     "feed_integrity": "SELECT violation, count(*) AS files FROM (SELECT unnest(CASE n_nationkey % 5 WHEN 1 THEN ['changed'] WHEN 4 THEN ['missing', 'unlisted'] ELSE [] END) AS violation FROM nation) v GROUP BY 1",
     "windows_advisories": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'licensed' ELSE 'community' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'd' END AS snapshot_date, 'putty ' || s_nationkey AS alias, 'P' || s_nationkey AS product, count(*) AS advisories FROM supplier GROUP BY 1, 2, 3, 4",
     "package_libraries": "WITH s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey % 2 AS odd, s_nationkey AS n FROM supplier) SELECT asset_id, 'ssl' || n AS name, '/usr/lib/liba.so,/usr/lib/libssl.so.3' AS libraries FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'zed' || n, '/opt/z.DYLIB' FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'libc' || n, '/lib/libc.so.6,/lib/x.dll' FROM s WHERE odd = 1",
-    "vulnerability_context": f"{_CONTEXT} SELECT finding_id, risk, decision, status, runtime_reachable, CAST(sources AS INTEGER) AS sources, CAST(7 AS BIGINT) AS first_seen FROM findings",
+    "vulnerability_context": f"{_CONTEXT} SELECT finding_id, risk, decision, status, runtime_reachable, CAST(sources AS INTEGER) AS sources, versions, CAST(7 AS BIGINT) AS first_seen FROM findings",
     "vulnerability_fixes": f"{_CONTEXT} SELECT remediation_key, max(risk) AS risk, string_agg(DISTINCT vuln_id, ',' ORDER BY vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM findings WHERE status <> 'suppressed' GROUP BY 1",
-    "vulnerability_details": f"{VQ._FIND} SELECT f.vuln_id AS cve, component AS package, location AS version, CAST(f.cvss_env AS DOUBLE) AS cvss, f.kev, CAST(e.epss AS DOUBLE) AS epss, risk, decision, remediation_key AS fix, asset_id AS host, status FROM findings f LEFT JOIN enr e ON f.vuln_id = e.vuln_id",
+    "vulnerability_details": f"{VQ._FIND} SELECT f.vuln_id AS cve, component AS package, versions AS version, CAST(f.cvss_env AS DOUBLE) AS cvss, f.kev, CAST(e.epss AS DOUBLE) AS epss, risk, decision, remediation_key AS fix, asset_id AS host, status FROM findings f LEFT JOIN enr e ON f.vuln_id = e.vuln_id",
     "product_names": r"SELECT p_partkey, trim(regexp_replace(lower(p_name) || CASE p_partkey % 5 WHEN 2 THEN ' 2.0' ELSE '' END, '\s+', ' ', 'g')) AS shown FROM part",
     "provenance": "SELECT 'sup-' || l_suppkey AS asset_id, 'v-' || (l_partkey % 20) AS vuln_id, string_agg('src' || (l_linenumber % 3), ',' ORDER BY l_linenumber % 2 DESC, l_orderkey * 10 + l_linenumber) AS sources, arg_min('fix-' || l_orderkey, (-(l_linenumber % 2), l_orderkey * 10 + l_linenumber)) AS remediation_key FROM lineitem GROUP BY 1, 2",
     "fix_totals": f"{_ALL} SELECT count(DISTINCT remediation_key) AS fixes, count(*) AS findings, round(count(*) / CAST(count(DISTINCT remediation_key) AS DOUBLE), 6) AS findings_per_fix FROM findings",

@@ -9,6 +9,7 @@ from emberwatch.operators.vulnerabilities import EVENTS
 
 ENVELOPE = "class_uid int, class_name string, time bigint, severity_id smallint, metadata struct<product:string,version:string,tenant_id:string>, device struct<hostname:string,os:string,os_version:string>, data string"
 _REQUIRED = ["class_uid", "class_name", "time", "severity_id", "metadata.product", "metadata.version", "metadata.tenant_id", "device.hostname", "device.os", "device.os_version", "data"]
+EPSS_HEADER = "cve,epss,percentile"
 SNAPSHOTS = ["os_version", "packages", "files", "listeners", "ai_runtimes", "ai_models", "network_hosts", "sshd_config", "login_defs"]
 
 
@@ -81,11 +82,11 @@ def read_nvd(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_epss(spark: SparkSession, path: str) -> DataFrame:
-    """(vuln_id, epss, percentile) of CSV lines. Blank lines, comments and the header are skipped wherever they stand; a
-    line of fewer columns or without numbers fails; the last line of a vulnerability counts. A file is read as one text,
+    """(vuln_id, epss, percentile) of CSV lines. Blank lines, comments and the header (a whole line) are skipped wherever
+    they stand; a line of fewer columns or without numbers fails; the last line of a vulnerability counts. A file is read as one text,
     since its lines have an order; score feeds have some ten megabytes."""
     l = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
-    l = l.where("line <> '' AND NOT startswith(line, '#')").withColumn("c", F.transform(F.split("line", ","), lambda x: F.trim(x))).where(F.lower(F.get("c", 0)) != "cve")
+    l = l.where("line <> '' AND NOT startswith(line, '#')").where(F.lower("line") != EPSS_HEADER).withColumn("c", F.transform(F.split("line", ","), lambda x: F.trim(x)))
     value = lambda k: F.get("c", k).try_cast("double")
     bad = value(1).isNull() | value(2).isNull()
     name = F.when(bad, F.raise_error(F.concat(F.lit("not a score line: "), F.col("line"))).cast("string")).otherwise(F.get("c", 0))
@@ -116,21 +117,21 @@ def cvss_evidence(osv_json: DataFrame | None, nvd_json: DataFrame | None) -> Dat
     parts = [d.withColumn("rank", F.lit(k)) for k, d in enumerate((osv_json, nvd_json)) if d is not None]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     vector = F.get(F.filter("severity", lambda s: (F.upper(s["type"]) == "CVSS_V3") & (s["score"] != "")), 0)["score"]
-    m = F.lower("maturity")
+    m = F.col("maturity")  # as it is written; another spelling is unknown
     r = both.select(F.col("id").alias("vuln_id"), F.struct(F.col("score").cast("float").alias("cvss_env"), vector.alias("vector"), F.when(m.isin(known), m).otherwise("none").alias("maturity")).alias("v"), F.struct("rank", "seq").alias("o"))
     return r.groupBy("vuln_id").agg(F.max_by("v", "o").alias("v")).select("vuln_id", "v.*")
 
 
 def feed_violations(spark: SparkSession, folder: str, manifest: DataFrame, most_files: int = 1024, most_bytes: int = 256 << 20) -> DataFrame:
     """Files of a feed against its manifest (name, sha256): missing, unlisted, changed, too large, repeated or oddly named
-    ones. Digests are made by the tasks that read the files."""
+    ones (empty, `.`, `..`, or with a separator). Digests are made by the tasks that read the files."""
     f = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("actual"))
     m = manifest.groupBy("name").agg(F.first("sha256").alias("sha256"), F.count("*").alias("n"))
     total = manifest.select(F.count("*").alias("entries"))
     j = m.join(f, "name", "full_outer").join(F.broadcast(total))
     checks = [
-        (F.col("sha256").isNull(), "unlisted"), (F.col("actual").isNull(), "missing"), (F.lower("sha256") != F.col("actual"), "changed"),
-        (F.col("length") > most_bytes, "too_large"), (F.col("n") > 1, "repeated"), (~F.col("name").rlike(r"\A[A-Za-z0-9_][A-Za-z0-9._-]*\z"), "bad_name"), (F.col("entries") > most_files, "too_many"),
+        (F.col("sha256").isNull(), "unlisted"), (F.col("actual").isNull(), "missing"), (F.lower(F.btrim("sha256", F.lit(" \t\r\n\x0b\x0c"))) != F.col("actual"), "changed"),
+        (F.col("length") > most_bytes, "too_large"), (F.col("n") > 1, "repeated"), (F.col("name").rlike(r"\A(|\.|\.\.)\z|[/\\\x00]"), "bad_name"), (F.col("entries") > most_files, "too_many"),
     ]
     return j.select("name", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in checks]))).alias("violation"))
 
