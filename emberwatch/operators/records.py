@@ -27,6 +27,11 @@ def envelopes(rows: DataFrame, class_uid: int, time: Column, severity: Column, d
     )
 
 
+def parsed_data(records: DataFrame) -> DataFrame:
+    """With `data` as an object of the record, as event files have it, not as a string."""
+    return records.withColumn("data", F.parse_json("data"))
+
+
 def activity_envelopes(records: DataFrame, class_uid: int, severity: Column) -> DataFrame:
     """Records with `hits` and, as far as they have them, image, pid, daddr, dport and path: class 1007, 4001, 1001 or 9002."""
     have = set(records.columns)

@@ -87,15 +87,10 @@ def envelopes(spark: SparkSession, sf: str) -> DataFrame:
 def read_back(spark: SparkSession, sf: str) -> DataFrame:
     """The same after a file of NDJSON."""
     folder = scratch(spark, "records")
-    sinks.write_ndjson(_raw(envelopes(spark, sf)), folder)
+    sinks.write_ndjson(C.parsed_data(envelopes(spark, sf)), folder)
     return feeds.parse_envelopes(spark.read.text(folder))[0]
 
 
-def _raw(e: DataFrame) -> DataFrame:
-    """`data` as an object of the line, not as a string."""
-    return e.withColumn("data", F.parse_json("data"))
-
-
 def class_records(spark, sf):
     """Conformance, severities and numbers of detections of what is written."""
     e = read_back(spark, sf)
@@ -104,12 +99,21 @@ def class_records(spark, sf):
     return g
 
 
-def _run(spark, sf):
-    e = cut(read_back(spark, sf))
+def vulnerable(spark: SparkSession, e: DataFrame) -> DataFrame:
+    """Findings of the inventories among records."""
     sbom = cut(C.components_of(e))
     hits = V.composite_hits(*VQ._hits(spark, V.distinct_components(sbom), "osv", "nvd", "feed"))
-    found = V.vulnerability_findings(V.detections(sbom, hits), VQ.enriched(spark))
-    return C.run_all(e, O.empty_state(spark), found)
+    return V.vulnerability_findings(V.detections(sbom, hits), VQ.enriched(spark))
+
+
+def findings_of(spark: SparkSession, e: DataFrame) -> DataFrame:
+    """Findings of records of any class."""
+    return C.all_class_findings(e, vulnerable(spark, e))
+
+
+def _run(spark, sf):
+    e = cut(read_back(spark, sf))
+    return C.run_all(e, O.empty_state(spark), vulnerable(spark, e))
 
 
 def all_class_findings(spark, sf):

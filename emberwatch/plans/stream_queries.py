@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from emberwatch.fixtures import SENSOR_EVENTS, sensor_events, table
 from emberwatch.functions import ai as A
 from emberwatch.operators import findings as O
+from emberwatch.operators import records as C
 from emberwatch.plans import detection as D
 from emberwatch.plans import inventory_queries as IQ
 from emberwatch.plans import sqltext as Q
+from emberwatch.plans import record_queries as RQ
 from emberwatch.plans.record_queries import _LINES, event_text
 from emberwatch.sources import sinks as S_
-from emberwatch.sources.shared import scratch
+from emberwatch.sources.feeds import parse_envelopes
+from emberwatch.sources.shared import cut, scratch
 from emberwatch.sources.sinks import StateTable
 from emberwatch.streaming import jobs as S
 
@@ -72,12 +75,21 @@ def stream_daily_activity(spark, sf):
     return _run(spark, S.daily_activity_stream(r), "activity")  # the last row's own day stays open
 
 
+AGAIN = ["host-1", "host-3"]
+
+
 def stream_findings_state(spark, sf):
-    """The findings loop over two batches leaves the findings of all events."""
-    e = _stream(spark, sf)
-    state = StateTable(spark, scratch(spark, "state"), O.empty_state(spark))
-    S.findings_loop(e, lambda b: O.network_findings(D.network_records(b)), state, scratch(spark, "loop")).awaitTermination()
-    return state.load().select("finding_id", "risk", "decision", "remediation_key")
+    """Records of all classes through the findings loop, in two batches and over a restart: activity first, then posture,
+    inventories, and connections of some hosts again. Leaves the findings of all records, with when they were seen."""
+    folder, state = scratch(spark, "records"), StateTable(spark, scratch(spark, "state"), O.empty_state(spark))
+    every, loop = cut(RQ.envelopes(spark, sf)), scratch(spark, "loop")
+    activity, again = F.col("class_uid").isin(1007, 4001, 1001, 9002), (F.col("class_uid") == 4001) & F.col("device.hostname").isin(AGAIN)
+    lines = S_.to_ndjson(C.parsed_data(every))
+    for part in (every.where(activity), every.where(~activity | again)):
+        S_.to_ndjson(C.parsed_data(part)).write.mode("append").text(folder)
+        stream = parse_envelopes(spark.readStream.schema(lines.schema).text(folder))[0]
+        S.findings_loop(stream, lambda b: RQ.findings_of(spark, b), state, loop, "time").awaitTermination()
+    return state.load().select("finding_id", "risk", "decision", "remediation_key", "first_seen", "last_seen")
 
 
 def stream_process_rules(spark, sf):
@@ -133,14 +145,15 @@ def stream_envelopes(spark, sf):
 
 
 def stream_files(spark, sf):
-    """Records of a stream as lines and as a day's files."""
+    """Records of a stream as event files (envelopes of class 4001, one a line) and as a day's files."""
     folder = scratch(spark, "sinks")
-    r = D.network_records(_stream(spark, sf)).select("event_id", "ts", "daddr")
-    S_.stream_records(r, f"{folder}/lines", f"{folder}/c1").trigger(availableNow=True).start().awaitTermination()
-    S_.stream_by_day(r, f"{folder}/days", f"{folder}/c2", F.col("ts")).trigger(availableNow=True).start().awaitTermination()
-    lines = spark.read.text(f"{folder}/lines").select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"))
+    r = D.network_records(_stream(spark, sf)).select("event_id", "asset_id", "ts", "daddr", "dport", "hits")
+    S_.stream_records(C.parsed_data(C.activity_envelopes(r, 4001, F.lit(1))), f"{folder}/lines", f"{folder}/c1").trigger(availableNow=True).start().awaitTermination()
+    S_.stream_by_day(r.drop("hits"), f"{folder}/days", f"{folder}/c2", F.col("ts")).trigger(availableNow=True).start().awaitTermination()
+    good, bad = parse_envelopes(spark.read.text(f"{folder}/lines"))
+    lines = good.where(F.get_json_object("data", "$.connection.daddr").isNotNull()).select(F.col("time").alias("ts")).join(bad.agg(F.count("*").alias("bad")).where("bad = 0"))
     days = spark.read.parquet(f"{folder}/days")
-    return days.join(lines, "event_id").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
+    return days.join(lines, "ts").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
 
 
 QUERIES = {
@@ -176,5 +189,8 @@ SQL = {
     "stream_lifetimes": f"{_E}, {D.EXITS} SELECT event_id, image, lifetime_ms, matched FROM exits",
     "stream_first_sightings": f"{_E} SELECT DISTINCT asset_id, path FROM sensor_events WHERE kind = 'FileOpen'",
     "stream_daily_activity": f"{_E} SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, kind AS category, count(*) AS detections FROM sensor_events GROUP BY 1, 2",
-    "stream_findings_state": f"{_E}, {Q.RECORDS}, {Q.findings(Q.NETWORK_RAW)} SELECT finding_id, risk, decision, remediation_key FROM findings",
+    "stream_findings_state": f"""{RQ._ALL}, t AS (SELECT (SELECT max(ts) FROM (SELECT ts FROM process_records UNION ALL SELECT ts FROM network_records UNION ALL SELECT ts FROM file_records UNION ALL SELECT ts FROM tops) x) AS t1,
+        (SELECT coalesce(max(ts), 5) FROM network_records WHERE asset_id IN {Q.in_list(AGAIN)}) AS t2)
+        SELECT finding_id, risk, decision, remediation_key, CAST(CASE WHEN regexp_matches(vuln_id, '^(process|network|file|correlation):') THEN t1 ELSE t2 END AS BIGINT) AS first_seen,
+        CAST(CASE WHEN regexp_matches(vuln_id, '^(process|file|correlation):') OR (starts_with(vuln_id, 'network:') AND asset_id NOT IN {Q.in_list(AGAIN)}) THEN t1 ELSE t2 END AS BIGINT) AS last_seen FROM found, t""",
 }

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from emberwatch.operators.findings import upsert
 from emberwatch.sources.shared import scratch
 
 __all__ = ["StateTable", "scratch", "stream_by_day", "stream_records", "to_ndjson", "write_by_day", "write_ndjson"]
@@ -53,19 +53,36 @@ def stream_records(df: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
 
 
 class StateTable:
-    """Findings state: a folder a version, and a pointer a version that is written after it, each once and never changed.
-    The greatest pointer counts. A run that fails in between leaves a version without a pointer, which the next run
-    writes again. Pointers go through Spark's writer, so any store will do; the driver reads a line a version.
+    """Findings state as a log of changes: a write adds a segment with the rows of its batch and no other, and a pointer.
+    Reading merges the segments that the last pointer names, later rows of an id before earlier ones. Segments of about
+    equal size are merged, each time into one of twice the rows, so a row is rewritten a logarithmic number of times, what a
+    batch writes follows the batch, and a read meets few segments. Files of a segment are dealt by a hash of the id.
 
-    A pointer also tells which batch of which stream it is, so a batch that is repeated after a failure changes nothing,
-    and a stream with a new checkpoint, whose batches start at 0 again, is a stream of its own."""
+    Pointers are numbered, each is written once and after what it names, and holds all that a reader needs: segments, and
+    the last batch of each stream. The last one is found by trying numbers, twice as far each time, so none but it is read.
+    A run that fails in between leaves a segment without a pointer, which the next run writes again. All goes through
+    Spark's readers and writers, so any store will do. Folders that no pointer names any more are never read; dead() tells
+    which they are.
+
+    A batch that is repeated after a failure changes nothing, and a stream with a new checkpoint, whose batches start at 0
+    again, is a stream of its own. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, empty: DataFrame) -> None:
         self.spark, self.path, self.empty = spark, path, empty
+        self._last, self._held = -1, None
+
+    def _read(self, number: int) -> dict | None:
+        try:
+            rows = self.spark.read.text(f"{self.path}/pointer/p={number}").collect()  # one line
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+        return json.loads(rows[0]["value"]) if rows else None
 
-    def _exists(self, name: str) -> bool:
+    def _data_exists(self) -> bool:
         try:
-            self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.path}/{name}").select("path").isEmpty()
+            self.spark.read.schema(self.empty.schema).option("recursiveFileLookup", True).parquet(f"{self.path}/data")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return False
@@ -73,37 +90,89 @@ class StateTable:
         return True
 
     def pointer(self) -> dict:
-        """The greatest pointer: version (-1: no rows yet) and the last batch of each stream."""
-        if not self._exists("pointer"):
-            if self._exists("data"):
-                raise ValueError(f"{self.path} has versions, but their pointers are lost")
-            return {"version": None, "batches": {}}
-        rows = [json.loads(r["value"]) for r in self.spark.read.option("recursiveFileLookup", True).text(f"{self.path}/pointer").collect()]
-        return max(rows, key=lambda p: p["version"], default={"version": None, "batches": {}})
+        """The last pointer: version (-1: no rows yet), segments (number, rows) and the last batch of each stream."""
+        none = {"version": None, "batches": {}, "segments": []}
+        if self._held is None:
+            self._held = self._read(0)
+            if self._held is None:
+                if self._data_exists():
+                    raise ValueError(f"{self.path} has versions, but their pointers are lost")
+                return none
+            self._last = 0
+        step, beyond = 1, None
+        while beyond is None or beyond - self._last > 1:
+            at = self._last + step if beyond is None else (self._last + beyond) // 2
+            found = self._read(at)
+            if found is None:
+                beyond = at
+            else:
+                self._last, self._held, step = at, found, step * 2
+        return self._held
 
     def version(self) -> int | None:
         v = self.pointer()["version"]
         return None if v in (None, -1) else v
 
-    def load(self) -> DataFrame:
-        v = self.version()
-        return self.empty if v is None else self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/data/v={v}")
-
-    def _point(self, version: int, batches: dict) -> None:
-        line = json.dumps({"version": version, "batches": batches})
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer/v={version}")
+    def _segments(self, numbers: list[int], ids: DataFrame | None = None) -> DataFrame:
+        """Rows of segments, the last of each id; of the given ids alone, which are picked before anything is merged."""
+        if not numbers:
+            return self.empty
+        parts = [self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/data/s={n}").withColumn("_n", F.lit(n)) for n in numbers]
+        every = reduce(DataFrame.unionByName, parts)
+        if ids is not None:
+            every = every.join(ids.select("finding_id").distinct(), "finding_id", "left_semi")
+        if len(numbers) == 1:
+            return every.select(*self.empty.columns)
+        last = every.groupBy("finding_id").agg(F.max_by(F.struct(*self.empty.columns), "_n").alias("_row"))
+        return last.select("_row.*")
+
+    def load(self, ids: DataFrame | None = None) -> DataFrame:
+        """The state, or its rows of some ids (`finding_id`)."""
+        return self._segments([n for n, _ in self.pointer()["segments"]], ids)
+
+    def _point(self, number: int, pointer: dict) -> None:
+        line = json.dumps(pointer)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer/p={number}")
 
     def seen(self, stream: str, batch: int) -> bool:
         return batch <= self.pointer()["batches"].get(stream, -1)
 
+    def _write(self, rows: DataFrame, number: int) -> list[int]:
+        folder = f"{self.path}/data/s={number}"
+        rows.write.mode("overwrite").parquet(folder)
+        return [number, self.spark.read.schema(self.empty.schema).parquet(folder).count()]
+
     def write(self, fresh: DataFrame, stream: str = "", batch: int | None = None) -> bool:
-        """Merges fresh rows into the state, as its next version. False where this batch of this stream is in it already."""
+        """Puts fresh rows into the state, as its next version; of rows of one id the last by `seq`, if there is one, counts.
+        False where this batch of this stream is in it already."""
         now = self.pointer()
         if now["version"] is None:
-            self._point(-1, {})
-            now = {"version": -1, "batches": {}}
+            self._point(0, {"version": -1, "batches": {}, "segments": []})
+            now = self.pointer()
         if batch is not None and batch <= now["batches"].get(stream, -1):
             return False
-        upsert(self.load(), fresh.select(*self.empty.columns)).write.mode("overwrite").parquet(f"{self.path}/data/v={now['version'] + 1}")
-        self._point(now["version"] + 1, now["batches"] | ({stream: batch} if batch is not None else {}))
+        number = self._last + 1
+        row = F.struct(*self.empty.columns)
+        one = fresh.groupBy("finding_id").agg(F.max_by(row, "seq" if "seq" in fresh.columns else row).alias("_row")).select("_row.*")
+        segment = self._write(one, number)
+        batches = now["batches"] | ({stream: batch} if batch is not None else {})
+        self._point(number, {"version": now["version"] + 1, "batches": batches, "segments": [*now["segments"], segment]})
+        self.compact()
         return True
+
+    def compact(self) -> None:
+        """Merges the last segments as long as the one before has no more rows than those behind it together."""
+        now = self.pointer()
+        kept, merged, rows = list(now["segments"]), [], 0
+        while kept and (not merged or kept[-1][1] <= rows):
+            merged.insert(0, kept.pop())
+            rows += merged[0][1]
+        if len(merged) > 1:
+            number = self._last + 1
+            segment = self._write(self._segments([n for n, _ in merged]), number)
+            self._point(number, now | {"segments": [*kept, segment]})
+
+    def dead(self) -> list[str]:
+        """Folders that no reader of the last pointer needs."""
+        live = {n for n, _ in self.pointer()["segments"]}
+        return [f"{self.path}/data/s={n}" for n in range(self._last + 1) if n not in live] + [f"{self.path}/pointer/p={n}" for n in range(1, self._last)]

@@ -21,6 +21,7 @@ from emberwatch.functions import rules as R
 from emberwatch.operators import findings as O
 from emberwatch.operators.asof import CHAIN, CHAINS, EXIT_GRACE, LATE_EXEC, event_severity, flagged_path
 from emberwatch.sources.feeds import parse_envelopes
+from emberwatch.sources.shared import cut
 from emberwatch.sources.sinks import StateTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -373,9 +374,11 @@ def daily_activity_stream(records: DataFrame, category: str = "category") -> Dat
     return records.groupBy(F.window("event_time", "1 day").alias("w"), category).agg(F.count("*").alias("detections")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), category, "detections")
 
 
-def findings_loop(records: DataFrame, to_findings, state: StateTable, checkpoint: str) -> StreamingQuery:
+def findings_loop(records: DataFrame, to_findings, state: StateTable, checkpoint: str, time: str = "ts") -> StreamingQuery:
     """Findings of each micro-batch, reconciled with the state and merged into its next version. A batch is known by its
-    stream's id, which the checkpoint keeps, and its number, so one that is repeated after a failure changes nothing."""
+    stream's id, which the checkpoint keeps, and its number, so one that is repeated after a failure changes nothing. Of the
+    state only the rows of the batch's own identities are merged, and only these are written. `time`: the records' column
+    of epoch ms, whose greatest value is the batch's time."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
@@ -385,10 +388,10 @@ def findings_loop(records: DataFrame, to_findings, state: StateTable, checkpoint
             return
         batch = batch.persist(StorageLevel.DISK_ONLY)
         try:
-            prior = state.load()
-            now = O.batch_time(batch.withColumnRenamed("ts", "time")).first()[0]
-            fresh = O.reconcile(prior, to_findings(batch), F.lit(now))
-            state.write(O.carry_forward(fresh, prior), stream, batch_id)
+            now = O.batch_time(batch.withColumnRenamed(time, "time")).first()[0]
+            found = cut(to_findings(batch))
+            prior = cut(state.load(found))
+            state.write(O.carry_forward(O.reconcile(prior, found, F.lit(now)), prior), stream, batch_id)
         finally:
             batch.unpersist()
 

@@ -90,10 +90,10 @@ def test_state_survives_failures_between_its_writes(spark, tmp_path, monkeypatch
     make = lambda i: spark.createDataFrame([(i, "a", "v", "c", "l", 1, "TRACK", 720, "open", "k", 1, 1, None)], findings.FINDING)
     point = sinks.StateTable._point
 
-    def fails(self, version, batches):
-        if version >= 0:
+    def fails(self, number, pointer):
+        if pointer["version"] >= 0:
             raise RuntimeError("lost")
-        point(self, version, batches)
+        point(self, number, pointer)
 
     monkeypatch.setattr(sinks.StateTable, "_point", fails)
     for _ in range(2):
@@ -104,7 +104,65 @@ def test_state_survives_failures_between_its_writes(spark, tmp_path, monkeypatch
     assert state.write(make("2"), "a", 0) and [r["finding_id"] for r in state.load().collect()] == ["2"]
     shutil.rmtree(tmp_path / "s" / "pointer")
     with pytest.raises(ValueError, match="pointers are lost"):
-        state.load()
+        sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark)).load()
+
+
+def state_rows(spark, ids, status="open"):
+    made = spark.createDataFrame([(i, status) for i in ids], "finding_id string, status string")
+    have = {"finding_id", "status"}
+    return made.select(*[f.name if f.name in have else F.lit("x" if f.dataType.simpleString() == "string" else 1).cast(f.dataType).alias(f.name) for f in findings.empty_state(spark).schema])
+
+
+def test_state_writes_follow_the_batch(spark, tmp_path):
+    """Small batches on a large state write little, segments stay few, and the last row of an id counts."""
+    state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    state.write(state_rows(spark, [f"f{k}" for k in range(100_000)]), "a", 0)
+    folder = tmp_path / "s" / "data"
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    base = size()
+    for b in range(1, 9):
+        state.write(state_rows(spark, [f"f{b}", f"f{b + 1}", f"new{b}"], f"s{b}"), "a", b)
+    assert size() - base < base / 4  # most of it file footers
+    p = state.pointer()
+    assert p["version"] == 8 and len(p["segments"]) <= 4 and sum(n for _, n in p["segments"][1:]) <= 17
+    got = {r["finding_id"]: r["status"] for r in state.load().collect()}
+    assert len(got) == 100_008 and [got[f"f{k}"] for k in (0, 1, 2, 8, 9, 10)] == ["open", "s1", "s2", "s8", "s8", "open"]
+    some = state.load(spark.createDataFrame([("f9",), ("new3",), ("none",)], "finding_id string"))
+    assert {(r["finding_id"], r["status"]) for r in some.collect()} == {("f9", "s8"), ("new3", "s3")}
+    # Another reader finds the last pointer by itself, and nothing that it needs is dead.
+    other = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    assert other.pointer() == p
+    for path in state.dead():
+        shutil.rmtree(path, ignore_errors=True)
+    assert state.load().count() == 100_008
+
+
+def test_state_survives_a_failure_while_segments_are_merged(spark, tmp_path, monkeypatch):
+    state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    state.write(state_rows(spark, ["1"]), "a", 0)
+    point = sinks.StateTable._point
+
+    def fails(self, number, pointer):
+        if len(pointer["segments"]) == 1:  # what the merge would write
+            raise RuntimeError("lost")
+        point(self, number, pointer)
+
+    monkeypatch.setattr(sinks.StateTable, "_point", fails)
+    with pytest.raises(RuntimeError):
+        state.write(state_rows(spark, ["2"]), "a", 1)
+    monkeypatch.setattr(sinks.StateTable, "_point", point)
+    state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    assert state.seen("a", 1) and {r["finding_id"] for r in state.load().collect()} == {"1", "2"}
+    assert not state.write(state_rows(spark, ["2"]), "a", 1)
+    assert state.write(state_rows(spark, ["3"], "late"), "a", 2) and len(state.pointer()["segments"]) == 1
+    assert {r["finding_id"] for r in state.load().collect()} == {"1", "2", "3"}
+
+
+def test_state_takes_the_last_of_repeated_rows(spark, tmp_path):
+    state = sinks.StateTable(spark, str(tmp_path / "s"), findings.empty_state(spark))
+    twice = state_rows(spark, ["1"], "first").withColumn("seq", F.lit(1)).unionByName(state_rows(spark, ["1"], "last").withColumn("seq", F.lit(2)))
+    state.write(twice)
+    assert [r["status"] for r in state.load().collect()] == ["last"]
 
 
 def test_a_cluster_needs_a_shared_folder():
