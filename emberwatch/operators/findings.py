@@ -56,34 +56,68 @@ def weighted_findings(contributions: DataFrame, assets: DataFrame | None = None)
     )
 
 
+CONTRIBUTIONS = "array<struct<vuln_id:string,component:string,location:string,weight:float,remediation_key:string>>"
+
+
+def contribution(vuln_id: Column, component: Column, location: Column, weight: Column, fix: Column) -> Column:
+    """What a record adds to a finding of its host."""
+    return F.struct(vuln_id.alias("vuln_id"), component.alias("component"), location.alias("location"), weight.cast("float").alias("weight"), fix.alias("remediation_key"))
+
+
+def _of(kind: str, key: Column, component: Column, location: Column) -> Column:
+    return contribution(F.concat(F.lit(f"{kind}:"), key), component, location, strongest_rule(F.col("hits"), WEIGHTS[kind]), F.lit(FIXES[kind]))
+
+
+def process_contribution() -> Column:
+    """Per image; null without hits. These read the columns image, daddr, dport, path and hits."""
+    image = F.coalesce("image", F.lit(""))
+    return F.when(F.size("hits") > 0, _of("process", image, image, F.lit("process")))
+
+
+def _address() -> tuple[Column, Column]:
+    return F.col("daddr").isNotNull() & F.col("dport").isNotNull(), F.concat(F.col("daddr"), F.lit(":"), F.pmod(F.col("dport").cast("long"), F.lit(65536)).cast("string"))
+
+
+def network_contribution() -> Column:
+    """Per daddr:dport; null without either."""
+    known, address = _address()
+    return F.when((F.size("hits") > 0) & known, _of("network", address, F.col("daddr"), F.lit("network")))
+
+
+def file_contribution() -> Column:
+    """Per path."""
+    return F.when((F.size("hits") > 0) & F.col("path").isNotNull(), _of("file", F.col("path"), F.col("path"), F.col("path")))
+
+
+def correlation_contribution() -> Column:
+    """Per image->daddr:dport of top-level hits; null for chains without a connection."""
+    known, address = _address()
+    key = F.concat(F.col("image"), F.lit("->"), address)
+    return F.when((F.size("hits") > 0) & known & F.col("image").isNotNull(), _of("correlation", key, F.substring_index(key, "->", 1), F.lit("correlation")))
+
+
+def _findings(records: DataFrame, made: Column, assets: DataFrame | None) -> DataFrame:
+    return weighted_findings(records.select("asset_id", made.alias("c")).where("c IS NOT NULL").select("asset_id", "c.*"), assets)
+
+
 def process_findings(records: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Per (asset_id, image) of records with `hits`."""
-    c = records.where(F.size("hits") > 0).select("asset_id", F.concat(F.lit("process:"), F.coalesce("image", F.lit(""))).alias("vuln_id"), F.coalesce("image", F.lit("")).alias("component"), F.lit("process").alias("location"), strongest_rule(F.col("hits"), WEIGHTS["process"]).alias("weight"), F.lit(FIXES["process"]).alias("remediation_key"))
-    return weighted_findings(c, assets)
+    return _findings(records, process_contribution(), assets)
 
 
 def network_findings(records: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Per (asset_id, daddr:dport); records without either contribute nothing."""
-    r = records.where((F.size("hits") > 0) & F.col("daddr").isNotNull() & F.col("dport").isNotNull())
-    port = F.pmod(F.col("dport").cast("long"), F.lit(65536)).cast("string")
-    c = r.select("asset_id", F.concat(F.lit("network:"), F.col("daddr"), F.lit(":"), port).alias("vuln_id"), F.col("daddr").alias("component"), F.lit("network").alias("location"), strongest_rule(F.col("hits"), WEIGHTS["network"]).alias("weight"), F.lit(FIXES["network"]).alias("remediation_key"))
-    return weighted_findings(c, assets)
+    return _findings(records, network_contribution(), assets)
 
 
 def file_findings(records: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Per (asset_id, path)."""
-    r = records.where((F.size("hits") > 0) & F.col("path").isNotNull())
-    c = r.select("asset_id", F.concat(F.lit("file:"), F.col("path")).alias("vuln_id"), F.col("path").alias("component"), F.col("path").alias("location"), strongest_rule(F.col("hits"), WEIGHTS["file"]).alias("weight"), F.lit(FIXES["file"]).alias("remediation_key"))
-    return weighted_findings(c, assets)
+    return _findings(records, file_contribution(), assets)
 
 
 def correlation_findings(records: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     """Per (asset_id, image->daddr:dport) from top-level hits; chains without a connection yield nothing."""
-    r = records.where((F.size("hits") > 0) & F.col("daddr").isNotNull() & F.col("dport").isNotNull() & F.col("image").isNotNull())
-    port = F.pmod(F.col("dport").cast("long"), F.lit(65536)).cast("string")
-    key = F.concat(F.col("image"), F.lit("->"), F.col("daddr"), F.lit(":"), port)
-    c = r.select("asset_id", F.concat(F.lit("correlation:"), key).alias("vuln_id"), F.substring_index(key, "->", 1).alias("component"), F.lit("correlation").alias("location"), strongest_rule(F.col("hits"), WEIGHTS["correlation"]).alias("weight"), F.lit(FIXES["correlation"]).alias("remediation_key"))
-    return weighted_findings(c, assets)
+    return _findings(records, correlation_contribution(), assets)
 
 
 def correlate(detections: DataFrame) -> DataFrame:
@@ -103,9 +137,24 @@ def fix_members(findings: DataFrame) -> DataFrame:
     return live.select("remediation_key", F.explode(both).alias("m")).select("remediation_key", "m.kind", "m.member").distinct()
 
 
+#: Members of a slice of a fix, about.
+SLICE = 10_000
+
+
+def fix_slices(findings: DataFrame, size: int = SLICE) -> DataFrame:
+    """The lists of group_by_fix() in numbered slices: remediation_key, kind, slice (from 0), slices, total (members of the
+    kind, exact), members (sorted). A fix that touches very many hosts is as many rows as they need; a member's slice comes
+    from its hash and the number of members, so no task gets more than one slice's worth of a fix, about `size`."""
+    m = cut(fix_members(findings))
+    totals = cut(m.groupBy("remediation_key", "kind").agg(F.count("*").alias("total")).withColumn("slices", F.ceil(F.col("total") / size).cast("int")))
+    dealt = m.join(totals, ["remediation_key", "kind"]).withColumn("slice", F.pmod(F.xxhash64("member"), F.col("slices")).cast("int"))
+    return dealt.groupBy("remediation_key", "kind", "slice", "slices", "total").agg(F.array_sort(F.collect_list("member")).alias("members"))
+
+
 def group_by_fix(findings: DataFrame) -> DataFrame:
-    """Per remediation key: greatest risk, sorted distinct vulnerabilities and assets. Suppressed findings stay out. The
-    lists are part of a row by contract; sets are built in the tasks first. See fix_members() for the long form."""
+    """Per remediation key: greatest risk, sorted distinct vulnerabilities and assets. Suppressed findings stay out. For
+    reports that want the lists in one row, which a fix of a whole fleet makes long: fix_queue() has the numbers alone,
+    and fix_slices() the lists in bounded rows; whole runs give the queue."""
     live = findings.where(F.col("status") != "suppressed")
     return live.groupBy("remediation_key").agg(F.max("risk").alias("risk"), F.array_sort(F.collect_set("vuln_id")).alias("closes"), F.array_sort(F.collect_set("asset_id")).alias("assets"))
 

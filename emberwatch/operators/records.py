@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators import findings as O
 from emberwatch.operators.scorecard import CLASSES
-from emberwatch.sources.feeds import detections, lenient, of_class
+from emberwatch.sources.feeds import lenient, of_class
+from emberwatch.sources.shared import cut
 
 #: Posture records by class: where they stand, their fields, and which of these say that a record is a finding.
 POSTURE = {
@@ -57,47 +58,94 @@ def sbom_envelopes(components: DataFrame, time: Column) -> DataFrame:
     return envelopes(g, 5020, time, F.lit(1), F.struct("sbom"), os=F.coalesce("os", F.lit("")))
 
 
+#: What the mappers read of a record's `data`. Lists stay raw text, as their elements are taken one by one.
+DATA = "process struct<image:string>, connection struct<daddr:string,dport:string>, file struct<path:string>, module struct<path:string>, detections string, compliance struct<records:string>, drift struct<records:string>, fim struct<records:string>, sbom struct<components:string>"
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """(class_uid, asset_id, os, time, d) with `d` the fields of `data` that mappers read, parsed once a record."""
+    return records.select("class_uid", F.col("device.hostname").alias("asset_id"), F.col("device.os").alias("os"), "time", F.from_json("data", DATA).alias("d"))
+
+
 def activity_of(records: DataFrame, class_uid: int) -> DataFrame:
     """(asset_id, image, daddr, dport, path, hits) of a class. What is no array of detections is none."""
-    text = lambda path: F.get_json_object("data", path)
-    e = of_class(records, class_uid)
-    return e.select(F.col("device.hostname").alias("asset_id"), text("$.process.image").alias("image"), text("$.connection.daddr").alias("daddr"), text("$.connection.dport").try_cast("long").alias("dport"), text("$.file.path").alias("path"), detections(F.col("data")).alias("hits"))
+    return parsed(of_class(records, class_uid)).select("asset_id", *[c.alias(n) for n, c in _activity().items()])
+
+
+def _activity() -> dict[str, Column]:
+    hits = lenient(F.col("d.detections"), "rule string,reason string", ["rule"])
+    return {"image": F.col("d.process.image"), "daddr": F.col("d.connection.daddr"), "dport": F.col("d.connection.dport").try_cast("long"), "path": F.col("d.file.path"), "hits": hits}
+
+
+def _posture(class_uid: int) -> Column:
+    """Contributions of a posture record: those of its results that are findings."""
+    name, fields, key, found = POSTURE[class_uid]
+    items = lenient(F.col(f"d.{name}.records"), fields, [f.split()[0] for f in fields.split(",")])
+    keep = {"NOT passed": lambda r: ~r["passed"], "drifted": lambda r: r["drifted"], "violated": lambda r: r["violated"]}[found]
+    component, location = (lambda r: r["path"], lambda r: F.lit("filesystem")) if class_uid == 2004 else (lambda r: r["subject"], lambda r: r["location"])
+    return F.transform(F.filter(items, keep), lambda r: O.contribution(r[key], component(r), location(r), r["weight"], r["remediation_key"]))
 
 
 def posture_of(records: DataFrame, class_uid: int) -> DataFrame:
     """Contributions (identity, weight, remediation_key) of the records of a posture class that are findings."""
-    name, fields, key, found = POSTURE[class_uid]
-    required = [f.split()[0] for f in fields.split(",")]
-    r = of_class(records, class_uid).select(F.col("device.hostname").alias("asset_id"), F.explode(lenient(F.get_json_object("data", f"$.{name}.records"), fields, required)).alias("r")).select("asset_id", "r.*").where(found)
-    component, location = (F.col("path"), F.lit("filesystem")) if class_uid == 2004 else (F.col("subject"), F.col("location"))
-    return r.select("asset_id", F.col(key).alias("vuln_id"), component.alias("component"), location.alias("location"), "weight", "remediation_key")
+    return parsed(of_class(records, class_uid)).select("asset_id", F.explode(_posture(class_uid)).alias("c")).select("asset_id", "c.*")
+
+
+def contributions(records: DataFrame) -> DataFrame:
+    """Contributions (identity, weight, remediation_key) of records of all classes but inventories, in one pass: a record
+    goes to its class' mapper, and is parsed once."""
+    p = parsed(records).withColumns(_activity())
+    made = F.array().cast(O.CONTRIBUTIONS)
+    for uid, of in ((1007, O.process_contribution), (4001, O.network_contribution), (1001, O.file_contribution), (9002, O.correlation_contribution)):
+        made = F.when(F.col("class_uid") == uid, F.array_compact(F.array(of()))).otherwise(made)
+    for uid in POSTURE:
+        made = F.when(F.col("class_uid") == uid, _posture(uid)).otherwise(made)
+    return p.select("asset_id", F.explode(made).alias("c")).select("asset_id", "c.*")
 
 
 def components_of(records: DataFrame) -> DataFrame:
     """(asset_id, name, version, source, os) of the inventories."""
-    e = of_class(records, 5020)
-    items = lenient(F.get_json_object("data", "$.sbom.components"), "name string,version string,source string", ["name", "version", "source"])
-    return e.select(F.col("device.hostname").alias("asset_id"), F.col("device.os").alias("os"), F.explode(items).alias("c")).select("asset_id", "c.name", "c.version", "c.source", "os").distinct()
+    items = lenient(F.col("d.sbom.components"), "name string,version string,source string", ["name", "version", "source"])
+    return parsed(of_class(records, 5020)).select("asset_id", "os", F.explode(items).alias("c")).select("asset_id", "c.name", "c.version", "c.source", "os").distinct()
+
+
+def libraries_of(records: DataFrame) -> DataFrame:
+    """(asset_id, component, path): the libraries of the inventories' packages."""
+    items = lenient(F.col("d.sbom.components"), "name string,libraries array<string>", ["name"])
+    c = parsed(of_class(records, 5020)).select("asset_id", F.explode(items).alias("c")).where("c.name <> ''")
+    return c.select("asset_id", F.col("c.name").alias("component"), F.explode("c.libraries").alias("path")).where("path IS NOT NULL").distinct()
+
+
+def loads_of(records: DataFrame) -> DataFrame:
+    """(asset_id, path) of what was seen loaded."""
+    return parsed(of_class(records, 9003)).select("asset_id", F.col("d.module.path").alias("path")).where("path IS NOT NULL").distinct()
+
+
+def load_envelopes(loads: DataFrame, time: Column) -> DataFrame:
+    """A record a load (asset_id, path, and pid and image if known): class 9003."""
+    more = [F.col(c) for c in ("pid", "image") if c in loads.columns]
+    return envelopes(loads, 9003, time, F.lit(1), F.struct(F.struct("path").alias("module"), *more))
+
+
+def tool_envelopes(uses: DataFrame, time: Column) -> DataFrame:
+    """A record a connection of an AI tool (asset_id, record, scope, tool, via, pid, image, daddr, dport): class 9004."""
+    data = F.struct(F.col("record").alias("kind"), "scope", "tool", "via", F.struct("pid", "image").alias("process"), F.struct("daddr", "dport").alias("connection"))
+    return envelopes(uses, 9004, time, F.lit(1), data)
 
 
 def all_class_findings(records: DataFrame, vulnerable: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
-    """Findings of all classes of a batch of envelopes: activity, chains, posture, and `vulnerable`, the findings of its
-    inventories. Nothing is deduplicated across classes; their identities differ."""
-    parts = [make(activity_of(records, uid), assets) for uid, make in ((1007, O.process_findings), (4001, O.network_findings), (1001, O.file_findings), (9002, O.correlation_findings))]
-    parts += [O.weighted_findings(posture_of(records, uid), assets) for uid in POSTURE]
-    cols = [c for c in parts[0].columns if c != "explain"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
+    """Findings of all classes of a batch of envelopes: activity, chains and posture in one pass and one aggregate, and
+    `vulnerable`, the findings of its inventories. Identities of classes differ, so nothing is merged across them."""
+    out = O.weighted_findings(contributions(records), assets).drop("explain")
     if vulnerable is not None:
         v = vulnerable.withColumns({c: F.lit(None).cast("long") for c in ("first_seen", "last_seen", "closed_at") if c not in vulnerable.columns})
-        out = out.unionByName(v.select(*cols))
+        out = out.unionByName(v.select(*out.columns))
     return out
 
 
 def run_all(records: DataFrame, prior: DataFrame, vulnerable: DataFrame | None = None, assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings after a look at the prior state, groups by fix of those that aren't suppressed). The reference time is
-    the batch's."""
+    """(findings after a look at the prior state, the queue of fixes of those that aren't suppressed). The reference time
+    is the batch's. The lists of a fix's members are for those who ask, see findings.fix_slices()."""
     now = O.batch_time(records).first()[0]
-    found = O.reconcile(prior, all_class_findings(records, vulnerable, assets), F.lit(now))
-    return found, O.group_by_fix(found)
+    found = cut(O.reconcile(prior, all_class_findings(records, vulnerable, assets), F.lit(now)))
+    return found, O.fix_queue(found)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions import scoring as S
 from emberwatch.functions.versions import key_for, semver_key
-from emberwatch.operators.findings import IDENTITY, correlate, group_by_fix, reconcile, with_context
+from emberwatch.operators.findings import IDENTITY, correlate, fix_queue, reconcile, with_context
 from emberwatch.operators.intervals import containing, stabbed
 from emberwatch.sources.shared import cut
 
@@ -165,11 +165,11 @@ def reachability(libraries: DataFrame, loads: DataFrame) -> DataFrame:
 
 
 def vulnerability_run(sbom: DataFrame, hits: DataFrame, enriched: DataFrame, prior: DataFrame, now: Column, assets: DataFrame | None = None, runtime: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings, groups by fix) of inventories: matched, correlated, scored, compared with the prior state, and grouped
-    without what is suppressed."""
+    """(findings, queue of fixes) of inventories: matched, correlated, scored, compared with the prior state, and counted
+    by fix without what is suppressed."""
     found = vulnerability_findings(detections(sbom, hits), enriched, assets, runtime)
     found = reconcile(prior, found.withColumns({c: F.lit(None).cast("long") for c in ("first_seen", "last_seen", "closed_at")}), now)
-    return found, group_by_fix(found)
+    return found, fix_queue(found)
 
 
 def detections(sbom: DataFrame, hits: DataFrame) -> DataFrame:

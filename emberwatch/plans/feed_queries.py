@@ -134,9 +134,9 @@ def vulnerability_context(spark, sf):
 
 
 def vulnerability_fixes(spark, sf):
-    """Groups by fix of the same findings, without suppressed ones."""
+    """Fixes of the same findings, without suppressed ones."""
     g = _vulnerability_run(spark, sf)[1]
-    return g.select("remediation_key", "risk", F.array_join("closes", ",").alias("closes"), F.size("assets").cast("long").alias("assets"))
+    return g.select("remediation_key", "risk", F.col("closes_count").alias("closes"), F.col("assets_count").alias("assets"))
 
 
 _R = VQ._R
@@ -185,6 +185,13 @@ def fix_members(spark, sf):
     return O.fix_members(D.all_findings(sensor_events(spark, sf))).groupBy("remediation_key", "kind").agg(F.count("*").alias("members"), F.min("member").alias("first"))
 
 
+def fix_slices(spark, sf):
+    """Members of fixes in slices of about fifty."""
+    m = O.fix_slices(VQ.findings(spark, sf), 50)
+    g = m.groupBy("remediation_key", "kind").agg(F.max("total").alias("total"), F.sum(F.size("members")).alias("members"), F.max("slices").alias("slices"), F.min(F.get("members", 0)).alias("first"))
+    return g.select("remediation_key", "kind", "total", "members", F.col("slices").cast("long").alias("slices"), "first")
+
+
 # Detection quality.
 def _cases(spark, sf):
     """Declared cases with their defaults, and captures out of a file."""
@@ -292,6 +299,7 @@ QUERIES = {
     "provenance": provenance,
     "fix_totals": fix_totals,
     "fix_members": fix_members,
+    "fix_slices": fix_slices,
     "captured_cases": captured_cases,
     "idle_alarms": idle_alarms,
     "peer_alerts": peer_alerts,
@@ -320,12 +328,13 @@ SQL = {
     "windows_advisories": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'licensed' ELSE 'community' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'd' END AS snapshot_date, 'putty ' || s_nationkey AS alias, 'P' || s_nationkey AS product, count(*) AS advisories FROM supplier GROUP BY 1, 2, 3, 4",
     "package_libraries": "WITH s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey % 2 AS odd, s_nationkey AS n FROM supplier) SELECT asset_id, 'ssl' || n AS name, '/usr/lib/liba.so,/usr/lib/libssl.so.3' AS libraries FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'zed' || n, '/opt/z.DYLIB' FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'libc' || n, '/lib/libc.so.6,/lib/x.dll' FROM s WHERE odd = 1",
     "vulnerability_context": f"{_CONTEXT} SELECT finding_id, risk, decision, status, runtime_reachable, CAST(sources AS INTEGER) AS sources, versions, CAST(7 AS BIGINT) AS first_seen FROM findings",
-    "vulnerability_fixes": f"{_CONTEXT} SELECT remediation_key, max(risk) AS risk, string_agg(DISTINCT vuln_id, ',' ORDER BY vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM findings WHERE status <> 'suppressed' GROUP BY 1",
+    "vulnerability_fixes": f"{_CONTEXT} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM findings WHERE status <> 'suppressed' GROUP BY 1",
     "vulnerability_details": f"{VQ._FIND} SELECT f.vuln_id AS cve, component AS package, versions AS version, CAST(f.cvss_env AS DOUBLE) AS cvss, f.kev, CAST(e.epss AS DOUBLE) AS epss, risk, decision, remediation_key AS fix, asset_id AS host, status FROM findings f LEFT JOIN enr e ON f.vuln_id = e.vuln_id",
     "product_names": r"SELECT p_partkey, trim(regexp_replace(lower(p_name) || CASE p_partkey % 5 WHEN 2 THEN ' 2.0' ELSE '' END, '\s+', ' ', 'g')) AS shown FROM part",
     "provenance": "SELECT 'sup-' || l_suppkey AS asset_id, 'v-' || (l_partkey % 20) AS vuln_id, string_agg('src' || (l_linenumber % 3), ',' ORDER BY l_linenumber % 2 DESC, l_orderkey * 10 + l_linenumber) AS sources, arg_min('fix-' || l_orderkey, (-(l_linenumber % 2), l_orderkey * 10 + l_linenumber)) AS remediation_key FROM lineitem GROUP BY 1, 2",
     "fix_totals": f"{_ALL} SELECT count(DISTINCT remediation_key) AS fixes, count(*) AS findings, round(count(*) / CAST(count(DISTINCT remediation_key) AS DOUBLE), 6) AS findings_per_fix FROM findings",
     "fix_members": f"{_ALL} SELECT remediation_key, 'closes' AS kind, count(DISTINCT vuln_id) AS members, min(vuln_id) AS first FROM findings GROUP BY 1 UNION ALL SELECT remediation_key, 'asset', count(DISTINCT asset_id), min(asset_id) FROM findings GROUP BY 1",
+    "fix_slices": f"{VQ._FIND}, m AS (SELECT DISTINCT remediation_key, 'closes' AS kind, vuln_id AS member FROM findings UNION SELECT remediation_key, 'asset', asset_id FROM findings) SELECT remediation_key, kind, count(*) AS total, count(*) AS members, CAST(ceil(count(*) / 50) AS BIGINT) AS slices, min(member) AS first FROM m GROUP BY 1, 2",
     "captured_cases": f"{_CASES} SELECT technique, tier, verdict, count(DISTINCT d.k) AS cases, min(ms) AS fastest_ms, coalesce(string_agg(DISTINCT x.rule, ',' ORDER BY x.rule), '') AS fp_rules FROM d LEFT JOIN x ON d.k = x.k GROUP BY 1, 2, 3",
     "idle_alarms": "SELECT true AS alarms, 'idle-0,idle-1' AS rules, count(*) AS cases FROM customer",
     "peer_alerts": f"{_ALERTS} SELECT agent, label, array_to_string(techniques, ',') AS techniques, count(*) AS alerts FROM l GROUP BY 1, 2, 3",

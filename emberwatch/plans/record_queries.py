@@ -33,7 +33,8 @@ def event_text(spark: SparkSession, sf: str) -> DataFrame:
     found = F.concat(F.lit('[{"rule":"r'), (F.col("k") % 4).cast("string"), F.lit('","reason":"say \\"rule\\": \\"no\\""},{"bad":1},7]'))
     found = F.when(F.col("k") % 5 == 0, "[]").when(F.col("k") % 7 == 0, '"none"').otherwise(found)
     deep = F.concat(F.lit('{"a":[{"b":{"rule":"d'), (F.col("k") % 3).cast("string"), F.lit('"}}],"rule":3}'))
-    data = F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"detections":'), found, F.lit(',"process":{"detections":[{"rule":"p\\u00e9"}]},"deep":'), deep, F.lit("}"))
+    where = F.when(F.col("k") % 2 == 0, F.concat(F.lit('"file":{"path":"/p'), (F.col("k") % 6).cast("string"), F.lit('"},'))).otherwise("")
+    data = F.concat(F.lit("{"), where, F.lit('"n":'), F.col("event_id").cast("string"), F.lit(',"detections":'), found, F.lit(',"process":{"detections":[{"rule":"p\\u00e9"}]},"deep":'), deep, F.lit("}"))
     device = F.when(F.col("event_id") % 17 == 0, "").otherwise('"device":{"hostname":"h","os":"linux","os_version":"1"},')
     line = F.concat(F.lit('{"class_uid":'), uid.cast("string"), F.lit(',"class_name":"x","time":'), F.col("event_id").cast("string"), F.lit(',"severity_id":1,"metadata":{"product":"p","version":"1","tenant_id":"t"},'), device, F.lit('"data":'), data, F.lit("}"))
     return e.select(F.when(F.col("event_id") % 13 == 0, "  ").when(F.col("event_id") % 11 == 0, '{"class_uid": 1007').otherwise(line).alias("value"))
@@ -122,7 +123,19 @@ def all_class_findings(spark, sf):
 
 def all_class_fixes(spark, sf):
     g = _run(spark, sf)[1]
-    return g.select("remediation_key", "risk", F.size("closes").cast("long").alias("closes"), F.size("assets").cast("long").alias("assets"))
+    return g.select("remediation_key", "risk", F.col("closes_count").alias("closes"), F.col("assets_count").alias("assets"))
+
+
+def ingest_counts(spark, sf):
+    """A whole ingest of an event file: lines read, blank and rejected ones, as the one scan of the lines counted them, and
+    the findings by class that it wrote."""
+    folder = scratch(spark, "ingest")
+    event_text(spark, sf).write.text(f"{folder}/lines")
+    good, skipped = feeds.observed_envelopes(spark.read.text(f"{folder}/lines"))
+    C.all_class_findings(good).write.parquet(f"{folder}/findings")
+    n = skipped.get
+    found = spark.read.parquet(f"{folder}/findings").groupBy("location").agg(F.count("*").alias("findings"), F.max("risk").alias("risk"))
+    return found.select("location", "findings", "risk", *[F.lit(n[c]).cast("long").alias(c) for c in ("n_lines", "n_blank", "n_skipped")])
 
 
 _POSTURE = f"s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey, s_nationkey, s_acctbal FROM supplier), {PR._CONTROLS[:-1]}"
@@ -207,6 +220,7 @@ QUERIES = {
     "class_records": class_records,
     "all_class_findings": all_class_findings,
     "all_class_fixes": all_class_fixes,
+    "ingest_counts": ingest_counts,
     "host_inventory": host_inventory,
     "network_inventory": network_inventory,
     "day_files": day_files,
@@ -225,6 +239,9 @@ SQL = {
         SELECT class_uid, count(*) AS records, count(*) AS passed, max(CASE class_uid WHEN 9002 THEN 4 ELSE coalesce(list_max(list_transform(rules, lambda r: CASE r {" ".join(f"WHEN '{r}' THEN {s}" for r, s in R.SEVERITY.items())} ELSE 1 END)), 1) END) AS severity_id, CAST(sum(coalesce(len(rules), 0)) AS BIGINT) AS detections FROM r GROUP BY 1""",
     "all_class_findings": f"{_ALL} SELECT finding_id, risk, decision, status, remediation_key FROM found",
     "all_class_fixes": f"{_ALL} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM found GROUP BY 1",
+    "ingest_counts": f"""{_LINES}, n AS (SELECT count(*) AS n_lines, count(*) FILTER (blank) AS n_blank, count(*) FILTER (bad) AS n_skipped FROM lines),
+        f AS (SELECT DISTINCT CASE WHEN class_uid = 1007 THEN 'process' ELSE '/p' || (k % 6) END AS location FROM lines WHERE NOT blank AND NOT bad AND {_LIST} AND (class_uid = 1007 OR (class_uid = 1001 AND k % 2 = 0)))
+        SELECT location, CAST(1 AS BIGINT) AS findings, 22 AS risk, n_lines, n_blank, n_skipped FROM f, n""",
     "host_inventory": f"WITH {SBOM}, d AS (SELECT DISTINCT asset_id, name, version, source, os FROM sbom) SELECT asset_id, min(os) AS os, count(*) AS package_count, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM d GROUP BY asset_id",
     "network_inventory": "WITH c AS (SELECT 'scanner-' || (c_nationkey % 7) AS asset_id, c_nationkey % 7 AS z, '10.0.' || (c_custkey % 200) AS net, c_custkey % 250 AS h FROM customer) SELECT asset_id, 'network-scanner' AS role, count(DISTINCT net) AS cidrs, count(DISTINCT net || '.' || h) AS host_count, min(net || '.' || h) AS first FROM c WHERE z <> 3 GROUP BY 1",
     "day_files": "SELECT strftime(d, '%Y-%m') AS month, count(DISTINCT d) AS days, count(*) AS records, true AS split FROM (SELECT CAST(DATE '2024-01-01' + CAST(o_orderkey % 40 AS INTEGER) AS DATE) AS d FROM orders) o GROUP BY 1",

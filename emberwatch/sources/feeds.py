@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.vulnerabilities import EVENTS
@@ -23,6 +23,19 @@ def parse_envelopes(lines: DataFrame, text: str = "value") -> tuple[DataFrame, D
     return p.where(fine).select("e.*"), p.where(~fine).select(F.col(text).alias("line"))
 
 
+def observed_envelopes(lines: DataFrame, text: str = "value") -> tuple[DataFrame, Observation]:
+    """(envelopes, counts) of NDJSON lines: `n_lines`, `n_blank` and `n_skipped` (rejected) are counted by the scan that reads
+    the envelopes, and are there when an action over these has run."""
+    seen, blank = Observation(), F.trim(F.col(text)) == ""
+    p = lines.withColumn("e", F.when(~blank, F.from_json(text, ENVELOPE)))
+    fine = F.col("e").isNotNull()
+    for c in _REQUIRED:
+        fine = fine & F.col(f"e.{c}").isNotNull()
+    p = p.withColumn("fine", ~blank & fine)
+    p = p.observe(seen, F.count("*").alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & ~F.col("fine")).alias("n_skipped"))
+    return p.where("fine").select("e.*"), seen
+
+
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_envelopes(spark.read.text(path))
 
