@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators import findings as O
 from emberwatch.operators.scorecard import CLASSES
+from emberwatch.operators.vulnerabilities import reachability
 from emberwatch.sources.feeds import lenient, of_class
 from emberwatch.sources.shared import cut
 
@@ -109,10 +110,15 @@ def components_of(records: DataFrame) -> DataFrame:
     return parsed(of_class(records, 5020)).select("asset_id", "os", F.explode(items).alias("c")).select("asset_id", "c.name", "c.version", "c.source", "os").distinct()
 
 
+def library_items() -> Column:
+    """Components with a name and their libraries, of a parsed inventory."""
+    items = lenient(F.col("d.sbom.components"), "name string,libraries array<string>", ["name"])
+    return F.filter(items, lambda c: c["name"] != "")
+
+
 def libraries_of(records: DataFrame) -> DataFrame:
     """(asset_id, component, path): the libraries of the inventories' packages."""
-    items = lenient(F.col("d.sbom.components"), "name string,libraries array<string>", ["name"])
-    c = parsed(of_class(records, 5020)).select("asset_id", F.explode(items).alias("c")).where("c.name <> ''")
+    c = parsed(of_class(records, 5020)).select("asset_id", F.explode(library_items()).alias("c"))
     return c.select("asset_id", F.col("c.name").alias("component"), F.explode("c.libraries").alias("path")).where("path IS NOT NULL").distinct()
 
 
@@ -121,6 +127,12 @@ def loads_of(records: DataFrame) -> DataFrame:
     return parsed(of_class(records, 9003)).select("asset_id", F.col("d.module.path").alias("path")).where("path IS NOT NULL").distinct()
 
 
+def reachability_of(records: DataFrame) -> DataFrame:
+    """(asset_id, component, runtime_reachable) of the inventories' packages that have libraries, by the loads among the same
+    records. A host without loads has no row: nothing is known of it."""
+    return reachability(libraries_of(records), loads_of(records))
+
+
 def load_envelopes(loads: DataFrame, time: Column) -> DataFrame:
     """A record a load (asset_id, path, and pid and image if known): class 9003."""
     more = [F.col(c) for c in ("pid", "image") if c in loads.columns]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.fixtures import SENSOR_EVENTS, sensor_events, table
+from emberwatch.fixtures import SBOM, SENSOR_EVENTS, sensor_events, table
 from emberwatch.functions import ai as A
 from emberwatch.operators import findings as O
 from emberwatch.operators import records as C
 from emberwatch.plans import detection as D
+from emberwatch.plans import feed_queries as FQ
 from emberwatch.plans import inventory_queries as IQ
 from emberwatch.plans import sqltext as Q
 from emberwatch.plans import record_queries as RQ
@@ -39,9 +40,10 @@ def _stream(spark: SparkSession, sf: str, with_k: bool = False) -> DataFrame:
     return S.with_event_time(spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder), "ts", "1 seconds")
 
 
-def _run(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    """Runs a stream to the end of its input. State lives in RocksDB; the session's own setting is put back."""
-    folder, key = scratch(spark, name), "spark.sql.streaming.stateStore.providerClass"
+def _run(spark: SparkSession, out: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream to the end of its input, or on from where it stopped in `folder`. State lives in RocksDB; the session's
+    own setting is put back."""
+    folder, key = folder or scratch(spark, name), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, S.ROCKSDB)
     try:
@@ -66,8 +68,35 @@ def stream_lifetimes(spark, sf):
 
 
 def stream_first_sightings(spark, sf):
-    r = S.first_sighting_stream(_stream(spark, sf).where("kind = 'FileOpen'").select("asset_id", "path"))
-    return _run(spark, r, "sightings")
+    """Opened paths by host, as a stream that is stopped, goes on, and is then read again from the start by another one. Only
+    sightings that none of them had told before are there."""
+    folder = scratch(spark, "loads")
+    known = StateTable(spark, scratch(spark, "known"), spark.createDataFrame([], S.SIGHTINGS), ("asset_id", "path"))
+    e = cut(sensor_events(spark, sf).where("kind = 'FileOpen'").select("asset_id", "path", "ts"))
+    middle = e.agg(F.avg("ts").cast("long").alias("m")).first()["m"] or 0
+    loads = lambda: S.with_event_time(spark.readStream.schema(e.schema).parquet(folder), "ts", "1 minute")
+    for part in (F.col("ts") <= middle, F.col("ts") > middle):
+        e.where(part).write.mode("append").parquet(folder)
+        S.first_sightings_loop(loads(), known, f"{folder}-1").awaitTermination()
+    told = known.load().count()
+    S.first_sightings_loop(loads(), known, f"{folder}-2").awaitTermination()
+    return known.load().withColumn("told", F.lit(told).cast("long"))
+
+
+def stream_reachability(spark, sf):
+    """Which packages were seen in use, out of a stream of inventories and loads that come in turns: what holds in the end."""
+    folder = scratch(spark, "mixed")
+    libraries, loads = FQ.libraries_and_loads(spark, sf)
+    c = libraries.groupBy("asset_id", F.col("component").alias("name")).agg(F.array_sort(F.collect_list("path")).alias("libraries"))
+    inventories = C.sbom_envelopes(c.withColumns({"version": F.lit("1"), "source": F.lit("dpkg"), "os": F.lit("Debian")}), F.lit(5))
+    every = cut(inventories.unionByName(C.load_envelopes(loads, F.lit(7))))
+    turn = F.pmod(F.xxhash64("device.hostname", "class_uid"), F.lit(3))
+    out = None
+    for k in range(3):  # of some hosts the loads come first
+        S_.to_ndjson(C.parsed_data(every.where(turn == k))).write.mode("append").text(f"{folder}/lines")
+        good = parse_envelopes(spark.readStream.text(f"{folder}/lines"))[0]
+        out = _run(spark, S.reachability_stream(good), "reached", folder)
+    return out.groupBy("asset_id", "component").agg(F.max("runtime_reachable").alias("runtime_reachable"))
 
 
 def stream_daily_activity(spark, sf):
@@ -126,12 +155,22 @@ def stream_tool_use(spark, sf):
 
 
 def stream_changes(spark, sf):
-    """Orders as snapshots of their customer, in one batch: those that change the status."""
+    """Orders as snapshots of their customer, in three batches that overlap by weeks: those that change the status, as if they
+    had come in order."""
     folder = scratch(spark, "snapshots")
     o = table(spark, sf, "orders").select(F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("asset_id"), F.lit(5001).alias("class_uid"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("payload"))
-    o.write.parquet(folder)
-    s = spark.readStream.schema(o.schema).parquet(folder)
-    return _run(spark, S.change_gate_stream(s), "changes").select("asset_id", "seq", "payload")
+    o, day = cut(o), 86_400_000
+    span = o.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    low, high = span["a"] or 0, span["b"] or 0
+    late = F.col("ts") + F.pmod(F.xxhash64("seq"), F.lit(40)) * day  # when it arrives
+    batch = F.floor((late - low) * 3 / (high - low + 40 * day + 1))
+    last = spark.createDataFrame([("~", 5001, high + 400 * day, -1, "end")], o.schema)
+    out = None
+    for part in (*(o.where(batch == k) for k in range(3)), last):
+        part.write.mode("append").parquet(f"{folder}/in")
+        s = S.with_event_time(spark.readStream.schema(o.schema).parquet(f"{folder}/in"), "ts", "60 days")
+        out = _run(spark, S.change_gate_stream(s), "changes", folder)
+    return out.where("asset_id <> '~'").select("asset_id", "seq", "payload")
 
 
 def stream_envelopes(spark, sf):
@@ -170,6 +209,7 @@ QUERIES = {
     "stream_attribution": stream_attribution,
     "stream_lifetimes": stream_lifetimes,
     "stream_first_sightings": stream_first_sightings,
+    "stream_reachability": stream_reachability,
     "stream_daily_activity": stream_daily_activity,
     "stream_findings_state": stream_findings_state,
 }
@@ -187,7 +227,8 @@ SQL = {
     "stream_network_rules": f"{_E}, {Q.RECORDS} SELECT event_id, asset_id, array_to_string(rules, ',') AS rules FROM network_records WHERE len(rules) > 0",
     "stream_attribution": f"{_E}, {D.CONTEXT} SELECT event_id, asset_id, pid, kind, exec_id FROM picked",
     "stream_lifetimes": f"{_E}, {D.EXITS} SELECT event_id, image, lifetime_ms, matched FROM exits",
-    "stream_first_sightings": f"{_E} SELECT DISTINCT asset_id, path FROM sensor_events WHERE kind = 'FileOpen'",
+    "stream_first_sightings": f"{_E}, f AS (SELECT asset_id, path, min(ts) AS ts FROM sensor_events WHERE kind = 'FileOpen' GROUP BY 1, 2) SELECT *, (SELECT count(*) FROM f) AS told FROM f",
+    "stream_reachability": f"WITH {SBOM} SELECT DISTINCT asset_id, name AS component, CASE WHEN CAST(split_part(asset_id, '-', 2) AS BIGINT) % 4 = 1 THEN NULL ELSE CAST(split_part(asset_id, '-', 2) AS BIGINT) % 2 = 0 AND name IN ('putty', 'openssl') END AS runtime_reachable FROM sbom",
     "stream_daily_activity": f"{_E} SELECT strftime(epoch_ms(ts), '%Y-%m-%d') AS day, kind AS category, count(*) AS detections FROM sensor_events GROUP BY 1, 2",
     "stream_findings_state": f"""{RQ._ALL}, t AS (SELECT (SELECT max(ts) FROM (SELECT ts FROM process_records UNION ALL SELECT ts FROM network_records UNION ALL SELECT ts FROM file_records UNION ALL SELECT ts FROM tops) x) AS t1,
         (SELECT coalesce(max(ts), 5) FROM network_records WHERE asset_id IN {Q.in_list(AGAIN)}) AS t2)

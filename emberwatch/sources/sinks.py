@@ -53,7 +53,7 @@ def stream_records(df: DataFrame, path: str, checkpoint: str) -> DataStreamWrite
 
 
 class StateTable:
-    """Findings state as a log of changes: a write adds a segment with the rows of its batch and no other, and a pointer.
+    """State by a key (of findings, if no other is given) as a log of changes: a write adds a segment with the rows of its batch and no other, and a pointer.
     Reading merges the segments that the last pointer names, later rows of an id before earlier ones. Segments of about
     equal size are merged, each time into one of twice the rows, so a row is rewritten a logarithmic number of times, what a
     batch writes follows the batch, and a read meets few segments. Files of a segment are dealt by a hash of the id.
@@ -67,8 +67,8 @@ class StateTable:
     A batch that is repeated after a failure changes nothing, and a stream with a new checkpoint, whose batches start at 0
     again, is a stream of its own. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame) -> None:
-        self.spark, self.path, self.empty = spark, path, empty
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, key: tuple[str, ...] = ("finding_id",)) -> None:
+        self.spark, self.path, self.empty, self.key = spark, path, empty, list(key)
         self._last, self._held = -1, None
 
     def _read(self, number: int) -> dict | None:
@@ -120,14 +120,14 @@ class StateTable:
         parts = [self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/data/s={n}").withColumn("_n", F.lit(n)) for n in numbers]
         every = reduce(DataFrame.unionByName, parts)
         if ids is not None:
-            every = every.join(ids.select("finding_id").distinct(), "finding_id", "left_semi")
+            every = every.join(ids.select(*self.key).distinct(), self.key, "left_semi")
         if len(numbers) == 1:
             return every.select(*self.empty.columns)
-        last = every.groupBy("finding_id").agg(F.max_by(F.struct(*self.empty.columns), "_n").alias("_row"))
+        last = every.groupBy(*self.key).agg(F.max_by(F.struct(*self.empty.columns), "_n").alias("_row"))
         return last.select("_row.*")
 
     def load(self, ids: DataFrame | None = None) -> DataFrame:
-        """The state, or its rows of some ids (`finding_id`)."""
+        """The state, or its rows of some ids (the columns of the key)."""
         return self._segments([n for n, _ in self.pointer()["segments"]], ids)
 
     def _point(self, number: int, pointer: dict) -> None:
@@ -153,7 +153,7 @@ class StateTable:
             return False
         number = self._last + 1
         row = F.struct(*self.empty.columns)
-        one = fresh.groupBy("finding_id").agg(F.max_by(row, "seq" if "seq" in fresh.columns else row).alias("_row")).select("_row.*")
+        one = fresh.groupBy(*self.key).agg(F.max_by(row, "seq" if "seq" in fresh.columns else row).alias("_row")).select("_row.*")
         segment = self._write(one, number)
         batches = now["batches"] | ({stream: batch} if batch is not None else {})
         self._point(number, {"version": now["version"] + 1, "batches": batches, "segments": [*now["segments"], segment]})

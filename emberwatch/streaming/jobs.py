@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from emberwatch.functions import ai as A
 from emberwatch.functions import rules as R
 from emberwatch.operators import findings as O
+from emberwatch.operators import records as C
 from emberwatch.operators.asof import CHAIN, CHAINS, EXIT_GRACE, LATE_EXEC, event_severity, flagged_path
 from emberwatch.sources.feeds import parse_envelopes
 from emberwatch.sources.shared import cut
@@ -121,6 +122,10 @@ class _Buffered(StatefulProcessor):
         self.changed.add(pid)
         return memory
 
+    def ends(self, memory: dict) -> int | None:
+        """When what is known of a process can be forgotten; None for never."""
+        return memory.get("seen", 0) + (self.linger if memory.get("eid") is None or memory.get("left") else self.idle)
+
     def _sweep(self, watermark: int) -> None:
         """Frees what has ended, once every `linger` ms of event time at most."""
         last, period = self.swept.get()[0] if self.swept.exists() else None, max(self.linger, self.bucket)
@@ -129,7 +134,9 @@ class _Buffered(StatefulProcessor):
             return
         known, ends = [(tuple(k)[0], json.loads(tuple(v)[0])) for k, v in self.memory.iterator()], []
         for pid, memory in known:
-            end = memory.get("seen", 0) + (self.linger if memory.get("eid") is None or memory.get("left") else self.idle)
+            end = self.ends(memory)
+            if end is None:
+                continue
             if end <= watermark:
                 self.memory.removeKey((pid,))
             else:
@@ -338,35 +345,119 @@ def tool_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
     return _stateful(e.withColumns({"tool": tool, "interpreter": A.is_interpreter(F.col("image")), "scope": R.connection_scope(F.col("daddr"))}), ToolUse(idle), TOOLS)
 
 
-class ChangeGate(StatefulProcessor):
-    """Snapshots whose payload differs from the last one of their key."""
+class ChangeGate(_Buffered):
+    """Snapshots whose payload differs from the last one of their key, in event order across batches: a snapshot waits for
+    the watermark before it is compared. The last hash of a key is kept for good, as any later snapshot needs it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash long")
+    fields = "seq long, class_uid int, ts long, hash long, payload string"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for h in every["hash"]:
-            keep.append(last is None or h != last)
-            last = int(h)
-        self.last.update((last,))
-        yield every[keep][["asset_id", "class_uid", "ts", "seq", "payload"]]
+    def ends(self, memory: dict) -> int | None:
+        return None
 
-    def close(self) -> None:
-        pass
+    def ready(self, key, now, later) -> pd.DataFrame:
+        memory, out = self.touch(0, now[-1]["ts"]), []
+        for row in now:
+            if row["hash"] != memory.get("hash"):
+                out.append((key[0], key[1], row["ts"], row["seq"], row["payload"]))
+            memory["hash"] = row["hash"]
+        return pd.DataFrame(out, columns=["asset_id", "class_uid", "ts", "seq", "payload"])
 
 
 def change_gate_stream(snapshots: DataFrame) -> DataFrame:
-    """(asset_id, class_uid, ts, seq, payload) rows that change something; order within a key is by arrival of batches."""
-    keyed = snapshots.select("asset_id", "class_uid", "ts", "seq", "payload", F.xxhash64("payload").alias("hash"))
-    return keyed.groupBy("asset_id", "class_uid").transformWithStateInPandas(statefulProcessor=ChangeGate(), outputStructType="asset_id string, class_uid int, ts long, seq long, payload string", outputMode="Append", timeMode="None")
+    """(asset_id, class_uid, ts, seq, payload) rows that change something, in the order of (ts, seq) within a key, however
+    they arrive within the watermark's delay. `snapshots` has `event_time`."""
+    keyed = snapshots.withColumn("hash", F.xxhash64("payload")).where("asset_id IS NOT NULL AND class_uid IS NOT NULL AND ts IS NOT NULL")
+    return keyed.groupBy("asset_id", "class_uid").transformWithStateInPandas(statefulProcessor=ChangeGate(), outputStructType="asset_id string, class_uid int, ts long, seq long, payload string", outputMode="Append", timeMode="EventTime")
+
+
+SIGHTINGS = "asset_id string, path string, ts long"
 
 
 def first_sighting_stream(loads: DataFrame) -> DataFrame:
-    """One row for each path of a host."""
-    return loads.dropDuplicates(["asset_id", "path"])
+    """One row for each path of a host that is new within the watermark's delay: what comes again sooner is dropped, and state
+    is freed as the watermark passes. See first_sightings_loop() for what was known before."""
+    return loads.where("asset_id IS NOT NULL AND path IS NOT NULL").dropDuplicatesWithinWatermark(["asset_id", "path"])
+
+
+def first_sightings_loop(loads: DataFrame, known: StateTable, checkpoint: str) -> StreamingQuery:
+    """Adds paths of hosts (asset_id, path, ts, event_time) that were never seen to `known`, a table by SIGHTINGS and the key
+    (asset_id, path). The stream's own state is bounded by the delay of its watermark; what was seen earlier is in the table, of which a
+    batch reads the rows of its own paths. Nothing is told twice, not by a repeated batch, nor after a restart, nor by a
+    stream with a new checkpoint that reads all from the start."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise ValueError("a batch without a stream")
+        if not known.seen(stream, batch_id):
+            found = cut(batch.groupBy("asset_id", "path").agg(F.min("ts").alias("ts")))
+            known.write(found.join(known.load(found).select("asset_id", "path"), ["asset_id", "path"], "left_anti"), stream, batch_id)
+
+    return first_sighting_stream(loads).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+REACHED = "asset_id string, component string, runtime_reachable boolean"
+
+
+class Reachability(StatefulProcessor):
+    """Components of a host by whether one of their libraries was seen loaded: null before the host has loads at all, then
+    false or true. Inventories (component, path) and loads (path alone) come in any order; a row goes out when a component's
+    answer is first known and whenever it changes, which it does upwards only."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waits = handle.getMapState("waits", "path string", "components string")
+        self.loaded = handle.getMapState("loaded", "path string", "yes boolean")
+        self.told = handle.getMapState("told", "component string", "answer string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out: dict[str, str] = {}
+        has_loads = any(True for _ in self.loaded.keys())
+        before = has_loads
+        for pdf in rows:
+            for component, path in pdf[["component", "path"]].itertuples(index=False):
+                if pd.isna(component):
+                    has_loads = True
+                    if not self.loaded.containsKey((path,)):
+                        self.loaded.updateValue((path,), (True,))
+                        if self.waits.containsKey((path,)):
+                            out |= dict.fromkeys(json.loads(self.waits.getValue((path,))[0]), "yes")
+                    continue
+                names = json.loads(self.waits.getValue((path,))[0]) if self.waits.containsKey((path,)) else []
+                if component not in names:
+                    self.waits.updateValue((path,), (json.dumps([*names, component]),))
+                if self.loaded.containsKey((path,)):
+                    out[component] = "yes"
+                elif not self.told.containsKey((component,)):
+                    out.setdefault(component, "unknown")
+        if has_loads:
+            out = {c: "no" if a == "unknown" else a for c, a in out.items()}
+            if not before:  # the first loads of the host answer for all that is known
+                for c, a in [(tuple(k)[0], tuple(v)[0]) for k, v in self.told.iterator()]:
+                    if a == "unknown":
+                        out.setdefault(c, "no")
+        rank = {"unknown": 0, "no": 1, "yes": 2}
+        news = []
+        for c, a in out.items():
+            old = self.told.getValue((c,))[0] if self.told.containsKey((c,)) else None
+            if old is None or rank[a] > rank[old]:
+                self.told.updateValue((c,), (a,))
+                news.append((key[0], c, {"unknown": None, "no": False, "yes": True}[a]))
+        yield pd.DataFrame(news, columns=["asset_id", "component", "runtime_reachable"]).astype({"runtime_reachable": "boolean"})
+
+    def close(self) -> None:
+        pass
+
+
+def reachability_stream(records: DataFrame) -> DataFrame:
+    """(asset_id, component, runtime_reachable) out of a stream of envelopes of classes 5020 and 9003, each row once for every
+    answer that is new; of the rows of a component the greatest (null, false, true) is what holds. The batch answer for the
+    same records is operators.records.reachability_of()."""
+    p = C.parsed(records.where(F.col("class_uid").isin(5020, 9003)))
+    lists = F.transform(C.library_items(), lambda c: F.struct(c["name"].alias("name"), F.array_compact(c["libraries"]).alias("libraries")))
+    owned = F.flatten(F.transform(lists, lambda c: F.transform(F.coalesce(c["libraries"], F.array().cast("array<string>")), lambda l: F.struct(c["name"].alias("component"), l.alias("path")))))
+    loads = F.array(F.struct(F.lit(None).cast("string").alias("component"), F.col("d.module.path").alias("path")))
+    rows = p.select("asset_id", F.explode(F.when(F.col("class_uid") == 9003, loads).otherwise(owned)).alias("r")).select("asset_id", "r.component", "r.path").where("path IS NOT NULL AND asset_id IS NOT NULL")
+    return rows.groupBy("asset_id").transformWithStateInPandas(statefulProcessor=Reachability(), outputStructType=REACHED, outputMode="Append", timeMode="None")
 
 
 def daily_activity_stream(records: DataFrame, category: str = "category") -> DataFrame:
