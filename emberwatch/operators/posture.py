@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators.findings import weighted_findings
-from emberwatch.sources.shared import if_few
+from emberwatch.sources.shared import if_few, settings
 
 
 @dataclass(frozen=True)
@@ -111,10 +111,10 @@ def drift(snapshots: DataFrame, baseline: DataFrame) -> DataFrame:
 def integrity(files: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Watched paths against file rows (asset_id, row_no, path, sha256, exists): a missing path or a file that is gone
     shows as `<deleted>`; else the digests must be equal. `watchlist`: entry_id, path, expected_sha256, weight,
-    remediation_key. A file row without `exists` is present. The result has a row for each host and entry."""
+    remediation_key. A file row without `exists` is present. The result has a row for each host and entry, so a watchlist is a list of settings: one that is too long fails."""
     hosts = files.select("asset_id").distinct()
     first = files.groupBy("asset_id", "path").agg(F.min_by(F.struct("sha256", "exists"), "row_no").alias("row"))
-    m = hosts.join(if_few(watchlist), F.col("path").isNotNull()).join(first, ["asset_id", "path"], "left")
+    m = hosts.join(settings(watchlist, "the watchlist"), F.col("path").isNotNull()).join(first, ["asset_id", "path"], "left")
     here = F.col("row").isNotNull() & F.coalesce(F.col("row.exists"), F.lit(True))
     actual = F.when(here, F.col("row.sha256")).otherwise("<deleted>")
     return m.select("asset_id", "entry_id", "path", (~actual.eqNullSafe(F.col("expected_sha256"))).alias("violated"), F.col("weight").cast("float").alias("weight"), "expected_sha256", actual.alias("actual_sha256"), "remediation_key")

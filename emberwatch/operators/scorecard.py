@@ -48,13 +48,17 @@ def score_cases(cases: DataFrame, captures: DataFrame, records: DataFrame) -> Da
 
 
 def peer_verdicts(cases: DataFrame, captures: DataFrame, alerts: DataFrame) -> DataFrame:
-    """As score_cases, for another agent's alerts (case_id, time, techniques): a hit is an overlap of techniques."""
+    """As score_cases, for another agent's alerts (case_id, time, techniques, label): a hit is an overlap of techniques. The
+    labels of alerts in the window for other techniques alone are `fp_rules`, cross-technique and for information."""
     j = cases.join(captures.withColumn("captured", F.lit(True)), "case_id", "left").join(alerts, "case_id", "left")
-    inside = F.col("want_rule").isNull() | in_window(F.col("time"), F.col("trigger"), F.col("seconds"))
+    inside = F.coalesce("captured", F.lit(False)) & (F.col("want_rule").isNull() | in_window(F.col("time"), F.col("trigger"), F.col("seconds")))
     hit = inside & F.arrays_overlap(F.split("technique", r"\+"), F.col("techniques"))
-    v = j.groupBy("case_id", "tier", "technique", "expected_result").agg(F.bool_or(F.coalesce("captured", F.lit(False))).alias("captured"), F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"))
+    other = inside & ~hit & (F.size("techniques") > 0)
+    v = j.groupBy("case_id", "tier", "technique", "expected_result").agg(
+        F.bool_or(F.coalesce("captured", F.lit(False))).alias("captured"), F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.array_sort(F.collect_set(F.when(other, F.col("label")))).alias("fp_rules")
+    )
     verdict = F.when(~F.col("captured"), "NO_DATA").when(F.col("expected_result") == "miss", F.when(F.col("hit"), "GAP_CLOSED").otherwise("GAP")).when(F.col("hit"), "HIT").otherwise("MISS")
-    return v.select("case_id", "tier", "technique", verdict.alias("verdict"))
+    return v.select("case_id", "tier", "technique", verdict.alias("verdict"), "fp_rules")
 
 
 def coverage(verdicts: DataFrame) -> DataFrame:
@@ -115,9 +119,11 @@ def top_violations(checked: DataFrame, n: int = 10) -> DataFrame:
     return v.orderBy(F.desc("records"), "violation").limit(n)
 
 
-def idle_false_positives(baseline: DataFrame) -> DataFrame:
-    """Baseline records with a rule, and the distinct rules."""
-    return baseline.agg(F.count_if(F.size("rules") > 0).alias("false_positives"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
+def idle_false_positives(baseline: DataFrame, peer: bool = False) -> DataFrame:
+    """Baseline records (`rules`) with a rule, and the distinct rules. Of another agent (`peer`) every alert counts, whether or
+    not its rule has a name: it was raised while nothing happened."""
+    fired = F.count("*") if peer else F.count_if(F.size("rules") > 0)
+    return baseline.agg(fired.alias("false_positives"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
 
 
 def case_matrix(verdicts: DataFrame) -> DataFrame:
@@ -126,8 +132,14 @@ def case_matrix(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("technique", "tier", "verdict").agg(F.count("*").alias("cases"), F.min("latency_ms").alias("fastest_ms"), fp.alias("fp_rules"))
 
 
-#: How to read other agents' raw alerts, by agent: the techniques (a JSON array) and the rule's name. More are added here.
-PEERS = {"wazuh": ("$.rule.mitre.id", "$.rule.id"), "falco": ("$.tags", "$.rule")}
+#: How to read other agents' raw alerts, by agent: the techniques (a JSON array), the rule's name, and the shape of the ids
+#: among other tags, where they are mixed with such. More are added here.
+PEERS = {"wazuh": ("$.rule.mitre.id", "$.rule.id", None), "falco": ("$.tags", "$.rule", r"\AT[0-9]+(\.[0-9]+)*\z")}
+
+
+def _text(value: Column, path: str = "$") -> Column:
+    """A string of a parsed value; null for what isn't a JSON string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
 
 
 def _of_peer(agent: Column, of) -> Column:
@@ -138,11 +150,18 @@ def _of_peer(agent: Column, of) -> Column:
 
 
 def peer_label(agent: Column, alert: Column) -> Column:
-    """Name of a raw alert's rule: agent and rule id, or a question mark; null for an agent that isn't known."""
-    return _of_peer(agent, lambda _, rule: F.concat(agent, F.lit(":"), F.coalesce(F.get_json_object(alert, rule), F.lit("?"))))
+    """Name of a raw alert's rule: agent and rule id, or a question mark where this is no string; null for an agent that
+    isn't known."""
+    parsed = F.try_parse_json(alert)
+    return _of_peer(agent, lambda _, rule, __: F.concat(agent, F.lit(":"), F.coalesce(_text(parsed, rule), F.lit("?"))))
 
 
 def peer_techniques(agent: Column, alert: Column) -> Column:
-    """Techniques of a raw alert, by the shape of their ids; none for an agent that isn't known."""
-    found = _of_peer(agent, lambda techniques, _: F.from_json(F.get_json_object(alert, techniques), "array<string>"))
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: t.rlike(r"\AT[0-9]+(\.[0-9]+)*\z"))
+    """Techniques of a raw alert, of mixed tags by the shape of their ids; none for an agent that isn't known."""
+    parsed, none = F.try_parse_json(alert), F.array().cast("array<string>")
+
+    def of(techniques: str, _, shape: str | None) -> Column:
+        found = F.array_compact(F.transform(F.coalesce(F.try_variant_get(parsed, techniques, "array<variant>"), F.array().cast("array<variant>")), lambda x: _text(x)))
+        return F.filter(found, lambda t: t.rlike(shape)) if shape else found
+
+    return F.coalesce(_of_peer(agent, of), none)

@@ -28,7 +28,7 @@ def _arrays(rows: DataFrame, folder: str, head: str = "[", tail: str = "]", per_
     """Rows of text (`value`) as files of an array each, of about `per_file` rows."""
     files = max(1, -(-rows.count() // per_file))
     whole = rows.withColumn("f", F.pmod(F.xxhash64("value"), F.lit(files))).groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("v"))
-    whole.select(F.concat(F.lit(head), F.col("v"), F.lit(tail)).alias("value")).write.option("lineSep", "\x00").mode("append").text(folder)
+    whole.select(F.concat(F.lit(head), F.col("v"), F.lit(tail)).alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).mode("append").text(folder)
 
 
 def _feed(spark: SparkSession, sf: str) -> str:
@@ -215,9 +215,11 @@ def _cases(spark, sf):
     record = F.concat(F.lit('{"class_uid":1007,"time":'), (F.col("o_orderkey") % 9000).cast("string"), F.lit(',"data":{"detections":[{"rule":"rule-'), (F.col("o_orderkey") % 4).cast("string"), F.lit('"}]}}'))
     r = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(record)).alias("records"))
     case = c.join(r, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.to_json(F.struct(F.concat(F.lit("case-"), _key("c_custkey")).alias("case_id"), F.lit(1000).alias("trigger_time"), F.coalesce("records", F.array().cast("array<string>")).alias("records"))).alias("value"))
-    idle = "".join(f'"{x}",' for x in ('{\\"data\\":{\\"detections\\":[{\\"rule\\":\\"idle-1\\"}]}}', '{\\"data\\":{}}', '{\\"data\\":{\\"process\\":{\\"detections\\":[{\\"rule\\":\\"idle-0\\"}]}}}'))[:-1]
     folder = scratch(spark, "captures")
-    _arrays(case, folder, f'{{"agent":"a","run_id":"r","baseline":[{idle}],"cases":[', "]}")
+    _arrays(case, folder, '{"agent":"a","run_id":"r","baseline":[],"cases":[', "]}")
+    fired = F.concat(F.lit('{"data":{"process":{"detections":[{"rule":"idle-'), (F.col("o_orderkey") % 3).cast("string"), F.lit('"}]}}}'))
+    quiet = F.to_json(F.struct(F.when(F.col("o_orderkey") % 4 == 0, '{"data":{}}').otherwise(fired).alias("x")))
+    _arrays(o.select(F.regexp_extract(quiet, r'(?s)\A\{"x":(.*)\}\z', 1).alias("value")), folder, '{"agent":"a","run_id":"r","cases":[],"baseline":[', "]}")
     captured, baseline = feeds.read_captures(spark, folder)
     return feeds.declared_cases(declared), captured, baseline
 
@@ -231,10 +233,12 @@ def captured_cases(spark, sf):
 
 
 def idle_alarms(spark, sf):
-    """What fired while nothing happened, by the files of a run."""
+    """What fired while nothing happened: records of a run's files, and alerts of other agents, of which each counts."""
     _, captured, baseline = _cases(spark, sf)
-    f = B.idle_false_positives(baseline.select(feeds.rules_of(F.col("record")).alias("rules")))
-    return f.select((F.col("false_positives") > 0).alias("alarms"), F.array_join("rules", ",").alias("rules")).join(captured.agg(F.countDistinct("case_id").alias("cases")))
+    own = B.idle_false_positives(baseline.select(feeds.rules_of(F.col("record")).alias("rules"))).withColumn("mode", F.lit("own"))
+    alerts = _alerts(spark, sf).where("agent <> 'other'").select(F.array_compact(F.array(B.peer_label(F.col("agent"), F.col("alert")))).alias("rules"))
+    f = own.unionByName(B.idle_false_positives(alerts, peer=True).withColumn("mode", F.lit("peer")))
+    return f.select("mode", "false_positives", F.array_join("rules", ",").alias("rules")).join(captured.agg(F.countDistinct("case_id").alias("cases")))
 
 
 def _alerts(spark, sf):
@@ -242,7 +246,8 @@ def _alerts(spark, sf):
     o = table(spark, sf, "orders")
     t = (F.col("o_orderkey") % 5).cast("string")
     agent = F.when(F.col("o_orderkey") % 3 == 0, "wazuh").when(F.col("o_orderkey") % 3 == 1, "falco").otherwise("other")
-    wazuh = F.concat(F.lit('{"rule":{'), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"id":"'), t, F.lit('",'))).otherwise(""), F.lit('"mitre":{"id":["T'), t, F.lit('"]}}}'))
+    named = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('"id":"'), t, F.lit('",'))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit('"id":'), t, F.lit(","))).otherwise("")
+    wazuh = F.concat(F.lit('{"rule":{'), named, F.lit('"mitre":{"id":["T'), t, F.lit('",7,"odd-'), t, F.lit('"]}}}'))
     falco = F.concat(F.lit('{"rule":"shell","tags":["mitre_x","T'), t, F.lit('","T1.","Tx","T9.'), t, F.lit('"]}'))
     return o.select(F.col("o_custkey").alias("case_id"), "o_orderkey", agent.alias("agent"), F.when(agent == "wazuh", wazuh).when(agent == "falco", falco).otherwise("{}").alias("alert"))
 
@@ -255,9 +260,9 @@ def peer_alerts(spark, sf):
 
 def peer_verdicts(spark, sf):
     cases, captures, _ = PR._bench(spark, sf)
-    a = _alerts(spark, sf).where("agent <> 'other'").select("case_id", (F.lit(500) + F.col("o_orderkey") % 7000).cast("long").alias("time"), B.peer_techniques(F.col("agent"), F.col("alert")).alias("techniques"))
+    a = _alerts(spark, sf).where("agent <> 'other'").select("case_id", (F.lit(500) + F.col("o_orderkey") % 7000).cast("long").alias("time"), B.peer_techniques(F.col("agent"), F.col("alert")).alias("techniques"), B.peer_label(F.col("agent"), F.col("alert")).alias("label"))
     v = B.peer_verdicts(cases, captures, a.join(captures.select("case_id"), "case_id", "left_semi"))
-    return v.groupBy("technique", "verdict").agg(F.count("*").alias("cases"))
+    return v.select("case_id", "technique", "verdict", F.array_join("fp_rules", ",").alias("fp_rules"))
 
 
 def common_violations(spark, sf):
@@ -327,7 +332,7 @@ QUERIES = {
 _E, _ALL = PR._E, f"{PR._E}, {Q.RECORDS}, {Q.findings(Q.ALL_RAW)}"
 _TILE = "count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS open, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderstatus = 'P') AS reopened, round(avg(CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey % 40 AS DOUBLE) END), 6) AS mttr_days"
 _ALERTS = """WITH a AS (SELECT o_custkey AS case_id, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'wazuh' WHEN 1 THEN 'falco' ELSE 'other' END AS agent FROM orders),
-l AS (SELECT *, CASE agent WHEN 'wazuh' THEN CASE WHEN k % 2 = 0 THEN 'wazuh:' || (k % 5) ELSE 'wazuh:?' END WHEN 'falco' THEN 'falco:shell' END AS label, CASE agent WHEN 'wazuh' THEN ['T' || (k % 5)] WHEN 'falco' THEN ['T' || (k % 5), 'T9.' || (k % 5)] ELSE [] END AS techniques FROM a)"""
+l AS (SELECT *, CASE agent WHEN 'wazuh' THEN CASE WHEN k % 4 = 0 THEN 'wazuh:' || (k % 5) ELSE 'wazuh:?' END WHEN 'falco' THEN 'falco:shell' END AS label, CASE agent WHEN 'wazuh' THEN ['T' || (k % 5), 'odd-' || (k % 5)] WHEN 'falco' THEN ['T' || (k % 5), 'T9.' || (k % 5)] ELSE [] END AS techniques FROM a)"""
 _CASES = """WITH cases AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE 'A' END AS tier, 'T' || (c_custkey % 4) AS technique, c_custkey % 6 = 0 AS miss, CASE WHEN c_custkey % 10 <> 9 THEN 'rule-' || (c_custkey % 4) END AS want FROM customer),
 recs AS (SELECT o_custkey AS k, o_orderkey % 9000 AS t, 'rule-' || (o_orderkey % 4) AS rule FROM orders),
 j AS (SELECT c.*, r.t, r.rule, c.want IS NULL OR r.t BETWEEN 1000 AND 6000 AS inside FROM cases c LEFT JOIN recs r USING (k)),
@@ -350,11 +355,13 @@ SQL = {
     "fix_members": f"{_ALL} SELECT remediation_key, 'closes' AS kind, count(DISTINCT vuln_id) AS members, min(vuln_id) AS first FROM findings GROUP BY 1 UNION ALL SELECT remediation_key, 'asset', count(DISTINCT asset_id), min(asset_id) FROM findings GROUP BY 1",
     "fix_slices": f"{VQ._FIND}, m AS (SELECT DISTINCT remediation_key, 'closes' AS kind, vuln_id AS member FROM findings UNION SELECT remediation_key, 'asset', asset_id FROM findings) SELECT remediation_key, kind, count(*) AS total, count(*) AS members, CAST(ceil(count(*) / 50) AS BIGINT) AS slices, min(member) AS first FROM m GROUP BY 1, 2",
     "captured_cases": f"{_CASES} SELECT technique, tier, verdict, count(DISTINCT d.k) AS cases, min(ms) AS fastest_ms, coalesce(string_agg(DISTINCT x.rule, ',' ORDER BY x.rule), '') AS fp_rules FROM d LEFT JOIN x ON d.k = x.k GROUP BY 1, 2, 3",
-    "idle_alarms": "SELECT true AS alarms, 'idle-0,idle-1' AS rules, count(*) AS cases FROM customer",
+    "idle_alarms": f"""{_ALERTS}, c AS (SELECT count(*) AS cases FROM customer) SELECT 'own' AS mode, count(*) AS false_positives, string_agg(DISTINCT 'idle-' || (o_orderkey % 3), ',' ORDER BY 'idle-' || (o_orderkey % 3)) AS rules, min(cases) AS cases FROM orders, c WHERE o_orderkey % 4 <> 0
+        UNION ALL SELECT 'peer', count(*), string_agg(DISTINCT label, ',' ORDER BY label), min(cases) FROM l, c WHERE agent <> 'other'""",
     "peer_alerts": f"{_ALERTS} SELECT agent, label, array_to_string(techniques, ',') AS techniques, count(*) AS alerts FROM l GROUP BY 1, 2, 3",
     "peer_verdicts": f"""{_ALERTS}, c AS (SELECT c_custkey AS case_id, 'T' || (c_custkey % 4) || CASE WHEN c_custkey % 5 = 0 THEN '+T9' ELSE '' END AS technique, c_custkey % 6 = 0 AS miss, c_custkey % 10 = 9 AS free, c_custkey % 13 <> 0 AS captured FROM customer),
-        h AS (SELECT c.case_id, technique, miss, captured, bool_or(coalesce((free OR 500 + l.k % 7000 BETWEEN 1000 AND 6000) AND list_has_any(string_split(technique, '+'), techniques), false)) AS hit FROM c LEFT JOIN l ON c.case_id = l.case_id AND captured AND agent <> 'other' GROUP BY ALL)
-        SELECT technique, CASE WHEN NOT captured THEN 'NO_DATA' WHEN miss THEN CASE WHEN hit THEN 'GAP_CLOSED' ELSE 'GAP' END WHEN hit THEN 'HIT' ELSE 'MISS' END AS verdict, count(*) AS cases FROM h GROUP BY 1, 2""",
+        j AS (SELECT c.*, l.label, techniques, captured AND l.k IS NOT NULL AND (free OR 500 + l.k % 7000 BETWEEN 1000 AND 6000) AS inside, list_has_any(string_split(technique, '+'), techniques) AS own FROM c LEFT JOIN l ON c.case_id = l.case_id AND captured AND agent <> 'other'),
+        h AS (SELECT case_id, technique, miss, captured, bool_or(coalesce(inside AND own, false)) AS hit, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (inside AND NOT own AND len(techniques) > 0), '') AS fp_rules FROM j GROUP BY ALL)
+        SELECT case_id, technique, CASE WHEN NOT captured THEN 'NO_DATA' WHEN miss THEN CASE WHEN hit THEN 'GAP_CLOSED' ELSE 'GAP' END WHEN hit THEN 'HIT' ELSE 'MISS' END AS verdict, fp_rules FROM h""",
     "common_violations": "WITH v AS (SELECT unnest(list_filter([CASE WHEN o_orderkey % 4 = 0 THEN 'missing:time' END, CASE WHEN o_orderkey % 5 = 0 THEN 'missing:device' END, CASE WHEN o_orderkey % 6 = 0 THEN 'unknown_class' END, CASE WHEN o_orderkey % 9 NOT BETWEEN 1 AND 6 THEN 'severity_out_of_range' END], lambda x: x IS NOT NULL)) AS violation FROM orders) SELECT violation, count(*) AS records FROM v GROUP BY 1 ORDER BY records DESC, violation LIMIT 3",
     "rollout_plan": "WITH t AS (SELECT l_orderkey, list_sort(list(l_linenumber)) AS t, list(l_linenumber) FILTER (l_returnflag = 'R') AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(t[1:least(greatest(l_orderkey % 4, 1), len(t))], ',') AS canaries, array_to_string(list_filter(t, lambda x: NOT list_contains(coalesce(a, []), x)), ',') AS left FROM t",
     "closed_fixes": f"{_ALL} SELECT finding_id, CASE WHEN length(finding_id) % 3 = 0 THEN 'closed' ELSE status END AS status, CAST(CASE WHEN length(finding_id) % 3 = 0 THEN 800 END AS BIGINT) AS closed_at FROM findings",

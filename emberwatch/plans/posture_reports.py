@@ -75,7 +75,8 @@ def drift_findings(spark, sf):
 def watched_files(spark, sf):
     s = table(spark, sf, "supplier")
     host = F.concat(F.lit("sup-"), F.col("s_suppkey").cast("string")).alias("asset_id")
-    files = s.where("s_suppkey % 6 <> 0").select(host, F.lit(0).alias("row_no"), F.lit("/etc/passwd").alias("path"), F.when(F.col("s_nationkey") % 4 == 0, "bad").otherwise("good").alias("sha256"), F.when(F.col("s_suppkey") % 8 == 0, False).alias("exists"))
+    # Hosts whose files are none of the watched ones have lost them all.
+    files = s.select(host, F.lit(0).alias("row_no"), F.when(F.col("s_suppkey") % 6 == 0, "/etc/hosts").otherwise("/etc/passwd").alias("path"), F.when(F.col("s_nationkey") % 4 == 0, "bad").otherwise("good").alias("sha256"), F.when(F.col("s_suppkey") % 8 == 0, False).alias("exists"))
     watch = spark.createDataFrame([("fim-passwd", "/etc/passwd", "good", 0.9, "investigate:/etc/passwd"), ("fim-sshd", "/etc/ssh/sshd_config", "good", 0.8, "restore:/etc/ssh/sshd_config")], "entry_id string, path string, expected_sha256 string, weight double, remediation_key string")
     return files, watch
 
@@ -324,7 +325,7 @@ SQL = {
     "framework_results": f"{_S}, {_CONTROLS[:-1]} SELECT f AS framework, c AS controls, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM ctl JOIN (VALUES ('sshd-root-login-disabled', 'CIS', '5.2.1,5.2.10'), ('sshd-root-login-disabled', 'PCI-DSS', '2.2.4'), ('telnet-not-installed', 'CIS', '2.3.1'), ('password-max-days', 'ISO-27001', 'A.9.4.3')) x(i, f, c) ON control_id = i GROUP BY 1, 2",
     "compliance_findings": f"{_S}, {_CONTROLS} {Q.findings(_C)} SELECT {_F} FROM findings",
     "drift_findings": f"{_S}, {Q.findings(_DR)} SELECT {_F} FROM findings",
-    "integrity_records": f"{_S}, f AS (SELECT * FROM s WHERE s_suppkey % 6 <> 0), a AS (SELECT asset_id, 'fim-passwd' AS entry_id, CASE WHEN s_suppkey % 8 = 0 THEN '<deleted>' WHEN s_nationkey % 4 = 0 THEN 'bad' ELSE 'good' END AS actual_sha256 FROM f UNION ALL SELECT asset_id, 'fim-sshd', '<deleted>' FROM f) SELECT asset_id, entry_id, actual_sha256 <> 'good' AS violated, actual_sha256 FROM a",
+    "integrity_records": f"{_S}, f AS (SELECT * FROM s), a AS (SELECT asset_id, 'fim-passwd' AS entry_id, CASE WHEN s_suppkey % 8 = 0 OR s_suppkey % 6 = 0 THEN '<deleted>' WHEN s_nationkey % 4 = 0 THEN 'bad' ELSE 'good' END AS actual_sha256 FROM f UNION ALL SELECT asset_id, 'fim-sshd', '<deleted>' FROM f) SELECT asset_id, entry_id, actual_sha256 <> 'good' AS violated, actual_sha256 FROM a",
     "change_gate": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) WHERE p IS DISTINCT FROM o_orderstatus",
     "first_sightings": f"{_E} SELECT asset_id, path, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM sensor_events WHERE kind = 'FileOpen' GROUP BY 1, 2",
     "lifecycle": f"{_LIFE} SELECT finding_id, status, first_seen, last_seen, closed_at FROM run",

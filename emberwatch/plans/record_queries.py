@@ -139,7 +139,7 @@ def ingest_counts(spark, sf):
 
 
 _POSTURE = f"s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey, s_nationkey, s_acctbal FROM supplier), {PR._CONTROLS[:-1]}"
-_FIM = "SELECT asset_id, 'fim-passwd' AS vuln_id, '/etc/passwd' AS component, 'filesystem' AS location, CAST(0.9 AS REAL) AS w, 'investigate:/etc/passwd' AS remediation_key FROM s WHERE s_suppkey % 6 <> 0 AND (s_suppkey % 8 = 0 OR s_nationkey % 4 = 0) UNION ALL SELECT asset_id, 'fim-sshd', '/etc/ssh/sshd_config', 'filesystem', CAST(0.8 AS REAL), 'restore:/etc/ssh/sshd_config' FROM s WHERE s_suppkey % 6 <> 0"
+_FIM = "SELECT asset_id, 'fim-passwd' AS vuln_id, '/etc/passwd' AS component, 'filesystem' AS location, CAST(0.9 AS REAL) AS w, 'investigate:/etc/passwd' AS remediation_key FROM s WHERE s_suppkey % 6 = 0 OR s_suppkey % 8 = 0 OR s_nationkey % 4 = 0 UNION ALL SELECT asset_id, 'fim-sshd', '/etc/ssh/sshd_config', 'filesystem', CAST(0.8 AS REAL), 'restore:/etc/ssh/sshd_config' FROM s"
 _TOPS = (
     f"{D.CORRELATED}, d AS (WITH {D._chain_sql(*D._DROP)} SELECT * FROM chains), x AS (WITH {D._chain_sql(*D._EXFIL)} SELECT * FROM chains), "
     "tops AS (SELECT asset_id, ts, process, daddr, dport, [rule] AS rules FROM correlated WHERE kind = 'NetConnect' AND rule IS NOT NULL UNION ALL SELECT asset_id, ts, process, daddr, dport, [rule] FROM d UNION ALL SELECT asset_id, ts, process, daddr, dport, ['read_of_sensitive_file', 'suspicious_process_suspicious_connection', rule] FROM x)"
@@ -235,7 +235,7 @@ SQL = {
     "record_rules": f"{_LINES} SELECT event_id, 'd' || (k % 3) || ',pé' || CASE WHEN {_LIST} THEN ',r' || (k % 4) ELSE '' END AS rules, 'pé' || CASE WHEN {_LIST} THEN ',r' || (k % 4) ELSE '' END AS at_known_places FROM lines WHERE NOT blank AND event_id % 11 <> 0",
     "process_class": f"{_LINES} SELECT event_id FROM lines WHERE NOT blank AND NOT bad AND class_uid = 1007",
     "class_records": f"""{_E}, {Q.RECORDS}, {_POSTURE}, {SBOM}, {_TOPS}, r AS (SELECT 1007 AS class_uid, rules FROM process_records UNION ALL SELECT 4001, rules FROM network_records UNION ALL SELECT 1001, rules FROM file_records UNION ALL SELECT 9002, rules FROM tops
-        UNION ALL SELECT 2003, NULL FROM ctl GROUP BY asset_id UNION ALL SELECT 5002, NULL FROM s UNION ALL SELECT 2004, NULL FROM s WHERE s_suppkey % 6 <> 0 UNION ALL SELECT 5020, NULL FROM sbom GROUP BY asset_id, os)
+        UNION ALL SELECT 2003, NULL FROM ctl GROUP BY asset_id UNION ALL SELECT 5002, NULL FROM s UNION ALL SELECT 2004, NULL FROM s UNION ALL SELECT 5020, NULL FROM sbom GROUP BY asset_id, os)
         SELECT class_uid, count(*) AS records, count(*) AS passed, max(CASE class_uid WHEN 9002 THEN 4 ELSE coalesce(list_max(list_transform(rules, lambda r: CASE r {" ".join(f"WHEN '{r}' THEN {s}" for r, s in R.SEVERITY.items())} ELSE 1 END)), 1) END) AS severity_id, CAST(sum(coalesce(len(rules), 0)) AS BIGINT) AS detections FROM r GROUP BY 1""",
     "all_class_findings": f"{_ALL} SELECT finding_id, risk, decision, status, remediation_key FROM found",
     "all_class_fixes": f"{_ALL} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM found GROUP BY 1",

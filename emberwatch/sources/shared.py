@@ -39,3 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
 def if_few(df: DataFrame) -> DataFrame:
     """With a hint to broadcast where it has SETTINGS rows at most; else the planner chooses the join."""
     return F.broadcast(df) if df.limit(SETTINGS + 1).count() <= SETTINGS else df
+
+
+def settings(df: DataFrame, what: str) -> DataFrame:
+    """A list of settings, to be broadcast: one of more than SETTINGS rows is an error."""
+    if df.limit(SETTINGS + 1).count() > SETTINGS:
+        raise ValueError(f"{what} has more than {SETTINGS} rows")
+    return F.broadcast(df)
