@@ -41,6 +41,8 @@ SEVERITY = {
 SHORT_LIVED_MS = 500
 
 HITS = "array<struct<rule:string,reason:string>>"
+#: The rule of a process that is suspicious by an ancestor.
+ANCESTOR = "suspicious_ancestor"
 
 
 def any_of(text: Column, needles: list[str]) -> Column:

@@ -138,7 +138,7 @@ def chains(records: DataFrame, which: list[str] | None = None) -> DataFrame:
     rule = F.lit(None).cast("string")
     for name, (_, fires, _) in used.items():
         rule = F.when(F.col("chain_of") == name, fires).otherwise(rule)
-    return found.withColumn("r", F.row_number().over(once)).where("r = 1").select("asset_id", "pid", "exec_id", "ts", "process", "chain.*", rule.alias("rule"))
+    return found.withColumn("r", F.row_number().over(once)).where("r = 1").select("asset_id", "pid", "exec_id", "ts", "process", "inherited", "chain.*", rule.alias("rule"))
 
 
 def dropper_chains(records: DataFrame) -> DataFrame:

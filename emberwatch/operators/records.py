@@ -34,11 +34,20 @@ def parsed_data(records: DataFrame) -> DataFrame:
     return records.withColumn("data", F.parse_json("data"))
 
 
+#: Blocks of an activity record: the columns that they take, as far as there are, and their names within.
+BLOCKS = {
+    "process": {"image": "image", "pid": "pid", "attributed": "attributed", "process_hits": "detections"},
+    "connection": {"daddr": "daddr", "dport": "dport", "connection_hits": "detections"},
+    "file": {"path": "path", "file_hits": "detections"},
+}
+
+
 def activity_envelopes(records: DataFrame, class_uid: int, severity: Column) -> DataFrame:
-    """Records with `hits` and, as far as they have them, image, pid, daddr, dport and path: class 1007, 4001, 1001 or 9002."""
+    """Records with `hits`, the record's own detections, and what BLOCKS names: class 1007, 4001, 1001 or 9002. Of the last,
+    the blocks have detections of their own, and the process tells whether it is attributed."""
     have = set(records.columns)
-    part = lambda name, cols: [F.struct(*[F.col(c) for c in cols if c in have]).alias(name)] if have & set(cols) else []
-    data = F.struct(*part("process", ["image", "pid"]), *part("connection", ["daddr", "dport"]), *part("file", ["path"]), F.col("hits").alias("detections"))
+    block = lambda names: [F.col(c).alias(n) for c, n in names.items() if c in have]
+    data = F.struct(*[F.struct(*block(names)).alias(name) for name, names in BLOCKS.items() if block(names)], F.col("hits").alias("detections"))
     return envelopes(records, class_uid, F.col("ts"), severity, data)
 
 

@@ -161,20 +161,24 @@ _EXFIL = ("FileOpen", "suspicious_process_read_sensitive_and_connected", False)
 
 
 def dropper_chains(spark, sf):
-    return J.dropper_chains(J.correlated(sensor_events(spark, sf))).drop("halves")
+    return J.dropper_chains(J.correlated(sensor_events(spark, sf))).drop("halves", "inherited")
 
 
 def exfil_chains(spark, sf):
-    return J.exfil_chains(J.correlated(sensor_events(spark, sf))).drop("halves")
+    return J.exfil_chains(J.correlated(sensor_events(spark, sf))).drop("halves", "inherited")
 
 
 def correlation_records(events: DataFrame) -> DataFrame:
-    """Connections and chains whose top-level rule fired, as records with hits."""
+    """Connections and chains whose top-level rule fired, as records with hits; process and connection have their own."""
     c = cut(J.correlated(events))  # read by both parts below
     hit = F.array(F.struct(F.col("rule").alias("rule"), F.lit("").alias("reason"))).alias("hits")
-    cols = ["asset_id", "ts", F.col("process").alias("image"), "daddr", "dport"]
+    heir = F.when(F.col("inherited"), F.array(F.struct(F.lit(R.ANCESTOR).alias("rule"), F.lit("an ancestor is suspicious").alias("reason")))).otherwise(F.array().cast(R.HITS))
+    process = F.concat(R.process_hits(F.col("process")), heir).alias("process_hits")
+    connection = R.network_hits(F.col("daddr"), F.col("dport")).alias("connection_hits")
+    cols = ["asset_id", "ts", "pid", F.col("process").alias("image"), "daddr", "dport", F.lit(True).alias("attributed"), process, connection]
     conns = c.where("kind = 'NetConnect' AND rule IS NOT NULL").select(*cols, hit)
-    return conns.unionByName(J.detections_of_chain(J.chains(c)).select(*cols, "hits"))
+    chains = J.detections_of_chain(J.chains(c))
+    return conns.unionByName(chains.select(*cols, "hits"))
 
 
 def chain_findings(spark, sf):

@@ -14,6 +14,7 @@ from emberwatch.operators import records as C
 from emberwatch.operators import scorecard as B
 from emberwatch.operators import vulnerabilities as V
 from emberwatch.plans import detection as D
+from emberwatch.plans import inventory_queries as IQ
 from emberwatch.plans import posture_reports as PR
 from emberwatch.plans import sqltext as Q
 from emberwatch.plans import vulnerability as VQ
@@ -85,10 +86,18 @@ def envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return every
 
 
+def observations(spark: SparkSession, sf: str) -> DataFrame:
+    """What is telemetry only: the first load of each library of a host (9003), and connections of AI tools (9004)."""
+    e = sensor_events(spark, sf)
+    loads = P.first_sightings(e.where((F.col("kind") == "FileOpen") & R.is_shared_library(F.col("path"))))
+    uses = IQ.ai_egress_records(IQ.ai_images(e))
+    return C.load_envelopes(loads, F.col("ts")).unionByName(C.tool_envelopes(uses, F.col("ts")))
+
+
 def read_back(spark: SparkSession, sf: str) -> DataFrame:
     """The same after a file of NDJSON."""
     folder = scratch(spark, "records")
-    sinks.write_ndjson(C.parsed_data(envelopes(spark, sf)), folder)
+    sinks.write_ndjson(C.parsed_data(envelopes(spark, sf).unionByName(observations(spark, sf))), folder)
     return feeds.parse_envelopes(spark.read.text(folder))[0]
 
 
@@ -235,7 +244,9 @@ SQL = {
     "record_rules": f"{_LINES} SELECT event_id, 'd' || (k % 3) || ',pé' || CASE WHEN {_LIST} THEN ',r' || (k % 4) ELSE '' END AS rules, 'pé' || CASE WHEN {_LIST} THEN ',r' || (k % 4) ELSE '' END AS at_known_places FROM lines WHERE NOT blank AND event_id % 11 <> 0",
     "process_class": f"{_LINES} SELECT event_id FROM lines WHERE NOT blank AND NOT bad AND class_uid = 1007",
     "class_records": f"""{_E}, {Q.RECORDS}, {_POSTURE}, {SBOM}, {_TOPS}, r AS (SELECT 1007 AS class_uid, rules FROM process_records UNION ALL SELECT 4001, rules FROM network_records UNION ALL SELECT 1001, rules FROM file_records UNION ALL SELECT 9002, rules FROM tops
-        UNION ALL SELECT 2003, NULL FROM ctl GROUP BY asset_id UNION ALL SELECT 5002, NULL FROM s UNION ALL SELECT 2004, NULL FROM s UNION ALL SELECT 5020, NULL FROM sbom GROUP BY asset_id, os)
+        UNION ALL SELECT 2003, NULL FROM ctl GROUP BY asset_id UNION ALL SELECT 5002, NULL FROM s UNION ALL SELECT 2004, NULL FROM s UNION ALL SELECT 5020, NULL FROM sbom GROUP BY asset_id, os
+        UNION ALL SELECT 9003, NULL FROM sensor_events WHERE kind = 'FileOpen' AND contains(path, '.so.') GROUP BY asset_id, path
+        UNION ALL SELECT 9004, NULL FROM (SELECT unnest(range(CAST(n AS BIGINT))) FROM (SELECT sum(connections) AS n FROM ({IQ.SQL["ai_egress"]}) a) b) c)
         SELECT class_uid, count(*) AS records, count(*) AS passed, max(CASE class_uid WHEN 9002 THEN 4 ELSE coalesce(list_max(list_transform(rules, lambda r: CASE r {" ".join(f"WHEN '{r}' THEN {s}" for r, s in R.SEVERITY.items())} ELSE 1 END)), 1) END) AS severity_id, CAST(sum(coalesce(len(rules), 0)) AS BIGINT) AS detections FROM r GROUP BY 1""",
     "all_class_findings": f"{_ALL} SELECT finding_id, risk, decision, status, remediation_key FROM found",
     "all_class_fixes": f"{_ALL} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM found GROUP BY 1",

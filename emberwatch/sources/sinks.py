@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from emberwatch.sources.shared import scratch
+from emberwatch.sources.shared import remove, scratch
 
 __all__ = ["StateTable", "scratch", "stream_by_day", "stream_records", "to_ndjson", "write_by_day", "write_ndjson"]
 #: Rows of a file of a day.
@@ -61,8 +61,8 @@ class StateTable:
     Pointers are numbered, each is written once and after what it names, and holds all that a reader needs: segments, and
     the last batch of each stream. The last one is found by trying numbers, twice as far each time, so none but it is read.
     A run that fails in between leaves a segment without a pointer, which the next run writes again. All goes through
-    Spark's readers and writers, so any store will do. Folders that no pointer names any more are never read; dead() tells
-    which they are.
+    Spark's readers and writers, so any store will do. Folders that the last pointer doesn't name are read by readers
+    of earlier ones at most; clean() deletes them when there are none.
 
     A batch that is repeated after a failure changes nothing, and a stream with a new checkpoint, whose batches start at 0
     again, is a stream of its own. One writer at a time."""
@@ -173,6 +173,11 @@ class StateTable:
             self._point(number, now | {"segments": [*kept, segment]})
 
     def dead(self) -> list[str]:
-        """Folders that no reader of the last pointer needs."""
+        """Segments that no reader of the last pointer needs. Pointers stay, as they lead to the last one."""
         live = {n for n, _ in self.pointer()["segments"]}
-        return [f"{self.path}/data/s={n}" for n in range(self._last + 1) if n not in live] + [f"{self.path}/pointer/p={n}" for n in range(1, self._last)]
+        return [f"{self.path}/data/s={n}" for n in range(self._last + 1) if n not in live]
+
+    def clean(self) -> None:
+        """Deletes what dead() tells. Call it when no reader of an earlier pointer is at work."""
+        for folder in self.dead():
+            remove(self.spark, folder)

@@ -58,6 +58,20 @@ def test_loads_and_tools_are_records(spark):
     assert (e["class_uid"], json.loads(e["data"])) == (9004, {"kind": "ai_tool_egress", "scope": "external", "tool": "aider", "via": "cmdline", "process": {"pid": 5, "image": "python3"}, "connection": {"daddr": "1.2.3.4", "dport": 443}})
 
 
+def test_blocks_of_correlated_records_have_their_own_detections(spark):
+    from emberwatch.plans import detection as D
+    from test_lineage import connects, events, ran
+
+    rows = [ran(0, 1, "/tmp/nc"), ran(10, 2, "/opt/a", 1), connects(20, 2, "a")]
+    e = C.activity_envelopes(D.correlation_records(events(spark, rows)), 9002, F.lit(4)).collect()
+    assert len(e) == 1
+    data = json.loads(e[0]["data"])
+    rules = lambda block: [d["rule"] for d in block["detections"]]
+    assert rules(data) == ["suspicious_process_suspicious_connection"]
+    assert (rules(data["process"]), data["process"]["attributed"], data["process"]["pid"], data["process"]["image"]) == (["suspicious_ancestor"], True, 2, "/opt/a")
+    assert (rules(data["connection"]), data["connection"]["dport"]) == (["suspicious_port", "suspicious_port_to_external"], 4444)
+
+
 def mixed(rng):
     out = []
     for _ in range(60):
