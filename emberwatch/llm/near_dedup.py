@@ -186,14 +186,18 @@ def common_df(n: int) -> float:
     return max(LEAST_DF, COMMON * n)
 
 
-def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    """1 up to the common share, and less by a log-linear law above, 1 - DAMP for what all have."""
+def inverse_frequencies(df: np.ndarray, n: int, law: str = "flat") -> np.ndarray:
+    """1 up to the common share, and less above: by `flat`, a log-linear law that ends at 1 - DAMP for what all have, or by
+    `smooth`, the plain smoothed inverse frequency ln((1 + n) / (1 + df)) + 1 as a share of that of the common share."""
     base = common_df(n)
-    over = np.log(np.maximum(df, base) / base) / np.log(max(n / base, np.e))
+    df = np.maximum(df, base)
+    if law == "smooth":
+        return (np.log((1 + n) / (1 + np.minimum(df, n))) + 1) / (np.log((1 + n) / (1 + min(base, n))) + 1)
+    over = np.log(df / base) / np.log(max(n / base, np.e))
     return 1 - DAMP * np.minimum(over, 1)
 
 
-def frequent_shingles(docs: DataFrame, text: str, n: int, words: int = WORDS) -> Weights:
+def frequent_shingles(docs: DataFrame, text: str, n: int, words: int = WORDS, law: str = "flat") -> Weights:
     """Exact document frequencies of all shingles above the common share, over all `n` documents.
 
     First all shingles are counted by slot of their hash, which bounds their frequency from above; then those of full
@@ -241,7 +245,7 @@ def frequent_shingles(docs: DataFrame, text: str, n: int, words: int = WORDS) ->
 
     counts = texts.mapInArrow(by_hash, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") > least)
     got = counts.toArrow()
-    return Weights(got["h"].to_numpy().view(np.uint64), inverse_frequencies(got["df"].to_numpy(), n))
+    return Weights(got["h"].to_numpy().view(np.uint64), inverse_frequencies(got["df"].to_numpy(), n, law))
 
 
 class Sampler:
@@ -342,17 +346,19 @@ def _signatures(weights: Weights, words: int, bands: int, rows: int):
 
 
 def _verify(weights: Weights, words: int, threshold: float):
+    """(la, lb), the classes of a text and its leader, of the pairs (la, lb, b, body_a, body_b) that reach the threshold."""
+
     def run(batches):
         held = {}  # the leader's shingles: pairs come sorted by leader
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                lead = batch.column(1)[i].as_py()
+                lead = batch.column(2)[i].as_py()
                 if lead not in held:
                     held.clear()
-                    held[lead] = shingles(batch.column(3)[i].as_py(), words)
-                keep.append(weighted_jaccard(shingles(batch.column(2)[i].as_py(), words), held[lead], weights) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "link"])
+                    held[lead] = shingles(batch.column(4)[i].as_py(), words)
+                keep.append(weighted_jaccard(shingles(batch.column(3)[i].as_py(), words), held[lead], weights) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -374,16 +380,16 @@ def _shingled(words: int):
 
 
 def _block_links(weights: Weights, threshold: float):
-    """Links (a, b) within a block of a bucket, or between two: of the pairs of texts whose first common band this is
-    and whose classes no link of this task has joined yet, those that reach the threshold."""
+    """Links (la, lb) of classes within a block of a bucket, or between two: of the pairs of texts whose first common band
+    this is and whose classes no link of this task has joined yet, those that reach the threshold."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         sides = [m.values for m in rows.column("members").combine_chunks()]
         members = pa.concat_arrays(sides) if len(sides) > 1 else sides[0]
         split = len(sides[0]) if len(sides) > 1 else 0
-        reps = members.field("rep").to_pylist()
-        cls = np.unique(np.array([x.hex() for x in members.field("label").to_pylist()]), return_inverse=True)[1]
+        reps, labels = members.field("rep").to_pylist(), members.field("label").to_pylist()
+        cls = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
         buckets = members.field("buckets").flatten().to_numpy().reshape(len(reps), -1)
         hs = [np.frombuffer(x, np.uint64) for x in members.field("h").to_pylist()]
         ws = [weights.of(h, np.frombuffer(c, np.int32)) for h, c in zip(hs, members.field("counts").to_pylist(), strict=True)]
@@ -406,16 +412,16 @@ def _block_links(weights: Weights, threshold: float):
                 if cls[a] != cls[b]:
                     low = float(np.minimum(own[ids[ends[b] - len(hs[b]) : ends[b]]], ws[b]).sum())
                     if low / (total[a] + total[b] - low) >= threshold:
-                        out.append((reps[a], reps[b]))
+                        out.append((labels[a], labels[b]))
                         cls[cls == cls[b]] = cls[a]
             own[mine] = 0
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"la": pa.array([x[0] for x in out], pa.binary()), "lb": pa.array([x[1] for x in out], pa.binary())})
 
     return run
 
 
 def block_links(members: DataFrame, texts: DataFrame, weights: Weights, words: int, threshold: float) -> DataFrame:
-    """Links (a, b) that join the classes of `members` (bucket, rep, label, buckets) as far as pairs of a bucket reach
+    """Links (la, lb) that join the classes of `members` (bucket, rep, label, buckets) as far as pairs of a bucket reach
     the threshold; `texts` is (rep, body), each once.
 
     A bucket's members are dealt to blocks by a hash, and each pair of its blocks is a task's work: a bucket of n texts
@@ -437,42 +443,43 @@ def block_links(members: DataFrame, texts: DataFrame, weights: Weights, words: i
 
     def once(key: tuple, rows: pa.Table) -> pa.Table:
         if rows.num_rows == 1 and key[1].as_py() != key[2].as_py():
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+            return pa.table({"la": pa.array([], pa.binary()), "lb": pa.array([], pa.binary())})
         return run(key, rows)
 
-    return paired.groupBy("bucket", "i", "j").applyInArrow(once, "a binary, b binary")
+    return paired.groupBy("bucket", "i", "j").applyInArrow(once, "la binary, lb binary")
 
 
-def join_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`labels` (rep, label) after the links (a, b) have joined classes: the least label of each connected component.
+def joined_classes(links: DataFrame) -> DataFrame:
+    """(label, to): the least label of each connected component, for each label that a link (la, lb) touches.
 
-    Works on the graph of labels, which has a node for each class that a link touches and no other: every node takes
-    the least label among its neighbours until none changes. Links go to leaders, so components are flat and few rounds
-    do; each is one checkpoint, and a leader with very many neighbours only meets checkpointed tables."""
-    la = labels.select(F.col("rep").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
-    edges = links.join(la.hint("merge"), "a").join(lb.hint("merge"), "b").where("la <> lb")
-    edges = cut(edges.select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).distinct())
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    Every label takes the least among its neighbours until none changes. Links go to leaders, so components are flat and
+    few rounds do; each is one checkpoint, and a leader with very many neighbours only meets checkpointed tables."""
+    both = links.select(F.col("la").alias("u"), F.col("lb").alias("v")).unionByName(links.select(F.col("lb").alias("u"), F.col("la").alias("v")))
     held = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     while True:
         near = both.join(held.select(F.col("u").alias("v"), "m").hint("merge"), "v").groupBy("u").agg(F.min("m").alias("n"))
         held = cut(held.join(near.hint("merge"), "u").select("u", F.least("m", "n").alias("m"), (F.col("n") < F.col("m")).alias("moved")))
         if held.where("moved").isEmpty():
-            break
-    return labels.join(held.select(F.col("u").alias("label"), F.col("m").alias("to")).hint("merge"), "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
+            return held.select(F.col("u").alias("label"), F.col("m").alias("to"))
+
+
+def relabel(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """`rows` with `label` after the moves."""
+    moved = rows.join(moves.hint("merge"), "label", "left")
+    return cut(moved.select(*[F.coalesce("to", "label").alias("label") if c == "label" else F.col(c) for c in rows.columns]))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, Column]:
+def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, law: str = "flat") -> tuple[DataFrame, Column]:
     """(class of each distinct text, key of a row's text). The first is (`key`, `label`): `key` the 16-byte MD5 of a
     text, `label` the least key of its class; the second is the expression for that key over the rows of `docs`.
 
-    Exact copies are one text from the start, so they cost a row of the first shuffle, whatever their number.
+    Exact copies are one text from the start, so they cost a row of the first shuffle, whatever their number. `law`: how
+    frequent shingles weigh less, see inverse_frequencies().
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.md5(body))
     src = docs.select(key.alias("rep"), body.alias("body"))
-    weights = frequent_shingles(src, "body", docs.count(), words)
+    weights = frequent_shingles(src, "body", docs.count(), words, law)
 
     signed = src.mapInArrow(_signatures(weights, words, bands, rows), "rep binary, buckets array<long>")
     signed = cut(signed.groupBy("rep").agg(F.max("buckets").alias("buckets")))
@@ -488,27 +495,29 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = WORDS,
     # Texts without a candidate are classes of their own; they come back at the end.
     labels = texts_in.select("rep", F.col("rep").alias("label"))
     ta, tb = texts.select(F.col("rep").alias("a"), F.col("body").alias("body_a")), texts.select(F.col("rep").alias("b"), F.col("body").alias("body_b"))
-    waiting = members.select("bucket", "rep", "w", F.lit(False).alias("led"))
+    waiting = members.select("bucket", "rep", "w", F.col("rep").alias("label"), F.lit(False).alias("led"))
     for turn in range(LEADERS + 1):
-        at = waiting.join(labels.hint("merge"), "rep")
-        if turn == LEADERS:
-            at = at.where(~F.col("led"))  # what has led is compared
+        at = waiting if turn < LEADERS else waiting.where(~F.col("led"))  # in the end, what has led is compared
         leads = at.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.when(~F.col("led"), F.struct("w", "rep", "label"))).alias("lead"))
         leads = cut(leads.where("l0 <> l1 AND lead IS NOT NULL").select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.label").alias("lead_label")))
         if leads.isEmpty():
             break
-        met = at.join(leads.hint("merge"), "bucket")
+        met = cut(at.join(leads.hint("merge"), "bucket"))
         if turn < LEADERS:
-            pairs = met.where(F.col("label") != F.col("lead_label")).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-            waiting = cut(met.select("bucket", "rep", "w", (F.col("led") | (F.col("rep") == F.col("lead"))).alias("led")))
-            both = pairs.distinct().join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "body_a", "body_b").sortWithinPartitions("b")
-            links = both.mapInArrow(_verify(weights, words, threshold), "a binary, b binary, link boolean").where("link").select("a", "b")
+            # A text has a leader a bucket, so as many as bands at most.
+            pairs = met.where(F.col("label") != F.col("lead_label")).groupBy(F.col("rep").alias("a")).agg(F.first("label").alias("la"), F.collect_set(F.struct(F.col("lead").alias("b"), F.col("lead_label").alias("lb"))).alias("leads"))
+            pairs = pairs.join(ta.hint("merge"), "a").select("la", "body_a", F.explode("leads").alias("l")).select("la", "l.lb", "l.b", "body_a")
+            both = pairs.join(tb.hint("merge"), "b").select("la", "lb", "b", "body_a", "body_b").sortWithinPartitions("b")
+            links = both.mapInArrow(_verify(weights, words, threshold), "la binary, lb binary")
         else:
             rest = cut(met.join(signed.hint("merge"), "rep").select("bucket", "rep", "label", "buckets"))
-            links = block_links(rest, texts, weights, words, threshold).distinct()
-        links = cut(links)
+            links = block_links(rest, texts, weights, words, threshold)
+        links = cut(links.distinct())
+        waiting = met.select("bucket", "rep", "w", "label", (F.col("led") | (F.col("rep") == F.col("lead"))).alias("led"))
         if not links.isEmpty():
-            labels = cut(join_classes(labels, links))
+            moves = joined_classes(links)
+            labels = relabel(labels, moves)
+            waiting = relabel(waiting, moves) if turn < LEADERS else waiting
     own = signed.select("rep").join(labels.hint("merge"), "rep", "left").select(F.col("rep").alias("key"), F.coalesce("label", "rep").alias("label"))
     return cut(own), key
 

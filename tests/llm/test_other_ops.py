@@ -240,15 +240,15 @@ def test_languages(spark, sf):
 # Near duplicates
 
 
-def exact_weights(sets):
+def exact_weights(sets, law="flat"):
     """Of all shingles, the frequent ones or not."""
     df = Counter(x for h, _ in sets for x in h.tolist())
-    return near_dedup.Weights(np.array(list(df), np.uint64), near_dedup.inverse_frequencies(np.array(list(df.values())), len(sets)))
+    return near_dedup.Weights(np.array(list(df), np.uint64), near_dedup.inverse_frequencies(np.array(list(df.values())), len(sets), law))
 
 
-def brute_classes(texts, threshold=0.8):
+def brute_classes(texts, threshold=0.8, law="flat"):
     sets = [near_dedup.shingles(t or "") for t in texts]
-    idf = exact_weights(sets)
+    idf = exact_weights(sets, law)
     up = list(range(len(texts)))
 
     def find(x):
@@ -294,6 +294,17 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(texts)))
 
 
+def test_near_duplicates_by_the_plain_smoothed_frequency(spark):
+    texts = near_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(df, law="smooth").collect()}
+    want = brute_classes(texts, law="smooth")
+    together = lambda c: {(i, j) for i in range(len(texts)) for j in range(i) if c[i] == c[j]}
+    assert together([got[i] for i in range(len(texts))]) <= together(want)
+    assert len(together([got[i] for i in range(len(texts))])) >= 0.9 * len(together(want))
+    assert want != brute_classes(texts)
+
+
 def test_near_duplicates_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicate_classes(spark.createDataFrame([], schema)).count() == 0
@@ -353,7 +364,7 @@ def test_blocks_lose_none(spark, monkeypatch, size):
     members = df.select(F.explode("buckets").alias("bucket"), "rep", "label", "buckets")
     links = near_dedup.block_links(members, df.select("rep", "body"), weights, 5, 0.8).collect()
     similar = lambda i, j: near_dedup.weighted_jaccard(sets[i], sets[j], weights) >= 0.8
-    assert links and all(similar(r["a"][0], r["b"][0]) for r in links)
+    assert links and all(similar(r["la"][0], r["lb"][0]) for r in links)  # every text is its own class here
     up = list(range(len(texts)))
 
     def find(x):
@@ -362,7 +373,7 @@ def test_blocks_lose_none(spark, monkeypatch, size):
         return x
 
     for r in links:
-        up[find(r["a"][0])] = find(r["b"][0])
+        up[find(r["la"][0])] = find(r["lb"][0])
     assert all(find(i) == find(j) for i in range(len(texts)) for j in range(i) if similar(i, j))
 
 
@@ -376,8 +387,9 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     key = lambda k: bytearray([k])
     labels = spark.createDataFrame([(key(k), key(k)) for k in range(n)], "rep binary, label binary")
-    got = near_dedup.join_classes(labels, spark.createDataFrame([(key(a), key(b)) for a, b in links if a != b], "a binary, b binary"))
-    assert {r["rep"][0]: r["label"][0] for r in got.collect()} == dict(enumerate(up))
+    moves = near_dedup.joined_classes(spark.createDataFrame([(key(a), key(b)) for a, b in links if a != b], "la binary, lb binary"))
+    got = near_dedup.relabel(labels, moves)
+    assert got.columns == ["rep", "label"] and {r["rep"][0]: r["label"][0] for r in got.collect()} == dict(enumerate(up))
 
 
 def test_sampling_is_the_similarity():
