@@ -67,11 +67,11 @@ def flagged_path() -> Column:
     return F.col("path").isNotNull() & R.watched(F.col("path"))
 
 
-def event_severity() -> Column:
-    """Severity of a connection, write or read by itself."""
+def event_severity(flagged: Column) -> Column:
+    """Severity of a connection, write or read by itself. `flagged`: see flagged_path()."""
     connect, write, read = (F.col("kind") == k for k in ("NetConnect", "FileWrite", "FileOpen"))
     hit = lambda writes: F.size(R.file_hits(F.col("path"), F.lit(writes))) > 0
-    return F.when(connect, R.network_severity(F.col("daddr"), F.col("dport"))).when(write & flagged_path(), F.when(hit(True), 4).otherwise(1)).when(read & flagged_path(), F.when(hit(False), 3).otherwise(1)).otherwise(1)
+    return F.when(connect, R.network_severity(F.col("daddr"), F.col("dport"))).when(write & flagged, F.when(hit(True), 4).otherwise(1)).when(read & flagged, F.when(hit(False), 3).otherwise(1)).otherwise(1)
 
 
 def with_inherited(events: DataFrame) -> DataFrame:
@@ -94,7 +94,8 @@ def correlated(events: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("ctx").isNotNull() & same_instance(F.col("image"), F.col("ctx.image")), F.lit(False))
     process = F.when(F.col("ctx").isNull() | same, F.col("ctx.image")).otherwise(F.col("image"))
     connect, write, read = (F.col("kind") == k for k in ("NetConnect", "FileWrite", "FileOpen"))
-    flagged, own = flagged_path(), event_severity()
+    flagged = flagged_path()
+    own = event_severity(flagged)
     severity = F.when(same, F.col("ctx.effective")).when(F.col("ctx").isNotNull(), R.image_severity(F.col("image"))).otherwise(1)
     inherited = same & F.coalesce("ctx.suspicious_ancestor", F.lit(False))
     out = at.withColumns({"attributed": F.col("ctx").isNotNull(), "process": process, "process_severity": severity.cast("short"), "inherited": inherited, "event_severity": own.cast("short"), "exec_id": F.col("ctx.event_id")})
@@ -178,9 +179,8 @@ def ancestry(events: DataFrame, rounds: int = 40) -> DataFrame:
     parent's effective one is above 1. Pointer jumping: a round doubles the distance, so the number of joins is the
     logarithm of the deepest lineage. Rounds are cut by reliable checkpoints. More than `rounds` means a circle of
     parents, which is an error."""
-    base = parent_execs(events).withColumn("own", R.image_severity(F.col("image")))
+    base = cut(parent_execs(events).withColumn("own", R.image_severity(F.col("image"))))
     state = base.select("asset_id", "event_id", F.col("own").alias("sev"), F.col("parent_id").alias("ptr"))
-    state = cut(state)
     for k in range(rounds + 1):
         if state.where("ptr IS NOT NULL").isEmpty():
             break

@@ -17,6 +17,8 @@ from emberwatch.sources.shared import cut
 
 #: Levels of points without a key, and of ranges that hold all points that have one.
 _NO_KEY, _ALL = -1, -2
+#: Ranges up to which a table of them is broadcast, and each is judged at the points of its group.
+FEW = 256
 
 
 def _shift(value: Column, bits: Column) -> Column:
@@ -41,17 +43,18 @@ def _runs(bounds: str, holds: Callable[[Column], Column]) -> Column:
     return F.aggregate(judged, start, step, last)
 
 
-def stabbed(points: DataFrame, ranges: DataFrame, group: list[str], bounds: Column, holds: Callable[[Column], Column], carry: list[str]) -> DataFrame:
+def stabbed(points: DataFrame, ranges: DataFrame, group: list[str], bounds: Column, holds: Callable[[Column], Column], carry: list[str], few: int = FEW) -> DataFrame:
     """(`group`, key, `carry`) for each distinct point (`group`, key) and each row of `ranges` for which `holds(key)`.
 
     `bounds`: the array of keys at which `holds` may change, as strings whose order is the keys' order. A point's key may
     be null, and is judged as such. Rows of `ranges` that hold a point in several ways come once for each run of theirs,
-    which are disjoint, so once a point. One window sorts the distinct keys of a group; all joins are equi-joins on
-    checkpointed sides, which adaptive execution can split."""
+    which are disjoint, so once a point. `few` ranges or fewer are broadcast. Of more, one window sorts the distinct keys of
+    a group, and all joins are equi-joins on checkpointed sides, which adaptive execution can split."""
+    ranges, points = cut(ranges), points.select(*group, "key").distinct()
+    if ranges.limit(few + 1).count() <= few:
+        return points.join(F.broadcast(ranges), group).where(F.coalesce(holds(F.col("key")), F.lit(False))).select(*group, "key", *carry)
     r = ranges.withColumns({"_k": F.array_sort(F.array_distinct(F.array_compact(bounds))), "_null": F.coalesce(holds(F.lit(None).cast("string")), F.lit(False))})
     r = r.withColumn("_runs", _runs("_k", holds)).select(*group, *carry, "_k", "_null", "_runs")
-    r = cut(r)
-    points = points.select(*group, "key").distinct()
     marks = r.select(*group, F.explode("_k").alias("key"), F.lit(1).alias("b")).unionByName(points.where("key IS NOT NULL").withColumn("b", F.lit(0)))
     w = Window.partitionBy(*group)
     marks = marks.groupBy(*group, "key").agg(F.max("b").cast("long").alias("b"), F.min("b").alias("least"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions import scoring as S
+from emberwatch.functions.rules import let
 from emberwatch.functions.versions import key_for, semver_key
 from emberwatch.operators.findings import IDENTITY, correlate, fix_queue, reconcile, with_context
-from emberwatch.operators.intervals import containing, stabbed
+from emberwatch.operators.intervals import FEW, containing, stabbed
 from emberwatch.sources.shared import cut
 
 # Fixed values.
@@ -59,6 +62,13 @@ def _walk(events: Column, key: Column) -> Column:
     return F.aggregate(events, F.lit(False), step)
 
 
+def with_keys(bound: Column, key: Callable[[Column], Column]) -> Column:
+    """The three bounds as a struct with their keys; `key` stands in the plan once."""
+    names = ("introduced", "fixed", "last_affected")
+    own = [bound[c].alias(c) for c in names]
+    return let(F.transform(F.array(*[bound[c] for c in names]), key), lambda k: F.struct(*own, *[k[i].alias(c) for i, c in enumerate(("ik", "fk", "lk"))]))
+
+
 def keyed_ranges(advisories: DataFrame) -> DataFrame:
     """(family, name, vuln_id, listed, keyed, remediation_key) of advisories with a family: `keyed` has the ranges that are
     compared, with the kind of their versions, and their events with a key for each bound."""
@@ -66,7 +76,7 @@ def keyed_ranges(advisories: DataFrame) -> DataFrame:
     kind = lambda r: F.when(r["type"] == "SEMVER", "semver").when((r["type"] == "ECOSYSTEM"), F.when(F.col("family") == "rpm", "rpm").otherwise("dpkg"))
     keyed = F.transform(
         F.filter("ranges", lambda r: r["type"].isin("SEMVER", "ECOSYSTEM")),
-        lambda r: F.struct(kind(r).alias("kind"), F.transform(r["events"], lambda e: F.struct(e["introduced"].alias("introduced"), e["fixed"].alias("fixed"), e["last_affected"].alias("last_affected"), key_for(kind(r), e["introduced"]).alias("ik"), key_for(kind(r), e["fixed"]).alias("fk"), key_for(kind(r), e["last_affected"]).alias("lk"))).alias("events")),
+        lambda r: F.struct(kind(r).alias("kind"), F.transform(r["events"], lambda e: with_keys(e, lambda v: key_for(kind(r), v))).alias("events")),
     )
     fix = F.coalesce(F.concat(F.lit("upgrade:"), F.col("name"), F.lit(">="), first_fixed(F.col("ranges"))), F.concat(F.lit("patch:"), F.col("name"), F.lit(":"), F.col("id")))
     return a.select("family", "name", F.col("id").alias("vuln_id"), F.coalesce("versions", F.array().cast("array<string>")).alias("listed"), keyed.alias("keyed"), fix.alias("remediation_key"))
@@ -77,10 +87,11 @@ def _first_fix(hits: DataFrame) -> DataFrame:
     return hits.groupBy("name", "version", "source", "os", "vuln_id").agg(F.min("remediation_key").alias("remediation_key")).select(*HITS)
 
 
-def osv_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
+def osv_hits(components: DataFrame, advisories: DataFrame, few: int = FEW) -> DataFrame:
     """Range join by family and name; one hit per component and advisory. Keys of bounds are made once per advisory and
     keys of versions once per distinct version. Versions and ranges meet by equality (see intervals), so a package with very
-    many advisories and versions costs what it hits, not their product; listed versions are an equi-join."""
+    many advisories and versions costs what it hits, not their product; `few` ranges or fewer are broadcast. Listed
+    versions are an equi-join."""
     a = cut(keyed_ranges(advisories))
     c = components.withColumn("family", F.explode(families_of(F.col("source"), F.col("os"))))
     native = F.when(F.col("family") == "rpm", "rpm").otherwise("dpkg")
@@ -88,7 +99,7 @@ def osv_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
     versions = cut(c.select("family", "name", "version").distinct().withColumn("v", F.explode(kinds)).select("family", "name", "version", "v.kind", "v.key"))
     ranges = a.select("family", "name", "vuln_id", "remediation_key", F.explode("keyed").alias("r")).select("family", "name", "r.kind", "vuln_id", "remediation_key", "r.events")
     bounds = F.flatten(F.transform("events", lambda e: F.array(e["ik"], e["fk"], e["lk"])))
-    found = stabbed(versions, ranges, ["family", "name", "kind"], bounds, lambda key: _walk(F.col("events"), key), ["vuln_id", "remediation_key"])
+    found = stabbed(versions, ranges, ["family", "name", "kind"], bounds, lambda key: _walk(F.col("events"), key), ["vuln_id", "remediation_key"], few)
     inside = _by_key(versions, found)
     listed = a.select("family", "name", "vuln_id", "remediation_key", F.explode("listed").alias("version"))
     cols = ["family", "name", "version", "vuln_id", "remediation_key"]
@@ -109,7 +120,7 @@ def display_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def nvd_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
+def nvd_hits(components: DataFrame, advisories: DataFrame, few: int = FEW) -> DataFrame:
     """Installed products (source `registry`) whose name contains an alias, in a range that has a bound. Distinct names
     meet the aliases that wait under a fragment of theirs, versions their ranges by equality (see intervals)."""
     a = cut(advisories.select("id", "product", F.transform("aliases", F.lower).alias("aliases"), F.coalesce("ranges", F.array().cast(EVENTS)).alias("ranges")).withColumn("entry", F.monotonically_increasing_id()))
@@ -120,7 +131,7 @@ def nvd_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
     named = names.join(met, F.col("shown") == F.col("text")).join(waits, "needle").select("name", "entry").distinct()
     fixed = F.get(F.filter(F.transform("ranges", lambda r: r["fixed"]), lambda f: f.isNotNull()), 0)
     fix = F.coalesce(F.concat(F.lit("upgrade:"), F.col("product"), F.lit(">="), fixed), F.concat(F.lit("patch:"), F.col("product"), F.lit(":"), F.col("id")))
-    keyed = F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in ("introduced", "fixed", "last_affected")], *[semver_key(r[c]).alias(k) for c, k in (("introduced", "ik"), ("fixed", "fk"), ("last_affected", "lk"))]))
+    keyed = F.transform("ranges", lambda r: with_keys(r, semver_key))
     ranges = named.join(a.select("entry", F.col("id").alias("vuln_id"), fix.alias("remediation_key"), keyed.alias("keyed")), "entry").select("name", "vuln_id", "remediation_key", F.explode("keyed").alias("r"))
 
     def inside(key: Column) -> Column:
@@ -132,7 +143,7 @@ def nvd_hits(components: DataFrame, advisories: DataFrame) -> DataFrame:
         return bounded & low & high & last
 
     versions = mine.withColumn("key", semver_key(F.col("version"))).where("key IS NOT NULL")  # others are in no range
-    found = stabbed(versions.select("name", "key"), ranges, ["name"], F.array("r.ik", "r.fk", "r.lk"), inside, ["vuln_id", "remediation_key"]).distinct()
+    found = stabbed(versions.select("name", "key"), ranges, ["name"], F.array("r.ik", "r.fk", "r.lk"), inside, ["vuln_id", "remediation_key"], few).distinct()
     return _first_fix(versions.join(found, ["name", "key"]))
 
 
@@ -142,8 +153,7 @@ def composite_hits(*sources: DataFrame) -> DataFrame:
     both = ranked[0]
     for h in ranked[1:]:
         both = both.unionByName(h)
-    first = Window.partitionBy("name", "version", "source", "os", "vuln_id").orderBy("rank")
-    return both.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "rank")
+    return both.groupBy("name", "version", "source", "os", "vuln_id").agg(F.min_by("remediation_key", "rank").alias("remediation_key")).select(*HITS)
 
 
 def enrichment(cvss: DataFrame, epss: DataFrame, kev: DataFrame) -> DataFrame:

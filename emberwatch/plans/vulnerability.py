@@ -37,7 +37,7 @@ def _hits(spark: SparkSession, c: DataFrame, *which: str) -> list[DataFrame]:
 
 def part_advisories(spark: SparkSession, sf: str) -> DataFrame:
     """An advisory a part, of few packages: each package has very many, in both version orders, with ranges and lists."""
-    p = table(spark, sf, "part").where("p_partkey % 3 <> 2")
+    p = table(spark, sf, "part")
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     minor = F.concat(F.lit("3."), (F.col("p_size") % 10).cast("string"), F.lit("."))
     none = F.lit(None).cast("string")
@@ -62,7 +62,7 @@ def part_products(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     have = p.select(shown.alias("name"), fixed.alias("version"), F.lit("registry").alias("source"), F.lit("").alias("os")).distinct()
     aliases = F.when(F.col("p_partkey") % 11 == 0, F.array("p_name", F.substring("p_name", 1, 2))).otherwise(F.array("p_name"))
     event = F.struct(F.concat(minor, F.lit("0")).alias("introduced"), fixed.alias("fixed"), F.lit(None).cast("string").alias("last_affected"))
-    known = p.where("p_partkey % 3 = 2").select(F.concat(F.lit("WIN-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("product"), aliases.alias("aliases"), F.array(event).alias("ranges"))
+    known = p.select(F.concat(F.lit("WIN-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("product"), aliases.alias("aliases"), F.array(event).alias("ranges"))
     return have, known
 
 
@@ -172,10 +172,10 @@ _OF_PART = f"""SELECT 'PART-' || p_partkey AS vuln_id, CASE WHEN p_partkey % 3 =
   r.low, r.high, r.last, 'upgrade:' || ({_sql(PACKAGES)})[1 + p_partkey % 6] || '>=3.' || (p_size % 10) || '.' || p_size AS remediation_key
   FROM part, LATERAL (SELECT '3.' || (p_size % 10) || '.0' AS low, '3.' || (p_size % 10) || '.' || p_size AS high, NULL AS last
     UNION ALL SELECT '3.9.40', NULL, '3.9.' || p_size WHERE p_partkey % 5 = 0
-    UNION ALL SELECT '3.' || ((p_size + 1) % 10) || '.' || (p_size + 1), NULL, '3.' || ((p_size + 1) % 10) || '.' || (p_size + 1) WHERE p_partkey % 7 = 0) r WHERE p_partkey % 3 <> 2"""
+    UNION ALL SELECT '3.' || ((p_size + 1) % 10) || '.' || (p_size + 1), NULL, '3.' || ((p_size + 1) % 10) || '.' || (p_size + 1) WHERE p_partkey % 7 = 0) r"""
 _OF_PRODUCT = f"""SELECT DISTINCT h.name, h.version, 'registry' AS source, '' AS os, 'WIN-' || w.p_partkey AS vuln_id, 'upgrade:' || w.p_brand || '>=' || w.fixed AS remediation_key
   FROM (SELECT DISTINCT p_name AS shown, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' (64-bit)' ELSE '' END AS name, p_size, '3.' || (p_size % 10) || '.' || p_size AS version FROM part) h
-  JOIN (SELECT *, '3.' || (p_size % 10) || '.' || p_size AS fixed FROM part WHERE p_partkey % 3 = 2) w ON h.p_size % 10 = w.p_size % 10 AND h.p_size < w.p_size
+  JOIN (SELECT *, '3.' || (p_size % 10) || '.' || p_size AS fixed FROM part) w ON h.p_size % 10 = w.p_size % 10 AND h.p_size < w.p_size
   WHERE contains(h.shown, w.p_name) OR (w.p_partkey % 11 = 0 AND contains(h.shown, substr(w.p_name, 1, 2)))"""
 
 

@@ -334,7 +334,7 @@ def lifetime_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
 def correlation_stream(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """Records of single events (`event`) and of chains (`chain`), see Correlation."""
     e = events.where(F.col("kind").isin("ProcessExec", "ProcessExit", "NetConnect", "FileWrite", "FileOpen"))
-    e = e.withColumns({"own_severity": R.image_severity(F.col("image")).cast("int"), "event_severity": event_severity().cast("int"), "flagged": flagged_path()})
+    e = e.withColumns({"own_severity": R.image_severity(F.col("image")).cast("int"), "event_severity": event_severity(flagged_path()).cast("int"), "flagged": flagged_path()})
     return _stateful(e, Correlation(idle), CORRELATED, ("asset_id",))
 
 

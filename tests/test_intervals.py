@@ -15,25 +15,27 @@ def between(key):
     return (key >= F.col("lo")) & F.coalesce(key < F.col("hi"), F.lit(True))
 
 
+@pytest.mark.parametrize("few", [0, I.FEW])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_stabbed(spark, seed):
+def test_stabbed(spark, seed, few):
     rng = random.Random(seed)
     points = [(g, rng.choice([None, *KEYS])) for g in ("x", "y", "z") for _ in range(12)]
     ranges = [(rng.choice("xyw"), k, rng.choice(KEYS), rng.choice([None, *KEYS])) for k in range(30)]
     p, r = spark.createDataFrame(points, "g string, key string"), spark.createDataFrame(ranges, "g string, rid int, lo string, hi string")
-    got = I.stabbed(p, r, ["g"], F.array("lo", "hi"), between, ["rid"])
+    got = I.stabbed(p, r, ["g"], F.array("lo", "hi"), between, ["rid"], few)
     want = sorted({(g, k, rid) for g, k in points for h, rid, lo, hi in ranges if g == h and k is not None and k >= lo and (hi is None or k < hi)})
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
 
 
-def test_stabbed_always_never_and_no_key(spark):
+@pytest.mark.parametrize("few", [0, I.FEW])
+def test_stabbed_always_never_and_no_key(spark, few):
     p = spark.createDataFrame([("x", None), ("x", "a"), ("x", "b"), ("x", "b")], "g string, key string")
     r = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), ("x", 4)], "g string, rid int")
     holds = lambda k: F.when(F.col("rid") == 1, F.lit(True)).when(F.col("rid") == 2, k.isNull()).when(F.col("rid") == 3, k != "a")
-    got = I.stabbed(p, r, ["g"], F.when(F.col("rid") == 3, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")), holds, ["rid"])
+    got = I.stabbed(p, r, ["g"], F.when(F.col("rid") == 3, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")), holds, ["rid"], few)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("x", None, 1), ("x", "a", 1), ("x", "b", 1), ("x", None, 2), ("x", "b", 3)], key=str)
-    assert I.stabbed(p.limit(0), r, ["g"], F.array(F.lit("a")), holds, ["rid"]).isEmpty()
-    assert I.stabbed(p, r.limit(0), ["g"], F.array(F.lit("a")), holds, ["rid"]).isEmpty()
+    assert I.stabbed(p.limit(0), r, ["g"], F.array(F.lit("a")), holds, ["rid"], few).isEmpty()
+    assert I.stabbed(p, r.limit(0), ["g"], F.array(F.lit("a")), holds, ["rid"], few).isEmpty()
 
 
 def test_many_ranges_of_one_name(spark):
@@ -67,8 +69,9 @@ def plain_osv(components, advisories):
     return hit.groupBy("name", "version", "source", "os", "vuln_id").agg(F.min("remediation_key").alias("remediation_key"))
 
 
+@pytest.mark.parametrize("few", [0, I.FEW])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_osv_hits_are_those_of_all_pairs(spark, seed):
+def test_osv_hits_are_those_of_all_pairs(spark, seed, few):
     rng = random.Random(seed)
     version = lambda: rng.choice(["1.0", "1.0~rc1", "2:1.0", "1.2.3", "1.2.3-1", "v1.2", "3", "10.0", "x", "1.2.3+b", ""])
     event = lambda: rng.choice([("0", None, None), (version(), None, None), (None, version(), None), (None, None, version())])
@@ -80,5 +83,5 @@ def test_osv_hits_are_those_of_all_pairs(spark, seed):
     components = [(rng.choice("pqr"), version(), rng.choice(["dpkg", "rpm", "registry"]), rng.choice(["Ubuntu", "Debian", "", None])) for _ in range(60)]
     c = spark.createDataFrame(components, "name string, version string, source string, os string").distinct()
     a = spark.createDataFrame(advisories, V.OSV)
-    got, want = sorted(map(str, V.osv_hits(c, a).collect())), sorted(map(str, plain_osv(c, a).select(*V.HITS).collect()))
+    got, want = sorted(map(str, V.osv_hits(c, a, few).collect())), sorted(map(str, plain_osv(c, a).select(*V.HITS).collect()))
     assert got == want and len(want) > 10
