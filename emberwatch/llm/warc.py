@@ -113,7 +113,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Spark's text writer commits the files: a member's last byte is 0, and that 0 is the separator it writes. A payload
     that all pages share is no hot spot: digests combine map-side, and the join meets a checkpointed table. Archives are
-    bounded by bytes, however large a partition or a payload is.
+    bounded by bytes, however large a partition is: payloads are written by size class, so a very large one has no say in
+    the files of others, and each class that the table has is a pass over it.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -131,11 +132,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
     size = F.octet_length("payload")
-    largest = src.agg(F.max(size)).first()[0] or 0
-    parts = [(told.where(size <= LARGE), LARGE), (told.where(size > LARGE), largest)] if largest > LARGE else [(told, LARGE)]
-    for rows, most in parts:
-        records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-        records.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // most)).text(path)
+    # Class k > 0 has the payloads of more than LARGE * 2^(k - 1) bytes and LARGE * 2^k at most: 16 classes in all.
+    of = F.when(size <= LARGE, 0).otherwise(F.length(F.bin(F.floor((size - 1) / LARGE))))
+    for k in sorted({0, *(r["k"] for r in src.select(of.alias("k")).distinct().collect())}):
+        records = told.where(of == k).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        records.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // (LARGE << k))).text(path)
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:

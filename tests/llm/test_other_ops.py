@@ -66,6 +66,19 @@ def test_archives_are_bounded_by_bytes(spark, monkeypatch):
     assert len(sizes) > 5 and all(s <= 300_000 or s == 500_000 for s in sizes.values())
 
 
+def test_warc_one_large_page_leaves_the_files_of_others(spark, monkeypatch):
+    """60 pages of 1,500 bytes fill archives of 32 records, beside a page of an archive's size."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 64_000)
+    monkeypatch.setattr(warc, "LARGE", 1_000)
+    sizes = {1: 0, 2: 1000, 3: 1001, 4: 2000, 5: 2001, 6: 64_000} | {k: 1500 for k in range(10, 70)}
+    pages = spark.createDataFrame([(k, f"https://e.org/{k}", chr(97 + k % 26) + str(k).zfill(5) * (n // 5) if n else "") for k, n in sizes.items()], "page_id long, url string, html string").coalesce(1)
+    where = shared_path(spark, "warc-classes")
+    warc.write_archives(pages, where)
+    index = warc.build_index(spark, where)
+    assert sorted(r["page_id"] for r in index.select("page_id").collect()) == sorted(sizes)
+    assert index.select("archive").distinct().count() <= 7
+
+
 def test_large_record_ends_in_zero():
     raw = warc._member(b"a" * (17 << 20))
     assert raw[-1] == 0 and [(o, n, len(x)) for o, n, x in warc.members(raw + warc._member(b"b"))] == [(0, len(raw), 17 << 20), (len(raw), len(warc._member(b"b")), 1)]
