@@ -9,6 +9,21 @@ from emberwatch.sources import sinks
 from emberwatch.streaming import jobs as S
 
 
+def test_files_out_of_order(spark, sf, tmp_path, monkeypatch):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    middle = e.agg(F.percentile("event_id", 0.8)).first()[0]
+    folder = str(tmp_path / "events.parquet")
+    # The smaller file has the later events, and is ready before the other.
+    e.where(F.col("event_id") <= middle).coalesce(1).write.parquet(folder)
+    e.where(F.col("event_id") > middle).coalesce(1).write.mode("append").parquet(folder)
+    monkeypatch.setattr(SQ, "SLICE", 700, raising=False)
+    daily = SQ.stream_daily_activity(spark, str(tmp_path))
+    assert daily.agg(F.sum("detections")).first()[0] == e.count()
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    split, whole = SQ.stream_attribution(spark, str(tmp_path)), SQ.stream_attribution(spark, sf)
+    assert told(split) == told(whole)
+
+
 def test_a_batch_tells_the_earliest_sighting(spark, tmp_path):
     known = sinks.StateTable(spark, str(tmp_path / "k"), spark.createDataFrame([], S.SIGHTINGS), ("asset_id", "path"))
     for ts in (5000, 9000, 1000, 7000):  # a file each, in one batch
