@@ -13,25 +13,28 @@ EPSS_HEADER = "cve,epss,percentile"
 SNAPSHOTS = ["os_version", "packages", "files", "listeners", "ai_runtimes", "ai_models", "network_hosts", "sshd_config", "login_defs"]
 
 
-def parse_envelopes(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(envelopes, rejected lines) of NDJSON lines. Blank lines are neither; a line is rejected that doesn't parse or
-    lacks a field. `data` stays raw JSON. Works on streams as well."""
-    p = lines.where(F.trim(F.col(text)) != "").withColumn("e", F.from_json(text, ENVELOPE))
+def _read(text: str) -> tuple[Column, Column]:
+    """(the envelope `e` of a line as a generator, whether it is whole). A generator's column is worked out once a line: a
+    filter or a field of it doesn't bring the parse along, as it does with a column of a projection."""
     fine = F.col("e").isNotNull()
     for c in _REQUIRED:
         fine = fine & F.col(f"e.{c}").isNotNull()
-    return p.where(fine).select("e.*"), p.where(~fine).select(F.col(text).alias("line"))
+    return F.explode(F.array(F.when(F.trim(F.col(text)) != "", F.from_json(text, ENVELOPE)))).alias("e"), fine
+
+
+def parse_envelopes(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(envelopes, rejected lines) of NDJSON lines. Blank lines are neither; a line is rejected that doesn't parse or
+    lacks a field. `data` stays raw JSON. Works on streams as well."""
+    e, fine = _read(text)
+    p = lines.select(text, e)
+    return p.where(fine).select("e.*"), p.where((F.trim(F.col(text)) != "") & ~fine).select(F.col(text).alias("line"))
 
 
 def observed_envelopes(lines: DataFrame, text: str = "value") -> tuple[DataFrame, Observation]:
     """(envelopes, counts) of NDJSON lines: `n_lines`, `n_blank` and `n_skipped` (rejected) are counted by the scan that reads
     the envelopes, and are there when an action over these has run."""
-    seen, blank = Observation(), F.trim(F.col(text)) == ""
-    p = lines.withColumn("e", F.when(~blank, F.from_json(text, ENVELOPE)))
-    fine = F.col("e").isNotNull()
-    for c in _REQUIRED:
-        fine = fine & F.col(f"e.{c}").isNotNull()
-    p = p.withColumn("fine", ~blank & fine)
+    seen, blank, (e, fine) = Observation(), F.trim(F.col(text)) == "", _read(text)
+    p = lines.select(text, e).withColumn("fine", ~blank & fine)
     p = p.observe(seen, F.count("*").alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & ~F.col("fine")).alias("n_skipped"))
     return p.where("fine").select("e.*"), seen
 
