@@ -106,26 +106,26 @@ def package_libraries(spark, sf):
     return l.select("asset_id", "name", F.array_join("libraries", ",").alias("libraries"))
 
 
-def libraries_and_loads(spark, sf):
-    """Libraries of components, and what was seen loaded on hosts; on some nothing was."""
-    libraries = sbom_components(spark, sf).select("asset_id", F.col("name").alias("component"), F.concat(F.lit("/usr/lib/lib"), F.col("name"), F.lit(".so")).alias("path")).distinct()
+def libraries_and_loads(spark, sf, sbom=None):
+    """Libraries of components (of `sbom`, if it is at hand), and what was seen loaded on hosts; on some nothing was."""
+    libraries = (sbom_components(spark, sf) if sbom is None else sbom).select("asset_id", F.col("name").alias("component"), F.concat(F.lit("/usr/lib/lib"), F.col("name"), F.lit(".so")).alias("path")).distinct()
     s = IQ._host(spark, sf)
     loads = s.where("s_suppkey % 4 <> 1").select("asset_id", F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("/usr/lib/libputty.so"), F.lit("/usr/lib/libopenssl.so"))).otherwise(F.array(F.lit("/usr/lib/libnone.so")))).alias("path"))
     return libraries, loads
 
 
-def _mixed(spark, sf):
+def _mixed(spark, sf, sbom=None):
     """These as records: inventories with the libraries of their packages, and loads."""
-    libraries, loads = libraries_and_loads(spark, sf)
+    libraries, loads = libraries_and_loads(spark, sf, sbom)
     sbom = libraries.groupBy("asset_id", F.col("component").alias("name")).agg(F.array_sort(F.collect_list("path")).alias("libraries"))
     return cut(C.sbom_envelopes(sbom.withColumns({"version": F.lit("1"), "source": F.lit("dpkg"), "os": F.lit("")}), F.lit(5)).unionByName(C.load_envelopes(loads, F.lit(7))))
 
 
-def _context(spark, sf):
+def _context(spark, sf, sbom):
     """Hosts with a context, and the reachability that the records of libraries and loads tell."""
     s = IQ._host(spark, sf)
     assets = s.where("s_suppkey % 5 <> 0").select("asset_id", (F.col("s_nationkey") % 3 == 0).alias("internet_facing"), F.when(F.col("s_nationkey") % 4 == 0, "crown_jewel").when(F.col("s_nationkey") % 4 == 1, "low").otherwise("high").alias("criticality"), (F.col("s_nationkey") % 6 == 0).alias("compensating_controls"))
-    return assets, C.reachability_of(_mixed(spark, sf))
+    return assets, C.reachability_of(_mixed(spark, sf, sbom))
 
 
 def _with_vex(spark):
@@ -137,7 +137,7 @@ def _with_vex(spark):
 def _vulnerability_run(spark, sf):
     sbom = cut(sbom_components(spark, sf))
     hits = V.composite_hits(*VQ._hits(spark, V.distinct_components(sbom), "osv", "nvd", "feed"))
-    assets, runtime = _context(spark, sf)
+    assets, runtime = _context(spark, sf, sbom)
     return V.vulnerability_run(sbom, hits, _with_vex(spark), O.empty_state(spark), F.lit(7), assets, runtime)
 
 

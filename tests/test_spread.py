@@ -21,3 +21,18 @@ def test_advisories_are_spread(spark, monkeypatch):
 def test_k_is_parsed_once(spark):
     e = sensor_events(spark, "/root/testdata/sf0.001").where("path LIKE '%so%' AND image LIKE '%b%' AND daddr IS NOT NULL")
     assert e._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+
+
+def test_few_hits_go_to_the_inventories(spark):
+    """Without statistics, as checkpoints have none, an inventory isn't shuffled to meet a few hits."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        sbom = spark.createDataFrame([("h", "curl", "1", "dpkg", ""), ("h", "curl", "2", "dpkg", ""), ("i", "sudo", "1", "dpkg", "")], "asset_id string, name string, version string, source string, os string")
+        hits = spark.createDataFrame([("curl", v, "dpkg", "", "V", f"fix{v}") for v in "12"], ", ".join(f"{c} string" for c in V.HITS))
+        d = V.detections(sbom, hits)
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        assert [(r["asset_id"], r["remediation_key"], r["versions"]) for r in d.collect()] == [("h", "fix1", ["1", "2"])]
+    finally:
+        spark.conf.set(key, before)
