@@ -1,11 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
+It starts from a short training on the driver, on a bounded sample; then Spark's tasks train it on all windows of all labelled
+documents, and their networks are averaged.
+
 Texts are cut into windows of T bytes, the last one shorter. Within its window every byte gets a probability for each
 language, from the states of both directions; a document's probabilities are the mean over all of its bytes.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +21,15 @@ from emberwatch.llm.common import BROADCAST_ROWS, fresh, table
 
 #: Bytes of a window, states of a direction, windows that are worked on at a time.
 T, HIDDEN, WINDOWS = 64, 8, 512
-#: Bound of the training sample: documents of a language (all windows of each), and of all languages together.
+#: Bound of the sample that the network starts from: documents of a language (all windows of each), and of all languages together.
 DOCS_PER_LANG, DOCS = 400, 80_000
 #: A learned document in so many is not trained on, but tells what scores to expect.
 CALIBRATE = 5
 STEPS, BATCH, RATE = 320, 96, 0.02
+#: Bytes of a group of documents that one task trains on, about; windows that it mixes; its rate.
+GROUP, MIXED, FINE = 8 << 20, 1 << 15, 0.002
+#: Steps of one that scores are told apart by in calibration, and of a parameter in the mean of the networks.
+BINS, UNIT = 10_000, float(1 << 32)
 REJECTED = 0.001
 UNKNOWN = "und"
 
@@ -33,7 +42,7 @@ class Network:
         rng = np.random.default_rng(seed)
         f = np.float32
         self.hidden, self.classes = hidden, classes
-        #: Less is improbable for a text in one of the languages; see calibrate().
+        #: Less is improbable for a text in one of the languages; see floor_of().
         self.floor = 0.0
         self.p = {
             "table": (rng.standard_normal((2, 3 * hidden, 256)) * 0.3).astype(f),
@@ -83,14 +92,17 @@ class Network:
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Mean cross entropy over all bytes, and its gradients by backpropagation through time."""
+    def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict]:
+        """Mean cross entropy over all bytes, and its gradients by backpropagation through time. With `weight` a window's
+        part in both is so many times as large."""
         keep: list = []
         probs = self.softmax(self.run(x, lengths, keep))
         steps, count, n = *x.shape, self.hidden
         live = (np.arange(steps)[:, None] < lengths).astype(np.float32)
         one = np.eye(self.classes, dtype=np.float32)[y].T
         total = max(1.0, float(live.sum()))
+        if weight is not None:
+            live = live * weight.astype(np.float32)
         loss = float(-(np.log(np.maximum((probs * one).sum(axis=1), 1e-9)) * live).sum() / total)
         d = (probs - one) * live[:, None, :] / total
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -110,9 +122,8 @@ class Network:
             grad["u"] += np.matmul(dr, before.transpose(0, 2, 1))
             dh = dh * z + np.matmul(self.p["u"].transpose(0, 2, 1), dr)
         for k in range(2):
-            by = np.zeros((256, 3 * n), np.float32)
-            np.add.at(by, x.reshape(-1), da_all[k].transpose(0, 2, 1).reshape(-1, 3 * n))
-            grad["table"][k] = by.T
+            for f in range(3 * n):
+                grad["table"][k, f] = np.bincount(x.reshape(-1), da_all[k][:, f].reshape(-1), 256)
         return loss, grad
 
     def train(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, doc: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> float:
@@ -130,27 +141,34 @@ class Network:
             d = rng.integers(len(first), size=n)
             return own[first[d] + (rng.random(n) * sizes[d]).astype(np.int64)]
 
-        m, v, loss = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0.0
+        loss, adam = 0.0, self.adam()
         for i in range(1, steps + 1):
             take = np.concatenate([draw(*g, max(1, batch // len(groups))) for g in groups])
             now, grad = self.gradients(np.ascontiguousarray(x[take].T), lengths[take], y[take])
             loss = now if i == 1 else 0.9 * loss + 0.1 * now
+            adam(grad, rate * min(1.0, 2 - 2 * i / steps))
+        return loss
+
+    def adam(self):
+        """Steps of Adam, each a call with gradients and a rate."""
+        m, v, i = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
+
+        def step(grad: dict, rate: float) -> None:
+            nonlocal i
+            i += 1
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g = g / max(1.0, norm)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= (rate * min(1.0, 2 - 2 * i / steps) * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)).astype(np.float32)
-        return loss
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)).astype(np.float32)
+
+        return step
 
     def documents(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean probabilities [documents, classes] of the texts raw[offsets[i]:offsets[i+1]]; zeros for empty ones."""
         sizes = np.diff(offsets)
-        each = -(-sizes // T)
-        doc = np.repeat(np.arange(len(sizes)), each)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-        start = offsets[:-1][doc] + nth * T
-        length = np.minimum(T, sizes[doc] - nth * T)
+        doc, start, length = _places(offsets)
         out = np.zeros((len(sizes), self.classes))
         order = np.argsort(-length, kind="stable")  # shorter windows together
         for a in range(0, len(order), WINDOWS):
@@ -163,6 +181,38 @@ class Network:
         return out / np.maximum(sizes, 1)[:, None]
 
 
+def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of all windows of the texts from offsets[i] to offsets[i+1]."""
+    sizes = np.diff(offsets)
+    each = -(-sizes // T)
+    doc = np.repeat(np.arange(len(sizes)), each)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+    return doc, offsets[:-1][doc] + nth * T, np.minimum(T, sizes[doc] - nth * T)
+
+
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of texts, null as empty."""
+    col = col.fill_null("").cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    offs = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)), offs
+
+
+def _pieces(batches, size: int):
+    """All windows of (y, weight, body) rows, `size` at a time: bytes [windows, T], lengths, y, and the windows' weights, a
+    document's divided by the number of its windows."""
+    for batch in batches:
+        raw, offs = _bytes(batch.column(2))
+        y, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        doc, start, length = _places(offs)
+        each = np.maximum(np.bincount(doc, minlength=len(y)), 1)
+        for a in range(0, len(doc), size):
+            d, n = doc[a : a + size], length[a : a + size]
+            x = raw[np.minimum(start[a : a + size, None] + np.arange(T), len(raw) - 1)]
+            x[np.arange(T) >= n[:, None]] = 0
+            yield x, n, y[d], weight[d] / each[d]
+
+
 def _windows(batches):
     """All windows of documents: (lang, doc, raw)."""
     for batch in batches:
@@ -187,8 +237,9 @@ def learned_documents(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, d
 
 
 def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], Network]:
-    """The network for (order, lang, body), fitted on the driver on the windows of learned_documents(), whole texts of
-    these. Every label is a class, so what is learned follows the number of labels; the sample's bounds don't."""
+    """The network for (order, lang, body). Its start is fitted on the driver on the windows of learned_documents(), then
+    learn_all() trains it on every document; its floor comes from all that are kept for calibration. Every label is a
+    class, so what is learned follows the number of labels."""
     rows = learned_documents(labelled, docs_per_lang).mapInArrow(_windows, "lang string, doc long, raw binary").toPandas().sort_values(["lang", "doc", "raw"])
     langs = sorted(set(rows["lang"]))
     net = Network(max(1, len(langs)))
@@ -200,10 +251,96 @@ def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) ->
         y = np.searchsorted(langs, rows["lang"])
         unseen = calibration_rows(rows["doc"].to_numpy(), y)
         net.train(x[~unseen], lengths[~unseen], y[~unseen], rows["doc"].to_numpy()[~unseen])
-        net.floor = calibrate(net, x[unseen], lengths[unseen], y[unseen])
+        learn_all(net, labelled, langs)
     return langs, net
 
 
+def learn_all(net: Network, labelled: DataFrame, langs: list[str]) -> None:
+    """Trains `net` on all windows of all documents (order, lang, body) with a label and a letter but one in CALIBRATE, and
+    sets its floor by these. Languages weigh alike, and so do the documents of one, however long.
+
+    Documents are dealt by hash to groups of about GROUP bytes. A task takes the network through the windows of its group, once
+    and in an order that follows from the texts, and the networks of all groups are averaged: the outcome doesn't follow
+    from how many executors there are, or how the table is split."""
+    spark = labelled.sparkSession
+    d = labelled.where(F.col("lang").isNotNull() & F.col("body").rlike(r"\p{L}")).withColumns({"kept": F.pmod(F.xxhash64("order"), F.lit(CALIBRATE)) == 0, "spot": F.xxhash64("order", "body")})
+    size = F.octet_length("body")
+    taught = lambda what: F.sum(F.when(~F.col("kept"), what))
+    stats = d.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.ceil(size / T)).alias("w"), F.sum(size).alias("b"), taught(F.lit(1)).alias("tn"), taught(F.ceil(size / T)).alias("tw"), taught(size).alias("tb")).collect()  # a row a label
+    used = {r["lang"]: (r["tn"], r["tw"], r["tb"], False) if r["tn"] else (r["n"], r["w"], r["b"], True) for r in stats}
+    mean = sum(u[1] for u in used.values()) / len(used)
+    rows = [(g, k, float(mean / used[g][0]), used[g][3]) for k, g in enumerate(langs)]
+    of = spark.createDataFrame(rows, "lang string, y int, weight double, whole boolean")
+    d = d.join(F.broadcast(of) if len(rows) <= BROADCAST_ROWS else of, "lang")
+    groups = max(1, -(-sum(u[2] for u in used.values()) // GROUP))
+    dealt = d.where(~F.col("kept") | F.col("whole")).select("y", "weight", "body", "spot").repartition(groups, "spot").sortWithinPartitions("spot", "y", "body")
+    each = dealt.drop("spot").mapInArrow(lambda batches: _trained(net, batches), "k int, v long")
+    total = {r["k"]: (r["v"], r["n"]) for r in each.groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n")).collect()}  # a row a parameter
+    at = 0
+    for name, p in net.p.items():
+        net.p[name] = np.array([total[k][0] / total[k][1] / UNIT for k in range(at, at + p.size)], np.float32).reshape(p.shape)
+        at += p.size
+    apart = d.where(F.col("kept") & ~F.col("whole")).select("y", "weight", "body")
+    counts = apart.mapInArrow(lambda batches: _tops(net, batches), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
+    net.floor = floor_of(net.classes, {r["bin"]: r["n"] for r in counts})
+
+
+def _trained(start: Network, batches):
+    """(k, v): the parameters of the network after the windows of a group, in units of 1 / UNIT, so that sums are exact."""
+    net, rng, any_yet = copy.deepcopy(start), np.random.default_rng(7), False
+    adam = net.adam()
+    for x, lengths, y, weight in _mixed(_pieces(batches, MIXED)):
+        any_yet, order = True, rng.permutation(len(y))
+        for a in range(0, len(order), WINDOWS):
+            take = order[a : a + WINDOWS]
+            adam(net.gradients(np.ascontiguousarray(x[take].T), lengths[take], y[take], weight[take])[1], FINE)
+    if any_yet:
+        flat = np.concatenate([p.reshape(-1) for p in net.p.values()]).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.round(flat * UNIT).astype(np.int64))], ["k", "v"])
+
+
+def _mixed(pieces):
+    """Pieces put together to about MIXED windows."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[1])
+        if n >= MIXED:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _tops(net: Network, batches):
+    """(bin, n): rightly judged windows by their score."""
+    counts = np.zeros(BINS + 1, np.int64)
+    for x, lengths, y, _ in _pieces(batches, WINDOWS):
+        counts += np.bincount((judged(net, x, lengths, y) * BINS).astype(np.int64).clip(0, BINS), minlength=BINS + 1)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bin", "n"])
+
+
+def judged(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Scores of the windows x [windows, T] that are rightly judged."""
+    probs = net.softmax(net.run(np.ascontiguousarray(x.T), lengths))
+    live = np.arange(x.shape[1])[:, None] < lengths
+    mean = (probs * live[:, None, :]).sum(axis=0) / np.maximum(lengths, 1)
+    return mean.max(axis=0)[mean.argmax(axis=0) == y]
+
+
+def floor_of(classes: int, counts: dict[int, int]) -> float:
+    """The score halfway between chance and what all but a share of REJECTED of the rightly judged windows reach (`counts` by
+    score, in steps of 1 / BINS), which the network wasn't trained on: a document below is nearer to a guess than to a
+    text in one of the languages."""
+    left = REJECTED * sum(counts.values())
+    for b in sorted(counts):
+        left -= counts[b]
+        if left <= 0:
+            return (1 / classes + b / BINS) / 2
+    return 1 / classes
+
+
 def calibration_rows(doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which windows are kept from training: those of one document in CALIBRATE, of languages with more than one."""
     unseen = doc % CALIBRATE == 0
@@ -213,19 +350,6 @@ def calibration_rows(doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     return unseen
 
 
-def calibrate(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> float:
-    """The score halfway between chance and what all but a share of REJECTED of the rightly judged windows reach, which
-    the network wasn't trained on: a document below is nearer to a guess than to a text in one of the languages."""
-    top = []
-    for a in range(0, len(x), WINDOWS):
-        part = slice(a, a + WINDOWS)
-        probs = net.softmax(net.run(np.ascontiguousarray(x[part].T), lengths[part]))
-        live = np.arange(x.shape[1])[:, None] < lengths[part]
-        mean = (probs * live[:, None, :]).sum(axis=0) / np.maximum(lengths[part], 1)
-        top += mean.max(axis=0)[mean.argmax(axis=0) == y[part]].tolist()
-    return (1 / net.classes + (float(np.quantile(top, REJECTED)) if top else 1 / net.classes)) / 2
-
-
 def predict_languages(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score` (the pooled probability of that language) behind their columns; where `docs` has
     columns of these names, whatever their case, the added ones get `_` before their names.
@@ -237,11 +361,8 @@ def predict_languages(docs: DataFrame, langs: list[str], net: Network, text_col:
 
     def run(batches):
         for batch in batches:
-            col = batch.column(at).fill_null("").cast(pa.large_binary())
-            size = len(col)
-            _, offsets, data = col.buffers()
-            offs = np.frombuffer(offsets, np.int64)[col.offset : col.offset + size + 1]
-            raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+            raw, offs = _bytes(batch.column(at))
+            size = batch.num_rows
             known = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             probs = net.documents(raw, offs) if langs else np.zeros((size, 1))
             known = known.astype(bool) & bool(langs)
