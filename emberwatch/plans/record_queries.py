@@ -97,7 +97,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 def read_back(spark: SparkSession, sf: str) -> DataFrame:
     """The same after a file of NDJSON."""
     folder = scratch(spark, "records")
-    sinks.write_ndjson(C.parsed_data(envelopes(spark, sf).unionByName(observations(spark, sf))), folder)
+    sinks.record_lines(envelopes(spark, sf).unionByName(observations(spark, sf))).write.text(folder)
     return feeds.parse_envelopes(spark.read.text(folder))[0]
 
 

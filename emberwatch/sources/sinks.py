@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from emberwatch.sources.shared import remove, scratch
 
-__all__ = ["StateTable", "scratch", "stream_by_day", "stream_records", "to_ndjson", "write_by_day", "write_ndjson"]
+__all__ = ["StateTable", "record_lines", "scratch", "stream_by_day", "stream_records", "to_ndjson", "write_by_day", "write_ndjson"]
 #: Rows of a file of a day.
 ROWS_PER_FILE = 5_000_000
 
@@ -23,6 +23,13 @@ def to_ndjson(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def record_lines(records: DataFrame) -> DataFrame:
+    """Lines of records whose `data` is JSON text, such as envelopes() makes it: the text goes into the line as an object, as
+    it is, so that it isn't parsed only to be written again."""
+    head = F.to_json(F.struct(*[c for c in records.columns if c != "data"]), {"ignoreNullFields": "false"})
+    return records.select(F.concat(F.lit('{"data":'), F.coalesce("data", F.lit("null")), F.lit(","), F.substr(head, F.lit(2))).alias("value"))
+
+
 def write_ndjson(df: DataFrame, path: str, rename: dict[str, str] | None = None, order: list[str] | None = None) -> None:
     """Lines of JSON. With `order` the files hold the rows in that order, one range a file."""
     lines = to_ndjson(df, rename)
