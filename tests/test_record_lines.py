@@ -29,3 +29,11 @@ def test_records_of_all_classes_come_back_whole(spark, sf):
     lines = feeds.parse_envelopes(sinks.record_lines(e))[0]
     n = lambda d: {(r["class_uid"], r["host"]): r["count"] for r in d.groupBy("class_uid", F.col("device.hostname").alias("host")).count().collect()}
     assert n(lines) == n(e)
+
+
+def test_inventories_are_not_parsed_for_contributions(spark):
+    rows = spark.createDataFrame([("h", "/tmp/x", [("lolbin", "r")])], "asset_id string, image string, hits array<struct<rule:string,reason:string>>").withColumn("ts", F.lit(1))
+    e = C.activity_envelopes(rows, 1007, F.lit(1)).withColumn("class_uid", F.explode(F.array(F.lit(1007), F.lit(5020))))
+    # A record whose `data` can't even be read stands for one that isn't parsed.
+    e = e.withColumn("data", F.when(F.col("class_uid") == 5020, F.raise_error(F.lit("parsed")).cast("string")).otherwise(F.col("data"))).where("time = 1")
+    assert [r["vuln_id"] for r in C.contributions(e).select("vuln_id").collect()] == ["process:/tmp/x"]
