@@ -10,6 +10,7 @@ language, from the states of both directions; a document's probabilities are the
 from __future__ import annotations
 
 import copy
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,7 @@ UNKNOWN = "und"
 
 
 class Network:
-    """Parameters: table (byte to gates), recurrent weights and their biases for each direction, and the output layer.
-    Arrays are feature-major ([features, windows]), so that each gate is a contiguous block."""
+    """Parameters: table (byte to gates), recurrent weights and their biases for each direction, and the output layer."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -44,6 +44,7 @@ class Network:
         self.hidden, self.classes = hidden, classes
         #: Less is improbable for a text in one of the languages; see floor_of().
         self.floor = 0.0
+        self.scratch: dict[str, np.ndarray] = {}
         self.p = {
             "table": (rng.standard_normal((2, 3 * hidden, 256)) * 0.3).astype(f),
             "u": (rng.standard_normal((2, 3 * hidden, hidden)) / np.sqrt(hidden)).astype(f),
@@ -52,40 +53,70 @@ class Network:
             "bias": np.zeros((classes, 1), f),
         }
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One byte in each direction: x [2, windows], h [2, hidden, windows]."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"scratch": {}}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array for intermediate values, the same memory at each call: fresh pages cost a third of the training."""
+        size, kind = math.prod(shape), self.p["u"].dtype
+        if name not in self.scratch or self.scratch[name].size < size or self.scratch[name].dtype != kind:
+            self.scratch[name] = np.empty(size, kind)
+        return self.scratch[name][:size].reshape(shape)
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Table [(gate, direction, byte), hidden], recurrent weights [gate, direction, from, to] and biases [direction, 1,
+        hidden] for states [windows, hidden]. Factors of the exponents are multiplied in: a gate is 1 / (1 + exp(-v)), the
+        new value tanh(v) = 1 - 2 / (1 + exp(2 v))."""
         p, n = self.p, self.hidden
-        a = np.stack([p["table"][0].take(x[0], axis=1), p["table"][1].take(x[1], axis=1)])
-        r = np.matmul(p["u"], h)
-        gates = a[:, : 2 * n] + r[:, : 2 * n]
-        gates *= 0.5
-        np.tanh(gates, out=gates)
-        gates *= 0.5
-        gates += 0.5  # the logistic function
-        z, g = gates[:, :n], gates[:, n:]
-        rn = r[:, 2 * n :] + p["b"]
-        c = np.tanh(a[:, 2 * n :] + g * rn)
-        return z, g, rn, c, c + z * (h - c)
+        factor = np.array([-1, -1, 2], p["u"].dtype).reshape(3, 1, 1, 1)
+        table = p["table"].reshape(2, 3, n, 256).transpose(1, 0, 3, 2) * factor
+        u = p["u"].reshape(2, 3, n, n).transpose(1, 0, 3, 2) * factor
+        return np.ascontiguousarray(table).reshape(6 * 256, n), np.ascontiguousarray(u), 2 * p["b"].transpose(0, 2, 1)
 
     def run(self, x: np.ndarray, lengths: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits [T, classes, windows] of bytes x [T, windows]. Beyond a window's length both states are 0, so the
-        backward direction starts at the last byte of a shorter window."""
-        steps, count = x.shape
-        h = np.zeros((2, self.hidden, count), np.float32)
-        logits = np.repeat(np.repeat(self.p["bias"][None], count, axis=2), steps, axis=0)
-        whole = bool((lengths >= steps).all())
-        for s in range(steps):
-            back = steps - 1 - s
-            before = h
-            z, g, rn, c, h = self.step(np.stack([x[s], x[back]]), h)
-            if not whole:
-                h = h * np.stack([s < lengths, back < lengths])[:, None, :]
-            y = np.matmul(self.p["out"], h)
-            logits[s] += y[0]
-            logits[back] += y[1]
-            if keep is not None:
-                keep.append((before, z, g, rn, c, h))
-        return logits
+        backward direction starts at the last byte of a shorter window.
+
+        Arrays of a step are [direction, windows, hidden] and contiguous; the backward direction's step s reads byte T - 1 - s.
+        `keep` gets what gradients() needs of all steps: the states before and after, both gates, recurrent and new values."""
+        (steps, count), n = x.shape, self.hidden
+        table, u, b = self.packed()
+        kept = 1 if keep is None else steps
+        rows = np.stack([x, x[::-1]], axis=1)[:, None] + 256 * np.arange(6).reshape(1, 3, 2, 1)
+        b = np.repeat(b, count, axis=1)
+        states = self.room("states", 2, steps + 1, count, n)
+        states[:, 0] = 0
+        a, r = self.room("a", 3, 2, count, n), self.room("r", 3, 2, count, n)
+        gates, inner, new = self.room("gates", kept, 2, 2, count, n), self.room("inner", kept, 2, count, n), self.room("new", kept, 2, count, n)
+        ended = _ended(lengths, steps)
+        with np.errstate(over="ignore"):  # the exponential of a gate that is shut
+            for s in range(steps):
+                k, h, after = s % kept, states[:, s], states[:, s + 1]
+                table.take(rows[s], axis=0, out=a, mode="clip")
+                np.matmul(h, u, out=r)
+                zg, rn, c = gates[k], inner[k], new[k]
+                np.add(a[:2], r[:2], out=zg)
+                np.exp(zg, out=zg)
+                zg += 1
+                np.divide(1, zg, out=zg)
+                np.add(r[2], b, out=rn)
+                np.multiply(zg[1], rn, out=c)
+                c += a[2]
+                np.exp(c, out=c)
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                np.subtract(h, c, out=after)
+                after *= zg[0]
+                after += c
+                _clear(after, ended, s)
+        if keep is not None:
+            keep += [states, gates, inner, new, ended]
+        y = np.matmul(self.p["out"], states[:, 1:].reshape(2, steps * count, n).transpose(0, 2, 1), out=self.room("y", 2, self.classes, steps * count))
+        y = y.reshape(2, self.classes, steps, count)
+        logits = y[0] + y[1, :, ::-1]
+        logits += self.p["bias"][:, :, None]
+        return logits.transpose(1, 0, 2)
 
     @staticmethod
     def softmax(logits: np.ndarray) -> np.ndarray:
@@ -96,34 +127,53 @@ class Network:
         """Mean cross entropy over all bytes, and its gradients by backpropagation through time. With `weight` a window's
         part in both is so many times as large."""
         keep: list = []
-        probs = self.softmax(self.run(x, lengths, keep))
-        steps, count, n = *x.shape, self.hidden
+        (steps, count), n, p = x.shape, self.hidden, self.p
+        probs = self.softmax(self.run(x, lengths, keep)).transpose(1, 0, 2)  # [classes, T, windows]
+        states, gates, inner, new, ended = keep
+        kind, every = states.dtype, steps * count
         live = (np.arange(steps)[:, None] < lengths).astype(np.float32)
-        one = np.eye(self.classes, dtype=np.float32)[y].T
         total = max(1.0, float(live.sum()))
         if weight is not None:
             live = live * weight.astype(np.float32)
-        loss = float(-(np.log(np.maximum((probs * one).sum(axis=1), 1e-9)) * live).sum() / total)
-        d = (probs - one) * live[:, None, :] / total
-        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-        grad["bias"] += d.sum(axis=(0, 2))[:, None]
-        da_all = np.zeros((2, steps, 3 * n, count), np.float32)
-        dh = np.zeros((2, n, count), np.float32)
+        loss = float(-(np.log(np.maximum(probs[y, :, np.arange(count)].T, 1e-9)) * live).sum() / total)
+        d = probs - np.eye(self.classes, dtype=np.float32)[y].T[:, None, :]
+        d *= live / total
+        d = np.stack([d, d[:, ::-1]]).reshape(2, self.classes, every)
+        dy = np.matmul(d.transpose(0, 2, 1), p["out"], out=self.room("dy", 2, every, n)).reshape(2, steps, count, n)
+        u = np.ascontiguousarray(p["u"].reshape(2, 3, n, n).transpose(1, 0, 2, 3))
+        u[1] *= 0.5  # `inner` is twice the recurrent value, and so is the second of
+        dv = self.room("dv", 4, 2, steps, count, n)  # the gradients of both gates' sums, the recurrent value and the new one's sum
+        dh, t, back = np.zeros((2, count, n), kind), self.room("t", 2, count, n), self.room("r", 3, 2, count, n)
         for s in reversed(range(steps)):
-            back = steps - 1 - s
-            before, z, g, rn, c, h = keep[s]
-            dy = np.stack([d[s], d[back]])
-            grad["out"] += np.matmul(dy, h.transpose(0, 2, 1))
-            dh = (dh + np.matmul(self.p["out"].transpose(0, 2, 1), dy)) * np.stack([s < lengths, back < lengths])[:, None, :]
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = np.concatenate([dh * (before - c) * z * (1 - z), dc * rn * g * (1 - g), dc * g], axis=1)
-            da_all[0, s], da_all[1, back] = np.concatenate([dr[0, : 2 * n], dc[0]]), np.concatenate([dr[1, : 2 * n], dc[1]])
-            grad["b"] += dr[:, 2 * n :].sum(axis=2, keepdims=True)
-            grad["u"] += np.matmul(dr, before.transpose(0, 2, 1))
-            dh = dh * z + np.matmul(self.p["u"].transpose(0, 2, 1), dr)
-        for k in range(2):
-            for f in range(3 * n):
-                grad["table"][k, f] = np.bincount(x.reshape(-1), da_all[k][:, f].reshape(-1), 256)
+            h, (z, g), rn, c = states[:, s], gates[s], inner[s], new[s]
+            dz, dg, dr, dc = dv[:, :, s]
+            dh += dy[:, s]
+            _clear(dh, ended, s)
+            np.subtract(1, z, out=t)
+            t *= dh
+            np.subtract(h, c, out=dz)
+            dz *= z
+            dz *= t
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= t
+            np.multiply(dc, g, out=dr)
+            np.subtract(1, g, out=dg)
+            dg *= dr
+            dg *= rn
+            dh *= z
+            np.matmul(dv[:3, :, s], u, out=back)
+            for k in range(3):
+                dh += back[k]
+        dv = dv.reshape(4, 2, every, n)
+        grad = {"bias": d[0].sum(axis=1)[:, None], "out": np.matmul(d, states[:, 1:].reshape(2, every, n))}
+        grad["b"] = np.matmul(np.ones(every, kind), dv[2])[:, :, None]
+        own = np.matmul(states[:, :-1].reshape(2, every, n).transpose(0, 2, 1), dv[:3])
+        by_byte = _sums_by_byte(x, dv, self.room("rows", 3, 2, every, n))
+        own[1] *= 0.5
+        by_byte[1] *= 0.5
+        grad["u"] = own.transpose(1, 0, 3, 2).reshape(2, 3 * n, n)
+        grad["table"] = by_byte.transpose(1, 0, 3, 2).reshape(2, 3 * n, 256)
         return loss, grad
 
     def train(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, doc: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> float:
@@ -181,6 +231,39 @@ class Network:
         return out / np.maximum(sizes, 1)[:, None]
 
 
+def _ended(lengths: np.ndarray, steps: int) -> list:
+    """For each byte the windows that end before it: None, or a slice where the longest windows come first, or numbers."""
+    order = np.argsort(-lengths, kind="stable")
+    left = np.searchsorted(-lengths[order], -np.arange(steps))  # windows longer than so many bytes
+    ordered = bool((order[1:] > order[:-1]).all())
+    return [None if k == len(order) else slice(k, None) if ordered else order[k:] for k in left.tolist()]
+
+
+def _clear(h: np.ndarray, ended: list, s: int) -> None:
+    """Sets h [2, windows, hidden] to 0 where the byte of step s is beyond a window's end."""
+    for k, windows in ((0, ended[s]), (1, ended[-1 - s])):
+        if windows is not None:
+            h[k, windows] = 0
+
+
+def _sums_by_byte(x: np.ndarray, dv: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums [gate, direction, byte, hidden] of the gradients of the gates' sums and the new value's, over all places of a byte.
+    `rows` is room for them in the order of the bytes."""
+    (steps, count), n = x.shape, dv.shape[-1]
+    order = np.argsort(x.reshape(-1), kind="stable")
+    ways = order, (steps - 1 - order // count) * count + order % count
+    for k, gate in enumerate((0, 1, 3)):
+        for way, at in enumerate(ways):
+            dv[gate, way].take(at, axis=0, out=rows[k, way], mode="clip")
+    out, a = np.zeros((3, 2, 256, n), dv.dtype), 0
+    ones = np.ones(len(order), dv.dtype)
+    for byte, size in enumerate(np.bincount(x.reshape(-1), minlength=256)):
+        if size:
+            out[:, :, byte] = np.matmul(ones[:size], rows[:, :, a : a + size])
+        a += size
+    return out
+
+
 def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, length) of all windows of the texts from offsets[i] to offsets[i+1]."""
     sizes = np.diff(offsets)
@@ -236,9 +319,9 @@ def learned_documents(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, d
     return ranked.where(F.col("r") <= each).select("lang", "doc", "body")
 
 
-def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> tuple[list[str], Network]:
+def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, floor: bool = True) -> tuple[list[str], Network]:
     """The network for (order, lang, body). Its start is fitted on the driver on the windows of learned_documents(), then
-    learn_all() trains it on every document; its floor comes from all that are kept for calibration. Every label is a
+    learn_all() trains it on every document; with `floor` its floor comes from all that are kept for calibration. Every label is a
     class, so what is learned follows the number of labels."""
     rows = learned_documents(labelled, docs_per_lang).mapInArrow(_windows, "lang string, doc long, raw binary").toPandas().sort_values(["lang", "doc", "raw"])
     langs = sorted(set(rows["lang"]))
@@ -251,13 +334,13 @@ def train_languages(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) ->
         y = np.searchsorted(langs, rows["lang"])
         unseen = calibration_rows(rows["doc"].to_numpy(), y)
         net.train(x[~unseen], lengths[~unseen], y[~unseen], rows["doc"].to_numpy()[~unseen])
-        learn_all(net, labelled, langs)
+        learn_all(net, labelled, langs, floor)
     return langs, net
 
 
-def learn_all(net: Network, labelled: DataFrame, langs: list[str]) -> None:
+def learn_all(net: Network, labelled: DataFrame, langs: list[str], floor: bool = True) -> None:
     """Trains `net` on all windows of all documents (order, lang, body) with a label and a letter but one in CALIBRATE, and
-    sets its floor by these. Languages weigh alike, and so do the documents of one, however long.
+    with `floor` sets its floor by these. Languages weigh alike, and so do the documents of one, however long.
 
     Documents are dealt by hash to groups of about GROUP bytes. A task takes the network through the windows of its group, once
     and in an order that follows from the texts, and the networks of all groups are averaged: the outcome doesn't follow
@@ -280,6 +363,8 @@ def learn_all(net: Network, labelled: DataFrame, langs: list[str]) -> None:
     for name, p in net.p.items():
         net.p[name] = np.array([total[k][0] / total[k][1] / UNIT for k in range(at, at + p.size)], np.float32).reshape(p.shape)
         at += p.size
+    if not floor:
+        return
     apart = d.where(F.col("kept") & ~F.col("whole")).select("y", "weight", "body")
     counts = apart.mapInArrow(lambda batches: _tops(net, batches), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
     net.floor = floor_of(net.classes, {r["bin"]: r["n"] for r in counts})
@@ -293,6 +378,7 @@ def _trained(start: Network, batches):
         any_yet, order = True, rng.permutation(len(y))
         for a in range(0, len(order), WINDOWS):
             take = order[a : a + WINDOWS]
+            take = take[np.argsort(-lengths[take], kind="stable")]  # the longest first, so that those that have ended are a slice
             adam(net.gradients(np.ascontiguousarray(x[take].T), lengths[take], y[take], weight[take])[1], FINE)
     if any_yet:
         flat = np.concatenate([p.reshape(-1) for p in net.p.values()]).astype(np.float64)
@@ -381,12 +467,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn(docs: DataFrame) -> tuple[list[str], Network]:
-    return train_languages(docs.where(~held_out()).select(F.col("doc_id").alias("order"), "lang", F.coalesce("text", F.lit("")).alias("body")))
+def learn(docs: DataFrame, floor: bool = True) -> tuple[list[str], Network]:
+    """Languages and network; the floor takes a pass over a fifth of the learned texts, and only a filter by it needs it."""
+    return train_languages(docs.where(~held_out()).select(F.col("doc_id").alias("order"), "lang", F.coalesce("text", F.lit("")).alias("body")), floor=floor)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    langs, net = learn(docs)
+    langs, net = learn(docs, floor=False)
     out = predict_languages(docs.select("doc_id", held_out().alias("held_out"), "text"), langs, net)
     return out.select("doc_id", "held_out", "lang_pred", "score")
