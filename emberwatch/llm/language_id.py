@@ -78,7 +78,7 @@ class Network:
         backward direction starts at the last byte of a shorter window.
 
         Arrays of a step are [direction, windows, hidden] and contiguous; the backward direction's step s reads byte T - 1 - s.
-        `keep` gets what gradients() needs of all steps: the states before and after, both gates, recurrent and new values."""
+        `keep` gets what gradients() needs of all steps: the states, both gates with the recurrent value, and the new value."""
         (steps, count), n = x.shape, self.hidden
         table, u, b = self.packed()
         kept = 1 if keep is None else steps
@@ -86,20 +86,20 @@ class Network:
         b = np.repeat(b, count, axis=1)
         states = self.room("states", 2, steps + 1, count, n)
         states[:, 0] = 0
-        a, r = self.room("a", 3, 2, count, n), self.room("r", 3, 2, count, n)
-        gates, inner, new = self.room("gates", kept, 2, 2, count, n), self.room("inner", kept, 2, count, n), self.room("new", kept, 2, count, n)
+        a = self.room("a", 3, 2, count, n)
+        inner, new = self.room("inner", kept, 3, 2, count, n), self.room("new", kept, 2, count, n)
         ended = _ended(lengths, steps)
         with np.errstate(over="ignore"):  # the exponential of a gate that is shut
             for s in range(steps):
-                k, h, after = s % kept, states[:, s], states[:, s + 1]
+                r, c, h, after = inner[s % kept], new[s % kept], states[:, s], states[:, s + 1]
                 table.take(rows[s], axis=0, out=a, mode="clip")
                 np.matmul(h, u, out=r)
-                zg, rn, c = gates[k], inner[k], new[k]
-                np.add(a[:2], r[:2], out=zg)
+                zg, rn = r[:2], r[2]
+                zg += a[:2]
                 np.exp(zg, out=zg)
                 zg += 1
                 np.divide(1, zg, out=zg)
-                np.add(r[2], b, out=rn)
+                rn += b
                 np.multiply(zg[1], rn, out=c)
                 c += a[2]
                 np.exp(c, out=c)
@@ -111,7 +111,7 @@ class Network:
                 after += c
                 _clear(after, ended, s)
         if keep is not None:
-            keep += [states, gates, inner, new, ended]
+            keep += [states, inner, new, ended]
         y = np.matmul(self.p["out"], states[:, 1:].reshape(2, steps * count, n).transpose(0, 2, 1), out=self.room("y", 2, self.classes, steps * count))
         y = y.reshape(2, self.classes, steps, count)
         logits = y[0] + y[1, :, ::-1]
@@ -129,7 +129,7 @@ class Network:
         keep: list = []
         (steps, count), n, p = x.shape, self.hidden, self.p
         probs = self.softmax(self.run(x, lengths, keep)).transpose(1, 0, 2)  # [classes, T, windows]
-        states, gates, inner, new, ended = keep
+        states, inner, new, ended = keep
         kind, every = states.dtype, steps * count
         live = (np.arange(steps)[:, None] < lengths).astype(np.float32)
         total = max(1.0, float(live.sum()))
@@ -140,19 +140,20 @@ class Network:
         d *= live / total
         d = np.stack([d, d[:, ::-1]]).reshape(2, self.classes, every)
         dy = np.matmul(d.transpose(0, 2, 1), p["out"], out=self.room("dy", 2, every, n)).reshape(2, steps, count, n)
-        u = np.ascontiguousarray(p["u"].reshape(2, 3, n, n).transpose(1, 0, 2, 3))
-        u[1] *= 0.5  # `inner` is twice the recurrent value, and so is the second of
-        dv = self.room("dv", 4, 2, steps, count, n)  # the gradients of both gates' sums, the recurrent value and the new one's sum
-        dh, t, back = np.zeros((2, count, n), kind), self.room("t", 2, count, n), self.room("r", 3, 2, count, n)
+        u = p["u"].copy()
+        u[:, n : 2 * n] *= 0.5  # the kept recurrent value is twice itself, and so is the gradient of the second gate
+        # Of a byte: the gradients of both gates' sums, of the recurrent value and of the new one's sum.
+        dv, four = self.room("dv", 2, steps, count, 4 * n), self.room("four", 4, 2, count, n)
+        moved = np.ascontiguousarray(np.arange(8 * count).reshape(4, 2, count).transpose(1, 2, 0))
+        dz, dg, dr, dc = four
+        dh, t, past = np.zeros((2, count, n), kind), self.room("t", 2, count, n), self.room("past", 2, count, n)
         for s in reversed(range(steps)):
-            h, (z, g), rn, c = states[:, s], gates[s], inner[s], new[s]
-            dz, dg, dr, dc = dv[:, :, s]
+            (z, g, rn), c = inner[s], new[s]
             dh += dy[:, s]
             _clear(dh, ended, s)
-            np.subtract(1, z, out=t)
-            t *= dh
-            np.subtract(h, c, out=dz)
-            dz *= z
+            np.multiply(dh, z, out=past)
+            np.subtract(dh, past, out=t)
+            np.subtract(states[:, s + 1], c, out=dz)  # z times what the new value takes from the state
             dz *= t
             np.multiply(c, c, out=dc)
             np.subtract(1, dc, out=dc)
@@ -161,19 +162,18 @@ class Network:
             np.subtract(1, g, out=dg)
             dg *= dr
             dg *= rn
-            dh *= z
-            np.matmul(dv[:3, :, s], u, out=back)
-            for k in range(3):
-                dh += back[k]
-        dv = dv.reshape(4, 2, every, n)
+            for k in range(2):
+                four.reshape(8 * count, n).take(moved[k], axis=0, out=dv[k, s].reshape(count, 4, n), mode="clip")
+            np.matmul(dv[:, s, :, : 3 * n], u, out=dh)
+            dh += past
+        dv = dv.reshape(2, every, 4 * n)
         grad = {"bias": d[0].sum(axis=1)[:, None], "out": np.matmul(d, states[:, 1:].reshape(2, every, n))}
-        grad["b"] = np.matmul(np.ones(every, kind), dv[2])[:, :, None]
-        own = np.matmul(states[:, :-1].reshape(2, every, n).transpose(0, 2, 1), dv[:3])
-        by_byte = _sums_by_byte(x, dv, self.room("rows", 3, 2, every, n))
-        own[1] *= 0.5
-        by_byte[1] *= 0.5
-        grad["u"] = own.transpose(1, 0, 3, 2).reshape(2, 3 * n, n)
-        grad["table"] = by_byte.transpose(1, 0, 3, 2).reshape(2, 3 * n, 256)
+        grad["u"] = np.matmul(dv[:, :, : 3 * n].transpose(0, 2, 1), states[:, :-1].reshape(2, every, n))
+        grad["u"][:, n : 2 * n] *= 0.5
+        sums = _sums_by_byte(x, dv, self.room("rows", 2, every, 4 * n))
+        grad["b"] = sums[:, 2 * n : 3 * n].sum(axis=2, keepdims=True)
+        grad["table"] = np.concatenate([sums[:, : 2 * n], sums[:, 3 * n :]], axis=1)
+        grad["table"][:, n : 2 * n] *= 0.5
         return loss, grad
 
     def train(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray, doc: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> float:
@@ -247,19 +247,17 @@ def _clear(h: np.ndarray, ended: list, s: int) -> None:
 
 
 def _sums_by_byte(x: np.ndarray, dv: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums [gate, direction, byte, hidden] of the gradients of the gates' sums and the new value's, over all places of a byte.
-    `rows` is room for them in the order of the bytes."""
-    (steps, count), n = x.shape, dv.shape[-1]
+    """Sums [direction, gradient, byte] of dv [direction, places, gradients] over all places of a byte. `rows` is room for
+    them in the order of the bytes."""
+    steps, count = x.shape
     order = np.argsort(x.reshape(-1), kind="stable")
-    ways = order, (steps - 1 - order // count) * count + order % count
-    for k, gate in enumerate((0, 1, 3)):
-        for way, at in enumerate(ways):
-            dv[gate, way].take(at, axis=0, out=rows[k, way], mode="clip")
-    out, a = np.zeros((3, 2, 256, n), dv.dtype), 0
+    for k, at in enumerate((order, (steps - 1 - order // count) * count + order % count)):
+        dv[k].take(at, axis=0, out=rows[k], mode="clip")
+    out, a = np.zeros((2, dv.shape[-1], 256), dv.dtype), 0
     ones = np.ones(len(order), dv.dtype)
     for byte, size in enumerate(np.bincount(x.reshape(-1), minlength=256)):
         if size:
-            out[:, :, byte] = np.matmul(ones[:size], rows[:, :, a : a + size])
+            out[:, :, byte] = np.matmul(ones[:size], rows[:, a : a + size])
         a += size
     return out
 
