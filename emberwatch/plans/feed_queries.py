@@ -134,11 +134,11 @@ def _with_vex(spark):
     return e.withColumn("vex", F.when(F.col("vuln_id") == "OSV-3", "not_affected").when(F.col("vuln_id") == "CVE-W2", "unknown").otherwise(F.col("vex")))
 
 
-def _vulnerability_run(spark, sf):
+def _vulnerability_run(spark, sf, closes=False):
     sbom = cut(sbom_components(spark, sf))
     hits = V.composite_hits(*VQ._hits(spark, V.distinct_components(sbom), "osv", "nvd", "feed"))
     assets, runtime = _context(spark, sf, sbom)
-    return V.vulnerability_run(sbom, hits, _with_vex(spark), O.empty_state(spark), F.lit(7), assets, runtime)
+    return V.vulnerability_run(sbom, hits, _with_vex(spark), O.empty_state(spark), F.lit(7), assets, runtime, closes)
 
 
 def vulnerability_context(spark, sf):
@@ -148,9 +148,9 @@ def vulnerability_context(spark, sf):
 
 
 def vulnerability_fixes(spark, sf):
-    """Fixes of the same findings, without suppressed ones."""
-    g = _vulnerability_run(spark, sf)[1]
-    return g.select("remediation_key", "risk", F.col("closes_count").alias("closes"), F.col("assets_count").alias("assets"))
+    """Fixes of the same findings with what they close, without suppressed ones."""
+    g = _vulnerability_run(spark, sf, closes=True)[1]
+    return g.select("remediation_key", "risk", F.array_join("closes", ",").alias("closes"), F.col("assets_count").alias("assets"))
 
 
 _R = VQ._R
@@ -347,7 +347,7 @@ SQL = {
     "windows_advisories": "SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'licensed' ELSE 'community' END AS tier, CASE WHEN s_suppkey % 3 = 0 THEN 'd' END AS snapshot_date, 'putty ' || s_nationkey AS alias, 'P' || s_nationkey AS product, count(*) AS advisories FROM supplier GROUP BY 1, 2, 3, 4",
     "package_libraries": "WITH s AS (SELECT 'sup-' || s_suppkey AS asset_id, s_suppkey % 2 AS odd, s_nationkey AS n FROM supplier) SELECT asset_id, 'ssl' || n AS name, '/usr/lib/liba.so,/usr/lib/libssl.so.3' AS libraries FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'zed' || n, '/opt/z.DYLIB' FROM s WHERE odd = 0 UNION ALL SELECT asset_id, 'libc' || n, '/lib/libc.so.6,/lib/x.dll' FROM s WHERE odd = 1",
     "vulnerability_context": f"{_CONTEXT} SELECT finding_id, risk, decision, status, runtime_reachable, CAST(sources AS INTEGER) AS sources, versions, CAST(7 AS BIGINT) AS first_seen FROM findings",
-    "vulnerability_fixes": f"{_CONTEXT} SELECT remediation_key, max(risk) AS risk, count(DISTINCT vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM findings WHERE status <> 'suppressed' GROUP BY 1",
+    "vulnerability_fixes": f"{_CONTEXT} SELECT remediation_key, max(risk) AS risk, string_agg(DISTINCT vuln_id, ',' ORDER BY vuln_id) AS closes, count(DISTINCT asset_id) AS assets FROM findings WHERE status <> 'suppressed' GROUP BY 1",
     "vulnerability_details": f"{VQ._FIND} SELECT f.vuln_id AS cve, component AS package, versions AS version, CAST(f.cvss_env AS DOUBLE) AS cvss, f.kev, CAST(e.epss AS DOUBLE) AS epss, risk, decision, remediation_key AS fix, asset_id AS host, status FROM findings f LEFT JOIN enr e ON f.vuln_id = e.vuln_id",
     "product_names": r"SELECT p_partkey, trim(regexp_replace(lower(p_name) || CASE p_partkey % 5 WHEN 2 THEN ' 2.0' ELSE '' END, '\s+', ' ', 'g')) AS shown FROM part",
     "provenance": "SELECT 'sup-' || l_suppkey AS asset_id, 'v-' || (l_partkey % 20) AS vuln_id, string_agg('src' || (l_linenumber % 3), ',' ORDER BY l_linenumber % 2 DESC, l_orderkey * 10 + l_linenumber) AS sources, arg_min('fix-' || l_orderkey, (-(l_linenumber % 2), l_orderkey * 10 + l_linenumber)) AS remediation_key FROM lineitem GROUP BY 1, 2",
